@@ -11,18 +11,12 @@ SCALE = 10_000
 def ratio4(numerator: Column, denominator: Column) -> Column:
     """``numerator / denominator`` to four places, ties to even; null for a null or 0 denominator.
 
-    Integer arithmetic, so no intermediate quotient is rounded first.
+    Integer arithmetic on bigints, so no intermediate quotient is rounded first.
     """
-    bottom = F.when(denominator != 0, denominator.cast("decimal(20,0)"))
-    scaled = numerator.cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(5,0)")
-    quotient = F.floor(scaled / bottom).cast("decimal(20,0)")
-    # Division of decimals rounds, so correct the quotient by at most one in either direction.
-    quotient = (
-        F.when(quotient * bottom > scaled, quotient - 1)
-        .when((quotient + 1) * bottom <= scaled, quotient + 1)
-        .otherwise(quotient)
-    )
-    rest = scaled - quotient * bottom
-    up = (rest * 2 > bottom) | ((rest * 2 == bottom) & (quotient % 2 == 1))
+    bottom = F.when(denominator != 0, denominator.cast("bigint"))
+    scaled = numerator.cast("bigint") * F.lit(SCALE)
+    quotient = F.call_function("div", scaled, bottom)
+    twice = (scaled % bottom) * 2
+    up = (twice > bottom) | ((twice == bottom) & (quotient % 2 == 1))
     rounded = quotient + F.when(up, 1).otherwise(0)
-    return (rounded / F.lit(SCALE)).cast("decimal(18,4)")
+    return (rounded.cast("decimal(18,0)") / F.lit(SCALE)).cast("decimal(18,4)")
