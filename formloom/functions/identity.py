@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from formloom.functions.text import strip
+
 # Namespace of the name-based identifiers issued by this package.
 NAMESPACE_HEX = "5f0c6a8e2d1b4c7e9a34b1d20c7e55aa"
 FACT_ID_SPACE = 2_000_000_000
@@ -67,7 +69,7 @@ def pseudonymize(
 
     The pads are columns so that each site can bring its own key through a key table.
     """
-    trimmed = F.regexp_replace(_col(identifier).cast("string"), r"(?U)^\s+|\s+$", "")
+    trimmed = strip(_col(identifier).cast("string"))
     message = F.concat(
         F.encode(_col(namespace), "UTF-8"), F.unhex(F.lit("00")), F.encode(trimmed, "UTF-8")
     )

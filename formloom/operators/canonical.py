@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from formloom.functions.answers import SCALAR, answer_state, coerce, condition_holds, text_scalar
 from formloom.functions.identity import deterministic_uuid
 from formloom.operators.ordering import block_ordinal, null_safe_join
+from formloom.session import broadcast_if_small
 
 EVIDENCE = (
     "struct<object_key:string,checksum_sha256:string,media_type:string,json_pointer:string,"
@@ -142,8 +143,10 @@ def answer_shape_errors(answers: DataFrame, items: DataFrame, form: list[str]) -
     Unknown path, value on a group, missing or forbidden group instance, repeated identity; the
     first of these that applies.
     """
-    known = items.select(*form, F.col("path").alias("item_path"), "data_type", "repeated_root")
-    joined = answers.join(known.withColumn("_known", F.lit(True)), [*form, "item_path"], "left")
+    known = items.select(
+        *form, F.col("path").alias("item_path"), "data_type", "repeated_root", F.lit(True).alias("_known")
+    )
+    joined = answers.join(broadcast_if_small(known), [*form, "item_path"], "left")
     key = [*RESPONSE_KEY, "item_path", "group_instance"]
     repeated = answers.groupBy(*key).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
     joined = null_safe_join(joined, repeated, key, "left")
@@ -169,21 +172,27 @@ def expected_keys(
     """Every (response, item, group instance) that must have an answer row.
 
     Items outside repeated groups are expected once per response, items of a repeated group once
-    per instance observed in the response, including the instances of their sibling items.
+    per instance observed in the response, including the instances of their sibling items. All
+    columns of ``responses`` are carried along.
     """
-    leaf = items.filter(F.col("data_type") != "group").withColumnRenamed("path", "item_path")
-    heads = responses.select(*RESPONSE_KEY, *form)
-    single = heads.join(leaf.filter("repeated_root IS NULL"), form).withColumn(
+    leaf = broadcast_if_small(
+        items.filter(F.col("data_type") != "group").withColumnRenamed("path", "item_path")
+    )
+    single = responses.join(leaf.filter("repeated_root IS NULL"), form).withColumn(
         "group_instance", F.lit(None).cast("string")
     )
-    roots = leaf.filter("repeated_root IS NOT NULL").select(*form, "item_path", "repeated_root")
+    roots = broadcast_if_small(
+        items.filter("repeated_root IS NOT NULL AND data_type <> 'group'").select(
+            *form, F.col("path").alias("item_path"), "repeated_root"
+        )
+    )
     instances = (
         answers.filter("group_instance IS NOT NULL")
         .join(roots, [*form, "item_path"])
-        .select(*RESPONSE_KEY, *form, "repeated_root", "group_instance")
+        .select(*RESPONSE_KEY, "repeated_root", "group_instance")
         .distinct()
     )
-    repeated = instances.join(leaf, [*form, "repeated_root"])
+    repeated = instances.join(responses, RESPONSE_KEY).join(leaf, [*form, "repeated_root"])
     return single.unionByName(repeated.select(*single.columns))
 
 
@@ -208,61 +217,60 @@ def _rename_unit(answers: DataFrame) -> DataFrame:
     return answers.withColumnRenamed("unit", "_answer_unit") if "unit" in answers.columns else answers
 
 
-def _look_up(wanted: DataFrame, answers: DataFrame) -> DataFrame:
-    """Adds ``actual``, the answer at ``source_path`` visible from the row's response and instance."""
-    first = (
-        answers.groupBy(*RESPONSE_KEY, "item_path", "group_instance")
-        .agg(F.min_by(F.struct("pos", "answer"), F.col("pos")).alias("own"))
-        .withColumnRenamed("item_path", "source_path")
-    )
-    outside = first.filter("group_instance IS NULL").drop("group_instance").withColumnRenamed("own", "outer")
-    looked = null_safe_join(wanted, first, [*RESPONSE_KEY, "source_path", "group_instance"], "left")
-    looked = looked.join(outside, [*RESPONSE_KEY, "source_path"], "left")
-    pick_own = F.col("outer").isNull() | (F.col("own.pos") <= F.col("outer.pos"))
-    actual = F.when(F.col("own").isNotNull() & pick_own, F.col("own.answer")).otherwise(
-        F.col("outer.answer")
+def answer_context(answers: DataFrame, sources: DataFrame, form: list[str]) -> DataFrame:
+    """Per response and group instance, a map from path to the first ``(pos, answer)`` given there.
+
+    Only the paths in ``sources`` (form columns and ``item_path``) are kept: those that conditions
+    name, a bounded number per form, so a map never grows with the data.
+    """
+    named = answers.join(broadcast_if_small(sources), [*form, "item_path"], "left_semi")
+    first = named.groupBy(*RESPONSE_KEY, "group_instance", "item_path").agg(
+        F.min_by(F.struct("pos", "answer"), F.col("pos")).alias("seen")
     )
-    return looked.withColumn("actual", actual).drop("own", "outer")
+    pairs = F.map_from_entries(F.collect_list(F.struct("item_path", "seen")))
+    return first.groupBy(*RESPONSE_KEY, "group_instance").agg(pairs.alias("own"))
 
 
-def visible_answers(rows: DataFrame, answers: DataFrame, paths: list[str]) -> DataFrame:
-    """Adds ``visible``, a map from each of ``paths`` to the answer seen from the row's instance.
+def with_context(rows: DataFrame, context: DataFrame) -> DataFrame:
+    """Adds ``own`` and ``outer``: the answers of the row's instance and those outside any group."""
+    outside = context.filter("group_instance IS NULL").drop("group_instance")
+    joined = null_safe_join(rows, context, [*RESPONSE_KEY, "group_instance"], "left")
+    return joined.join(outside.withColumnRenamed("own", "outer"), RESPONSE_KEY, "left")
 
-    The paths are the few a form's conditions name; ``rows`` must be unique per response and
-    instance.
-    """
-    wanted = rows.withColumn("source_path", F.explode(F.array(*[F.lit(p) for p in paths])))
-    seen = _look_up(wanted, answers)
-    pairs = F.map_from_entries(F.collect_list(F.struct("source_path", "actual")))
-    return seen.groupBy(*rows.columns).agg(pairs.alias("visible"))
+
+def visible(path: Column) -> Column:
+    """The answer at ``path`` seen from a row with context; the first in document order wins."""
+    own, outer = F.try_element_at("own", path), F.try_element_at("outer", path)
+    pick_own = own.isNotNull() & (outer.isNull() | (own["pos"] <= outer["pos"]))
+    return F.when(pick_own, own["answer"]).otherwise(outer["answer"])
+
+
+def condition_sources(items: DataFrame, form: list[str]) -> DataFrame:
+    """The paths that the conditions of each form name."""
+    named = items.select(*form, F.explode("conditions.source_item_path").alias("item_path"))
+    return named.distinct()
 
 
-def display_state(dense: DataFrame, answers: DataFrame, behavior: str = "all") -> DataFrame:
+def display_state(
+    dense: DataFrame, answers: DataFrame, items: DataFrame, form: list[str], behavior: str = "all"
+) -> DataFrame:
     """Adds ``enabled``: the item's display conditions hold for what is visible to it.
 
-    An item sees the answers of its own group instance and those outside any group; of several to
-    one path the first in document order counts. Only items with conditions take part in joins,
-    each against answers reduced to one per (response, path, instance), so nothing multiplies.
-    ``answers`` carries ``pos`` and the typed ``answer``.
+    An item sees the answers of its own group instance and those outside any group. Both are
+    looked up by response and instance, so the joins add no rows, and the conditions are folded in
+    place. ``answers`` carries ``pos`` and the typed ``answer``.
     """
     if behavior not in {"all", "any"}:
         raise ValueError(f"unsupported condition behavior {behavior}")
-    key = [*RESPONSE_KEY, "item_path", "group_instance"]
-    conditional = dense.filter(F.size("conditions") > 0)
-    wanted = conditional.select(*key, F.explode("conditions").alias("c")).select(
-        *key,
-        F.col("c.source_item_path").alias("source_path"),
-        F.col("c.operator").alias("operator"),
-        F.col("c.expected").alias("expected"),
-    )
-    looked = _look_up(wanted, answers)
-    held = looked.withColumn(
-        "holds", condition_holds(F.col("actual"), F.col("operator"), F.col("expected"))
+    context = answer_context(answers, condition_sources(items, form), form)
+    seen = with_context(dense, context)
+    fold = F.forall if behavior == "all" else F.exists
+    holds = fold(
+        "conditions",
+        lambda c: condition_holds(visible(c["source_item_path"]), c["operator"], c["expected"]),
     )
-    fold = F.bool_and if behavior == "all" else F.bool_or
-    verdict = held.groupBy(*key).agg(fold("holds").alias("enabled"))
-    joined = null_safe_join(dense, verdict, key, "left")
-    return joined.withColumn("enabled", F.coalesce("enabled", F.lit(True)))
+    enabled = F.when(F.size("conditions") > 0, holds).otherwise(F.lit(True))
+    return seen.withColumn("enabled", F.coalesce(enabled, F.lit(True))).drop("own", "outer")
 
 
 def display_conflicts(dense: DataFrame, declared: str = "declared_enabled") -> DataFrame:
@@ -296,12 +304,10 @@ def canonicalize_structured(
     ``answers``: key, form columns, ``item_path, group_instance, raw_type, raw_value, pos``.
     A value that does not fit its declared type becomes an INVALID row instead of an exception.
     """
-    kinds = items.select(*form, F.col("path").alias("item_path"), "data_type")
+    kinds = broadcast_if_small(items.select(*form, F.col("path").alias("item_path"), "data_type"))
     typed = type_answers(answers.join(kinds, [*form, "item_path"], "left")).drop("data_type")
     dense = densify(responses, typed, items, form)
-    shown = display_state(dense, typed)
-    heads = responses.drop(*form)
-    rows = shown.join(heads, RESPONSE_KEY)
+    rows = display_state(dense, typed, items, form, behavior)
     state = F.when(
         F.col("type_error").isNotNull() & F.col("enabled") & (F.col("lifecycle_status") == "SIGNED"),
         F.lit("INVALID"),

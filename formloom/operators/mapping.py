@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from formloom.functions.answers import SCALAR, condition_holds
 from formloom.functions.identity import canonical_json, multiset_digest, release_key
 from formloom.operators.standardize import convert_unit, normalized_source
+from formloom.session import broadcast_if_small, is_small
 
 ENTRY_SCHEMA = f"""
     release_id string, vocabulary_release_id string, mapping_id string,
@@ -23,13 +24,14 @@ SCOPE = ["item_path", "establishment_id", "source_fingerprint", "compatibility_f
 LEVELS = ("SITE_OVERRIDE", "SOURCE_FINGERPRINT", "COMPATIBILITY_FINGERPRINT")
 
 
-def _scope_table(entries: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    """One row per scope key: how many entries claim it, and the entry if it is the only one."""
-    body = F.struct(*[c for c in entries.columns if c not in SCOPE])
-    complete = entries.dropna(subset=keys)
-    return complete.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(f"_{tag}_n"), F.first(body).alias(f"_{tag}")
+def _scope_table(entries: DataFrame, keys: list[str], level: int) -> DataFrame:
+    """One row per scope key: the level, how many entries claim the key, and one of them."""
+    claim = F.struct(
+        F.lit(level).alias("level"),
+        F.count(F.lit(1)).alias("claims"),
+        F.min(F.struct("release_id", "mapping_id")).alias("entry"),
     )
+    return entries.dropna(subset=keys).groupBy(*keys).agg(claim.alias(f"_claim{level}"))
 
 
 def resolve(canonical: DataFrame, entries: DataFrame) -> DataFrame:
@@ -38,35 +40,39 @@ def resolve(canonical: DataFrame, entries: DataFrame) -> DataFrame:
     Priority: an entry of the answer's site (with its source fingerprint), then the source
     fingerprint, then the compatibility fingerprint, always on the same item path. Several entries
     at the best level are ambiguous, none at all is unknown. Entries are reduced to one row per
-    scope key, so the three equi-joins keep one row per answer; Spark broadcasts the entry side
-    when its size allows it and splits hot paths otherwise.
+    scope key, so the three equi-joins keep one row per answer; the entry side is broadcast where
+    its counted size allows it, otherwise Spark shuffles and splits hot paths.
     """
+    hint = F.broadcast if is_small(entries) else lambda df: df
     shared = entries.filter("establishment_id IS NULL")
-    sides = {
-        "site": (entries, ["item_path", "establishment_id", "source_fingerprint"]),
-        "source": (shared, ["item_path", "source_fingerprint"]),
-        "compat": (shared, ["item_path", "compatibility_fingerprint"]),
-    }
+    sides = [
+        (entries, ["item_path", "establishment_id", "source_fingerprint"]),
+        (shared, ["item_path", "source_fingerprint"]),
+        (shared, ["item_path", "compatibility_fingerprint"]),
+    ]
     out = canonical
-    for tag, (side, keys) in sides.items():
-        out = out.join(_scope_table(side, keys, tag), keys, "left")
-    tags = list(sides)
-    count = F.coalesce(*[F.col(f"_{tag}_n") for tag in tags])
-    entry = F.coalesce(*[F.col(f"_{tag}") for tag in tags])
-    level = F.coalesce(
-        *[F.when(F.col(f"_{tag}_n").isNotNull(), F.lit(i + 1)) for i, tag in enumerate(tags)]
-    )
+    for level, (side, keys) in enumerate(sides, start=1):
+        out = out.join(hint(_scope_table(side, keys, level)), keys, "left")
+    best = F.coalesce("_claim1", "_claim2", "_claim3")
+    chosen = F.when(best["claims"] == 1, best["entry"])
     resolution = (
-        F.when(count.isNull(), "UNKNOWN_MAPPING")
-        .when(count > 1, "AMBIGUOUS_MAPPING")
+        F.when(best.isNull(), "UNKNOWN_MAPPING")
+        .when(best["claims"] > 1, "AMBIGUOUS_MAPPING")
         .otherwise("RESOLVED")
     )
-    return out.select(
+    out = out.select(
         *canonical.columns,
-        F.when(count == 1, entry).alias("mapping"),
-        level.alias("resolution_level"),
+        best["level"].alias("resolution_level"),
         resolution.alias("resolution"),
+        chosen["release_id"].alias("_release_id"),
+        chosen["mapping_id"].alias("_mapping_id"),
+    )
+    body = entries.select(
+        F.col("release_id").alias("_release_id"),
+        F.col("mapping_id").alias("_mapping_id"),
+        F.struct(*[c for c in entries.columns if c not in SCOPE]).alias("mapping"),
     )
+    return out.join(hint(body), ["_release_id", "_mapping_id"], "left").drop("_release_id", "_mapping_id")
 
 
 def release_violations(releases: DataFrame, entries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def run_vectors(vectors: DataFrame, entries: DataFrame) -> DataFrame:
         "release_id", "mapping_id", "value_map", "state_map", "unit_source", "unit_target",
         "unit_multiplier", "unit_offset", "missing_codes", "negative_codes",
     )
-    joined = vectors.join(e, ["release_id", "mapping_id"])
+    joined = vectors.join(broadcast_if_small(e), ["release_id", "mapping_id"])
     state = F.coalesce(F.try_element_at("state_map", F.col("source_state")), F.col("source_state"))
     joined = joined.withColumn("_state", state).withColumn(
         "_code", F.when((F.col("_state") == "PRESENT"), normalized_source(F.col("source_value")))

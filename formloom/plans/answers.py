@@ -12,6 +12,7 @@ from formloom.operators import canonical, lifecycle, mapping, quality, standardi
 from formloom.operators.catalog import batch_summary
 from formloom.plans.registry import Source, query
 from formloom.plans.sqltext import sql_uuid
+from formloom.session import cut, local_table
 
 # --- E1, E6, E13, E12, E15, E16 ------------------------------------------------------------
 
@@ -311,7 +312,7 @@ def order_items(src: Source) -> DataFrame:
         ]),
         ("LINE/FLAG", "coding", "LINE", None, []),
     ]
-    return src.spark.createDataFrame([("order", "1", *row) for row in rows], ITEM_SCHEMA)
+    return local_table(src.spark, [("order", "1", *row) for row in rows], ITEM_SCHEMA)
 
 
 def order_responses(src: Source) -> DataFrame:
@@ -399,7 +400,7 @@ def order_shown(src: Source) -> DataFrame:
     kinds = order_items(src).select(*FORM, F.col("path").alias("item_path"), "data_type")
     typed = canonical.type_answers(order_answers(src).join(kinds, [*FORM, "item_path"], "left")).drop("data_type")
     dense = canonical.densify(order_responses(src), typed, order_items(src), FORM)
-    return canonical.display_state(dense, typed)
+    return canonical.display_state(dense, typed, order_items(src), FORM)
 
 
 @query(
@@ -425,15 +426,18 @@ def e2_display_conditions(src: Source) -> DataFrame:
     WHERE a.item_path = 'LINE/PRICE'""",
 )
 def e5_answer_context(src: Source) -> DataFrame:
-    answers = order_answers(src)
+    answers = order_answers(src).withColumn("answer", F.col("raw_value"))
     priced = answers.filter("item_path = 'LINE/PRICE'").select(*canonical.RESPONSE_KEY, "group_instance")
-    return canonical.visible_answers(
-        priced, answers.withColumn("answer", F.col("raw_value")), ["LINE/QTY", "PRIORITY"]
-    ).select(
+    sources = local_table(
+        src.spark, [("order", "1", "LINE/QTY"), ("order", "1", "PRIORITY")],
+        "form_id string, form_version string, item_path string",
+    )
+    seen = canonical.with_context(priced, canonical.answer_context(answers, sources, FORM))
+    return seen.select(
         "response_id",
         "group_instance",
-        F.col("visible")["LINE/QTY"].alias("own_quantity"),
-        F.col("visible")["PRIORITY"].alias("outer_priority"),
+        canonical.visible(F.lit("LINE/QTY")).alias("own_quantity"),
+        canonical.visible(F.lit("PRIORITY")).alias("outer_priority"),
     )
 
 
@@ -655,11 +659,8 @@ EVENT_ENTRIES = [
 
 def event_entries(src: Source, rows: list[dict] | None = None) -> DataFrame:
     """The mapping release used for the event answers."""
-    from pyspark.sql.types import StructType
-
-    schema = StructType.fromDDL(mapping.ENTRY_SCHEMA)
-    data = [tuple(row[f.name] for f in schema.fields) for row in (rows or EVENT_ENTRIES)]
-    return src.spark.createDataFrame(data, schema)
+    data = [tuple(row.values()) for row in rows or EVENT_ENTRIES]
+    return local_table(src.spark, data, mapping.ENTRY_SCHEMA)
 
 
 def _lit(value) -> str:
@@ -732,6 +733,11 @@ def event_decisions(src: Source, rows: list[dict] | None = None) -> DataFrame:
     return quality.judge(eav_canonical(src), event_entries(src, rows))
 
 
+def stored_decisions(src: Source) -> DataFrame:
+    """Decisions as the stage table that quarantine, facts and lineage are read from."""
+    return cut(event_decisions(src).drop("props", "raw_value"), "decisions")
+
+
 @query(
     "f1_resolve_mappings",
     "b_answers",
@@ -859,8 +865,8 @@ QUARANTINE_SQL = f"""records AS (SELECT {sql_uuid("quarantine", "event_id")} AS
     authored_at AS created_at FROM decided WHERE decision = 'QUARANTINE')"""
 
 
-def event_quarantine(src: Source, rows: list[dict] | None = None) -> DataFrame:
-    return quality.quarantine_records(event_decisions(src, rows), F.col("authored_at"))
+def event_quarantine(src: Source) -> DataFrame:
+    return quality.quarantine_records(stored_decisions(src), F.col("authored_at"))
 
 
 @query(
