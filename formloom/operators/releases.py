@@ -1 +1,128 @@
-""""""
+"""Immutable research releases."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from formloom.functions.identity import content_hash, release_key
+from formloom.operators.ordering import previous_row, running
+from formloom.session import cut
+
+MEMBER = ["omop_table", "omop_fact_id"]
+
+
+def roll_forward_membership(parent: DataFrame, facts: DataFrame, release_id: Column) -> DataFrame:
+    """Members of a child release: those of its parent and the new facts, each fact once."""
+    inherited = parent.select("clinical_event_id", *MEMBER)
+    added = facts.select("clinical_event_id", *MEMBER)
+    members = inherited.unionByName(added).groupBy(*MEMBER).agg(
+        F.min("clinical_event_id").alias("clinical_event_id")
+    )
+    return members.withColumn("release_id", release_id)
+
+
+def release_ledger(batches: DataFrame) -> DataFrame:
+    """Releases in publication order: content id, parent and cumulative counts.
+
+    ``batches``: ``batch_id, created_at, mapping_release_id, source_manifest_checksum,
+    output_checksum, published, quarantined``. The content id covers the batch, not the parent's
+    id, so ids need no chain of dependent hashes.
+    """
+    core = content_hash(
+        mapping_release_id="mapping_release_id",
+        source_manifest_checksum="source_manifest_checksum",
+        output_checksum="output_checksum",
+        batch_id="batch_id",
+    )
+    named = batches.withColumn("release_id", release_key("release", core))
+    totals = running(
+        named, ["created_at", "batch_id"],
+        sums={"published_count": "published", "quarantined_count": "quarantined"}, index="_position",
+    )
+    totals = cut(totals, "ledger")
+    parents = totals.select((F.col("_position") + 1).alias("_position"), F.col("release_id").alias("parent_release_id"))
+    return totals.join(parents, "_position", "left").drop("_position")
+
+
+def verify_releases(releases: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Stored against recomputed checksum of each release, with a reason where they differ."""
+    joined = releases.join(artifacts, "release_id", "left")
+    same = F.col("artifact_checksum") == F.col("checksum_sha256")
+    reason = F.when(F.col("artifact_checksum").isNull(), "Artifact unavailable").when(
+        ~same, "Artifact checksum mismatch"
+    )
+    return joined.select(
+        "release_id", F.coalesce(same, F.lit(False)).alias("verified"), reason.alias("reason"), "checksum_sha256"
+    )
+
+
+def compare_releases(releases: DataFrame, metrics: DataFrame, concept_key: str) -> DataFrame:
+    """Site counts of one concept per release, in release order: the nested report in long form."""
+    own = metrics.filter(F.col("concept_key") == concept_key)
+    return (
+        releases.join(own, F.col("release_id") == F.col("research_release_id"))
+        .select(
+            "release_id", "parent_release_id", "published_count", "quarantined_count", "created_at",
+            "establishment_id", "recorded_count", "usable_count", "positive_count",
+        )
+        .orderBy("created_at", "establishment_id")
+    )
+
+
+def finalize_check(expected: DataFrame, rows: DataFrame) -> DataFrame:
+    """Findings that forbid publication: (finding, partition_id, detail); empty when all is well.
+
+    ``expected``: ``partition_id, first_row, end_row`` (half open); ``rows``: ``partition_id,
+    event_id``. Partitions must be there, complete and contiguous, and event ids unique.
+    """
+    counts = rows.groupBy("partition_id").agg(F.count(F.lit(1)).alias("actual"))
+    size = F.col("end_row") - F.col("first_row")
+
+    def finding(df: DataFrame, name: str, detail: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("finding"), "partition_id", detail.cast("string").alias("detail"))
+
+    none = F.lit(None)
+    paired = expected.join(counts, "partition_id", "left")
+    missing = finding(paired.filter(F.col("actual").isNull() & (size > 0)), "MISSING_PARTITION", none)
+    short = finding(paired.filter(F.col("actual") != size), "COUNT_MISMATCH", F.col("actual"))
+    unexpected = finding(counts.join(expected, "partition_id", "left_anti"), "UNEXPECTED_PARTITION", F.col("actual"))
+    chained = previous_row(expected, [], ["first_row"], ["end_row"])
+    gap = finding(
+        chained.filter(F.col("prev_end_row") != F.col("first_row")), "NOT_CONTIGUOUS", F.col("prev_end_row")
+    )
+    repeated = rows.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("partition_id").alias("partition_id"))
+    duplicate = finding(repeated.filter("n > 1"), "DUPLICATE_EVENT_ID", F.col("event_id"))
+    return missing.unionByName(short).unionByName(unexpected).unionByName(gap).unionByName(duplicate)
+
+
+def latest_release(releases: DataFrame) -> DataFrame:
+    """The newest release; ties go to the greater id."""
+    return releases.orderBy(F.col("created_at").desc(), F.col("release_id").desc()).limit(1)
+
+
+def release_ancestry(releases: DataFrame, release_id: str, max_depth: int = 100) -> DataFrame:
+    """The release and its ancestors with their distance, nearest first."""
+    known = releases.select("release_id", "parent_release_id")
+    return known.sparkSession.sql(
+        f"""
+        WITH RECURSIVE up(release_id, parent_release_id, depth) MAX RECURSION LEVEL {int(max_depth)} AS (
+          SELECT release_id, parent_release_id, 0 FROM {{known}} WHERE release_id = :start
+          UNION ALL
+          SELECT k.release_id, k.parent_release_id, up.depth + 1
+          FROM up JOIN {{known}} k ON k.release_id = up.parent_release_id)
+        SELECT release_id, depth FROM up
+        """,
+        known=known,
+        args={"start": release_id},
+    )
+
+
+def release_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Members of two releases with ``change`` ADDED, REMOVED or KEPT."""
+    sides = old.select(*MEMBER, F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(
+        new.select(*MEMBER, F.lit(0).alias("o"), F.lit(1).alias("n"))
+    )
+    merged = sides.groupBy(*MEMBER).agg(F.max("o").alias("o"), F.max("n").alias("n"))
+    change = F.when(F.col("o") == 0, "ADDED").when(F.col("n") == 0, "REMOVED").otherwise("KEPT")
+    return merged.select(*MEMBER, change.alias("change"))
