@@ -47,6 +47,8 @@ def group_index(
     df: DataFrame, keys: list[str], *order: Column | str, name: str = "idx"
 ) -> DataFrame:
     """Adds the 0-based position inside each key group; ``keys`` and ``order`` form a total order."""
+    if not keys:
+        return global_index(df, *order, name=name)
     indexed = cut(global_index(df, *keys, *order, name="_global"), "indexed")
     starts = indexed.groupBy(*keys).agg(F.min("_global").alias("_first"))
     return null_safe_join(indexed, starts, keys, "inner").withColumn(

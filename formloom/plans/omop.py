@@ -1 +1,327 @@
-"""Queries."""
+"""OMOP projection and integrity on the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from formloom.operators import omop, vocabulary
+from formloom.plans.answers import decided_sql, stored_decisions
+from formloom.plans.registry import Source, query
+from formloom.plans.sqltext import sql_fact_id, sql_uuid
+
+FACTS_SQL = f"""{decided_sql()},
+    facts AS (SELECT *, {sql_uuid('omop-fact', 'omop_table', 'clinical_event_id', 'target_concept_id')} AS fact_id FROM (
+      SELECT *, CASE target_domain WHEN 'CONDITION' THEN 'condition_occurrence' WHEN 'MEASUREMENT' THEN 'measurement'
+          WHEN 'OBSERVATION' THEN 'observation' WHEN 'NOTE' THEN 'note' WHEN 'NOTE_NLP' THEN 'note_nlp' END AS omop_table,
+        CASE WHEN clinical_state = 'EXPLICITLY_ABSENT' THEN 'EXPLICITLY_ABSENT' ELSE text END AS value_as_string,
+        CAST(authored_at AS DATE) AS event_date
+      FROM decided WHERE decision = 'PUBLISH' AND clinical_event_id IS NOT NULL) x),
+    known AS (SELECT DISTINCT 'u' || user_id AS psv, user_id + 1 AS person_id FROM events WHERE user_id % 2 = 0),
+    fresh AS (SELECT psv, row_number() OVER (ORDER BY psv) + (SELECT max(person_id) FROM known) AS person_id FROM (
+      SELECT DISTINCT patient_id AS psv FROM facts WHERE patient_id NOT IN (SELECT psv FROM known)) y),
+    persons AS (SELECT * FROM known UNION ALL SELECT * FROM fresh),
+    idf AS (SELECT f.*, p.person_id, {sql_fact_id('fact_id')} AS omop_fact_id FROM facts f JOIN persons p ON p.psv = f.patient_id)"""
+
+
+def event_facts(src: Source) -> DataFrame:
+    return omop.project_facts(stored_decisions(src))
+
+
+def known_persons(src: Source) -> DataFrame:
+    """People stored by an earlier release: the even users."""
+    return src.table("events").filter("user_id % 2 = 0").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("person_source_value"),
+        (F.col("user_id") + 1).alias("person_id"),
+    ).distinct()
+
+
+def identified(src: Source) -> DataFrame:
+    facts = event_facts(src)
+    return omop.identify_facts(facts, omop.assign_person_ids(facts, known_persons(src)))
+
+
+@query(
+    "i1_project_facts",
+    "b_answers",
+    sql=f"""WITH {FACTS_SQL} SELECT fact_id, clinical_event_id, patient_id AS person_source_value, target_concept_id AS concept_id,
+      event_date, CAST(number AS DOUBLE) AS value_as_number, value_as_string, clinical_unit AS unit_source_value,
+      raw_value AS source_value FROM facts""",
+)
+def i1_project_facts(src: Source) -> DataFrame:
+    return event_facts(src).select(
+        "fact_id", "clinical_event_id", "person_source_value", "concept_id", "event_date",
+        F.col("value_as_number").cast("double").alias("value_as_number"), "value_as_string", "unit_source_value", "source_value",
+    )
+
+
+@query(
+    "i2_route_domain",
+    "b_answers",
+    sql=f"""WITH {FACTS_SQL} SELECT omop_table, count(*) AS facts, count(number) AS numbers, count(value_as_string) AS texts,
+      count(*) FILTER (number IS NOT NULL AND value_as_string IS NOT NULL) AS both_filled FROM facts GROUP BY 1""",
+)
+def i2_route_domain(src: Source) -> DataFrame:
+    both = F.col("value_as_number").isNotNull() & F.col("value_as_string").isNotNull()
+    return event_facts(src).groupBy("omop_table").agg(
+        F.count(F.lit(1)).alias("facts"),
+        F.count("value_as_number").alias("numbers"),
+        F.count("value_as_string").alias("texts"),
+        F.count_if(both).alias("both_filled"),
+    )
+
+
+@query(
+    "i3a_to_observation",
+    "b_answers",
+    sql=f"""WITH {FACTS_SQL} SELECT omop_fact_id AS observation_id, person_id, target_concept_id AS observation_concept_id, event_date AS observation_date,
+      substr(value_as_string, 1, 60) AS value_as_string, substr(raw_value, 1, 50) AS observation_source_value,
+      clinical_unit AS unit_source_value FROM idf WHERE omop_table = 'observation'""",
+)
+def i3a_to_observation(src: Source) -> DataFrame:
+    return omop.to_observation(identified(src)).select(
+        "observation_id", "person_id", "observation_concept_id", "observation_date", "value_as_string",
+        "observation_source_value", "unit_source_value",
+    )
+
+
+@query(
+    "i3b_to_measurement",
+    "b_answers",
+    sql=f"""WITH {FACTS_SQL} SELECT omop_fact_id AS measurement_id, person_id, target_concept_id AS measurement_concept_id, event_date AS measurement_date,
+      CAST(number AS DOUBLE) AS value_as_number, clinical_unit AS unit_source_value, value_as_string AS value_source_value
+      FROM idf WHERE omop_table = 'measurement'""",
+)
+def i3b_to_measurement(src: Source) -> DataFrame:
+    return omop.to_measurement(identified(src)).select(
+        "measurement_id", "person_id", "measurement_concept_id", "measurement_date",
+        F.col("value_as_number").cast("double").alias("value_as_number"), "unit_source_value", "value_source_value",
+    )
+
+
+@query(
+    "i3c_to_condition_occurrence",
+    "b_answers",
+    sql=f"""WITH {FACTS_SQL} SELECT omop_fact_id AS condition_occurrence_id, person_id, target_concept_id AS condition_concept_id,
+      event_date AS condition_start_date, raw_value AS condition_source_value FROM idf WHERE omop_table = 'condition_occurrence'""",
+)
+def i3c_to_condition_occurrence(src: Source) -> DataFrame:
+    return omop.to_condition_occurrence(identified(src)).select(
+        "condition_occurrence_id", "person_id", "condition_concept_id", "condition_start_date", "condition_source_value"
+    )
+
+
+@query(
+    "i3d_to_note",
+    "b_answers",
+    sql=f"""WITH {FACTS_SQL} SELECT omop_fact_id AS note_id, person_id, target_concept_id AS note_type_concept_id, event_date AS note_date,
+      'Standardized form narrative' AS note_title, coalesce(nullif(value_as_string, ''), nullif(raw_value, ''), 'No narrative text') AS note_text
+      FROM idf WHERE omop_table = 'note'""",
+)
+def i3d_to_note(src: Source) -> DataFrame:
+    return omop.to_note(identified(src)).select(
+        "note_id", "person_id", "note_type_concept_id", "note_date", "note_title", "note_text"
+    )
+
+
+@query(
+    "i3e_to_note_nlp",
+    "b_answers",
+    sql=f"""WITH {FACTS_SQL} SELECT omop_fact_id AS note_nlp_id, {sql_fact_id(sql_uuid('note-nlp-parent', 'fact_id'))} AS note_id, person_id,
+      coalesce(nullif(value_as_string, ''), nullif(raw_value, ''), 'abstained candidate') AS lexical_variant,
+      target_concept_id AS note_nlp_concept_id, event_date AS nlp_date, 'Evidence for note_nlp' AS note_title
+      FROM idf WHERE omop_table = 'note_nlp'""",
+)
+def i3e_to_note_nlp(src: Source) -> DataFrame:
+    nlp, parents = omop.to_note_nlp(identified(src))
+    return nlp.join(parents.select("note_id", "person_id", "note_title"), "note_id").select(
+        "note_nlp_id", "note_id", "person_id", "lexical_variant", "note_nlp_concept_id", "nlp_date", "note_title"
+    )
+
+
+@query(
+    "i4_assign_person_ids",
+    sql="""WITH known AS (SELECT DISTINCT 'u' || user_id AS psv, user_id + 1 AS person_id FROM events WHERE user_id % 2 = 0),
+    fresh AS (SELECT psv, row_number() OVER (ORDER BY psv) + (SELECT max(person_id) FROM known) AS person_id
+      FROM (SELECT DISTINCT 'u' || user_id AS psv FROM events WHERE user_id % 2 <> 0))
+    SELECT psv AS person_source_value, person_id FROM known UNION ALL SELECT * FROM fresh""",
+)
+def i4_assign_person_ids(src: Source) -> DataFrame:
+    everyone = src.table("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("person_source_value"))
+    return omop.assign_person_ids(everyone, known_persons(src))
+
+
+@query(
+    "i5_resolve_id_collisions",
+    sql="""WITH r AS (SELECT o_orderkey, o_custkey + 1 AS base, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS rn FROM orders)
+    SELECT o_orderkey, base, rn + max(base - rn) OVER (ORDER BY rn ROWS UNBOUNDED PRECEDING) AS resolved_id FROM r""",
+)
+def i5_resolve_id_collisions(src: Source) -> DataFrame:
+    rows = src.table("orders").select("o_orderkey", (F.col("o_custkey") + 1).alias("base"))
+    return omop.resolve_id_collisions(rows, "base", "o_orderkey")
+
+
+@query(
+    "i6_cdm_catalog",
+    "b_answers",
+    sql=f"""WITH {FACTS_SQL} SELECT omop_table AS "table", count(*) AS rows, 0 AS schema_findings FROM idf
+      WHERE omop_table IN ('observation', 'measurement', 'condition_occurrence') GROUP BY 1""",
+)
+def i6_cdm_catalog(src: Source) -> DataFrame:
+    facts = identified(src)
+    shaped = {
+        "observation": omop.to_observation(facts),
+        "measurement": omop.to_measurement(facts),
+        "condition_occurrence": omop.to_condition_occurrence(facts),
+    }
+    out = None
+    for name, df in shaped.items():
+        rows = omop.conform(df, name)
+        part = rows.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("table"), "rows", F.lit(len(omop.schema_findings(name, rows.schema))).alias("schema_findings")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "i7_check_primary_keys",
+    sql="""SELECT 'lines' AS "table", CAST(l_orderkey AS VARCHAR) AS key, count(*) AS rows FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1
+    UNION ALL SELECT 'customers', CAST(o_custkey AS VARCHAR), count(*) FROM orders GROUP BY o_custkey HAVING count(*) > 1
+    UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR), count(*) FROM orders GROUP BY o_orderkey HAVING count(*) > 1""",
+)
+def i7_check_primary_keys(src: Source) -> DataFrame:
+    orders = src.table("orders")
+    return omop.check_primary_keys(
+        {
+            "lines": (src.table("lineitem"), "l_orderkey"),
+            "customers": (orders, "o_custkey"),
+            "orders": (orders, "o_orderkey"),
+        }
+    )
+
+
+@query(
+    "i7_check_not_null",
+    sql="""SELECT 'person' AS "table", 'year_of_birth' AS "column", count(*) AS rows FROM customer WHERE c_acctbal < 0
+    UNION ALL SELECT 'person', 'race_concept_id', count(*) FROM customer WHERE c_mktsegment = 'BUILDING' HAVING count(*) > 0""",
+)
+def i7_check_not_null(src: Source) -> DataFrame:
+    people = src.table("customer").select(
+        F.col("c_custkey").alias("person_id"),
+        F.lit(0).alias("gender_concept_id"),
+        F.when(F.col("c_acctbal") >= 0, 1970).alias("year_of_birth"),
+        F.when(F.col("c_mktsegment") != "BUILDING", 0).alias("race_concept_id"),
+        F.lit(0).alias("ethnicity_concept_id"),
+    )
+    return omop.check_not_null({"person": omop.conform(people, "person")})
+
+
+@query(
+    "i8_check_foreign_keys",
+    sql="""SELECT 'orders' AS "table", 'o_custkey' AS "column", CAST(o_custkey AS VARCHAR) AS value, count(*) AS rows
+      FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey
+    UNION ALL SELECT 'lineitem', 'l_partkey', CAST(l_partkey AS VARCHAR), count(*) FROM lineitem
+      WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3) GROUP BY l_partkey
+    UNION ALL SELECT 'lineitem', 'l_orderkey', CAST(l_orderkey AS VARCHAR), count(*) FROM lineitem
+      WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey""",
+)
+def i8_check_foreign_keys(src: Source) -> DataFrame:
+    tables = {
+        "orders": src.table("orders"),
+        "lineitem": src.table("lineitem"),
+        "customer": src.table("customer").filter("c_acctbal > 0"),
+        "part": src.table("part").filter("p_size > 3"),
+    }
+    return omop.check_foreign_keys(
+        tables,
+        [
+            ("orders", "o_custkey", "customer", "c_custkey"),
+            ("lineitem", "l_partkey", "part", "p_partkey"),
+            ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+        ],
+    )
+
+
+@query(
+    "i9_omop_validate",
+    sql="""SELECT count(*) AS concept_count, count(*) FILTER (p_partkey <= 0) AS invalid_ids, 39 AS table_count,
+      count(*) FILTER (p_partkey <= 0) = 0 AS passed FROM part""",
+)
+def i9_omop_validate(src: Source) -> DataFrame:
+    return omop.omop_validate(src.table("part").select(F.col("p_partkey").alias("concept_id")), omop.CDM_TABLES)
+
+
+def part_concepts(src: Source) -> DataFrame:
+    """Parts as vocabulary concepts."""
+    return src.table("part").select(
+        F.col("p_partkey").alias("concept_id"),
+        F.col("p_name").alias("concept_name"),
+        F.when(F.col("p_size") % 5 == 0, "Measurement").otherwise("Observation").alias("domain_id"),
+        F.lit("LOCAL").alias("vocabulary_id"),
+        F.col("p_brand").alias("concept_class_id"),
+        F.when(F.col("p_size") > 10, "S").alias("standard_concept"),
+        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("concept_code"),
+        F.lit("1970-01-01").cast("date").alias("valid_start_date"),
+        F.lit("2099-12-31").cast("date").alias("valid_end_date"),
+        F.lit(None).cast("string").alias("invalid_reason"),
+    )
+
+
+@query(
+    "i10_vocabulary_snapshot",
+    sql="""WITH c AS (SELECT count(*) AS n, count(*) FILTER (p_size > 10) AS s FROM part)
+    SELECT 'r1' AS release_id, 'v1' AS vocabulary_version, n AS concept_count, s AS standard_concept_count, s > 0 AS accepted FROM c""",
+)
+def i10_vocabulary_snapshot(src: Source) -> DataFrame:
+    members = part_concepts(src).select(
+        F.concat(F.lit("CONCEPT-"), "concept_class_id").alias("name"), F.sha2("concept_class_id", 256).alias("digest")
+    ).distinct()
+    return vocabulary.snapshot(part_concepts(src), members, "r1", "v1").select(
+        "release_id", "vocabulary_version", "concept_count", "standard_concept_count", "accepted"
+    )
+
+
+@query(
+    "i11_load_vocabulary",
+    sql="""SELECT p_brand AS release_id, CASE WHEN count(*) % 3 = 0 THEN 'APPEND' WHEN count(*) % 3 = 1 THEN 'REPLAY' ELSE 'REBOUND' END AS action
+    FROM part GROUP BY p_brand""",
+)
+def i11_load_vocabulary(src: Source) -> DataFrame:
+    offered = src.table("part").groupBy(F.col("p_brand").alias("release_id")).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "source_checksum", F.sha2(F.col("n").cast("string"), 256)
+    )
+    ledger = offered.filter("n % 3 <> 0").select(
+        "release_id", F.when(F.col("n") % 3 == 1, F.col("source_checksum")).otherwise("other").alias("source_checksum")
+    )
+    return vocabulary.plan_load(offered, ledger).select("release_id", "action")
+
+
+@query(
+    "i12_validate_target_concepts",
+    sql="""WITH e AS (SELECT l_orderkey, l_linenumber, l_partkey * 2 AS c, CASE l_returnflag WHEN 'A' THEN 'MEASUREMENT' ELSE 'OBSERVATION' END AS d FROM lineitem)
+    SELECT c AS target_concept_id, d AS target_domain, p_partkey IS NOT NULL AS concept_exists, coalesce(p_size > 10, false) AS is_standard,
+      coalesce((p_size % 5 = 0) = (d = 'MEASUREMENT'), false) AS domain_matches, count(*) AS entries
+    FROM e LEFT JOIN part ON p_partkey = c GROUP BY ALL""",
+)
+def i12_validate_target_concepts(src: Source) -> DataFrame:
+    entries = src.table("lineitem").select(
+        (F.col("l_partkey") * 2).alias("target_concept_id"),
+        F.when(F.col("l_returnflag") == "A", "MEASUREMENT").otherwise("OBSERVATION").alias("target_domain"),
+    )
+    checked = omop.validate_target_concepts(entries, part_concepts(src))
+    return checked.groupBy("target_concept_id", "target_domain", "concept_exists", "is_standard", "domain_matches").agg(
+        F.count(F.lit(1)).alias("entries")
+    )
+
+
+@query(
+    "i13_list_facts",
+    "b_answers",
+    sql=f"""WITH {FACTS_SQL} SELECT omop_fact_id AS observation_id, person_id, target_concept_id AS observation_concept_id, event_date AS observation_date
+      FROM idf WHERE omop_table = 'observation' ORDER BY 1""",
+)
+def i13_list_facts(src: Source) -> DataFrame:
+    return omop.list_facts(omop.to_observation(identified(src))).select(
+        "observation_id", "person_id", "observation_concept_id", "observation_date"
+    )

@@ -1 +1,161 @@
-"""Queries."""
+"""Releases on the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from formloom.operators import releases
+from formloom.plans.registry import Source, query
+
+
+def line_facts(src: Source, flags: list[str]) -> DataFrame:
+    rows = src.table("lineitem").filter(F.col("l_returnflag").isin(flags))
+    return rows.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("clinical_event_id"),
+        F.when(F.col("l_linenumber") % 2 == 0, "observation").otherwise("measurement").alias("omop_table"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("omop_fact_id"),
+    )
+
+
+FACT_SQL = """(SELECT l_orderkey || '-' || l_linenumber AS clinical_event_id, CASE WHEN l_linenumber % 2 = 0 THEN 'observation' ELSE 'measurement' END AS omop_table,
+    l_orderkey * 10 + l_linenumber AS omop_fact_id FROM lineitem WHERE l_returnflag IN ({flags}))"""
+
+
+@query(
+    "j1_roll_forward_membership",
+    sql=f"""SELECT omop_table, omop_fact_id, min(clinical_event_id) AS clinical_event_id, 'release_2' AS release_id FROM
+      (SELECT * FROM {FACT_SQL.format(flags="'A','N'")} UNION ALL SELECT * FROM {FACT_SQL.format(flags="'N','R'")}) GROUP BY 1, 2""",
+)
+def j1_roll_forward_membership(src: Source) -> DataFrame:
+    return releases.roll_forward_membership(
+        line_facts(src, ["A", "N"]), line_facts(src, ["N", "R"]), F.lit("release_2")
+    )
+
+
+BATCH_SQL = """b AS (SELECT CAST(o_orderdate AS DATE) AS created_at, 'batch-' || o_orderpriority AS batch_id, 'mapping_r' || (count(*) % 2) AS mapping_release_id,
+    sha256(CAST(sum(o_orderkey) AS BIGINT)::VARCHAR) AS source_manifest_checksum, sha256(CAST(sum(o_custkey) AS BIGINT)::VARCHAR) AS output_checksum,
+    count(*) FILTER (o_orderstatus <> 'P') AS published, count(*) FILTER (o_orderstatus = 'P') AS quarantined FROM orders GROUP BY o_orderdate, o_orderpriority)"""
+LEDGER_SQL = BATCH_SQL + """, n AS (SELECT *, 'release_' || substr(sha256('{"batch_id":"' || batch_id || '","mapping_release_id":"' || mapping_release_id ||
+    '","output_checksum":"' || output_checksum || '","source_manifest_checksum":"' || source_manifest_checksum || '"}'), 1, 16) AS release_id FROM b),
+    ledger AS (SELECT release_id, created_at, batch_id, CAST(sum(published) OVER w AS BIGINT) AS published_count, CAST(sum(quarantined) OVER w AS BIGINT) AS quarantined_count,
+      lag(release_id) OVER (ORDER BY created_at, batch_id) AS parent_release_id FROM n WINDOW w AS (ORDER BY created_at, batch_id ROWS UNBOUNDED PRECEDING))"""
+
+
+def ledger(src: Source) -> DataFrame:
+    """One batch per order day and priority."""
+    batches = src.table("orders").groupBy(F.col("o_orderdate").cast("date").alias("created_at"), "o_orderpriority").agg(
+        F.concat(F.lit("mapping_r"), (F.count(F.lit(1)) % 2).cast("string")).alias("mapping_release_id"),
+        F.sha2(F.sum("o_orderkey").cast("string"), 256).alias("source_manifest_checksum"),
+        F.sha2(F.sum("o_custkey").cast("string"), 256).alias("output_checksum"),
+        F.count_if(F.col("o_orderstatus") != "P").alias("published"),
+        F.count_if(F.col("o_orderstatus") == "P").alias("quarantined"),
+    ).withColumn("batch_id", F.concat(F.lit("batch-"), "o_orderpriority"))
+    return releases.release_ledger(batches)
+
+
+@query(
+    "j2_release_ledger",
+    sql=f"WITH {LEDGER_SQL} SELECT release_id, parent_release_id, published_count, quarantined_count, created_at FROM ledger",
+)
+def j2_release_ledger(src: Source) -> DataFrame:
+    return ledger(src).select("release_id", "parent_release_id", "published_count", "quarantined_count", "created_at")
+
+
+@query(
+    "j3_verify_release",
+    sql="""SELECT o_orderkey AS release_id, o_orderstatus = 'F' AS verified, CASE o_orderstatus WHEN 'O' THEN 'Artifact unavailable'
+      WHEN 'P' THEN 'Artifact checksum mismatch' END AS reason, sha256(o_orderpriority) AS checksum_sha256 FROM orders""",
+)
+def j3_verify_release(src: Source) -> DataFrame:
+    orders = src.table("orders")
+    stored = orders.select(F.col("o_orderkey").alias("release_id"), F.sha2("o_orderpriority", 256).alias("checksum_sha256"))
+    body = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).otherwise("changed")
+    artifacts = orders.filter("o_orderstatus <> 'O'").select(
+        F.col("o_orderkey").alias("release_id"), F.sha2(body, 256).alias("artifact_checksum")
+    )
+    return releases.verify_releases(stored, artifacts)
+
+
+@query(
+    "j4_compare_releases",
+    "b_coverage",
+    sql="""WITH m AS (SELECT *, 'release_' || extract(year FROM period_start) AS rid FROM b_coverage),
+    r AS (SELECT rid AS release_id, min(period_start) AS created_at, CAST(sum(usable_count) AS BIGINT) AS published_count FROM m GROUP BY rid)
+    SELECT release_id, created_at, published_count, establishment_id, recorded_count, usable_count, positive_count
+    FROM r JOIN m ON m.rid = r.release_id WHERE concept_key = '5-LOW'""",
+)
+def j4_compare_releases(src: Source) -> DataFrame:
+    release = F.concat(F.lit("release_"), F.year("period_start").cast("string"))
+    metrics = src.view("b_coverage").withColumn("research_release_id", release)
+    known = metrics.groupBy(F.col("research_release_id").alias("release_id")).agg(
+        F.min("period_start").alias("created_at"),
+        F.sum("usable_count").alias("published_count"),
+        F.lit(0).alias("quarantined_count"),
+        F.lit(None).cast("string").alias("parent_release_id"),
+    )
+    return releases.compare_releases(known, metrics, "5-LOW").select(
+        "release_id", "created_at", "published_count", "establishment_id", "recorded_count", "usable_count", "positive_count"
+    )
+
+
+@query(
+    "j5_finalize_check",
+    sql="""WITH rows AS (SELECT l_orderkey // 100 AS partition_id, l_orderkey * 10 + l_linenumber AS event_id FROM lineitem WHERE NOT (l_orderkey BETWEEN 300 AND 399)),
+    e AS (SELECT o_orderkey // 100 AS partition_id, min(o_orderkey) * 4 AS first_row, max(o_orderkey) * 4 + 4 - CASE WHEN (o_orderkey // 100) % 7 = 0 THEN 1 ELSE 0 END AS end_row
+          FROM orders WHERE NOT (o_orderkey BETWEEN 500 AND 599) GROUP BY 1),
+    c AS (SELECT partition_id, count(*) AS n FROM rows GROUP BY 1),
+    w AS (SELECT *, lag(end_row) OVER (ORDER BY first_row) AS pe FROM e)
+    SELECT 'MISSING_PARTITION' AS finding, e.partition_id, NULL AS detail FROM e LEFT JOIN c USING (partition_id) WHERE n IS NULL
+    UNION ALL SELECT 'COUNT_MISMATCH', e.partition_id, n::VARCHAR FROM e JOIN c USING (partition_id) WHERE n <> end_row - first_row
+    UNION ALL SELECT 'UNEXPECTED_PARTITION', c.partition_id, n::VARCHAR FROM c WHERE partition_id NOT IN (SELECT partition_id FROM e)
+    UNION ALL SELECT 'NOT_CONTIGUOUS', partition_id, pe::VARCHAR FROM w WHERE pe <> first_row
+    UNION ALL SELECT 'DUPLICATE_EVENT_ID', min(partition_id), event_id::VARCHAR FROM rows GROUP BY event_id HAVING count(*) > 1""",
+)
+def j5_finalize_check(src: Source) -> DataFrame:
+    part = F.floor(F.col("l_orderkey") / 100).cast("bigint")
+    rows = src.table("lineitem").filter("NOT (l_orderkey BETWEEN 300 AND 399)").select(
+        part.alias("partition_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event_id")
+    )
+    key = F.floor(F.col("o_orderkey") / 100).cast("bigint")
+    expected = src.table("orders").filter("NOT (o_orderkey BETWEEN 500 AND 599)").groupBy(key.alias("partition_id")).agg(
+        (F.min("o_orderkey") * 4).alias("first_row"), (F.max("o_orderkey") * 4 + 4).alias("end_row")
+    )
+    short = F.when(F.col("partition_id") % 7 == 0, 1).otherwise(0)
+    return releases.finalize_check(expected.withColumn("end_row", F.col("end_row") - short), rows)
+
+
+@query(
+    "j7_latest_release",
+    sql=f"WITH {LEDGER_SQL} SELECT release_id, created_at, published_count FROM ledger ORDER BY created_at DESC, release_id DESC LIMIT 1",
+)
+def j7_latest_release(src: Source) -> DataFrame:
+    return releases.latest_release(ledger(src)).select("release_id", "created_at", "published_count")
+
+
+@query(
+    "j8_release_ancestry",
+    sql="""WITH RECURSIVE r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey > 0 THEN o_orderkey // 2 END AS parent FROM orders),
+    up(id, parent, depth) AS (SELECT id, parent, 0 FROM r WHERE id = (SELECT max(o_orderkey) FROM orders)
+      UNION ALL SELECT r.id, r.parent, up.depth + 1 FROM up JOIN r ON r.id = up.parent)
+    SELECT 'r' || id AS release_id, depth FROM up""",
+)
+def j8_release_ancestry(src: Source) -> DataFrame:
+    orders = src.table("orders")
+    named = orders.select(
+        F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("release_id"),
+        F.when(F.col("o_orderkey") > 0, F.concat(F.lit("r"), F.floor(F.col("o_orderkey") / 2).cast("string"))).alias("parent_release_id"),
+    )
+    newest = orders.agg(F.max("o_orderkey")).first()[0]
+    return releases.release_ancestry(named, f"r{newest}")
+
+
+@query(
+    "j9_release_diff",
+    sql=f"""WITH o AS (SELECT DISTINCT omop_table, omop_fact_id FROM {FACT_SQL.format(flags="'A','N'")}),
+    n AS (SELECT DISTINCT omop_table, omop_fact_id FROM {FACT_SQL.format(flags="'N','R'")})
+    SELECT omop_table, omop_fact_id, CASE WHEN o.omop_fact_id IS NULL THEN 'ADDED' WHEN n.omop_fact_id IS NULL THEN 'REMOVED' ELSE 'KEPT' END AS change
+    FROM (SELECT * FROM o UNION SELECT * FROM n) k LEFT JOIN o USING (omop_table, omop_fact_id) LEFT JOIN n USING (omop_table, omop_fact_id)""",
+)
+def j9_release_diff(src: Source) -> DataFrame:
+    return releases.release_diff(line_facts(src, ["A", "N"]), line_facts(src, ["N", "R"]))
