@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formloom.session import cut
+
 # Accepted media types, signatures and archive limits.
 ALLOWED_MEDIA_TYPES = (
     "application/fhir+json",
@@ -157,6 +159,7 @@ def inspect_archives(
     Archives with too many files are refused as a whole, before their members are looked at in
     order, so the running total only ever sees archives of at most ``maximum_entries`` files.
     """
+    members = cut(members, "members")
     sizes = members.groupBy("archive_id").agg(F.count(F.lit(1)).alias("_files"))
     rows = members.join(sizes, "archive_id")
     crowded = F.col("_files") > maximum_entries
