@@ -116,9 +116,13 @@ EVENT_ID_SQL = sql_uuid("canonical-answer", "establishment_id", "response_id", "
 
 
 def eav_canonical(src: Source) -> DataFrame:
-    """Canonical rows of the event answers, with form, evidence and lifecycle columns."""
-    answers = canonical.read_eav(src.view("b_answers")).withColumnsRenamed({"patient_id": "patient_pseudonym"})
-    rows = canonical.canonicalize_eav(answers)
+    """Canonical rows of the event answers, with form and evidence columns."""
+    return event_canonical(src.view("b_answers"))
+
+
+def event_canonical(answers: DataFrame) -> DataFrame:
+    contract = canonical.read_eav(answers).withColumnsRenamed({"patient_id": "patient_pseudonym"})
+    rows = canonical.canonicalize_eav(contract)
     rows = canonical.attach_evidence(
         rows,
         object_key=F.concat(F.lit("raw/events/"), F.col("response_id")),

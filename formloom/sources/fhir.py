@@ -297,6 +297,8 @@ def read_responses(
         .when(answered & answer.isNull(), "UNSUPPORTED_FHIR_ANSWER")
         .alias("error"),
     )
+    # Written once: answers are read as rows, as context and to find what is missing.
+    rows = cut(rows, "fhir-answers")
     problems = parsed.filter(~good).select(
         "establishment_id",
         "response_id",
