@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formloom.functions.text import collapse_whitespace
+from formloom.functions.text import WHITE_SPACE
 
 # Media types that may be read, and the least native text that counts.
 DOCUMENT_MEDIA_TYPES = ("image/png", "image/jpeg", "image/tiff", "application/pdf")
@@ -19,6 +19,7 @@ CONFIDENCE_BUCKETS = (0.5, 0.7, 0.8, 0.85, 0.9, 0.95, 0.98, 0.99, 1.0)
 
 # Not preceded, or not followed, by a letter, digit or underscore of any script.
 _START, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+_GAP = f"[{WHITE_SPACE}]+"
 
 
 @dataclass(frozen=True)
@@ -28,12 +29,17 @@ class AssertionRules:
     concept: str = "allergy history"
     trigger: str = rf"(?iu){_START}(?:allerg(?:ie|ies|ique)|hypersensibilit[ée]){_END}"
     uncertainty: str = (
-        rf"(?iu){_START}(?:possible|suspect(?:e|ée)?|à\s+confirmer|incertain(?:e)?){_END}"
+        rf"(?iu){_START}(?:possible|suspect(?:e|ée)?|à{_GAP}confirmer|incertain(?:e)?){_END}"
     )
     negation: str = (
-        rf"(?iu){_START}(?:aucune?|sans|absence\s+d['’]?|pas\s+d['’]?)\s+"
+        rf"(?iu){_START}(?:aucune?|sans|absence{_GAP}d['’]?|pas{_GAP}d['’]?){_GAP}"
         rf"(?:allergie|allergies){_END}"
     )
+    # Words one of which every match of the pattern contains: a plain search for them spares most
+    # texts the pattern. Without hints the pattern is always tried.
+    trigger_hints: tuple[str, ...] = ("allerg", "hypersensibilit")
+    uncertainty_hints: tuple[str, ...] = ("possible", "suspect", "confirmer", "incertain")
+    negation_hints: tuple[str, ...] = ("aucun", "sans", "absence", "pas")
     # First entry contained in the text wins, in this order.
     substances: tuple[tuple[str, str], ...] = (
         ("penicilline", "Penicillin"),
@@ -49,8 +55,16 @@ class AssertionRules:
     )
 
 
-def _first_entry(text: Column, lexicon: tuple[tuple[str, str], ...]) -> Column:
-    folded = F.lower(text)
+def _matches(text: Column, folded: Column, pattern: str, hints: tuple[str, ...]) -> Column:
+    if not hints:
+        return text.rlike(pattern)
+    hinted = F.lit(False)
+    for hint in hints:
+        hinted = hinted | folded.contains(hint)
+    return F.when(hinted, text.rlike(pattern)).otherwise(F.lit(False))
+
+
+def _first_entry(folded: Column, lexicon: tuple[tuple[str, str], ...]) -> Column:
     return F.coalesce(*[F.when(folded.contains(word), F.lit(target)) for word, target in lexicon])
 
 
@@ -66,12 +80,13 @@ def extract_assertions(
     ``documents``: ``text, method, confidence``.
     """
     rules = rules or AssertionRules()
-    rows = documents.withColumn("_text", collapse_whitespace(F.col("text")))
-    text = F.col("_text")
+    # The long s folds to s in the patterns but not in lower().
+    rows = documents.withColumn("_folded", F.translate(F.lower("text"), "ſ", "s"))
+    text, folded = F.col("text"), F.col("_folded")
     kind = (
-        F.when(~text.rlike(rules.trigger), "NONE")
-        .when(text.rlike(rules.uncertainty), "UNCERTAIN")
-        .when(text.rlike(rules.negation), "NEGATED")
+        F.when(~_matches(text, folded, rules.trigger, rules.trigger_hints), "NONE")
+        .when(_matches(text, folded, rules.uncertainty, rules.uncertainty_hints), "UNCERTAIN")
+        .when(_matches(text, folded, rules.negation, rules.negation_hints), "NEGATED")
         .otherwise("ASSERTED")
     )
     rows = rows.withColumn("_kind", kind)
@@ -91,13 +106,13 @@ def extract_assertions(
     return rows.withColumns(
         {
             "concept": F.lit(rules.concept),
-            "substance": F.when(k != "NONE", _first_entry(text, rules.substances)),
-            "reaction": F.when(k != "NONE", _first_entry(text, rules.reactions)),
+            "substance": F.when(k != "NONE", _first_entry(folded, rules.substances)),
+            "reaction": F.when(k != "NONE", _first_entry(folded, rules.reactions)),
             "assertion": assertion,
             "candidate_confidence": confidence,
             "failure": failure,
         }
-    ).drop("_text", "_kind")
+    ).drop("_folded", "_kind")
 
 
 def route_documents(documents: DataFrame, pages: DataFrame, minimum: int = NATIVE_TEXT_MINIMUM) -> DataFrame:
