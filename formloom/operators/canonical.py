@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from formloom.functions.answers import SCALAR, answer_state, coerce, condition_holds, text_scalar
 from formloom.functions.identity import deterministic_uuid
 from formloom.operators.ordering import block_ordinal, null_safe_join
-from formloom.session import broadcast_if_small
+from formloom.session import broadcast_if_small, cut
 
 EVIDENCE = (
     "struct<object_key:string,checksum_sha256:string,media_type:string,json_pointer:string,"
@@ -306,6 +306,8 @@ def canonicalize_structured(
     """
     kinds = broadcast_if_small(items.select(*form, F.col("path").alias("item_path"), "data_type"))
     typed = type_answers(answers.join(kinds, [*form, "item_path"], "left")).drop("data_type")
+    # Written once: read for the instances, for the answers themselves and for the context.
+    typed = cut(typed, "typed-answers")
     dense = densify(responses, typed, items, form)
     rows = display_state(dense, typed, items, form, behavior)
     state = F.when(

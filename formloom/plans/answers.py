@@ -403,6 +403,7 @@ def e3_densify_answers(src: Source) -> DataFrame:
 def order_shown(src: Source) -> DataFrame:
     kinds = order_items(src).select(*FORM, F.col("path").alias("item_path"), "data_type")
     typed = canonical.type_answers(order_answers(src).join(kinds, [*FORM, "item_path"], "left")).drop("data_type")
+    typed = cut(typed, "typed-answers")
     dense = canonical.densify(order_responses(src), typed, order_items(src), FORM)
     return canonical.display_state(dense, typed, order_items(src), FORM)
 

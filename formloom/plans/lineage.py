@@ -51,7 +51,7 @@ def m2_lineage_nodes(src: Source) -> DataFrame:
 @query(
     "m3_validate_graph",
     "b_edges",
-    sql="""WITH nodes AS (SELECT DISTINCT source AS node_id FROM b_edges UNION ALL SELECT 'mapping:' || c_custkey FROM customer WHERE c_nationkey = 3)
+    sql="""WITH nodes AS (SELECT DISTINCT source AS node_id FROM b_edges UNION ALL SELECT 'mapping:' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
     SELECT 'DUPLICATE_NODE' AS finding, node_id FROM nodes GROUP BY node_id HAVING count(*) > 1
     UNION ALL SELECT DISTINCT 'DANGLING_EDGE', n FROM (SELECT source AS n FROM b_edges UNION SELECT target FROM b_edges) WHERE n NOT IN (SELECT node_id FROM nodes)
     UNION ALL SELECT 'CYCLE', n FROM (VALUES ('catalog:0'), ('omop:0')) t(n)
@@ -60,10 +60,10 @@ def m2_lineage_nodes(src: Source) -> DataFrame:
 def m3_validate_graph(src: Source) -> DataFrame:
     edges = src.view("b_edges")
     nodes = edges.select(F.col("source").alias("node_id")).distinct().unionByName(
-        src.table("customer").filter("c_nationkey = 3").select(F.concat(F.lit("mapping:"), F.col("c_custkey").cast("string")).alias("node_id"))
+        src.table("customer").filter("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("mapping:"), F.col("c_custkey").cast("string")).alias("node_id"))
     )
     # One edge back from the first region to its first nation closes a cycle.
-    back = src.table("nation").filter("n_nationkey = 0").select(
+    back = src.table("nation").filter("n_name = 'NATION_0'").select(
         F.concat(F.lit("catalog:"), F.col("n_regionkey").cast("string")).alias("source"),
         F.concat(F.lit("omop:"), F.col("n_nationkey").cast("string")).alias("target"),
     )

@@ -17,7 +17,7 @@ FACTS_SQL = f"""{decided_sql()},
         CASE WHEN clinical_state = 'EXPLICITLY_ABSENT' THEN 'EXPLICITLY_ABSENT' ELSE text END AS value_as_string,
         CAST(authored_at AS DATE) AS event_date
       FROM decided WHERE decision = 'PUBLISH' AND clinical_event_id IS NOT NULL) x),
-    known AS (SELECT DISTINCT 'u' || user_id AS psv, user_id + 1 AS person_id FROM events WHERE user_id % 2 = 0),
+    known AS (SELECT DISTINCT 'u' || user_id AS psv, user_id + 1 AS person_id FROM events WHERE event_type = 'purchase' AND value > 200),
     fresh AS (SELECT psv, row_number() OVER (ORDER BY psv) + (SELECT max(person_id) FROM known) AS person_id FROM (
       SELECT DISTINCT patient_id AS psv FROM facts WHERE patient_id NOT IN (SELECT psv FROM known)) y),
     persons AS (SELECT * FROM known UNION ALL SELECT * FROM fresh),
@@ -29,8 +29,8 @@ def event_facts(src: Source) -> DataFrame:
 
 
 def known_persons(src: Source) -> DataFrame:
-    """People stored by an earlier release: the even users."""
-    return src.table("events").filter("user_id % 2 = 0").select(
+    """People stored by an earlier release: those with a large purchase."""
+    return src.table("events").filter("event_type = 'purchase' AND value > 200").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("person_source_value"),
         (F.col("user_id") + 1).alias("person_id"),
     ).distinct()
@@ -141,9 +141,9 @@ def i3e_to_note_nlp(src: Source) -> DataFrame:
 
 @query(
     "i4_assign_person_ids",
-    sql="""WITH known AS (SELECT DISTINCT 'u' || user_id AS psv, user_id + 1 AS person_id FROM events WHERE user_id % 2 = 0),
+    sql="""WITH known AS (SELECT DISTINCT 'u' || user_id AS psv, user_id + 1 AS person_id FROM events WHERE event_type = 'purchase' AND value > 200),
     fresh AS (SELECT psv, row_number() OVER (ORDER BY psv) + (SELECT max(person_id) FROM known) AS person_id
-      FROM (SELECT DISTINCT 'u' || user_id AS psv FROM events WHERE user_id % 2 <> 0))
+      FROM (SELECT DISTINCT 'u' || user_id AS psv FROM events WHERE 'u' || user_id NOT IN (SELECT psv FROM known)))
     SELECT psv AS person_source_value, person_id FROM known UNION ALL SELECT * FROM fresh""",
 )
 def i4_assign_person_ids(src: Source) -> DataFrame:
@@ -284,15 +284,15 @@ def i10_vocabulary_snapshot(src: Source) -> DataFrame:
 
 @query(
     "i11_load_vocabulary",
-    sql="""SELECT p_brand AS release_id, CASE WHEN count(*) % 3 = 0 THEN 'APPEND' WHEN count(*) % 3 = 1 THEN 'REPLAY' ELSE 'REBOUND' END AS action
+    sql="""SELECT p_brand AS release_id, CASE WHEN count(*) < 75 THEN 'APPEND' WHEN count(*) < 85 THEN 'REPLAY' ELSE 'REBOUND' END AS action
     FROM part GROUP BY p_brand""",
 )
 def i11_load_vocabulary(src: Source) -> DataFrame:
     offered = src.table("part").groupBy(F.col("p_brand").alias("release_id")).agg(F.count(F.lit(1)).alias("n")).withColumn(
         "source_checksum", F.sha2(F.col("n").cast("string"), 256)
     )
-    ledger = offered.filter("n % 3 <> 0").select(
-        "release_id", F.when(F.col("n") % 3 == 1, F.col("source_checksum")).otherwise("other").alias("source_checksum")
+    ledger = offered.filter("n >= 75").select(
+        "release_id", F.when(F.col("n") < 85, F.col("source_checksum")).otherwise("other").alias("source_checksum")
     )
     return vocabulary.plan_load(offered, ledger).select("release_id", "action")
 
