@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from formloom.functions.answers import SCALAR, answer_state, scalar
 from formloom.operators import canonical
-from formloom.operators.ordering import block_ordinal
 from formloom.session import broadcast_if_small, cut
 
 MAX_DEPTH = 6
