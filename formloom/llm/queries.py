@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm import chat_format, exact_dedup, sharding, url_reputation
+from formloom.llm import bpe, chat_format, exact_dedup, language_id, packing, sharding, token_counts, url_reputation
 from formloom.session import local_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,55 @@ def op10_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     outcomes = url_reputation.page_outcomes(table(spark, folder, "labels"))
     judged = url_reputation.judge_urls(table(spark, folder, "pages"), outcomes)
     return judged.drop("bad_rate", "lower_bound")
+
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = WORD_BPE) -> str:
+    """Place of a public tokenizer file on the machine that runs the task."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op1_forced_boundary_bpe")
+def op1_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer_path()
+    encoded = bpe.encode(table(spark, folder, "documents"), path, keep=["doc_id"])
+    decoded = bpe.decode(encoded, path)
+    return decoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@register("op3_sum_of_squares_packing")
+def op3_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, folder, "documents"), tokenizer_path(), keep=["doc_id"])
+    pieces = packing.pack(encoded)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("piece_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+MAX_TOKENS = 2048
+
+
+@register("op6_token_counts")
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts.count_tokens(table(spark, folder, "documents"), tokenizer_path())
+    return counts.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
+
+
+@register("op7_language_id")
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    learned = language_id.fit(docs.filter(~language_id.held_out(F.col("doc_id"))))
+    # Only the text goes into a prediction.
+    predicted = language_id.predict(docs.select("doc_id", "text"), learned, keep=["doc_id"])
+    return predicted.select(
+        F.col("row.doc_id").alias("doc_id"), language_id.held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score"
+    )
