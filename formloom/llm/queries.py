@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm import bpe, chat_format, exact_dedup, language_id, ngram_join, packing, sharding, token_counts, url_reputation
+from formloom.llm import bpe, chat_format, embedding_dedup, exact_dedup, language_id, ngram_join, packing, sharding, token_counts, url_reputation
 from formloom.session import local_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,3 +178,8 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @register("op5_ngram_jaccard_join")
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similarity_classes(table(spark, folder, "documents")).drop("class_id")
+
+
+@register("op2_nn_descent_dedup")
+def op2_nn_descent_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
