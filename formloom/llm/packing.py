@@ -3,10 +3,9 @@
 A level array counts the partially filled windows of each fill level. A document (or what remains of
 it after whole windows are cut off) goes where the sum of the squared counts grows least: into a window
 of some level, or into a new one. That keeps many different levels open, so most windows fill exactly.
-Each partition packs what it reads, holding only the level array and its open windows, whose number
-does not grow with the partition as a level is never let grow. At its end the emptiest open windows are
-cut up to fill the fullest, and the last one is cut into sequences whose lengths are powers of two, as
-those need no padding. Nothing is shuffled, so no group of documents can be hot.
+Each partition packs what it reads, holding only the level array and its open windows. When ``MOST_OPEN``
+windows are open, and at its end, the emptiest are cut up to fill the fullest, which bounds memory; the
+last one is cut into sequences whose lengths are powers of two, as those need no padding. Nothing is shuffled, so no group of documents can be hot.
 
 Defined results: every document has at least its end token. A null text counts as empty. Rows that
 repeat an id are packed each for itself. An empty table gives no pieces. Sequence ids are unique but
@@ -27,6 +26,7 @@ from pyspark.sql import types as T
 WINDOW = 4096
 END_ID = 2
 BATCH_BYTES = 8_000_000
+MOST_OPEN = 4096
 
 Piece = tuple  # (row number, start, packed ids, tokens of the document)
 
@@ -71,25 +71,30 @@ class Packer:
             self.open.setdefault(level + size, []).append(window)
             self.counts[level + size] += 1
 
-    def close(self) -> Iterator[list[Piece]]:
-        """The open windows, cut freely: full ones, then sequences of power-of-two lengths."""
+    def merge(self) -> Iterator[list[Piece]]:
+        """Fill the fullest open windows from the emptiest, cut freely; at most one stays open."""
         left = [(level, window) for level in sorted(self.open, reverse=True) for window in self.open[level]]
         low, high = 0, len(left) - 1
         while low < high:
-            level, window = left[low]
-            gap = self.window - level
-            donor_level, donor = left[high]
-            taken, rest = cut_off(donor, min(gap, donor_level))
-            window += taken
-            left[low] = (level + min(gap, donor_level), window)
-            left[high] = (donor_level - min(gap, donor_level), rest)
+            (level, window), (donor_level, donor) = left[low], left[high]
+            size = min(self.window - level, donor_level)
+            taken, rest = cut_off(donor, size)
+            left[low], left[high] = (level + size, window + taken), (donor_level - size, rest)
             if not rest:
                 high -= 1
-            if left[low][0] == self.window:
+            if level + size == self.window:
                 yield left[low][1]
                 low += 1
+        self.counts[:] = 0
+        self.open = {}
         if low == high:
-            level, window = left[low]
+            self.counts[left[low][0]] = 1
+            self.open[left[low][0]] = [left[low][1]]
+
+    def close(self) -> Iterator[list[Piece]]:
+        """All open windows: full ones, then sequences of power-of-two lengths."""
+        yield from self.merge()
+        for level, (window,) in ((h, w) for h, w in self.open.items() if w):
             while level:
                 size = 1 << (level.bit_length() - 1)
                 taken, window = cut_off(window, size)
@@ -136,6 +141,8 @@ def pack(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", window: int =
                 id_type = batch.column(0).type
                 for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
                     yield from packer.add(doc, (packed.as_py() or b"") + end)
+                    if packer.counts.sum() > MOST_OPEN:
+                        yield from packer.merge()
             yield from packer.close()
 
         for pieces in windows():
