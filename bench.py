@@ -60,7 +60,7 @@ def main() -> None:
         assert found["PUBLISH"] == 3 * full + min(rest, 3), found
 
     def write() -> None:
-        answers().write.option("compression", "zstd").option("maxRecordsPerFile", 1_000_000).parquet(fresh_path(spark, "bench"))
+        answers().write.option("compression", "zstd").option("maxRecordsPerFile", 50_000).parquet(fresh_path(spark, "bench"))
 
     timings = {}
     for name in HEADLINE:

@@ -101,13 +101,14 @@ def multiset_digest(row_hash: Column | str) -> Column:
     """Aggregate: order-free digest of a bag of SHA-256 hex strings.
 
     Each hash is split into four 60-bit lanes that are summed, so the aggregate combines on the
-    map side and keeps a constant-size buffer whatever the group holds. Repeated rows count.
+    map side and keeps a constant-size buffer whatever the group holds; the sums have room for
+    10^19 rows. Repeated rows count.
     """
     hashed = _col(row_hash)
     sums = [
         F.coalesce(
-            F.sum(F.conv(F.substring(hashed, start, width), 16, 10).cast("decimal(19,0)")),
-            F.lit(0).cast("decimal(29,0)"),
+            F.sum(F.conv(F.substring(hashed, start, width), 16, 10).cast("decimal(28,0)")),
+            F.lit(0).cast("decimal(38,0)"),
         ).cast("string")
         for start, width in _LANES
     ]

@@ -291,6 +291,10 @@ def type_answers(dense: DataFrame) -> DataFrame:
     )
 
 
+# Answers of these are left out for their status, whatever their value.
+SILENT_STATUSES = ("DRAFT", "VOIDED", "DELETED")
+
+
 def canonicalize_structured(
     responses: DataFrame,
     answers: DataFrame,
@@ -311,7 +315,7 @@ def canonicalize_structured(
     dense = densify(responses, typed, items, form)
     rows = display_state(dense, typed, items, form, behavior)
     state = F.when(
-        F.col("type_error").isNotNull() & F.col("enabled") & (F.col("lifecycle_status") == "SIGNED"),
+        F.col("type_error").isNotNull() & F.col("enabled") & ~F.col("lifecycle_status").isin(*SILENT_STATUSES),
         F.lit("INVALID"),
     ).otherwise(
         answer_state(

@@ -27,6 +27,7 @@ class AssertionRules:
     """Patterns and ordered lexicons of one concept; the defaults are French allergy rules."""
 
     concept: str = "allergy history"
+    # The three patterns, with look-arounds that know letters of every script.
     trigger: str = rf"(?iu){_START}(?:allerg(?:ie|ies|ique)|hypersensibilit[ée]){_END}"
     uncertainty: str = (
         rf"(?iu){_START}(?:possible|suspect(?:e|ée)?|à{_GAP}confirmer|incertain(?:e)?){_END}"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +62,13 @@ def lineage_nodes(edges: DataFrame) -> DataFrame:
     return ends.select("node_id", F.split_part("node_id", F.lit(":"), F.lit(1)).alias("kind"), F.col("node_id").alias("label"))
 
 
-def graph_findings(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def graph_findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(finding, node_id): repeated node ids, edges to missing nodes, nodes that keep a cycle alive.
 
-    Cycles are found by peeling: in every round the edges whose source no remaining edge reaches
-    are dropped. An acyclic graph is gone after as many rounds as its longest path has edges;
-    what stops shrinking contains a cycle.
+    Cycles are found by peeling from both ends: in every round the edges whose source no remaining
+    edge reaches, and those whose target starts none, are dropped. An acyclic graph is gone after
+    half as many rounds as its longest path has edges, however long that is; what stops shrinking
+    lies on a cycle or between two.
     """
     repeated = nodes.groupBy("node_id").count().filter("count > 1").select(
         F.lit("DUPLICATE_NODE").alias("finding"), "node_id"
@@ -75,9 +78,10 @@ def graph_findings(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000)
     dangling = ends.join(known, "node_id", "left_anti").select(F.lit("DANGLING_EDGE").alias("finding"), "node_id")
     remaining = cut(edges.select("source", "target").distinct(), "edges")
     left = remaining.count()
-    for _ in range(max_rounds):
+    while left:
         reached = remaining.select(F.col("target").alias("source")).distinct()
-        remaining = cut(remaining.join(reached, "source", "left_semi"), "edges")
+        onward = remaining.select(F.col("source").alias("target")).distinct()
+        remaining = cut(remaining.join(reached, "source", "left_semi").join(onward, "target", "left_semi"), "edges")
         now = remaining.count()
         if now in (0, left):
             break
@@ -86,16 +90,19 @@ def graph_findings(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000)
     return repeated.unionByName(dangling).unionByName(cyclic)
 
 
-def trace(edges: DataFrame, starts: DataFrame, direction: str = "upstream", max_depth: int = 12) -> DataFrame:
+def trace(edges: DataFrame, starts: DataFrame, direction: str = "upstream") -> DataFrame:
     """(start, node_id, depth): everything reachable from each start, with its shortest distance.
 
+    Walks on until nothing new is met, so cycles end it and depth does not. The result has a row for
+    each pair of a start and a node it reaches, which is what the caller asks for by its starts.
+
     ``upstream`` walks against the edges, to the evidence; ``downstream`` along them.
     """
     here, there = ("target", "source") if direction == "upstream" else ("source", "target")
     step = cut(edges.select(F.col(here).alias("node_id"), F.col(there).alias("_next")).distinct(), "steps")
     seen = cut(starts.select(F.col("node_id").alias("start"), "node_id", F.lit(0).alias("depth")), "seen")
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         onward = frontier.join(step, "node_id").select("start", F.col("_next").alias("node_id")).distinct()
         frontier = cut(
             onward.join(seen.select("start", "node_id"), ["start", "node_id"], "left_anti").withColumn("depth", F.lit(depth)),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from formloom.functions.answers import SCALAR, condition_holds
 from formloom.functions.identity import canonical_json, multiset_digest, release_key
 from formloom.operators.standardize import convert_unit, normalized_source
-from formloom.session import broadcast_if_small, is_small
+from formloom.session import broadcast_if_small
 
 ENTRY_SCHEMA = f"""
     release_id string, vocabulary_release_id string, mapping_id string,
@@ -25,11 +25,11 @@ LEVELS = ("SITE_OVERRIDE", "SOURCE_FINGERPRINT", "COMPATIBILITY_FINGERPRINT")
 
 
 def _scope_table(entries: DataFrame, keys: list[str], level: int) -> DataFrame:
-    """One row per scope key: the level, how many entries claim the key, and one of them."""
+    """One row per scope key: the level, how many entries claim the key, and the body of one of them."""
     claim = F.struct(
         F.lit(level).alias("level"),
         F.count(F.lit(1)).alias("claims"),
-        F.min(F.struct("release_id", "mapping_id")).alias("entry"),
+        F.min_by(F.struct(*[c for c in entries.columns if c not in SCOPE]), F.struct("release_id", "mapping_id")).alias("entry"),
     )
     return entries.dropna(subset=keys).groupBy(*keys).agg(claim.alias(f"_claim{level}"))
 
@@ -40,10 +40,10 @@ def resolve(canonical: DataFrame, entries: DataFrame) -> DataFrame:
     Priority: an entry of the answer's site (with its source fingerprint), then the source
     fingerprint, then the compatibility fingerprint, always on the same item path. Several entries
     at the best level are ambiguous, none at all is unknown. Entries are reduced to one row per
-    scope key, so the three equi-joins keep one row per answer; the entry side is broadcast where
-    its counted size allows it, otherwise Spark shuffles and splits hot paths.
+    scope key, which carries the entry's body, so the three equi-joins keep one row per answer, also
+    where a release uses a mapping id twice. Spark broadcasts the entry side where its size allows
+    it, and otherwise shuffles and splits hot paths.
     """
-    hint = F.broadcast if is_small(entries) else lambda df: df
     shared = entries.filter("establishment_id IS NULL")
     sides = [
         (entries, ["item_path", "establishment_id", "source_fingerprint"]),
@@ -52,7 +52,7 @@ def resolve(canonical: DataFrame, entries: DataFrame) -> DataFrame:
     ]
     out = canonical
     for level, (side, keys) in enumerate(sides, start=1):
-        out = out.join(hint(_scope_table(side, keys, level)), keys, "left")
+        out = out.join(_scope_table(side, keys, level), keys, "left")
     best = F.coalesce("_claim1", "_claim2", "_claim3")
     chosen = F.when(best["claims"] == 1, best["entry"])
     resolution = (
@@ -60,19 +60,9 @@ def resolve(canonical: DataFrame, entries: DataFrame) -> DataFrame:
         .when(best["claims"] > 1, "AMBIGUOUS_MAPPING")
         .otherwise("RESOLVED")
     )
-    out = out.select(
-        *canonical.columns,
-        best["level"].alias("resolution_level"),
-        resolution.alias("resolution"),
-        chosen["release_id"].alias("_release_id"),
-        chosen["mapping_id"].alias("_mapping_id"),
+    return out.select(
+        *canonical.columns, best["level"].alias("resolution_level"), resolution.alias("resolution"), chosen.alias("mapping")
     )
-    body = entries.select(
-        F.col("release_id").alias("_release_id"),
-        F.col("mapping_id").alias("_mapping_id"),
-        F.struct(*[c for c in entries.columns if c not in SCOPE]).alias("mapping"),
-    )
-    return out.join(hint(body), ["_release_id", "_mapping_id"], "left").drop("_release_id", "_mapping_id")
 
 
 def release_violations(releases: DataFrame, entries: DataFrame, vectors: DataFrame) -> DataFrame:

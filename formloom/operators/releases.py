@@ -13,11 +13,15 @@ MEMBER = ["omop_table", "omop_fact_id"]
 
 
 def roll_forward_membership(parent: DataFrame, facts: DataFrame, release_id: Column) -> DataFrame:
-    """Members of a child release: those of its parent and the new facts, each fact once."""
+    """Members of a child release: those of its parent and the new facts, each fact once.
+
+    A fact is known by its clinical event and table. Its integer id is carried along and may be
+    shared with another fact without either being lost.
+    """
     inherited = parent.select("clinical_event_id", *MEMBER)
     added = facts.select("clinical_event_id", *MEMBER)
-    members = inherited.unionByName(added).groupBy(*MEMBER).agg(
-        F.min("clinical_event_id").alias("clinical_event_id")
+    members = inherited.unionByName(added).groupBy("clinical_event_id", "omop_table").agg(
+        F.min("omop_fact_id").alias("omop_fact_id")
     )
     return members.withColumn("release_id", release_id)
 
@@ -49,8 +53,8 @@ def verify_releases(releases: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Stored against recomputed checksum of each release, with a reason where they differ."""
     joined = releases.join(artifacts, "release_id", "left")
     same = F.col("artifact_checksum") == F.col("checksum_sha256")
-    reason = F.when(F.col("artifact_checksum").isNull(), "Artifact unavailable").when(
-        ~same, "Artifact checksum mismatch"
+    reason = F.when(F.col("artifact_checksum").isNull(), "No artifact is stored").when(
+        ~same, "Stored and computed checksum differ"
     )
     return joined.select(
         "release_id", F.coalesce(same, F.lit(False)).alias("verified"), reason.alias("reason"), "checksum_sha256"
@@ -101,21 +105,26 @@ def latest_release(releases: DataFrame) -> DataFrame:
     return releases.orderBy(F.col("created_at").desc(), F.col("release_id").desc()).limit(1)
 
 
-def release_ancestry(releases: DataFrame, release_id: str, max_depth: int = 100) -> DataFrame:
-    """The release and its ancestors with their distance, nearest first."""
-    known = releases.select("release_id", "parent_release_id")
-    return known.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(release_id, parent_release_id, depth) MAX RECURSION LEVEL {int(max_depth)} AS (
-          SELECT release_id, parent_release_id, 0 FROM {{known}} WHERE release_id = :start
-          UNION ALL
-          SELECT k.release_id, k.parent_release_id, up.depth + 1
-          FROM up JOIN {{known}} k ON k.release_id = up.parent_release_id)
-        SELECT release_id, depth FROM up
-        """,
-        known=known,
-        args={"start": release_id},
-    )
+def release_ancestry(releases: DataFrame, release_id: str) -> DataFrame:
+    """The release and all its ancestors with their distance, nearest first.
+
+    By pointer doubling: after k rounds all ancestors within ``2 ** k`` steps are known, so a chain of
+    n releases takes about log n rounds, each one join. Rounds end when no release has an ancestor as
+    far away as the next step; a cycle of parents ends there too, as no ancestor is counted twice.
+    """
+    known = releases.filter("parent_release_id IS NOT NULL").select("release_id", "parent_release_id")
+    step = cut(known.select("release_id", F.col("parent_release_id").alias("up")).distinct(), "ancestors")
+    existing = cut(releases.select("release_id").distinct(), "releases")
+    found = cut(existing.filter(F.col("release_id") == release_id).select("release_id", F.lit(0).alias("depth")), "lineage")
+    most, length = existing.count(), 1
+    while length <= most and not step.isEmpty():
+        further = found.join(step, "release_id").select(F.col("up").alias("release_id"), (F.col("depth") + length).alias("depth"))
+        both = found.unionByName(further.join(existing, "release_id", "left_semi"))
+        found = cut(both.groupBy("release_id").agg(F.min("depth").alias("depth")), "lineage")
+        onward = step.select(F.col("release_id").alias("up"), F.col("up").alias("next"))
+        step = cut(step.join(onward, "up").select("release_id", F.col("next").alias("up")), "ancestors")
+        length *= 2
+    return found.orderBy("depth")
 
 
 def release_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -58,9 +58,9 @@ def k2_validate_counts(src: Source) -> DataFrame:
     sql=f"""
     WITH k AS (SELECT DISTINCT establishment_id, concept_key FROM b_coverage),
     p AS (SELECT establishment_id, concept_key, sum(eligible_count) AS e, sum(recorded_count) AS r, sum(usable_count) AS u, sum(positive_count) AS q
-          FROM b_coverage WHERE concept_key <> '1-URGENT' GROUP BY 1, 2),
+          FROM b_coverage WHERE period_start < DATE '1998-01-01' GROUP BY 1, 2),
     d AS (SELECT establishment_id, concept_key, sum(eligible_count) AS e, sum(recorded_count) AS r, sum(usable_count) AS u, sum(positive_count) AS q
-          FROM b_coverage WHERE period_start >= DATE '1998-01-01' AND concept_key <> '5-LOW' GROUP BY 1, 2),
+          FROM b_coverage WHERE period_start >= DATE '1998-01-01' GROUP BY 1, 2),
     s AS (SELECT establishment_id, concept_key, CAST(CASE WHEN p.r IS NULL THEN d.e ELSE p.e END AS BIGINT) AS eligible_count,
             CAST(coalesce(p.r, 0) + coalesce(d.r, 0) AS BIGINT) AS recorded_count, CAST(coalesce(p.u, 0) + coalesce(d.u, 0) AS BIGINT) AS usable_count,
             CAST(coalesce(p.q, 0) + coalesce(d.q, 0) AS BIGINT) AS positive_count
@@ -74,8 +74,8 @@ def k3_roll_forward_coverage(src: Source) -> DataFrame:
     counts = src.view("b_coverage")
     key = ["establishment_id", "concept_key"]
     sums = [F.sum(c).alias(c) for c in ("eligible_count", *catalog.COUNTS)]
-    parent = counts.filter("concept_key <> '1-URGENT'").groupBy(*key).agg(*sums)
-    delta = counts.filter("period_start >= DATE '1998-01-01' AND concept_key <> '5-LOW'").groupBy(*key).agg(*sums)
+    parent = counts.filter("period_start < DATE '1998-01-01'").groupBy(*key).agg(*sums)
+    delta = counts.filter("period_start >= DATE '1998-01-01'").groupBy(*key).agg(*sums)
     out = catalog.roll_forward(parent, delta, key)
     return out.withColumns({n: F.col(n).cast("double") for n in ("completion", "usable_coverage", "prevalence")})
 

@@ -20,7 +20,7 @@ def line_pages(src: Source) -> DataFrame:
 
 @query(
     "n1_route_documents",
-    sql=f"""WITH {PAGES_SQL}, c AS (SELECT doc_id, CAST(sum(length(text)) AS BIGINT) AS n FROM pages WHERE length(text) > 60 GROUP BY doc_id)
+    sql=f"""WITH {PAGES_SQL}, c AS (SELECT doc_id, CAST(sum(length(text)) AS BIGINT) AS n FROM pages GROUP BY doc_id)
     SELECT d.doc_id, {MEDIA_SQL.replace('doc_id', 'd.doc_id')} AS media_type, n AS native_characters,
       CASE WHEN n_chars % 11 = 0 THEN 'EMPTY_DOCUMENT' WHEN d.doc_id % 5 = 2 THEN 'UNSUPPORTED_DOCUMENT_MEDIA_TYPE'
            WHEN d.doc_id % 5 IN (0, 3) AND coalesce(n, 0) >= 40 THEN 'NATIVE_TEXT' WHEN lang <> 'fr' THEN 'ABSTAIN' ELSE 'OCR_RULES' END AS route
@@ -37,8 +37,7 @@ def n1_route_documents(src: Source) -> DataFrame:
         F.when(F.col("n_chars") % 11 == 0, 0).otherwise(F.col("n_chars")).alias("size"),
         (F.col("lang") == "fr").alias("relevant"),
     )
-    pages = line_pages(src).filter("length(text) > 60")
-    return documents.route_documents(docs, pages).select("doc_id", "media_type", "native_characters", "route")
+    return documents.route_documents(docs, line_pages(src)).select("doc_id", "media_type", "native_characters", "route")
 
 
 @query(

@@ -193,12 +193,12 @@ def p3_audit_search(src: Source) -> DataFrame:
 
 @query(
     "p4_sources_by_site",
-    sql="""SELECT 'nation-' || n_name AS establishment_id, s_name AS source_key FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 3000
+    sql="""SELECT 'nation-' || n_name AS establishment_id, s_name AS source_key FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey 
       ORDER BY 1, 2""",
 )
 def p4_sources_by_site(src: Source) -> DataFrame:
     sites = src.table("nation").select("n_nationkey", F.concat(F.lit("nation-"), "n_name").alias("establishment_id"))
-    systems = src.table("supplier").filter("s_acctbal > 3000").join(sites, F.col("s_nationkey") == F.col("n_nationkey")).select(
+    systems = src.table("supplier").join(sites, F.col("s_nationkey") == F.col("n_nationkey")).select(
         "establishment_id", F.col("s_name").alias("source_key")
     )
     return ledger.sources_by_site(sites.select("establishment_id"), systems)

@@ -24,8 +24,8 @@ FACT_SQL = """(SELECT l_orderkey || '-' || l_linenumber AS clinical_event_id, CA
 
 @query(
     "j1_roll_forward_membership",
-    sql=f"""SELECT omop_table, omop_fact_id, min(clinical_event_id) AS clinical_event_id, 'release_2' AS release_id FROM
-      (SELECT * FROM {FACT_SQL.format(flags="'A','N'")} UNION ALL SELECT * FROM {FACT_SQL.format(flags="'N','R'")}) GROUP BY 1, 2""",
+    sql=f"""SELECT omop_table, min(omop_fact_id) AS omop_fact_id, clinical_event_id, 'release_2' AS release_id FROM
+      (SELECT * FROM {FACT_SQL.format(flags="'A','N'")} UNION ALL SELECT * FROM {FACT_SQL.format(flags="'N','R'")}) GROUP BY omop_table, clinical_event_id""",
 )
 def j1_roll_forward_membership(src: Source) -> DataFrame:
     return releases.roll_forward_membership(
@@ -33,6 +33,18 @@ def j1_roll_forward_membership(src: Source) -> DataFrame:
     )
 
 
+@query(
+    "j1_membership_shared_ids",
+    sql=f"""SELECT omop_table, min(omop_fact_id // 10) AS omop_fact_id, clinical_event_id, 'release_2' AS release_id
+      FROM {FACT_SQL.format(flags="'A','N','R'")} GROUP BY omop_table, clinical_event_id""",
+)
+def j1_membership_shared_ids(src: Source) -> DataFrame:
+    """All lines of an order share one integer id here, and each stays a member."""
+    shared = F.call_function("div", F.col("omop_fact_id"), F.lit(10))
+    parent, new = (line_facts(src, flags).withColumn("omop_fact_id", shared) for flags in (["A", "N"], ["N", "R"]))
+    return releases.roll_forward_membership(parent, new, F.lit("release_2"))
+
+
 BATCH_SQL = """b AS (SELECT CAST(o_orderdate AS DATE) AS created_at, 'batch-' || o_orderpriority AS batch_id, 'mapping_r' || (count(*) % 2) AS mapping_release_id,
     sha256(CAST(sum(o_orderkey) AS BIGINT)::VARCHAR) AS source_manifest_checksum, sha256(CAST(sum(o_custkey) AS BIGINT)::VARCHAR) AS output_checksum,
     count(*) FILTER (o_orderstatus <> 'P') AS published, count(*) FILTER (o_orderstatus = 'P') AS quarantined FROM orders GROUP BY o_orderdate, o_orderpriority)"""
@@ -64,8 +76,8 @@ def j2_release_ledger(src: Source) -> DataFrame:
 
 @query(
     "j3_verify_release",
-    sql="""SELECT o_orderkey AS release_id, o_orderstatus = 'F' AS verified, CASE o_orderstatus WHEN 'O' THEN 'Artifact unavailable'
-      WHEN 'P' THEN 'Artifact checksum mismatch' END AS reason, sha256(o_orderpriority) AS checksum_sha256 FROM orders""",
+    sql="""SELECT o_orderkey AS release_id, o_orderstatus = 'F' AS verified, CASE o_orderstatus WHEN 'O' THEN 'No artifact is stored'
+      WHEN 'P' THEN 'Stored and computed checksum differ' END AS reason, sha256(o_orderpriority) AS checksum_sha256 FROM orders""",
 )
 def j3_verify_release(src: Source) -> DataFrame:
     orders = src.table("orders")
@@ -160,6 +172,22 @@ def j8_release_ancestry(src: Source) -> DataFrame:
     return releases.release_ancestry(named, f"r{newest}")
 
 
+@query(
+    "j8_release_chain",
+    sql="""SELECT 'r' || c_custkey AS release_id, CAST(max(c_custkey) OVER () - c_custkey AS INTEGER) AS depth FROM customer""",
+)
+def j8_release_chain(src: Source) -> DataFrame:
+    """One unbroken chain through all customers."""
+    customers = src.table("customer")
+    key = F.col("c_custkey").cast("string")
+    named = customers.select(
+        F.concat(F.lit("r"), key).alias("release_id"),
+        F.concat(F.lit("r"), (F.col("c_custkey") - 1).cast("string")).alias("parent_release_id"),
+    )
+    newest = customers.agg(F.max("c_custkey")).first()[0]
+    return releases.release_ancestry(named, f"r{newest}")
+
+
 @query(
     "j9_release_diff",
     sql=f"""WITH o AS (SELECT DISTINCT omop_table, omop_fact_id FROM {FACT_SQL.format(flags="'A','N'")}),

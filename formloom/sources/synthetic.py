@@ -19,6 +19,7 @@ PUBLISHED_STATES = 3
 UNIT_CYCLE = ("none", "kg", "mm[Hg]", "Cel")
 SITES = ("site-a", "site-b", "site-c", "site-d")
 SITE_ROWS = 50_000
+# Fixed value: first half of every event key.
 EVENT_KEY_HEAD = "6BA7B8119DAD51D1"
 
 
