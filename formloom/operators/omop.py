@@ -126,9 +126,48 @@ def resolve_id_collisions(
     return fits.unionByName(wrapped)
 
 
-def identify_facts(facts: DataFrame, persons: DataFrame) -> DataFrame:
-    """Adds ``person_id`` and the integer ``omop_fact_id`` that probing starts from."""
-    return facts.join(persons, "person_source_value").withColumn("omop_fact_id", integer_fact_id("fact_id"))
+def unique_ids(claims: DataFrame, stored: DataFrame | None = None, space: int = FACT_ID_SPACE) -> DataFrame:
+    """``omop_table, key, id`` for claims ``omop_table, key, base``: no id twice in a table.
+
+    Ids already stored (``omop_table, id``) are taken. Only the few tables in which a claim meets
+    another one or a stored id are probed; everywhere else the base is the id.
+    """
+    claims = cut(claims.select("omop_table", "key", F.col("base").cast("bigint").alias("base")), "claims")
+    met = claims.groupBy("omop_table", "base").count().filter("count > 1").select("omop_table")
+    if stored is not None:
+        own = stored.select("omop_table", F.col("id").cast("bigint").alias("base")).distinct()
+        met = met.union(claims.join(own, ["omop_table", "base"]).select("omop_table"))
+    # As many rows as the common data model has fact tables.
+    tables = [row["omop_table"] for row in met.distinct().collect()]
+    out = claims.filter(~F.col("omop_table").isin(tables)) if tables else claims
+    out = out.select("omop_table", "key", F.col("base").alias("id"))
+    for table in tables:
+        taken = _of(own, table).select("base") if stored is not None else None
+        placed = resolve_id_collisions(_of(claims, table), "base", "key", "id", taken, space)
+        out = out.unionByName(placed.select("omop_table", "key", F.col("id").cast("bigint").alias("id")))
+    return out
+
+
+def identify_facts(facts: DataFrame, persons: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Adds ``person_id``, ``omop_fact_id`` and, for NLP facts, ``parent_note_id``.
+
+    Integer ids are unique per table, against ``stored`` ids too; notes generated for NLP facts take
+    part in the note table.
+    """
+    known = facts.join(persons, "person_source_value")
+    parent = deterministic_uuid("note-nlp-parent", "fact_id")
+    claims = facts.select("omop_table", F.col("fact_id").alias("key"), integer_fact_id("fact_id").alias("base")).unionByName(
+        _of(facts, "note_nlp").select(F.lit("note").alias("omop_table"), parent.alias("key"), integer_fact_id(parent).alias("base"))
+    )
+    ids = cut(unique_ids(claims.distinct(), stored), "fact-ids")
+    own = ids.select("omop_table", F.col("key").alias("fact_id"), F.col("id").alias("omop_fact_id"))
+    notes = ids.filter("omop_table = 'note'").select(F.col("key").alias("_parent"), F.col("id").alias("parent_note_id"))
+    return (
+        known.join(own, ["omop_table", "fact_id"])
+        .withColumn("_parent", F.when(F.col("omop_table") == "note_nlp", parent))
+        .join(notes, "_parent", "left")
+        .drop("_parent")
+    )
 
 
 def to_person(persons: DataFrame) -> DataFrame:
@@ -219,18 +258,14 @@ def to_note(facts: DataFrame) -> DataFrame:
     )
 
 
-def _parent_note_id() -> Column:
-    return integer_fact_id(deterministic_uuid("note-nlp-parent", "fact_id"))
-
-
 def to_note_nlp(facts: DataFrame, system: str = "formloom/deterministic-rules") -> tuple[DataFrame, DataFrame]:
     """NLP rows and the notes generated to hold their evidence; both share the note id."""
     rows = _of(facts, "note_nlp")
     text = _narrative("abstained candidate")
-    parents = _note(rows, _parent_note_id(), F.lit(0), "Evidence for note_nlp", text)
+    parents = _note(rows, F.col("parent_note_id"), F.lit(0), "Evidence for note_nlp", text)
     nlp = rows.select(
         F.col("omop_fact_id").alias("note_nlp_id"),
-        _parent_note_id().alias("note_id"),
+        F.col("parent_note_id").alias("note_id"),
         F.substring(text, 1, 250).alias("snippet"),
         F.substring(text, 1, 250).alias("lexical_variant"),
         F.col("concept_id").alias("note_nlp_concept_id"),

@@ -66,6 +66,17 @@ def test_id_collisions_match_linear_probing(spark, seed):
         omop.resolve_id_collisions(df, "base", "key", taken=stored, space=100)
 
 
+def test_unique_ids_per_table(spark):
+    claims = [("note", f"n{i}", 7 if i < 4 else 100 + i) for i in range(9)] + [("measurement", f"m{i}", 7 + i) for i in range(5)]
+    claims += [("observation", "o1", 3), ("observation", "o2", 9)]
+    df = local_table(spark, claims, "omop_table string, key string, base bigint")
+    stored = local_table(spark, [("observation", 9), ("note", 8)], "omop_table string, id bigint")
+    got = {(r.omop_table, r.key): r.id for r in omop.unique_ids(df, stored).collect()}
+    assert len(got) == len(claims) and len({(t, i) for (t, _), i in got.items()}) == len(claims)
+    assert all(got["measurement", f"m{i}"] == 7 + i for i in range(5))
+    assert sorted(got["note", f"n{i}"] for i in range(4)) == [7, 9, 10, 11] and got["observation", "o2"] == 10
+
+
 def _answers(spark, rows):
     """rows: (event, patient, [(status, target)])"""
     at = datetime(2024, 1, 1)
