@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,17 +117,21 @@ def _clean(value: Column, kind: T.DataType) -> Column:
         return F.when(value.isNotNull(), F.struct(*fields))
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType)):
         return F.transform(value, lambda item: _clean(item, kind.elementType))
-    if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
-        hidden = None
-        for fragment in SENSITIVE_FRAGMENTS:
-            test = lambda key, f=fragment: F.lower(key).contains(f)
-            hidden = test if hidden is None else (lambda key, a=hidden, b=test: a(key) | b(key))
-        return F.transform_values(value, lambda k, v: F.when(hidden(k), F.lit(REDACTED)).otherwise(v))
+    if isinstance(kind, T.MapType):
+        # A value that is no text cannot say that it was removed, so it becomes null.
+        removed = F.lit(REDACTED if isinstance(kind.valueType, T.StringType) else None).cast(kind.valueType)
+
+        def cleaned(key: Column, item: Column) -> Column:
+            folded = F.lower(key.cast("string"))
+            hidden = reduce(or_, [folded.contains(fragment) for fragment in SENSITIVE_FRAGMENTS])
+            return F.when(hidden, removed).otherwise(_clean(item, kind.valueType))
+
+        return F.transform_values(value, cleaned)
     return value
 
 
 def redact(df: DataFrame) -> DataFrame:
-    """Replaces every column, struct field, array element field or string-map value of a sensitive name.
+    """Replaces every column, struct field, array element field or map value of a sensitive name.
 
     The schema decides what is rewritten, so the rewriting is a projection.
     """

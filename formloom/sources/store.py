@@ -16,11 +16,13 @@ STAGES = ("manifest", "canonical", "quality", "omop", "lineage", "catalog")
 def write_canonical(df: DataFrame, root: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Parquet by site, period, batch and fingerprint, at most ``rows_per_file`` rows per file.
 
-    Only the partitions in ``df`` are replaced, so writing a batch again is a replay. Rows are not
-    gathered per partition: a large batch is written by as many tasks as hold its rows.
+    Only the partitions in ``df`` are replaced, so writing a batch again is a replay. Rows of a
+    partition are gathered first and split again by size, so a small partition is one file and a large
+    one is written by many tasks.
     """
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", *PARTITIONS)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", rows_per_file)
         .option("compression", "zstd")

@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from formloom.operators import forms, intake, lifecycle, lineage, omop, ordering, releases
+from formloom.operators import forms, intake, lifecycle, lineage, omop, ordering, privacy, releases
 from formloom.plans import registry
 from formloom.plans.answers import event_decisions, eav_canonical, event_entries
 from formloom.operators import mapping
@@ -66,6 +66,13 @@ def test_id_collisions_match_linear_probing(spark, seed):
         omop.resolve_id_collisions(df, "base", "key", taken=stored, space=100)
 
 
+def test_redaction_reaches_every_map(spark):
+    df = spark.sql("SELECT map('patient_name', named_struct('a', 1), 'site', named_struct('a', 2)) AS m, map('x', map('patient_name', 'p', 'k', 'v')) AS n")
+    row = privacy.redact(df).first()
+    assert row.m["patient_name"] is None and row.m["site"].a == 2
+    assert row.n["x"] == {"patient_name": privacy.REDACTED, "k": "v"}
+
+
 def test_unique_ids_per_table(spark):
     claims = [("note", f"n{i}", 7 if i < 4 else 100 + i) for i in range(9)] + [("measurement", f"m{i}", 7 + i) for i in range(5)]
     claims += [("observation", "o1", 3), ("observation", "o2", 9)]
