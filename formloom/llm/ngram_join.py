@@ -11,6 +11,8 @@ prefixes.
 3. Index keys that only one group has are dropped; what is left tells, for each place in a prefix, how
    many shingles before it could be shared at all, and that bounds the overlap of a pair of groups
    (positional filter) inside the join.
+   Pairs that come out are filtered by parity bitmaps (exact: two sets differ in at least as many
+   shingles as their bitmaps in bits) before any text moves.
 4. First each key's groups are only paired with the group that has most shared keys, and members of a
    group with its smallest. Pairs are verified on the words of the texts; links make components.
 5. Then, for keys and groups that still hold several components, all pairs of different components
@@ -41,16 +43,20 @@ SPACE_BYTES = (0x20, *range(0x09, 0x0E))
 _BASE = 0x9E3779B97F4A7C15
 _BLOCK = 1 << 20
 _LEVELS = 64
+BITMAP_WORDS = 16
 
 
 @dataclass(frozen=True)
 class Setting:
-    """Shingle length, similarity as a percentage, and the number of slots of the popularity table."""
+    """Shingle length, similarity as a percentage, and the slots of the popularity table and of the table
+    that says which texts may be wanted for verification; both tables are broadcast.
+    """
 
     words: int = 3
     percent: int = 90
     slots: int = 1 << 22
     local_least: int = 3
+    wanted_slots: int = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -151,7 +157,7 @@ def _sets(setting: Setting, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
-            sizes, whole, groups, prefixes = [], [], [], []
+            sizes, whole, groups, prefixes, bitmaps = [], [], [], [], []
             for text in batch.column(1):
                 found = shingle_set(text.as_py(), setting.words)
                 n = len(found)
@@ -162,11 +168,14 @@ def _sets(setting: Setting, levels):
                 whole.append(digest(found))
                 groups.append(digest(prefix, np.array([n])))
                 prefixes.append(prefix.view(np.int64))
+                parity = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) & 1
+                bitmaps.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
+            bits = pa.array([b.tolist() for b in bitmaps], pa.list_(pa.int64()))
             yield pa.record_batch(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(groups, pa.binary()), lists],
-                names=["id", "n", "whole", "grp", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(groups, pa.binary()), lists, bits],
+                names=["id", "n", "whole", "grp", "prefix", "bits"],
             )
 
     return run
@@ -196,11 +205,29 @@ def _verify(setting: Setting):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, setting: Setting) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are similar enough. Only texts of paired documents move."""
-    pairs = cut(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, "id", "left_semi")
+def plausible(pairs: DataFrame, sketches: DataFrame, setting: Setting) -> DataFrame:
+    """Those of ``pairs`` (a, b) that the parity bitmaps in ``sketches`` (rep, n, bits) do not rule out."""
+    left = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    differing = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # Twice the overlap is at most the sizes less the difference.
+    enough = (100 + setting.percent) * (F.col("na") + F.col("nb") - differing) >= 2 * setting.percent * (F.col("na") + F.col("nb"))
+    return pairs.join(right, "b").join(left, "a").filter(enough).select("a", "b")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, setting: Setting) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts are similar enough.
+
+    A text moves only if its id falls into a slot that some pair asks for; there are at most
+    ``wanted_slots`` of those.
+    """
+    pairs = cut(plausible(pairs, sketches, setting), "pairs")
+
+    def slot(column):
+        return F.pmod(F.xxhash64(column), F.lit(setting.wanted_slots)).alias("slot")
+
+    wanted = pairs.select(slot("a")).union(pairs.select(slot("b"))).distinct()
+    texts = docs.join(F.broadcast(wanted), slot("id") == F.col("slot"), "left_semi")
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
@@ -214,13 +241,13 @@ def similarity_classes(docs: DataFrame, setting: Setting = Setting(), id: str =
     """
     docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     levels = docs.sparkSession.sparkContext.broadcast(popularity(docs.select("text"), setting))
-    schema = "id long, n long, whole binary, grp binary, prefix array<long>"
+    schema = "id long, n long, whole binary, grp binary, prefix array<long>, bits array<long>"
     sets = cut(docs.mapInArrow(_sets(setting, levels), schema), "sets")
 
     # 1 and 2: classes of equal sets, groups of equal prefix and size.
     filled = sets.filter("n > 0 AND id IS NOT NULL")
-    classes = filled.groupBy("whole", "grp", "n").agg(F.min("id").alias("rep"))
-    classes = cut(classes, "classes")
+    classes = cut(filled.groupBy("whole", "grp", "n").agg(F.min("id").alias("rep"), F.min("bits").alias("bits")), "classes")
+    sketches = classes.select("rep", "n", "bits")
     members = cut(
         classes.join(classes.groupBy("grp").agg(F.min("rep").alias("g")), "grp").select("g", "rep", "n"), "members"
     )
@@ -254,7 +281,7 @@ def similarity_classes(docs: DataFrame, setting: Setting = Setting(), id: str =
         .unionByName(members.filter("g <> rep").select(F.col("g").alias("a"), F.col("rep").alias("b")))
         .distinct()
     )
-    first = verified(star, docs, setting)
+    first = verified(star, docs, sketches, setting)
     component = components(first)
 
     # 5: what still lies in different components.
@@ -293,7 +320,7 @@ def similarity_classes(docs: DataFrame, setting: Setting = Setting(), id: str =
         .distinct()
     )
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = verified(rest.join(tried, ["a", "b"], "left_anti"), docs, setting)
+    second = verified(rest.join(tried, ["a", "b"], "left_anti"), docs, sketches, setting)
     component = components(first.unionByName(second))
 
     known = classes.join(component.withColumnRenamed("v", "rep"), "rep", "left").select(
