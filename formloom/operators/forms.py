@@ -5,39 +5,39 @@ Items are one row each, keyed by the form columns and ``path``; ``parent_path``
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.functions.identity import canonical_json, multiset_digest
 from formloom.functions.text import collapse_whitespace
 from formloom.operators.ordering import group_index, null_safe_join, previous_row
-from formloom.session import broadcast_if_small
-
-MAX_DEPTH = 6
-
+from formloom.session import broadcast_if_small, cut
 
-def flatten_items(items: DataFrame, form: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
+def flatten_items(items: DataFrame, form: list[str]) -> DataFrame:
     """Adds ``depth`` and ``repeated_root``, the nearest repeating item at or above each item.
 
-    Levels are joined parent by parent; items below ``max_depth`` or under a missing parent are
-    not reached and keep a null depth.
+    Levels are joined parent by parent until one is empty; items under a missing parent are not
+    reached and keep a null depth, and so do items whose parents form a circle.
     """
     own_root = F.when(F.col("repeats"), F.col("path"))
-    level = items.filter("parent_path IS NULL").select(
-        *form, "path", F.lit(0).alias("depth"), own_root.alias("repeated_root")
+    level = cut(
+        items.filter("parent_path IS NULL").select(*form, "path", F.lit(0).alias("depth"), own_root.alias("repeated_root")), "items"
     )
     reached = level
-    for depth in range(1, max_depth):
+    for depth in itertools.count(1):
         parents = level.select(
             *form, F.col("path").alias("parent_path"), F.col("repeated_root").alias("_inherited")
         )
-        children = items.join(parents, [*form, "parent_path"])
-        level = children.select(
-            *form,
-            "path",
-            F.lit(depth).alias("depth"),
-            F.coalesce(own_root, F.col("_inherited")).alias("repeated_root"),
+        level = cut(
+            items.join(parents, [*form, "parent_path"]).select(
+                *form, "path", F.lit(depth).alias("depth"), F.coalesce(own_root, F.col("_inherited")).alias("repeated_root")
+            ),
+            "items",
         )
+        if level.isEmpty():
+            break
         reached = reached.unionByName(level)
     return items.join(reached, [*form, "path"], "left")
 

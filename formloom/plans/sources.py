@@ -190,7 +190,7 @@ READABLE_SQL = "p_partkey % 37 <> 0 AND p_partkey % 41 <> 0"
     UNION ALL SELECT form_id, version, p_type || '/BRAND', p_type, p_name, 'coding', false, false, p_brand || '=' || lower(p_brand), p_type || '/SIZE gte ' || p_size FROM p""",
 )
 def a2_read_fhir_questionnaires(src: Source) -> DataFrame:
-    _, items, _ = fhir.read_questionnaires(questionnaires(src), depth=3)
+    _, items, _ = fhir.read_questionnaires(questionnaires(src))
     return items.select(
         "form_id", "version", "path", "parent_path", "label", "data_type", "repeats", "required",
         F.when(F.size("options") > 0, F.concat_ws("=", F.try_element_at("options", F.lit(1))["code"], F.try_element_at("options", F.lit(1))["display"])).alias("option"),
@@ -208,7 +208,7 @@ def a2_read_fhir_questionnaires(src: Source) -> DataFrame:
       WHERE {READABLE_SQL} AND (p_partkey % 29 = 0 OR p_partkey % 31 = 0)""",
 )
 def a2_fhir_questionnaire_errors(src: Source) -> DataFrame:
-    _, _, errors = fhir.read_questionnaires(questionnaires(src), depth=3)
+    _, _, errors = fhir.read_questionnaires(questionnaires(src))
     return errors.select("object_key", "error")
 
 
@@ -282,7 +282,7 @@ RESPONSE_SQL = """r AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS rid FROM orders
     sql=f"WITH {RESPONSE_SQL} SELECT rid AS response_id, item_path, group_instance, CASE WHEN item_path = 'TOTAL' THEN NULL ELSE value END AS text, CASE WHEN item_path = 'TOTAL' THEN CAST(value AS DOUBLE) END AS number, json_pointer FROM a",
 )
 def a3_read_fhir_responses(src: Source) -> DataFrame:
-    _, answers, _ = fhir.read_responses(order_documents(src), response_items(src), FORM, depth=3)
+    _, answers, _ = fhir.read_responses(order_documents(src), response_items(src), FORM)
     number = F.col("answer.t") == "num"
     return answers.select(
         "response_id", "item_path", "group_instance", F.when(~number, F.col("answer.s")).alias("text"),
@@ -301,7 +301,7 @@ def a3_read_fhir_responses(src: Source) -> DataFrame:
 )
 def e14_canonicalize_fhir(src: Source) -> DataFrame:
     items = response_items(src)
-    responses, answers, _ = fhir.read_responses(order_documents(src), items, FORM, depth=3)
+    responses, answers, _ = fhir.read_responses(order_documents(src), items, FORM)
     rows = fhir.canonicalize(responses, answers, items, FORM)
     return rows.select(
         "response_id", "item_path", "group_instance", "state", F.col("evidence")[0]["json_pointer"].alias("json_pointer"),
@@ -441,12 +441,12 @@ def _definition_rows(items: DataFrame) -> DataFrame:
 
 @query("a4_read_json_definitions", sql=DEFINITION_SQL)
 def a4_read_json_definitions(src: Source) -> DataFrame:
-    return _definition_rows(structured.read_json_definitions(json_definitions(src), depth=3)[1])
+    return _definition_rows(structured.read_json_definitions(json_definitions(src))[1])
 
 
 @query("a5_read_xml_definitions", sql=DEFINITION_SQL)
 def a5_read_xml_definitions(src: Source) -> DataFrame:
-    return _definition_rows(structured.read_xml_definitions(xml_definitions(src), depth=3)[1])
+    return _definition_rows(structured.read_xml_definitions(xml_definitions(src))[1])
 
 
 # --- A7 to A11 -----------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 """FHIR R4 Questionnaire and QuestionnaireResponse documents as item rows.
 
-Items nest; Spark has no recursive types, so documents are read with a schema of bounded depth and
+Items nest; Spark has no recursive types, so documents are read with a schema as deep as the deepest of them and
 exploded level by level. What a document does wrong becomes an error row.
 """
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from formloom.functions.answers import SCALAR, answer_state, scalar
 from formloom.operators import canonical
 from formloom.session import broadcast_if_small, cut
+from formloom.sources.nesting import json_levels, levels_of
 
-MAX_DEPTH = 6
 # Item types and operators of the standard and the names used here.
 ITEM_TYPES = {
     "boolean": "boolean",
@@ -91,8 +91,9 @@ def _starting(entries: Column, prefix: str) -> Column:
     return F.map_filter(entries, lambda k, _: k.startswith(prefix))
 
 
-def read_questionnaires(documents: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_questionnaires(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(forms, items, errors)`` of documents with columns ``object_key, content`` (JSON text)."""
+    depth = levels_of(documents, json_levels(F.col("content"), "item"))
     fields = (
         "linkId:string,text:string,type:string,required:boolean,repeats:boolean,extension:string,"
         "enableWhen:array<string>,answerOption:array<string>"
@@ -138,8 +139,6 @@ def read_questionnaires(documents: DataFrame, depth: int = MAX_DEPTH) -> tuple[D
             F.coalesce("it.enableWhen", F.array().cast("array<string>")).alias("_when"),
             F.coalesce("it.answerOption", F.array().cast("array<string>")).alias("_options"),
             F.coalesce("it.extension", F.lit("[]")).alias("_extension"),
-            (F.size("at") == depth).alias("_deepest"),
-            F.when(F.size("at") == depth, F.col("it.item").cast("string")).alias("_below"),
         )
         rows = part if rows is None else rows.unionByName(part)
     options = F.transform(
@@ -154,7 +153,6 @@ def read_questionnaires(documents: DataFrame, depth: int = MAX_DEPTH) -> tuple[D
         .when(F.col("data_type").isNull(), "UNSUPPORTED_FHIR_ITEM_TYPE")
         .when(F.col("_bad_condition"), "INVALID_FHIR_CONDITION")
         .when(F.exists("options", lambda o: o["code"].isNull()), "UNSUPPORTED_FHIR_OPTION")
-        .when(F.col("_below").isNotNull(), "ITEMS_TOO_DEEP")
     )
     items = items.withColumn("error", error)
     problems = parsed.filter(~good).select(
@@ -163,7 +161,7 @@ def read_questionnaires(documents: DataFrame, depth: int = MAX_DEPTH) -> tuple[D
         F.lit(None).cast("string").alias("path"),
     )
     errors = problems.unionByName(items.filter("error IS NOT NULL").select("object_key", "error", "path"))
-    clean = items.filter("error IS NULL").drop("error", "_when", "_options", "_extension", "_deepest", "_below", "_bad_condition")
+    clean = items.filter("error IS NULL").drop("error", "_when", "_options", "_extension", "_bad_condition")
     return forms, clean, errors
 
 
@@ -219,15 +217,16 @@ def _with_conditions(rows: DataFrame) -> DataFrame:
 
 
 def read_responses(
-    documents: DataFrame, items: DataFrame, form: list[str], depth: int = MAX_DEPTH
+    documents: DataFrame, items: DataFrame, form: list[str]
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(responses, answers, errors)`` of QuestionnaireResponse documents.
 
     ``documents``: ``establishment_id, patient_pseudonym, object_key, content`` and the form
     columns; ``items`` says which paths repeat. Every answer carries its JSON pointer; an item with
     several answers numbers them in its group instance. Nested items win over answers of the same
-    item.
+    item. Items are read as deep as they nest.
     """
+    depth = levels_of(documents, json_levels(F.col("content"), "item"))
     schema = f"resourceType string, id string, authored string, item array<{_nested('linkId:string,answer:array<string>', depth)}>"
     parsed = documents.withColumn("doc", F.from_json("content", schema)).withColumn("checksum", F.sha2("content", 256))
     good = F.coalesce(F.col("doc.resourceType") == "QuestionnaireResponse", F.lit(False))
@@ -263,7 +262,8 @@ def read_responses(
                 "at": F.concat("up", F.array("i")),
             }
         ).drop("path")
-        placed = canonical.group_instances(placed, [*keep[:2], "parent_pointer", "item_path"], position="i")
+        # Written once: read for this level's answers and for the next level.
+        placed = cut(canonical.group_instances(placed, [*keep[:2], "parent_pointer", "item_path"], position="i"), "level")
         last = step + 1 == depth
         nested = F.lit(False) if last else F.coalesce(F.size("it.item"), F.lit(0)) > 0
         replies = F.coalesce(F.col("it.answer"), F.array().cast("array<string>"))

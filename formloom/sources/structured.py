@@ -8,11 +8,11 @@ from pyspark.sql import types as T
 
 from formloom.functions.answers import DATA_TYPES, LIFECYCLE, OPERATORS
 from formloom.sources.fhir import CONDITION, OPTION, _tagged
+from formloom.sources.nesting import json_levels, levels_of, xml_levels
 from formloom.session import cut
 
 SCHEMA_VERSION = "structured/1.0"
 DEFINITION_TAG, RESPONSE_TAG = "form-definition", "form-response"
-MAX_DEPTH = 6
 _ZONED = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 
@@ -206,8 +206,9 @@ def _definition_result(forms: DataFrame, items: DataFrame, errors: DataFrame) ->
     return forms.filter(~incomplete), checked.filter("error IS NULL").drop("error"), errors
 
 
-def read_json_definitions(documents: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(forms, items, errors)`` of JSON definitions; items nest through ``children``."""
+def read_json_definitions(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(forms, items, errors)`` of JSON definitions; items nest through ``children``, as deep as they do."""
+    depth = levels_of(documents, json_levels(F.col("content"), "children")) + 1
 
     def item(level: int) -> str:
         below = f"array<{item(level - 1)}>" if level > 1 else "string"
@@ -256,8 +257,9 @@ def read_json_definitions(documents: DataFrame, depth: int = MAX_DEPTH) -> tuple
     return _definition_result(forms, rows, errors)
 
 
-def read_xml_definitions(documents: DataFrame, depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_xml_definitions(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(forms, items, errors)`` of XML definitions; a path defaults to the parent's and the id."""
+    depth = levels_of(documents, xml_levels(F.col("content"), "item"))
     option = T.StructType(_attributes(["code", "display", "system"]))
     condition = T.StructType(_attributes(["source-path", "operator", "expected-json"]))
 

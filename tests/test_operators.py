@@ -13,7 +13,7 @@ from formloom.plans import registry
 from formloom.plans.answers import event_decisions, eav_canonical, event_entries
 from formloom.operators import mapping
 from formloom.session import fresh_path, local_table, shared_dir
-from formloom.sources import files, synthetic
+from formloom.sources import fhir, files, structured, synthetic
 from formloom.streaming import supersession
 
 
@@ -66,6 +66,50 @@ def test_id_collisions_match_linear_probing(spark, seed):
         omop.resolve_id_collisions(df, "base", "key", taken=stored, space=100)
 
 
+def test_documents_nest_as_deep_as_they_like(spark):
+    import json
+
+    deep, leaf = 8, {"linkId": "L8", "answer": [{"valueString": 'a "item": [ ] } text'}]}
+    item, definition = leaf, {"item_id": "L8", "path": "P8", "data_type": "string", "label": "x", "order": 0}
+    xml = '<item id="L8" data-type="string" label="a &gt; b"/>'
+    for level in range(deep - 1, 0, -1):
+        item = {"linkId": f"L{level}", "item": [item]}
+        definition = {"item_id": f"L{level}", "path": f"P{level}", "data_type": "group", "label": "x", "order": 0, "children": [definition]}
+        xml = f'<item id="L{level}" data-type="group" label="x">{xml}</item>'
+    response = json.dumps({"resourceType": "QuestionnaireResponse", "id": "r", "item": [item]})
+    questionnaire = json.dumps({"resourceType": "Questionnaire", "id": "q", "item": [json.loads(json.dumps(item).replace('"answer"', '"ignored"').replace('"linkId"', '"type": "string", "linkId"'))]})
+    head = {"ehr_product": "e", "ehr_version": "1", "form_id": "f", "form_family": "f", "version": "1", "title": "t"}
+    form = json.dumps({"schema_version": "structured/1.0", "form": {**head, "items": [definition]}})
+    form_xml = '<form-definition schema-version="structured/1.0" ' + " ".join(f'{k.replace("_", "-")}="{v}"' for k, v in head.items()) + f">{xml}</form-definition>"
+
+    def table(content):
+        return local_table(spark, [("k", content)], "object_key string, content string")
+
+    none = local_table(spark, [], "form_id string, version string, path string, repeats boolean")
+    docs = local_table(spark, [("s", "p", "k", response, "f", "1")], "establishment_id string, patient_pseudonym string, object_key string, content string, form_id string, version string")
+    _, answers, errors = fhir.read_responses(docs, none, ["form_id", "version"])
+    rows = answers.filter("present").collect()
+    assert errors.count() == 0 and len(rows) == 1 and rows[0].item_path.count("/") == deep - 1
+    assert fhir.read_questionnaires(table(questionnaire))[1].count() == deep
+    assert structured.read_json_definitions(table(form))[1].count() == deep
+    assert structured.read_xml_definitions(table(form_xml))[1].count() == deep
+
+
+def test_items_are_reached_at_any_depth(spark):
+    rows = [("f", f"P{i}", f"P{i - 1}" if i else None, i == 3) for i in range(8)]
+    items = local_table(spark, rows, "form_id string, path string, parent_path string, repeats boolean")
+    found = {r.path: (r.depth, r.repeated_root) for r in forms.flatten_items(items, ["form_id"]).collect()}
+    assert found == {f"P{i}": (i, "P3" if i >= 3 else None) for i in range(8)}
+
+
+def test_trace_and_ancestry_have_no_limit(spark):
+    edges = local_table(spark, [(f"n{i}", f"n{i + 1}") for i in range(15)], "source string, target string")
+    starts = local_table(spark, [("n15",)], "node_id string")
+    assert lineage.trace(edges, starts).count() == 16
+    chain = local_table(spark, [(f"r{i}", f"r{i - 1}" if i else None) for i in range(130)], "release_id string, parent_release_id string")
+    assert [r.depth for r in releases.release_ancestry(chain, "r129").collect()] == list(range(130))
+
+
 def test_redaction_reaches_every_map(spark):
     df = spark.sql("SELECT map('patient_name', named_struct('a', 1), 'site', named_struct('a', 2)) AS m, map('x', map('patient_name', 'p', 'k', 'v')) AS n")
     row = privacy.redact(df).first()
