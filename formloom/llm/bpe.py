@@ -21,7 +21,6 @@ import json
 import re
 import struct
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -33,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 160_000
 CACHED_CHARS = 48
 BATCH_BYTES = 16_000_000
 SHORT = 24
-NONE = 1 << 60
+NONE, CUT = 1 << 28, 1 << 29
+# A letter word followed by one of these is two pre-tokens in any pattern of words and punctuation.
+PLAIN_ENDS = (".", ",", ";", ":", "!", "?")
 END = "</w>"
 # White space of the tokenizer's normalizer.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -52,6 +53,32 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
 
+class Generations(dict):
+    """Results of a function by its argument. ``bound`` keeps the size: when the dictionary is full it
+    becomes the elder generation, so what is frequent survives, and long arguments are not kept.
+    """
+
+    def __init__(self, function: Callable):
+        self.function, self.elder, self.long = function, {}, []
+
+    def __missing__(self, key):
+        found = self.elder.get(key)
+        if found is None:
+            found = self.function(key)
+        self[key] = found
+        if len(key) > CACHED_CHARS:
+            self.long.append(key)
+        return found
+
+    def bound(self) -> None:
+        for key in self.long:
+            self.pop(key, None)
+        self.long.clear()
+        if len(self) > CACHED_CHUNKS:
+            self.elder = self.copy()
+            self.clear()
+
+
 class BpeModel:
     """A word-level BPE tokenizer file: ids of a text, and text of ids."""
 
@@ -70,10 +97,11 @@ class BpeModel:
         self.of_byte = byte_symbols()
         byte_of = {c: b for b, c in self.of_byte.items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        # Rank of a pair, and by rank the id it becomes.
-        self.ranks, self.merged = {}, []
+        # By left id the rank of each right id, and by rank the id a pair becomes.
+        self.ranks: list[dict[int, int]] = [{} for _ in range(size)]
+        self.merged: list[int] = []
         for rank, (a, b) in enumerate(pairs):
-            self.ranks[vocab[a] << 32 | vocab[b]] = rank
+            self.ranks[vocab[a]][vocab[b]] = rank
             self.merged.append(vocab[a + b])
         self.inner = [vocab.get(self.of_byte[b]) for b in range(256)]
         self.last = [vocab.get(self.of_byte[b] + END) for b in range(256)]
@@ -86,15 +114,18 @@ class BpeModel:
                 symbols[-1] += 256
             for a, b in zip(symbols, symbols[1:]):
                 self.together[a, b] = True
-        self.parted = (~self.together).tobytes()
+        # Rank of two neighbouring symbols, or that there is a certain cut between them.
+        self.first = [
+            [self.ranks[self.inner[a]].get(self.inner[b] if b < 256 else self.last[b - 256], NONE) if self.together[a, b] else CUT for b in range(512)]
+            for a in range(256)
+        ]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pretoken = regex.compile(pattern)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.space = re.compile(f"[{SPACES}]+")
         self.stable = re.compile(f"[^\\x00-{STABLE}]")
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.split: dict[str, list[bytes]] = {}
+        self.chunks = Generations(self.encode_chunk)
+        self.words = Generations(self.encode_packed)
 
     def pretokens(self, chunk: str) -> list[bytes]:
         """Pre-tokens of text without white space, as UTF-8."""
@@ -104,45 +135,48 @@ class BpeModel:
             return [bytes(byte_of[c] for c in piece) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        return [p.encode() for p in self.pretoken.findall(chunk.lower())]
-
-    def cuts(self, word: bytes) -> list[int]:
-        """Places where a cut is certain."""
-        parted, last = self.parted, len(word) - 2
-        if last < 0:
-            return []
-        found = [i + 1 for i in range(last) if parted[word[i] << 9 | word[i + 1]]]
-        if parted[word[last] << 9 | 256 | word[last + 1]]:
-            found.append(last + 1)
-        return found
+        lower = chunk.lower()
+        if lower.isalpha():
+            return [lower.encode()]
+        if lower[-1:] in PLAIN_ENDS and lower[:-1].isalpha():
+            return [lower[:-1].encode(), lower[-1:].encode()]
+        return [p.encode() for p in self.pretoken.findall(lower)]
+
+    def first_ranks(self, word: bytes) -> list[int]:
+        """Rank of each pair of neighbouring symbols of a pre-token, ``CUT`` where a cut is certain."""
+        first = self.first
+        ranks = [first[a][b] for a, b in zip(word, word[1:])]
+        if ranks:
+            ranks[-1] = first[word[-2]][256 + word[-1]]
+        return ranks
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of one pre-token: fragments between certain cuts, each merged by itself."""
-        symbols = [*map(self.inner.__getitem__, word)]
+        inner = self.inner
+        symbols = [inner[b] for b in word]
         symbols[-1] = self.last[word[-1]]
-        cuts = self.cuts(word)
-        if not cuts:
-            return self.merge(symbols)
+        ranks = self.first_ranks(word)
+        if CUT not in ranks:
+            return self.merge(symbols, ranks)
         ids, start = [], 0
-        for end in [*cuts, len(word)]:
-            ids += self.merge(symbols[start:end])
+        for end in [*(i + 1 for i, rank in enumerate(ranks) if rank == CUT), len(word)]:
+            ids += self.merge(symbols[start:end], ranks[start : end - 1])
             start = end
         return ids
 
-    def merge(self, ids: list[int]) -> list[int]:
+    def merge(self, ids: list[int], ranks: list[int]) -> list[int]:
         """Merge neighbours, lowest rank first and leftmost among equals."""
         if len(ids) > SHORT:
             return self._merge_long(ids)
-        rank_of, merged = self.ranks.get, self.merged
-        ranks = [rank_of(a << 32 | b, NONE) for a, b in zip(ids, ids[1:])]
+        pairs, merged = self.ranks, self.merged
         while ranks and (best := min(ranks)) != NONE:
             i = ranks.index(best)
             ids[i] = new = merged[best]
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank_of(ids[i - 1] << 32 | new, NONE)
+                ranks[i - 1] = pairs[ids[i - 1]].get(new, NONE)
             if i < len(ranks):
-                ranks[i] = rank_of(new << 32 | ids[i + 1], NONE)
+                ranks[i] = pairs[new].get(ids[i + 1], NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -153,7 +187,7 @@ class BpeModel:
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int, j: int) -> None:
-            rank = self.ranks.get(ids[i] << 32 | ids[j], NONE)
+            rank = self.ranks[ids[i]].get(ids[j], NONE)
             if rank != NONE:
                 heappush(heap, (rank, i, ids[i], ids[j]))
 
@@ -172,69 +206,43 @@ class BpeModel:
                 offer(before[i], i)
         return [x for x, live in zip(ids, alive) if live]
 
+    def split(self, part: str) -> list[str]:
+        """The chunks between white space."""
+        # Four control characters are white space to Python and not to the tokenizer.
+        odd = "\x1c" in part or "\x1d" in part or "\x1e" in part or "\x1f" in part
+        return self.space.split(part) if odd else part.split()
+
+    def encode_packed(self, word: bytes) -> bytes:
+        ids = self.encode_word(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def encode_chunk(self, chunk: str) -> bytes:
         """Packed ids of text without white space."""
-        return b"".join([self.packed_word(word) for word in self.pretokens(chunk)])
-
-    def packed_chunk(self, chunk: str) -> bytes:
-        ids = self.cache.get(chunk)
-        if ids is None:
-            ids = self.encode_chunk(chunk)
-            if len(chunk) <= CACHED_CHARS:
-                if len(self.cache) >= CACHED_CHUNKS:
-                    self.cache.clear()
-                self.cache[chunk] = ids
-        return ids
-
-    def packed_word(self, word: bytes) -> bytes:
-        packed = self.words.get(word)
-        if packed is None:
-            ids = self.encode_word(word)
-            packed = struct.pack(f"<{len(ids)}I", *ids)
-            if len(word) <= CACHED_CHARS:
-                if len(self.words) >= CACHED_CHUNKS:
-                    self.words.clear()
-                self.words[word] = packed
-        return packed
+        return b"".join([self.words[word] for word in self.pretokens(chunk)])
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids of a whole text."""
         if not text:
             return b""
         out: list[bytes] = []
-        for part in self.specials.split(text) if self.specials and "<" in text else [text]:
-            if part in self.special:
-                out.append(np.uint32(self.special[part]).tobytes())
-                continue
-            chunks = self.space.split(part)
-            known = [*map(self.cache.get, chunks)]
-            if None in known:
-                known = [self.packed_chunk(c) if ids is None else ids for c, ids in zip(chunks, known)]
-            out += known
+        for special, part in self.parts(text):
+            if special:
+                out.append(struct.pack("<I", self.special[part]))
+            else:
+                out += map(self.chunks.__getitem__, self.split(part))
+        self.chunks.bound()
+        self.words.bound()
         return b"".join(out)
 
-    def frequencies(self, text: str | None) -> dict[bytes, int]:
-        """How often each pre-token stands in a text; special tokens count under their own string."""
-        found: dict[bytes, int] = {}
-        for part in self.specials.split(text or "") if self.specials and "<" in (text or "") else [text or ""]:
-            if part in self.special:
-                found[part.encode()] = found.get(part.encode(), 0) + 1
-                continue
-            for chunk, n in Counter(self.space.split(part)).items():
-                words = self.split.get(chunk)
-                if words is None:
-                    words = self.pretokens(chunk)
-                    if len(chunk) <= CACHED_CHARS:
-                        if len(self.split) >= CACHED_CHUNKS:
-                            self.split.clear()
-                        self.split[chunk] = words
-                for word in words:
-                    found[word] = found.get(word, 0) + n
-        return found
+    def parts(self, text: str | None) -> Iterator[tuple[bool, str]]:
+        """Special tokens, marked as such, and the text between them."""
+        text = text or ""
+        for part in self.specials.split(text) if self.specials and "<" in text else [text]:
+            yield part in self.special, part
 
     def pieces(self, word: bytes) -> int:
-        """Number of ids of a pre-token or special token."""
-        return 1 if word.decode(errors="replace") in self.special else len(self.packed_word(word)) // 4
+        """Number of ids of a pre-token."""
+        return len(self.words[word]) // 4
 
     def decode(self, packed: bytes | None) -> str:
         return " ".join(self.strings[np.frombuffer(packed or b"", dtype="<u4")].tolist())
