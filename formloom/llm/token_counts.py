@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formloom.llm.bpe import model
+from formloom.llm.bpe import CACHED_CHUNKS, BpeModel, Generations, model
 
 HEAD = 100_000
 # A local count below this says nothing about the corpus' most frequent pre-tokens.
 LOCAL_LEAST = 4
-COUNTED_WORDS = 1_000_000
+COUNTED_CHUNKS = 1_000_000
 BLOCK_DOCS = 1 << 16
 BLOCK_POSTINGS = 2_000_000
 PLACE_BITS = 16
@@ -40,28 +40,73 @@ def _local_frequencies(path: str):
     """Pre-token counts of a task's documents, handed on whenever many have gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(counts):
+        def rows(chunks):
+            counts: Counter = Counter()
+            for chunk, n in chunks.items():
+                if n > 1:
+                    for word in model(path).pretokens(chunk):
+                        counts[word] += n
             kept = [(w, n) for w, n in counts.items() if n >= LOCAL_LEAST]
             return pa.record_batch([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
-        counts: Counter = Counter()
+        chunks: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
-                for word, n in model(path).frequencies(text.as_py()).items():
-                    counts[word] += n
-                if len(counts) > COUNTED_WORDS:
-                    yield rows(counts)
-                    counts.clear()
-        yield rows(counts)
+                for special, part in model(path).parts(text.as_py()):
+                    if not special:
+                        chunks.update(model(path).split(part))
+                if len(chunks) > COUNTED_CHUNKS:
+                    yield rows(chunks)
+                    chunks.clear()
+        yield rows(chunks)
 
     return run
 
 
+class Frequencies:
+    """Pre-token frequencies of documents, split into what the head knows and the rest."""
+
+    def __init__(self, tokenizer: BpeModel, head: dict[bytes, int]):
+        self.tokenizer, self.head = tokenizer, head
+        self.pieces = Generations(self._learn)
+        self.rare: dict[str, list[bytes]] = {}
+
+    def _learn(self, chunk: str) -> int:
+        """Pieces of the chunk's pre-tokens that are in the head; the others are noted."""
+        words = self.tokenizer.pretokens(chunk)
+        others = [w for w in words if w not in self.head]
+        if others:
+            self.rare[chunk] = others
+        return sum(self.head[w] for w in words if w in self.head)
+
+    def count(self, text: str | None) -> tuple[int, dict[bytes, int]]:
+        """Pieces of pre-tokens in the head, and how often each other pre-token stands in the text."""
+        pieces, rare = 0, {}
+        for special, part in self.tokenizer.parts(text):
+            if special:
+                pieces += 1
+                continue
+            chunks = self.tokenizer.split(part)
+            pieces += sum(map(self.pieces.__getitem__, chunks))
+            for chunk in filter(self.rare.__contains__, chunks):
+                for word in self.rare[chunk]:
+                    rare[word] = rare.get(word, 0) + 1
+        if len(self.pieces) > CACHED_CHUNKS or self.pieces.long:
+            for chunk in self.pieces.long:
+                self.rare.pop(chunk, None)
+            if len(self.pieces) > CACHED_CHUNKS:  # both at once: a known chunk has its other words noted
+                self.pieces.clear()
+                self.rare.clear()
+            self.pieces.bound()
+        return pieces, rare
+
+
 def _count_pieces(path: str):
     def run(batches):
         for batch in batches:
             words = batch.column(0).to_pylist()
             yield pa.record_batch([batch.column(0), pa.array([model(path).pieces(w) for w in words], pa.int64())], names=["word", "pieces"])
+            model(path).words.bound()
 
     return run
 
@@ -78,7 +123,7 @@ def _blocks(path: str, head):
     """Rows (key, block, postings, docs): one per block with its documents, and one per rarer pre-token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, number = head.value, TaskContext.get().partitionId() << 32
+        frequencies, number = Frequencies(model(path), head.value), TaskContext.get().partitionId() << 32
         names: dict[bytes, int] = {}
         docs: list[tuple] = []
         word_of: list[int] = []
@@ -112,12 +157,9 @@ def _blocks(path: str, head):
         for batch in batches:
             id_type = batch.column(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text, tokens, place = text.as_py() or "", 0, len(docs)
-                for word, n in model(path).frequencies(text).items():
-                    pieces = known.get(word)
-                    if pieces is not None:
-                        tokens += pieces * n
-                        continue
+                text, place = text.as_py() or "", len(docs)
+                tokens, rare = frequencies.count(text)
+                for word, n in rare.items():
                     at = names.setdefault(word, len(names))
                     while n > 0:
                         word_of.append(at)
@@ -135,34 +177,41 @@ def _blocks(path: str, head):
 
 
 def _counted(path: str):
-    """Postings with the pieces of their pre-token; rows come sorted by pre-token, which is counted once.
+    """Postings with the pieces of their pre-token, which meet in one partition and are counted once.
 
     Postings of one block with equal counts are joined within a batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, pieces = None, 0
+        known: dict[bytes, int] = {}
+        names = ["block", "pieces", "postings", "docs"]
         for batch in batches:
-            joined: dict[tuple[int, int], list[bytes]] = {}
-            own = []
-            for i, (key, block) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if key[:1] == b" ":
-                    own.append(i)
-                    continue
-                if key != last:
-                    last, pieces = key, model(path).pieces(key)
-                joined.setdefault((block, pieces), []).append(batch.column(2)[i].as_py())
+            keys = batch.column(0).to_pylist()
+            own = np.array([key[:1] == b" " for key in keys])
             docs_type = batch.schema.field("docs").type
-            names = ["block", "pieces", "postings", "docs"]
-            if own:
-                picked = batch.take(pa.array(own))
-                yield pa.record_batch([picked.column(1), pa.array([0] * len(own), pa.int64()), picked.column(2), picked.column(3)], names=names)
-            if joined:
-                yield pa.record_batch(
-                    [pa.array([b for b, _ in joined], pa.int64()), pa.array([p for _, p in joined], pa.int64()),
-                     pa.array([b"".join(x) for x in joined.values()], pa.binary()), pa.nulls(len(joined), docs_type)],
-                    names=names,
-                )
+            if own.any():
+                some = batch.filter(pa.array(own))
+                yield pa.record_batch([some.column(1), pa.array(np.zeros(len(some), np.int64)), some.column(2), some.column(3)], names=names)
+            if own.all():
+                continue
+            some = batch.filter(pa.array(~own))
+            if len(known) > COUNTED_CHUNKS:
+                known.clear()
+            pieces = [known.get(key) for key in keys if key[:1] != b" "]
+            if None in pieces:
+                for i, key in enumerate(some.column(0).to_pylist()):
+                    if pieces[i] is None:
+                        pieces[i] = known[key] = known.get(key) or model(path).pieces(key)
+                model(path).words.bound()
+            pieces, blocks = np.array(pieces), some.column(1).to_numpy()
+            order = np.lexsort((pieces, blocks))
+            pieces, blocks = pieces[order], blocks[order]
+            postings = some.column(2).take(pa.array(order))
+            first = np.flatnonzero(np.concatenate([[True], (pieces[1:] != pieces[:-1]) | (blocks[1:] != blocks[:-1])]))
+            ends = np.frombuffer(postings.buffers()[1], dtype=np.int32)[postings.offset : postings.offset + len(postings) + 1]
+            offsets = np.append(ends[first], ends[-1]).astype(np.int32)
+            joined = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), postings.buffers()[2]])
+            yield pa.record_batch([pa.array(blocks[first]), pa.array(pieces[first]), joined, pa.nulls(len(first), docs_type)], names=names)
 
     return run
 
@@ -199,7 +248,6 @@ def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     tail = [T.StructField("postings", T.BinaryType()), T.StructField("docs", docs_type)]
     block = T.StructField("block", T.LongType())
     blocks = given.mapInArrow(_blocks(path, frequent), T.StructType([T.StructField("key", T.BinaryType()), block, *tail]))
-    by_word = blocks.repartition("key").sortWithinPartitions("key")
-    counted = by_word.mapInArrow(_counted(path), T.StructType([block, T.StructField("pieces", T.LongType()), *tail]))
+    counted = blocks.repartition("key").mapInArrow(_counted(path), T.StructType([block, T.StructField("pieces", T.LongType()), *tail]))
     out = T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return counted.repartition("block").sortWithinPartitions("block").mapInArrow(_summed, out).withColumnRenamed("id", id)
