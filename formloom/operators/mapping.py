@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from formloom.functions.answers import SCALAR, condition_holds
 from formloom.functions.identity import canonical_json, multiset_digest, release_key
 from formloom.operators.standardize import convert_unit, normalized_source
-from formloom.session import broadcast_if_small
+from formloom.session import broadcast_if_small, is_small
 
 ENTRY_SCHEMA = f"""
     release_id string, vocabulary_release_id string, mapping_id string,
@@ -41,9 +41,10 @@ def resolve(canonical: DataFrame, entries: DataFrame) -> DataFrame:
     fingerprint, then the compatibility fingerprint, always on the same item path. Several entries
     at the best level are ambiguous, none at all is unknown. Entries are reduced to one row per
     scope key, which carries the entry's body, so the three equi-joins keep one row per answer, also
-    where a release uses a mapping id twice. Spark broadcasts the entry side where its size allows
-    it, and otherwise shuffles and splits hot paths.
+    where a release uses a mapping id twice. The entry side is broadcast where its counted size
+    allows it, so answers stay where they are; otherwise Spark shuffles and splits hot paths.
     """
+    hint = F.broadcast if is_small(entries) else lambda df: df
     shared = entries.filter("establishment_id IS NULL")
     sides = [
         (entries, ["item_path", "establishment_id", "source_fingerprint"]),
@@ -52,7 +53,7 @@ def resolve(canonical: DataFrame, entries: DataFrame) -> DataFrame:
     ]
     out = canonical
     for level, (side, keys) in enumerate(sides, start=1):
-        out = out.join(_scope_table(side, keys, level), keys, "left")
+        out = out.join(hint(_scope_table(side, keys, level)), keys, "left")
     best = F.coalesce("_claim1", "_claim2", "_claim3")
     chosen = F.when(best["claims"] == 1, best["entry"])
     resolution = (
