@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED_CHUNKS = 160_000
+CACHED_CHUNKS = 80_000
 CACHED_CHARS = 48
 BATCH_BYTES = 16_000_000
 SHORT = 24
@@ -266,9 +266,12 @@ def _map(docs: DataFrame, column: str, out: str, kind: pa.DataType, ddl: str, ke
                 found.append(each(batch.column(1)[i].as_py()))
                 size += len(found[-1])
                 if size > BATCH_BYTES or i + 1 == batch.num_rows:
-                    rows = batch.slice(start, len(found)).column(0)
-                    yield pa.record_batch([rows, pa.array(found, kind)], names=["row", "made"])
-                    start, size, found = i + 1, 0, []
+                    made = pa.array(found, kind)
+                    found = []
+                    yield pa.record_batch([batch.slice(start, len(made)).column(0), made], names=["row", "made"])
+                    start, size, made = i + 1, 0, None
+            batch = None  # else it stays while the next one is read
+            pa.default_memory_pool().release_unused()
 
     schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("made", T.DataType.fromDDL(ddl))])
     return packed.mapInArrow(run, schema).select(*[F.col("row")[name].alias(name) for name in kept], F.col("made").alias(out))

@@ -137,11 +137,17 @@ def predict(docs: DataFrame, learned, text: str = "text", keep: list[str] | None
     def score(batches):
         langs, matrix, prior = shared.value
         for batch in batches:
-            found = [classify(x.as_py(), langs, matrix, prior) for x in batch.column(1)]
+            texts = batch.column(0).field(text) if carried else batch.column(1)
+            found = [classify(x.as_py(), langs, matrix, prior) for x in texts]
             out = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.record_batch(out, names=["row", "lang_pred", "score"])
+            batch = texts = out = None  # else they stay while the next batch is read
+            pa.default_memory_pool().release_unused()
 
-    packed = docs.select(F.struct(*[docs[name] for name in (keep or docs.columns)]).alias("row"), docs[text].alias("text"))
+    kept = keep or docs.columns
+    carried = text in kept  # then the text is read from the row and not sent twice
+    row = F.struct(*[docs[name] for name in kept]).alias("row")
+    packed = docs.select(row) if carried else docs.select(row, docs[text].alias("text"))
     schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return packed.mapInArrow(score, schema)
 

@@ -143,6 +143,8 @@ def pack(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", window: int =
                     yield from packer.add(doc, (packed.as_py() or b"") + end)
                     if packer.counts.sum() > MOST_OPEN:
                         yield from packer.merge()
+                batch = packed = None  # else they stay while the next batch is read
+                pa.default_memory_pool().release_unused()
             yield from packer.close()
 
         for pieces in windows():
