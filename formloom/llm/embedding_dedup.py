@@ -5,9 +5,10 @@ orders and is refined by neighbours-of-neighbours joins: around each vector its
 neighbours are compared with one another, and pairs that improve a list enter it. Edges at or above the
 threshold, checked in double precision, are links.
 
-A list in which every entry is a link is saturated: there may be more. Saturated lists are enlarged to
-all members of their connected component, by reference to the component's most linked vector: with
-angles ``p`` and ``q`` to it, two members are linked for certain if ``p + q`` is within the threshold's
+A list in which every entry is a link is saturated: there may be more. Later rounds therefore look only
+between the components found so far: a list holds the nearest member of each of k other components, so a
+vector's own group takes no place in it. Rounds go on until one with new orders finds no new link.
+Inside a component links are counted by reference to its most linked vector: with angles ``p`` and ``q`` to it, two members are linked for certain if ``p + q`` is within the threshold's
 angle, and not if ``|p - q|`` is beyond it. Certain links are counted from a histogram of angles, so a
 large group of near copies costs a row per member; what is left is compared in blocks.
 
@@ -50,6 +51,8 @@ class Setting:
 BINS = 1024
 _SLACK = 1e-7
 _CODE_BITS = 40
+_CELL_BITS = 16
+_LARGE = 64
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +75,7 @@ def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1).astype(dtype)
 
 
-def _codes(orders: int, seed: int):
+def _codes(first: int, orders: int, seed: int):
     """Each vector once per order, with the signs of its projections on that order's hyperplanes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,52 +85,71 @@ def _codes(orders: int, seed: int):
             for dim in set(batch.column(2).to_pylist()):
                 own = batch.filter(pa.array(np.array(batch.column(2).to_pylist()) == dim))
                 x = _matrix(own.column(3))
-                for order in range(orders):
+                for order in range(first, first + orders):
                     if (order, dim) not in planes:
                         planes[order, dim] = np.random.default_rng([seed, order]).standard_normal((dim, _CODE_BITS))
                     codes = ((x @ planes[order, dim]) > 0) @ weights
                     yield pa.record_batch(
-                        [pa.array(np.full(len(x), order), pa.int32()), own.column(1), own.column(2), pa.array(codes), own.column(0), own.column(3)],
-                        names=["ord", "label", "dim", "code", "rid", "unit"],
+                        [pa.array(np.full(len(x), order), pa.int32()), own.column(1), own.column(2), pa.array(codes), own.column(0), own.column(3), *own.columns[4:]],
+                        names=["ord", "label", "dim", "code", "rid", "unit", "component", "large"],
                     )
 
     return run
 
 
-def _best(rids: np.ndarray, cosines: np.ndarray, k: int, bars: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k largest entries of each row above that row's bar, as (row, column, cosine) of ids."""
-    k = min(k, cosines.shape[1])
+def _best(rids: np.ndarray, parts: np.ndarray, cosines: np.ndarray, k: int, bars: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Of each row the nearest member of each of the k nearest other components, if above that row's bar.
+
+    As (row, member, its component, cosine).
+    """
+    names, inverse, sizes = np.unique(parts, return_inverse=True, return_counts=True)
+    order = np.argsort(inverse, kind="stable")
+    starts = np.cumsum(sizes) - sizes
+    if len(names) == len(parts):
+        member = np.broadcast_to(order, cosines.shape)
+        cosines = cosines[:, order]
+    else:
+        member = np.tile(order[starts], (len(parts), 1))
+        for j in np.flatnonzero(sizes > 1):
+            columns = order[starts[j] : starts[j] + sizes[j]]
+            member[:, j] = columns[np.argmax(cosines[:, columns], axis=1)]
+        cosines = np.take_along_axis(cosines, member, axis=1)
+    cosines[np.arange(len(parts)), inverse] = -2
+    k = min(k, len(names))
     top = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
     values = np.take_along_axis(cosines, top, axis=1)
     keep = values > (-1.5 if bars is None else bars[:, None])
-    return np.repeat(rids, keep.sum(axis=1)), rids[top[keep]], values[keep]
+    found = np.take_along_axis(member, top, axis=1)[keep]
+    return np.repeat(rids, keep.sum(axis=1)), rids[found], parts[found], values[keep]
 
 
-def _edges(v: np.ndarray, u: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(v, pa.int64()), pa.array(u, pa.int64()), pa.array(c, pa.float64())], names=["v", "u", "cos"])
+def _edges(v: np.ndarray, u: np.ndarray, part: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(v, pa.int64()), pa.array(u, pa.int64()), pa.array(part, pa.int64()), pa.array(c, pa.float64())], names=["v", "u", "part", "cos"])
+
+
+_EDGES = "v long, u long, part long, cos double"
 
 
 def _block_edges(k: int, block: int):
     """Neighbours inside consecutive blocks of sorted rows; a block never mixes orders, labels or lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(rids, units):
+        def compared(rids, units, parts):
             x = np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(rids), -1)
-            cosines = x @ x.T
-            np.fill_diagonal(cosines, -2)
-            return _edges(*_best(np.array(rids), cosines, k))
+            return _edges(*_best(np.array(rids), np.array(parts), x @ x.T, k))
 
-        key, rids, units = None, [], []
+        key, rids, units, parts = None, [], [], []
         for batch in batches:
-            for order, label, dim, rid, unit in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
+            for order, label, dim, rid, unit, part in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))):
                 if (order, label, dim) != key or len(rids) == block:
                     if len(rids) > 1:
-                        yield compared(rids, units)
-                    key, rids, units = (order, label, dim), [], []
+                        yield compared(rids, units, parts)
+                    key, rids, units, parts = (order, label, dim), [], [], []
                 rids.append(rid)
                 units.append(unit)
+                parts.append(part)
         if len(rids) > 1:
-            yield compared(rids, units)
+            yield compared(rids, units, parts)
 
     return run
 
@@ -136,36 +158,63 @@ def _local_join(k: int):
     """Around each vector: its members compared with one another, pairs that beat a member's bar come out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def compared(rids, units, bars):
+        def compared(rids, units, parts, bars):
             x = np.frombuffer(b"".join(units), dtype=np.float64).reshape(len(rids), -1)
-            cosines = x @ x.T
-            np.fill_diagonal(cosines, -2)
-            return _best(np.array(rids), cosines, k, np.array(bars))
+            return _best(np.array(rids), np.array(parts), x @ x.T, k, np.array(bars))
 
-        around, rids, units, bars, found = None, [], [], [], []
+        around, rids, units, parts, bars, found = None, [], [], [], [], []
         for batch in batches:
-            for centre, rid, unit, bar in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for centre, rid, unit, part, bar in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if centre != around:
                     if len(rids) > 1:
-                        found.append(compared(rids, units, bars))
-                    around, rids, units, bars = centre, [], [], []
+                        found.append(compared(rids, units, parts, bars))
+                    around, rids, units, parts, bars = centre, [], [], [], []
                 rids.append(rid)
                 units.append(unit)
+                parts.append(part)
                 bars.append(bar)
             if found:
                 yield _edges(*map(np.concatenate, zip(*found)))
                 found = []
         if len(rids) > 1:
-            yield _edges(*compared(rids, units, bars))
+            yield _edges(*compared(rids, units, parts, bars))
 
     return run
 
 
 def _nearest(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each v. A list is fed by a few blocks or centres, so it is small before the cut."""
-    distinct = edges.repartition("v").groupBy("v", "u").agg(F.max("cos").alias("cos"))
+    """The k nearest components of each v. A list is fed by a few blocks or centres, so it is small before the cut."""
+    best = edges.repartition("v").groupBy("v", "part").agg(F.max(F.struct("cos", (-F.col("u")).alias("u"))).alias("best"))
+    distinct = best.select("v", (-F.col("best.u")).alias("u"), "part", F.col("best.cos").alias("cos"))
     order = Window.partitionBy("v").orderBy(F.desc("cos"), "u")
-    return cut(distinct.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k).select("v", "u", "cos"), "graph")
+    return cut(distinct.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= k).drop("i"), "graph")
+
+
+def _started(points: DataFrame, graph: DataFrame | None, setting: Setting, orders: int, seed: int) -> DataFrame:
+    """``graph`` with the neighbours in blocks of new orders, a few orders at a time.
+
+    A large component would fill whole blocks with its own members, so of those with the same first
+    signs only one stands in an order, another one in the next.
+    """
+    schema = "ord int, label string, dim int, code long, rid long, unit binary, component long, large boolean"
+    for first in range(0, orders, setting.orders):
+        coded = points.mapInArrow(_codes(first, min(setting.orders, orders - first), seed), schema)
+        place = F.xxhash64("rid", "ord", F.lit(seed))
+        if seed:
+            one = F.min_by(F.struct("code", "rid", "unit"), place).alias("one")
+            cell = F.shiftright("code", _CODE_BITS - _CELL_BITS)
+            thin = coded.filter("large").groupBy("ord", "label", "dim", "component", cell).agg(one)
+            coded = coded.filter("NOT large").drop("large").unionByName(thin.select("ord", "label", "dim", "component", "one.*"))
+        else:
+            coded = coded.drop("large")
+        ordered = (
+            coded.repartitionByRange("ord", "label", "dim", "code", place)
+            .sortWithinPartitions("ord", "label", "dim", "code", place)
+            .select("ord", "label", "dim", "code", "rid", "unit", "component")
+        )
+        found = ordered.mapInArrow(_block_edges(setting.neighbours, setting.block), _EDGES)
+        graph = _nearest(found if graph is None else graph.unionByName(found), setting.neighbours)
+    return graph
 
 
 def _descend(graph: DataFrame, points: DataFrame, k: int) -> DataFrame:
@@ -179,12 +228,19 @@ def _descend(graph: DataFrame, points: DataFrame, k: int) -> DataFrame:
         .distinct()
     )
     bars = graph.groupBy("v").agg(F.when(F.count(F.lit(1)) >= k, F.min("cos")).otherwise(F.lit(-1.5)).alias("bar"))
-    known = points.select("rid", "unit").join(bars.withColumnRenamed("v", "rid"), "rid")
-    around = members.join(known, "rid").select("centre", "rid", "unit", "bar").repartition("centre").sortWithinPartitions("centre")
-    better = around.mapInArrow(_local_join(k), "v long, u long, cos double")
+    known = points.select("rid", "unit", "component").join(bars.withColumnRenamed("v", "rid"), "rid")
+    around = members.join(known, "rid").select("centre", "rid", "unit", "component", "bar").repartition("centre").sortWithinPartitions("centre")
+    better = around.mapInArrow(_local_join(k), _EDGES)
     return _nearest(graph.unionByName(better), k)
 
 
+def _between(graph: DataFrame, points: DataFrame) -> DataFrame:
+    """Those edges that join different components, as ``points`` name them now."""
+    part = points.select(F.col("rid").alias("u"), F.col("component").alias("part"))
+    own = points.select(F.col("rid").alias("v"), F.col("component").alias("own"))
+    return graph.drop("part").join(part, "u").join(own, "v").filter("part <> own").select("v", "u", "part", "cos")
+
+
 def _angle(cosine):
     return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
 
@@ -260,6 +316,22 @@ def _enlarged(member: DataFrame, degree: DataFrame, points: DataFrame, setting:
     return certain.unionByName(counted).groupBy("rid").agg(F.sum("n").alias("n"))
 
 
+def _placed(points: DataFrame, member: DataFrame) -> DataFrame:
+    """``points`` with their component, themselves if they have none, and whether it is a large one."""
+    sizes = member.groupBy("component").agg((F.count(F.lit(1)) > _LARGE).alias("large"))
+    own = points.join(member.join(sizes, "component"), "rid", "left")
+    return cut(own.select(*points.columns, F.coalesce("component", "rid").alias("component"), F.coalesce("large", F.lit(False)).alias("large")), "placed")
+
+
+def _counts(member: DataFrame, links: DataFrame, points: DataFrame, setting: Setting) -> DataFrame:
+    """(rid, n): all links of each member of a component with the others in it."""
+    degree = links.select(F.col("a").alias("rid")).union(links.select("b")).groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
+    several = member.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").select("component")
+    whole = _enlarged(cut(member.join(several, "component", "left_semi"), "several"), degree, points, setting)
+    pairs = member.join(several, "component", "left_anti").select("rid", F.lit(1).cast("long").alias("n"))
+    return cut(whole.select("rid", "n").unionByName(pairs), "counts")
+
+
 def _audit(points: DataFrame, counts: DataFrame, setting: Setting) -> float:
     """Share of the true links of ``audited`` vectors, picked by a hash, that were found."""
     queries = points.orderBy(F.xxhash64("rid"), "rid").limit(setting.audited).select("rid", "label", "dim", "unit").collect()
@@ -299,31 +371,32 @@ def near_duplicates(
     rows = cut(given.mapInArrow(_units, schema).withColumn("rid", F.monotonically_increasing_id()), "vectors")
     points = rows.filter("unit IS NOT NULL AND label IS NOT NULL").select("rid", "label", "dim", "unit")
 
-    graph, k = None, setting.neighbours
-    for attempt in range(setting.rounds):
-        ordered = (
-            points.mapInArrow(_codes(setting.orders, attempt), "ord int, label string, dim int, code long, rid long, unit binary")
-            .repartitionByRange("ord", "label", "dim", "code", F.xxhash64("rid"))
-            .sortWithinPartitions("ord", "label", "dim", "code", F.xxhash64("rid"))
-        )
-        started = ordered.mapInArrow(_block_edges(k, setting.block), "v long, u long, cos double")
-        graph = _nearest(started if graph is None else graph.unionByName(started), k)
+    orders = setting.orders
+    graph, links, member, attempt = None, None, None, 0
+    while True:
+        if member is None:
+            placed = points.withColumn("component", F.col("rid")).withColumn("large", F.lit(False))
+        else:
+            placed = _placed(points, member)
+            graph = _between(graph, placed)
+        graph = _started(placed, graph, setting, orders, attempt)
         for _ in range(setting.descents):
-            graph = _descend(graph, points, k)
-
+            graph = _descend(graph, placed, setting.neighbours)
         near = graph.filter(F.col("cos") >= setting.threshold - 1e-6)
         pairs = near.select(F.least("v", "u").alias("a"), F.greatest("v", "u").alias("b")).distinct()
-        links = cut(_cosines(pairs, points).filter(F.col("cos") >= setting.threshold).select("a", "b"), "near-links")
-        member = cut(components(links).select(F.col("v").alias("rid"), "component"), "member")
-        ends = links.select(F.col("a").alias("rid")).union(links.select("b"))
-        degree = ends.groupBy("rid").agg(F.count(F.lit(1)).alias("n"))
-
-        saturated = near.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(F.col("v").alias("rid"))
-        full = member.join(saturated, "rid", "left_semi").select("component").distinct()
-        whole = _enlarged(cut(member.join(full, "component", "left_semi"), "saturated"), degree, points, setting)
-        plain = member.join(full, "component", "left_anti").join(degree, "rid").select("rid", "n")
-        counts = cut(whole.select("rid", "n").unionByName(plain), "counts")
-        if _audit(points, counts, setting) >= setting.least_recall:
+        new = cut(_cosines(pairs, points).filter(F.col("cos") >= setting.threshold).select("a", "b"), "near-links")
+        quiet = attempt > 0 and new.isEmpty()
+        if not quiet:
+            links = new if links is None else links.unionByName(new)
+            member = cut(components(links).select(F.col("v").alias("rid"), "component"), "member")
+        attempt += 1
+        if not quiet and attempt < setting.rounds:
+            continue
+        counts = _counts(member, links, points, setting)
+        enough = _audit(points, counts, setting) >= setting.least_recall
+        if enough and quiet:
+            break
+        if not enough and attempt >= setting.rounds:
             break
 
     named = member.join(rows.select("rid", "id"), "rid")

@@ -205,6 +205,25 @@ def test_vectors_equal_brute_force(spark, noise):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in found)
 
 
+def in_turn(angles):
+    """Unit vectors of 24 components: the angles are taken in the first plane."""
+    return [[float(np.cos(a)), float(np.sin(a)), *[0.0] * 22] for a in angles]
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.02], ids=["identical", "tight"])
+def test_vectors_link_groups_that_fill_each_other_s_lists(spark, spread):
+    """Two groups of 50 at cosine 0.95, in one label with others, are one component."""
+    rnd = np.random.default_rng(11)
+    at = [*([0.0] * 50), *([float(np.arccos(0.95))] * 50)]
+    vectors = [np.array(v) + spread * rnd.standard_normal(24) / np.sqrt(24) for v in in_turn(at)]
+    vectors += list(rnd.standard_normal((200, 24)))
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(vectors)]
+    degree, component = brute_vectors(rows)
+    assert {component[i] for i in range(100)} == {0}
+    found = embedding_dedup.near_duplicates(vectors_of(spark, rows)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == {i: (degree[i], component[i]) for i in degree}
+
+
 def test_vectors_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
