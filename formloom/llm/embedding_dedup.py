@@ -13,7 +13,8 @@ angle, and not if ``|p - q|`` is beyond it. Certain links are counted from a his
 large group of near copies costs a row per member; what is left is compared in blocks.
 
 A bounded set of queries is compared with all vectors to audit recall; below the target another round
-with new orders refines the same graph.
+with new orders refines the same graph, and after ``rounds`` of them what is left between components is
+compared exactly, block by block.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without
 a label, link with nothing. Only vectors of one label and one length are compared. Every row is a vector
@@ -53,6 +54,7 @@ _SLACK = 1e-7
 _CODE_BITS = 40
 _CELL_BITS = 16
 _LARGE = 64
+_SHARES = 16
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +77,18 @@ def _matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(len(column), -1).astype(dtype)
 
 
+def _orders(points: DataFrame, setting: Setting) -> int:
+    """Orders after which a lone pair at the threshold has met in a block as often as recall asks for.
+
+    Two vectors stay together over a hyperplane with probability ``1 - angle / pi``, and about
+    ``log2(n / block)`` hyperplanes split ``n`` vectors of a label down to blocks.
+    """
+    most = points.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    planes = 1 + max(0.0, math.log2(max(most, 1) / setting.block))
+    together = (1 - math.acos(setting.threshold) / math.pi) ** planes
+    return max(setting.orders, math.ceil(math.log(1 - setting.least_recall) / math.log(1 - together)))
+
+
 def _codes(first: int, orders: int, seed: int):
     """Each vector once per order, with the signs of its projections on that order's hyperplanes."""
 
@@ -332,9 +346,51 @@ def _counts(member: DataFrame, links: DataFrame, points: DataFrame, setting: Set
     return cut(whole.select("rid", "n").unionByName(pairs), "counts")
 
 
+def _cross_links(threshold: float):
+    """A link for each two components that have one between two blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for xs, ys in zip(batch.column(0), batch.column(1)):
+                xs, ys = xs.values, ys.values
+                p, q = xs.field("component").to_numpy(), ys.field("component").to_numpy()
+                linked = (_matrix(xs.field("unit")) @ _matrix(ys.field("unit")).T >= threshold) & (p[:, None] != q[None, :])
+                i, j = np.nonzero(linked)
+                some = np.unique(np.stack([p[i], q[j]]), axis=1, return_index=True)[1]
+                a, b = xs.field("rid").to_numpy()[i[some]], ys.field("rid").to_numpy()[j[some]]
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _remaining(placed: DataFrame, setting: Setting) -> DataFrame:
+    """Links between components by comparing all blocks of a label: exact, and quadratic in the label."""
+    sizes = placed.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size"))
+    block = F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / setting.block)).alias("block")
+    blocks = cut(
+        placed.join(sizes, ["label", "dim"]).groupBy("label", "dim", block).agg(F.collect_list(F.struct("rid", "component", "unit")).alias("rows")),
+        "blocks",
+    )
+    share = F.pmod("block", F.lit(_SHARES)).cast("int").alias("share")
+    xs = blocks.select("label", "dim", share, F.col("block").alias("x"), F.col("rows").alias("xs"))
+    ys = blocks.select("label", "dim", F.explode(F.sequence(F.lit(0), F.lit(_SHARES - 1))).alias("share"), F.col("block").alias("y"), F.col("rows").alias("ys"))
+    pairs = xs.join(ys, ["label", "dim", "share"]).filter("x <= y").select("xs", "ys")
+    return cut(pairs.mapInArrow(_cross_links(setting.threshold), "a long, b long"), "remaining")
+
+
 def _audit(points: DataFrame, counts: DataFrame, setting: Setting) -> float:
-    """Share of the true links of ``audited`` vectors, picked by a hash, that were found."""
-    queries = points.orderBy(F.xxhash64("rid"), "rid").limit(setting.audited).select("rid", "label", "dim", "unit").collect()
+    """Mean share of their true links that vectors have, over the vectors that have any.
+
+    Of the vectors with links and of those without, ``audited`` each are picked by a hash and stand for
+    all of their kind, so neither large groups nor the many lone vectors hide what small groups lose.
+    """
+    known = points.join(counts, "rid", "left").select("rid", "label", "dim", "unit", "n")
+    sizes = known.agg(F.count("n"), F.count(F.lit(1))).first()
+    kinds = {True: sizes[0], False: sizes[1] - sizes[0]}
+    queries = []
+    for linked in kinds:
+        some = known.filter(F.col("n").isNotNull() if linked else F.col("n").isNull())
+        queries += some.orderBy(F.xxhash64("rid"), "rid").limit(setting.audited).collect()
     if not queries:
         return 1.0
     rows = [(q["rid"], q["label"], q["dim"], bytes(q["unit"])) for q in queries]
@@ -355,8 +411,15 @@ def _audit(points: DataFrame, counts: DataFrame, setting: Setting) -> float:
                 yield pa.record_batch([pa.array([r[0] for r in own], pa.int64()), pa.array(true, pa.int64())], names=["rid", "true"])
 
     whole = points.select("rid", "label", "dim", "unit").mapInArrow(run, "rid long, true long").groupBy("rid").agg(F.sum("true").alias("true"))
-    row = whole.join(counts, "rid", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-    return row[1] / row[0] if row[0] else 1.0
+    true = {r["rid"]: r["true"] for r in whole.collect()}  # one row per query
+    return mean_recall([(q["n"], true.get(q["rid"], 0)) for q in queries], kinds)
+
+
+def mean_recall(found: list[tuple[int | None, int]], kinds: dict[bool, int]) -> float:
+    """Mean recall of queries (links found or None, true links), each kind weighed by its vectors; 1 if none has links."""
+    drawn = {kind: sum((n is not None) == kind for n, _ in found) for kind in kinds}
+    shares = [(kinds[n is not None] / drawn[n is not None], min(n or 0, true) / true) for n, true in found if true]
+    return sum(w * r for w, r in shares) / sum(w for w, _ in shares) if shares else 1.0
 
 
 def near_duplicates(
@@ -371,7 +434,7 @@ def near_duplicates(
     rows = cut(given.mapInArrow(_units, schema).withColumn("rid", F.monotonically_increasing_id()), "vectors")
     points = rows.filter("unit IS NOT NULL AND label IS NOT NULL").select("rid", "label", "dim", "unit")
 
-    orders = setting.orders
+    orders = _orders(points, setting)
     graph, links, member, attempt = None, None, None, 0
     while True:
         if member is None:
@@ -397,6 +460,9 @@ def near_duplicates(
         if enough and quiet:
             break
         if not enough and attempt >= setting.rounds:
+            links = links.unionByName(_remaining(_placed(points, member), setting))
+            member = cut(components(links).select(F.col("v").alias("rid"), "component"), "member")
+            counts = _counts(member, links, points, setting)
             break
 
     named = member.join(rows.select("rid", "id"), "rid")

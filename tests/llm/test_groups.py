@@ -224,6 +224,26 @@ def test_vectors_link_groups_that_fill_each_other_s_lists(spark, spread):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == {i: (degree[i], component[i]) for i in degree}
 
 
+def test_vectors_are_compared_exactly_where_the_audit_fails(spark, monkeypatch):
+    """A search too weak to meet its target is followed by all blocks."""
+    rnd = np.random.default_rng(12)
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(rnd.standard_normal((150, 24)))]
+    rows += [(200 + i, [x + 0.01 for x in v], 0) for i, v, _ in rows[:60]]
+    degree, component = brute_vectors(rows)
+    monkeypatch.setattr(embedding_dedup, "_audit", lambda *a: 0.0)
+    weak = embedding_dedup.Setting(neighbours=1, orders=1, block=2, descents=0, rounds=1, least_recall=0.01)
+    found = embedding_dedup.near_duplicates(vectors_of(spark, rows), weak).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == {i: (degree[i], component[i]) for i in degree}
+
+
+def test_audit_weighs_vectors_not_links():
+    """One found group of thousands hides neither lost pairs nor vectors that seem to have no links."""
+    pairs = [(None, 1)] * 20 + [(None, 0)] * 380
+    assert embedding_dedup.mean_recall([(5000, 5000)] * 20 + pairs, {True: 20, False: 400}) == 0.5
+    assert embedding_dedup.mean_recall([(9, 9)] * 400 + pairs, {True: 400, False: 380_000}) < 0.03
+    assert embedding_dedup.mean_recall([(None, 0)] * 5, {True: 0, False: 5}) == 1.0
+
+
 def test_vectors_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
