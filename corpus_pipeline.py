@@ -6,7 +6,7 @@ the columns of documents. ``run`` writes every stage as Parquet in the shared fo
 Edge cases are those of the operators: nulls, empty texts, ties, repeated rows, empty tables and extra
 columns with clashing names are allowed in every stage. A text without letters, or one whose language
 is doubtful, goes in the first stage; of equal texts one row stays; of a group of near duplicates the
-rows of its smallest id stay.
+row of its smallest id stays.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from formloom.session import cut
 # A document stays when its predicted language has at least this posterior probability.
 LEAST_LANGUAGE_SCORE = 0.5
 
+_ROW = "_near_row"
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with letters and a clear language, learned from the labels of all rows."""
@@ -35,10 +37,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    classes = ngram_join.similarity_classes(docs)
-    dropped = classes.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["_dropped"], "left_anti")
+    """One row of each group of near duplicates: the one with the smallest id, a null id being the last."""
+    rows = cut(docs.withColumn(_ROW, F.monotonically_increasing_id()), "near-rows")
+    classes = ngram_join.row_classes(rows.select(F.col(_ROW).alias("id"), "text"))
+    own = rows.select(F.col(_ROW).alias("id"), F.col("doc_id").cast("long").alias("doc"))
+    placed = cut(classes.join(own, "id").select("id", "doc", "component_id"), "near-placed")
+    first = F.min(F.struct(F.col("doc").isNull(), "doc", "id")).alias("first")
+    kept = placed.groupBy("component_id").agg(first).select(F.col("first.id").alias(_ROW))
+    return rows.join(kept, _ROW, "left_semi").select(*docs.columns)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

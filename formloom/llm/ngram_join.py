@@ -21,8 +21,8 @@ prefixes.
 
 Defined results: words are split at ASCII white space after lower-casing A-Z. With fewer words than a
 shingle has, the whole sequence is the only shingle; without words the set is empty and links with
-nothing. Null ids are dropped from linking and have themselves as component. Rows that repeat an id
-with different texts should be made unique before. Memory holds one text's words at a time.
+nothing. Rows are linked, not ids: every row is a document of its own, also where ids repeat or are null,
+and a component is named by its smallest id that is not null. Memory holds one text's words at a time.
 """
 
 from __future__ import annotations
@@ -234,12 +234,25 @@ def verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, setting: Se
     return cut(both.mapInArrow(_verify(setting), "a long, b long"), "verified")
 
 
-def similarity_classes(docs: DataFrame, setting: Setting = Setting(), id: str = "doc_id", text: str = "text") -> DataFrame:
+def similarity_classes(
+    docs: DataFrame, setting: Setting = Setting(), id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """(id, n_shingles, class_id, component_id) for every row.
 
     ``class_id`` is the smallest id with the same set, ``component_id`` the smallest reachable by links.
     """
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    given = docs.select(F.col(id).cast("long").alias("given"), F.col(text).alias("text"))
+    rows = cut(given.withColumn("id", F.monotonically_increasing_id()), "rows")
+    found = cut(row_classes(rows.select("id", "text"), setting).join(rows.select("id", "given"), "id"), "row-classes")
+    smallest = found.groupBy("class_id", "component_id").agg(F.min("given").alias("class"))
+    named = smallest.join(smallest.groupBy("component_id").agg(F.min("class").alias("component")), "component_id")
+    return found.join(named, ["class_id", "component_id"]).select(
+        F.col("given").alias(id), "n_shingles", F.col("class").alias("class_id"), F.col("component").alias("component_id")
+    )
+
+
+def row_classes(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
+    """(id, n_shingles, class_id, component_id) for rows (id, text) whose ids are not null and do not repeat."""
     levels = docs.sparkSession.sparkContext.broadcast(popularity(docs.select("text"), setting))
     schema = "id long, n long, whole binary, grp binary, prefix array<long>, bits array<long>"
     sets = cut(docs.mapInArrow(_sets(setting, levels), schema), "sets")
@@ -254,7 +267,6 @@ def similarity_classes(docs: DataFrame, setting: Setting = Setting(), id: str =
     leaders = members.filter("g = rep").select(F.col("g").alias("id"))
     index = (
         filled.select("id", "n", "prefix")
-        .dropDuplicates(["id"])
         .join(leaders, "id", "left_semi")
         .select(F.col("id").alias("g"), "n", F.posexplode("prefix").alias("pos", "h"))
     )
@@ -327,7 +339,7 @@ def similarity_classes(docs: DataFrame, setting: Setting = Setting(), id: str =
         "whole", F.col("n").alias("size"), "rep", F.coalesce("component", "rep").alias("component")
     )
     return sets.select("id", "n", "whole").join(known.withColumnRenamed("whole", "w"), (F.col("whole") == F.col("w")) & F.col("id").isNotNull(), "left").select(
-        F.col("id").alias(id), F.col("n").alias("n_shingles"),
+        "id", F.col("n").alias("n_shingles"),
         F.coalesce("rep", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"),
     )
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,17 @@ def test_similarity_awkward_rows(spark):
     assert ngram_join.similarity_classes(documents(spark, [])).count() == 0
 
 
+def test_similarity_links_rows_not_ids(spark):
+    """An id with two texts, and near copies without an id."""
+    first, second, third = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(5, first), (5, second), (3, first + " more"), (7, second + " more"), (None, third), (None, third + " more"), (9, third)]
+    docs = local_table(spark, rows, "doc_id bigint, text string")
+    found = sorted((r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_classes(docs).collect())
+    assert found == [(98, 3), (98, 5), (98, 9), (98, 9), (99, 3), (99, 5), (99, 9)]
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == {(3, first + " more"), (5, second), (9, third)} and len(kept) == 3
+
+
 def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
     text = " ".join(WORDS * 50 + ["x" * 300, "y" * 64])
     whole = ngram_join.shingle_set(text, 3)
