@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formloom.llm import bpe, chat_format, embedding_dedup, exact_dedup, language_id, ngram_join, packing, sharding, token_counts, url_reputation
+from formloom.llm import (
+    bpe, centroids, chat_format, embedding_dedup, exact_dedup, language_id, ngram_join, packing, piece_bpe, sharding,
+    token_counts, url_reputation, whitening,
+)
 from formloom.session import local_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,3 +186,58 @@ def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @register("op2_nn_descent_dedup")
 def op2_nn_descent_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+PIECE_BPE = "piece_bpe_32k.model"
+
+
+@register("op11_offset_piece_bpe")
+def op11_offset_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = piece_bpe.encode(
+        table(spark, folder, "documents"), tokenizer_path(PIECE_BPE), add_end=True, keep=["doc_id"], made=("ids", "ends", "decoded")
+    )
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.element_at("ends", -1).alias("covered_bytes"),
+    )
+
+
+@register("op12_cholesky_jacobi_whitening")
+def op12_cholesky_jacobi_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Common table expressions of the rounds, from centroids c0 and vectors v to the last assignment."""
+    parts = []
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (SELECT rid, min(struct_pack(d := d, c := c)) AS best FROM (
+            SELECT rid, c, CAST(list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+            FROM v, c{i}) y GROUP BY rid)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (SELECT c, pos, CAST(floor_of(sum(val), count(*)) AS BIGINT) AS val FROM (
+                SELECT best.c AS c, unnest(x) AS val, unnest(range(len(x))) AS pos FROM a{i} JOIN v USING (rid)) z GROUP BY c, pos),
+            c{i + 1} AS (SELECT c{i}.c AS c, coalesce(n.m, c{i}.m) AS m FROM c{i}
+                LEFT JOIN (SELECT c, list(val ORDER BY pos) AS m FROM s{i} GROUP BY c) n ON n.c = c{i}.c)""")
+    made = ", ".join(parts)
+    return made.replace("floor_of(sum(val), count(*))", "(sum(val) - ((sum(val) % count(*)) + count(*)) % count(*)) // count(*)")
+
+
+@register(
+    "op13_geometric_centroids",
+    sql=f"""
+    WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+    c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, x) - 1 AS INTEGER) AS c, x AS m
+        FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h, x LIMIT 16) f),
+    {_rounds_sql(3)},
+    t AS (SELECT best.c AS c, CAST(sum(best.d) AS BIGINT) AS total FROM a3 GROUP BY best.c)
+    SELECT vec_id, a3.best.c AS cluster, a3.best.d AS distance, t.total AS cluster_inertia,
+        (SELECT CAST(sum(total) AS BIGINT) FROM t) AS inertia, sha256(array_to_string(c3.m, ',')) AS centroid_sha256
+    FROM a3 JOIN v USING (rid) JOIN t ON t.c = a3.best.c JOIN c3 ON c3.c = a3.best.c""",
+)
+def op13_geometric_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"))
