@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formloom.functions.answers import SCALAR, answer_state, coerce, condition_holds, text_scalar
 from formloom.functions.identity import deterministic_uuid
 from formloom.operators.ordering import block_ordinal, null_safe_join
-from formloom.session import broadcast_if_small, cut
+from formloom.session import broadcast_if_small, is_small
 
 EVIDENCE = (
     "struct<object_key:string,checksum_sha256:string,media_type:string,json_pointer:string,"
@@ -295,42 +295,163 @@ def type_answers(dense: DataFrame) -> DataFrame:
 SILENT_STATUSES = ("DRAFT", "VOIDED", "DELETED")
 
 
-def canonicalize_structured(
+def canonical_stream(
     responses: DataFrame,
     answers: DataFrame,
     items: DataFrame,
     form: list[str],
     behavior: str = "all",
 ) -> DataFrame:
-    """Responses and their answers to canonical rows, one per expected item and instance.
+    """Canonical rows and error rows of structured responses in one stream, told apart by ``reason``.
+
+    ``responses``: key, form columns, ``patient_pseudonym, authored_at, lifecycle_status``; one row per
+    key, neither part null. ``answers``: key, form columns, ``item_path, group_instance, raw_type,
+    raw_value, pos``, and where the source declares it ``declared_enabled``; other columns are carried.
+
+    An answer with an unknown path, on a group, with a missing or forbidden instance, given twice, or
+    against its declared display state becomes a row with the reason, and ``rejected`` marks all rows of
+    its response. Display states are only compared where a response has no other error. A value that does not fit its declared type becomes an INVALID row. Answers whose
+    response is not there are left out.
 
-    ``responses``: key, form columns, ``patient_pseudonym, authored_at, lifecycle_status``;
-    ``answers``: key, form columns, ``item_path, group_instance, raw_type, raw_value, pos``.
-    A value that does not fit its declared type becomes an INVALID row instead of an exception.
+    Responses and answers are each shuffled once, by response, and sorted once inside: repetition, instances,
+    context and rejection are windows over leading parts of that order, and what was expected but not answered
+    is added to the first row of its instance. A response is one document: its rows have to fit one task.
     """
-    kinds = broadcast_if_small(items.select(*form, F.col("path").alias("item_path"), "data_type"))
-    typed = type_answers(answers.join(kinds, [*form, "item_path"], "left")).drop("data_type")
-    # Written once: read for the instances, for the answers themselves and for the context.
-    typed = cut(typed, "typed-answers")
-    dense = densify(responses, typed, items, form)
-    rows = display_state(dense, typed, items, form, behavior)
+    if behavior not in {"all", "any"}:
+        raise ValueError(f"unsupported condition behavior {behavior}")
+    leaf, expected = _catalogue(items, form)
+    mine = {*RESPONSE_KEY, *form, "item_path", "group_instance"}
+    carried = [c for c in answers.columns if c not in mine]
+    head = F.struct(*[c for c in responses.columns if c not in {*RESPONSE_KEY, *form}]).alias("head")
+    rows = responses.select(*RESPONSE_KEY, *form, head).join(
+        answers.drop(*form).withColumn("present", F.lit(True)), RESPONSE_KEY, "left"
+    )
+    rows = type_answers(rows.join(leaf, [*form, "item_path"], "left"))
+    same = Window.partitionBy(*RESPONSE_KEY, "group_instance", "item_path").orderBy("pos")
+    rows = rows.withColumn("_again", F.lead(F.lit(True)).over(same).isNotNull()).withColumn("_nth", F.row_number().over(same))
+    rows = rows.filter("_nth = 1")
+    rows = _with_neighbours(rows)
+    whole = Window.partitionBy(*RESPONSE_KEY)
+    reason = F.when(F.col("present"), F.coalesce(_shape_reason(), F.when(F.col("_again"), F.lit("DUPLICATE_ANSWER"))))
+    rows = rows.withColumn("reason", reason).withColumn("rejected", F.max(F.col("reason").isNotNull()).over(whole))
+    if "declared_enabled" in carried:
+        declared = F.col("declared_enabled")
+        conflict = F.col("present") & ~F.col("rejected") & declared.isNotNull() & (declared != _enabled(behavior))
+        rows = rows.withColumn("reason", F.coalesce("reason", F.when(conflict, F.lit("CONDITIONAL_LOGIC_CONFLICT"))))
+        rows = rows.withColumn("rejected", F.max(F.col("reason").isNotNull()).over(whole))
+    kept = [*carried, "present", "answer", "type_error", "reason"]
+    rows = _fill_in(rows, expected, form, kept).join(leaf, [*form, "item_path"], "left").withColumn("enabled", _enabled(behavior))
+    # An answer brings its own unit, even a null one; a filled-in row takes the unit of the item.
+    own_unit = F.col("unit") if "unit" in carried else F.lit(None).cast("string")
+    rows = rows.withColumn("unit", F.when(F.col("present"), own_unit).otherwise(F.col("_item_unit")))
+    rows = rows.select("*", "head.*").drop("head", "own", "outer", "_item_unit", "_named", "_known")
     state = F.when(
         F.col("type_error").isNotNull() & F.col("enabled") & ~F.col("lifecycle_status").isin(*SILENT_STATUSES),
         F.lit("INVALID"),
-    ).otherwise(
-        answer_state(
-            F.col("present"), F.col("enabled"), F.col("answer.s"), F.col("lifecycle_status")
-        )
+    ).otherwise(answer_state(F.col("present"), F.col("enabled"), F.col("answer.s"), F.col("lifecycle_status")))
+    rows = rows.withColumn("event_id", answer_id("establishment_id", "response_id", "item_path", "group_instance"))
+    return rows.withColumn("state", F.when(F.col("reason").isNull(), state)).withColumn(
+        "value", F.when(F.col("state") == "PRESENT", F.col("answer")).cast(SCALAR)
     )
+
+
+def _catalogue(items: DataFrame, form: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Items by path (type, root, unit, conditions, whether a condition names them), and per form the paths
+    that are expected, by the root of their group; those outside groups have the empty root."""
+    named = condition_sources(items, form).withColumn("_named", F.lit(True))
+    known = items.select(
+        *form, F.col("path").alias("item_path"), "data_type", "repeated_root", F.col("unit").alias("_item_unit"), "conditions",
+        F.lit(True).alias("_known"),
+    ).join(named, [*form, "item_path"], "left")
+    root = F.coalesce("repeated_root", F.lit("")).alias("root")
+    paths = known.filter("data_type <> 'group'").groupBy(*form, root).agg(F.collect_list("item_path").alias("paths"))
+    expected = paths.groupBy(*form).agg(F.map_from_entries(F.collect_list(F.struct("root", "paths"))).alias("_expected"))
+    # Both come from the same items, so one count bounds both.
+    return (F.broadcast(known), F.broadcast(expected)) if is_small(known) else (known, expected)
+
+
+def _shape_reason() -> Column:
+    """Why an answer cannot stand in its form, whatever the other answers are."""
+    blank = F.coalesce(F.col("group_instance"), F.lit("")) == ""
     return (
-        rows.withColumn(
-            "event_id", answer_id("establishment_id", "response_id", "item_path", "group_instance")
-        )
-        .withColumn("state", state)
-        .withColumn("value", F.when(F.col("state") == "PRESENT", F.col("answer")).cast(SCALAR))
+        F.when(F.col("_known").isNull(), "UNKNOWN_ITEM_PATH")
+        .when(F.col("data_type") == "group", "INVALID_STRUCTURED_VALUE")
+        .when(F.col("repeated_root").isNotNull() & blank, "REPEATED_GROUP_CONFLICT")
+        .when(F.col("repeated_root").isNull() & F.col("group_instance").isNotNull(), "REPEATED_GROUP_CONFLICT")
+    )
+
+
+def _with_neighbours(rows: DataFrame) -> DataFrame:
+    """Adds what a row sees of its instance and of its response, and whether it is the first of either."""
+    instance = Window.partitionBy(*RESPONSE_KEY, "group_instance")
+    whole = Window.partitionBy(*RESPONSE_KEY)
+    outside = F.col("group_instance").isNull()
+    named = F.coalesce(F.col("_named"), F.lit(False)) & F.col("present")
+    entry = F.struct("item_path", F.struct("pos", "answer").alias("seen"))
+    grouped = ~outside & (F.col("group_instance") != "")
+    return (
+        rows.withColumn("_new", F.row_number().over(instance.orderBy("item_path")) == 1)
+        .withColumn("own", F.map_from_entries(F.collect_list(F.when(named, entry)).over(instance)))
+        .withColumn("_roots", F.collect_set(F.when(grouped, F.col("repeated_root"))).over(instance))
+        .withColumn("_given", F.collect_list("item_path").over(instance))
+        .withColumn("_first", F.row_number().over(whole.orderBy("group_instance", "item_path")) == 1)
+        .withColumn("outer", F.map_from_entries(F.collect_list(F.when(named & outside, entry)).over(whole)))
+        .withColumn("_given_outside", F.collect_list(F.when(outside, F.col("item_path"))).over(whole))
     )
 
 
+def _enabled(behavior: str) -> Column:
+    """Whether the display conditions of a row hold for what it sees."""
+    fold = F.forall if behavior == "all" else F.exists
+    holds = fold("conditions", lambda c: condition_holds(visible(c["source_item_path"]), c["operator"], c["expected"]))
+    return F.coalesce(F.when(F.size("conditions") > 0, holds), F.lit(True))
+
+
+def _fill_in(rows: DataFrame, expected: DataFrame, form: list[str], kept: list[str]) -> DataFrame:
+    """Rows of answers, and of the items nobody answered in an instance that is there."""
+    kind = "array<struct<item_path:string,group_instance:string,added:boolean>>"
+
+    def added(paths: Column, answered: str, when: Column, instance: Column) -> Column:
+        missing = F.array_except(F.coalesce(paths, F.array().cast("array<string>")), F.col(answered))
+        made = F.transform(missing, lambda path: F.struct(path.alias("item_path"), instance.alias("group_instance"), F.lit(True).alias("added")))
+        return F.when(when, made.cast(kind)).otherwise(F.array().cast(kind))
+
+    outside = F.try_element_at("_expected", F.lit(""))
+    inside = F.flatten(F.transform("_roots", lambda root: F.coalesce(F.try_element_at("_expected", root), F.array().cast("array<string>"))))
+    own = F.array(F.struct("item_path", "group_instance", F.lit(False).alias("added"))).cast(kind)
+    every = F.concat(
+        F.when(F.col("present"), own).otherwise(F.array().cast(kind)),
+        added(outside, "_given_outside", F.col("_first"), F.lit(None).cast("string")),
+        added(inside, "_given", F.col("_new"), F.col("group_instance")),
+    )
+    nothing = F.create_map().cast(rows.schema["own"].dataType)
+    # What is added outside all groups to a row of a group does not see that group.
+    seen = F.when(F.col("group_instance").eqNullSafe(F.col("e.group_instance")), F.col("own")).otherwise(nothing)
+    spread = rows.join(expected, form, "left").withColumn("e", F.explode(every))
+    values = [F.when(~F.col("e.added"), F.col(c)).alias(c) for c in kept if c != "present"]
+    return spread.select(
+        *RESPONSE_KEY, *form, "head", F.col("e.item_path").alias("item_path"), F.col("e.group_instance").alias("group_instance"),
+        *values, (~F.col("e.added")).alias("present"), seen.alias("own"), "outer", "rejected",
+    )
+
+
+def canonicalize_structured(
+    responses: DataFrame,
+    answers: DataFrame,
+    items: DataFrame,
+    form: list[str],
+    behavior: str = "all",
+) -> DataFrame:
+    """The canonical rows of ``canonical_stream``: those of responses without an error."""
+    stream = canonical_stream(responses, answers, items, form, behavior)
+    return stream.filter(~F.col("rejected")).drop("rejected", "reason")
+
+
+def canonical_errors(stream: DataFrame) -> DataFrame:
+    """The error rows of ``canonical_stream``, one per answer that breaks a rule."""
+    return stream.filter("reason IS NOT NULL").select(*RESPONSE_KEY, "item_path", "group_instance", "pos", "reason")
+
+
 def invariant_violations(canonical: DataFrame) -> DataFrame:
     """Rows that break the contract of a canonical answer, one per broken rule."""
     has_value = F.col("value").isNotNull()

@@ -422,13 +422,12 @@ def e2_display_conditions(src: Source) -> DataFrame:
     "e5_answer_context",
     "b_order_answers",
     sql="""
-    SELECT a.response_id, a.group_instance, q.raw_value AS own_quantity, p.raw_value AS outer_priority
-    FROM b_order_answers a
-    JOIN orders o ON CAST(o.o_orderkey AS VARCHAR) = a.response_id
-    LEFT JOIN b_order_answers q ON q.response_id = a.response_id AND q.group_instance = a.group_instance
-      AND q.item_path = 'LINE/QTY'
-    LEFT JOIN b_order_answers p ON p.response_id = a.response_id AND p.item_path = 'PRIORITY'
-    WHERE a.item_path = 'LINE/PRICE'""",
+    SELECT response_id, group_instance, own_quantity, outer_priority
+    FROM (SELECT response_id, group_instance, max(CASE WHEN item_path = 'LINE/QTY' THEN raw_value END) AS own_quantity,
+            bool_or(item_path = 'LINE/PRICE') AS priced
+          FROM b_order_answers WHERE group_instance IS NOT NULL GROUP BY response_id, group_instance) g
+    JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS response_id, o_orderpriority AS outer_priority FROM orders) o USING (response_id)
+    WHERE priced""",
 )
 def e5_answer_context(src: Source) -> DataFrame:
     answers = order_answers(src).withColumn("answer", F.col("raw_value"))
@@ -486,6 +485,71 @@ def e14_canonicalize_structured(src: Source) -> DataFrame:
     )
 
 
+def faulty_answers(src: Source) -> DataFrame:
+    """The order answers with declared display states, and some that break the form."""
+    own = order_answers(src).withColumn(
+        "declared_enabled", F.when((F.col("item_path") == "LINE/PRICE") & (F.col("response_id").cast("bigint") % 4 == 1), F.lit(True))
+    )
+    key = F.col("response_id").cast("bigint")
+
+    def extra(divisor: int, path: str, instance: str | None, pos: int):
+        made = F.struct(F.lit(path).alias("item_path"), F.lit(instance).cast("string").alias("group_instance"), F.lit(pos).cast("bigint").alias("pos"))
+        return F.when(key % divisor == 0, made)
+
+    wrong = F.array_compact(
+        F.array(
+            extra(50, "NOPE", None, 900_001), extra(70, "STATUS", None, 900_002), extra(110, "TOTAL", "LINE:1", 900_003),
+            extra(130, "LINE/QTY", None, 900_004), extra(190, "LINE", "LINE:1", 900_005),
+        )
+    )
+    added = order_responses(src).select("establishment_id", "response_id", *FORM, F.explode(wrong).alias("w")).select(
+        "establishment_id", "response_id", *FORM, "w.item_path", "w.group_instance", F.lit("str").alias("raw_type"), F.lit("x").alias("raw_value"),
+        F.lit(None).cast("string").alias("unit"), "w.pos", F.lit(None).cast("boolean").alias("declared_enabled"),
+    )
+    return own.unionByName(added)
+
+
+FAULT_SQL = f"""{ORDER_SQL},
+    k AS (SELECT CAST(o_orderkey AS VARCHAR) AS response_id, o_orderkey AS n, o_orderstatus FROM orders),
+    shape AS (
+      SELECT response_id, 'NOPE' AS item_path, CAST(NULL AS VARCHAR) AS group_instance, 'UNKNOWN_ITEM_PATH' AS reason FROM k WHERE n % 50 = 0
+      UNION ALL SELECT response_id, 'STATUS', NULL, 'DUPLICATE_ANSWER' FROM k WHERE n % 70 = 0
+      UNION ALL SELECT response_id, 'TOTAL', 'LINE:1', 'REPEATED_GROUP_CONFLICT' FROM k WHERE n % 110 = 0
+      UNION ALL SELECT response_id, 'LINE/QTY', NULL, 'REPEATED_GROUP_CONFLICT' FROM k WHERE n % 130 = 0
+      UNION ALL SELECT response_id, 'LINE', 'LINE:1', 'INVALID_STRUCTURED_VALUE' FROM k WHERE n % 190 = 0),
+    fault AS (
+      SELECT * FROM shape
+      UNION ALL SELECT s.response_id, s.item_path, s.group_instance, 'CONDITIONAL_LOGIC_CONFLICT' FROM shown s
+      WHERE s.item_path = 'LINE/PRICE' AND s.present AND NOT s.enabled AND CAST(s.response_id AS BIGINT) % 4 = 1
+        AND s.response_id NOT IN (SELECT response_id FROM shape))"""
+
+
+@query(
+    "e14_structured_errors",
+    "b_order_answers",
+    sql=f"WITH {FAULT_SQL} SELECT response_id, item_path, group_instance, reason FROM fault",
+)
+def e14_structured_errors(src: Source) -> DataFrame:
+    stream = canonical.canonical_stream(order_responses(src), faulty_answers(src), order_items(src), FORM)
+    return canonical.canonical_errors(stream).select("response_id", "item_path", "group_instance", "reason")
+
+
+@query(
+    "e14_structured_accepted",
+    "b_order_answers",
+    sql=f"""WITH {FAULT_SQL}
+    SELECT 'site-' || site AS establishment_id, CASE WHEN draft THEN 'NOT_RECORDED' WHEN NOT enabled THEN 'NOT_DISPLAYED_BY_FORM_LOGIC'
+             WHEN NOT present OR raw_value IS NULL THEN 'NOT_RECORDED' ELSE 'PRESENT' END AS state,
+           count(*) AS n_answers, count(DISTINCT response_id) AS n_responses
+    FROM shown WHERE response_id NOT IN (SELECT response_id FROM fault) GROUP BY 1, 2""",
+)
+def e14_structured_accepted(src: Source) -> DataFrame:
+    rows = canonical.canonicalize_structured(order_responses(src), faulty_answers(src), order_items(src), FORM)
+    return rows.groupBy("establishment_id", "state").agg(
+        F.count(F.lit(1)).alias("n_answers"), F.countDistinct("response_id").alias("n_responses")
+    )
+
+
 @query(
     "e7_answer_shape_errors",
     sql="""

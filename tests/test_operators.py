@@ -95,6 +95,37 @@ def test_documents_nest_as_deep_as_they_like(spark):
     assert structured.read_xml_definitions(table(form_xml))[1].count() == deep
 
 
+def test_error_rows_of_structured_responses(spark):
+    """One response per fault, one without answers and one without faults; instances may share a name."""
+    from formloom.operators import canonical
+
+    form = ["form_id", "form_version"]
+    items = spark.sql(f"""
+        SELECT 'f' AS form_id, '1' AS form_version, * FROM VALUES ('A', 'string', NULL, 'u'), ('B', 'integer', NULL, NULL), ('G', 'group', 'G', NULL),
+        ('G/X', 'string', 'G', NULL), ('G/Y', 'string', 'G', 'kg'), ('H/Z', 'string', 'H', NULL) AS v(path, data_type, repeated_root, unit)""")
+    shown = "array(named_struct('source_item_path', 'A', 'operator', 'eq', 'expected', named_struct('t', 'str', 's', 'yes', 'num', CAST(NULL AS decimal(38,9)))))"
+    items = items.withColumn("conditions", F.expr(f"CASE WHEN path IN ('B', 'G/Y') THEN {shown} ELSE filter({shown}, x -> false) END"))
+    names = ["empty", "good", "unknown", "group", "bare", "placed", "twice", "conflict"]
+    heads = local_table(spark, [("s", n, "f", "1", "p", "SIGNED") for n in names],
+                        "establishment_id string, response_id string, form_id string, form_version string, patient_pseudonym string, lifecycle_status string")
+    given = [("good", "A", None, "yes", None), ("good", "B", None, "x", True), ("good", "G/X", "1", "v", None), ("good", "H/Z", "1", "w", None),
+             ("good", "G/Y", "2", "", None), ("unknown", "Q", None, "v", None), ("group", "G", "1", "v", None), ("bare", "G/X", None, "v", None),
+             ("placed", "A", "1", "v", None), ("twice", "A", None, "v", None), ("twice", "A", None, "w", None), ("conflict", "B", None, "1", True)]
+    answers = local_table(spark, [("s", r, "f", "1", p, g, "str", v, i, d) for i, (r, p, g, v, d) in enumerate(given)],
+                          "establishment_id string, response_id string, form_id string, form_version string, item_path string, group_instance string, "
+                          "raw_type string, raw_value string, pos bigint, declared_enabled boolean")
+    stream = canonical.canonical_stream(heads, answers, items, form)
+    assert {r.response_id: r.reason for r in canonical.canonical_errors(stream).collect()} == {
+        "unknown": "UNKNOWN_ITEM_PATH", "group": "INVALID_STRUCTURED_VALUE", "bare": "REPEATED_GROUP_CONFLICT",
+        "placed": "REPEATED_GROUP_CONFLICT", "twice": "DUPLICATE_ANSWER", "conflict": "CONDITIONAL_LOGIC_CONFLICT"}
+    rows = {(r.response_id, r.item_path, r.group_instance): (r.state, r.unit) for r in canonical.canonicalize_structured(heads, answers, items, form).collect()}
+    hidden = "NOT_DISPLAYED_BY_FORM_LOGIC"
+    assert rows == {
+        ("empty", "A", None): ("NOT_RECORDED", "u"), ("empty", "B", None): (hidden, None), ("good", "A", None): ("PRESENT", None),
+        ("good", "B", None): ("INVALID", None), ("good", "G/X", "1"): ("PRESENT", None), ("good", "G/Y", "1"): ("NOT_RECORDED", "kg"),
+        ("good", "H/Z", "1"): ("PRESENT", None), ("good", "G/X", "2"): ("NOT_RECORDED", None), ("good", "G/Y", "2"): ("NOT_RECORDED", None)}
+
+
 def test_items_are_reached_at_any_depth(spark):
     rows = [("f", f"P{i}", f"P{i - 1}" if i else None, i == 3) for i in range(8)]
     items = local_table(spark, rows, "form_id string, path string, parent_path string, repeats boolean")
@@ -314,7 +345,7 @@ def test_new_paths_lie_in_the_shared_folder(spark):
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
 
 
-CHECKED = ["e1_answer_state", "f1_resolve_mappings", "h2_decide", "k1_coverage", "d2_fingerprint_forms", "e14_canonicalize_structured", "i5_resolve_id_collisions", "a3_read_fhir_responses", "a5_read_structured_xml", "m4_trace"]
+CHECKED = ["e1_answer_state", "f1_resolve_mappings", "h2_decide", "k1_coverage", "d2_fingerprint_forms", "e14_canonicalize_structured", "e14_structured_errors", "i5_resolve_id_collisions", "a3_read_fhir_responses", "a5_read_structured_xml", "m4_trace"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
