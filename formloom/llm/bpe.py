@@ -5,14 +5,17 @@ anything across them. Such pairs are certain cuts: a pre-token is cut there, its
 independently and their ids concatenated. The pair table comes from the vocabulary alone; symbols are
 bytes, and the last byte of a pre-token, which carries the end-of-word mark, is a symbol of its own.
 
-Texts are split at special tokens and white space first (no pre-token spans white space), and the ids
-of a chunk are kept in a bounded cache, so a frequent word is encoded once per Python worker.
+A text whose characters have had the same classes in all Unicode versions is lower-cased and split by the
+file's own pattern in one run, and each pre-token is looked up in a bounded cache, so a frequent word is
+encoded once per Python worker. Texts with other characters are split at white space, and only chunks with
+such characters take the tokenizer file's own normalizer and splitter.
 Encoding and decoding run in Arrow batches on whatever partitioning the input has; nothing is shuffled.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to the empty text. Ids are
 packed as little-endian unsigned 32-bit integers. Decoding joins the entries' strings with a space, as
-a tokenizer file without a decoder asks for. Characters whose classes may differ between Unicode
-versions take the tokenizer file's own normalizer and splitter.
+a tokenizer file without a decoder asks for. Very long texts are encoded block by block, with the caches
+bounded between blocks. Repeated rows and columns with clashing names are kept; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED_CHUNKS = 80_000
+CACHED_CHUNKS = 160_000
 CACHED_CHARS = 48
+# Pre-tokens or chunks of one text between two checks of the caches.
+BLOCK = 50_000
 BATCH_BYTES = 16_000_000
 SHORT = 24
 NONE, CUT = 1 << 28, 1 << 29
@@ -53,6 +59,14 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
 
+def stable_class(kind: str) -> str:
+    """The characters below STABLE of a general category, as ranges of a pattern's class."""
+    own = [c for c in range(ord(STABLE)) if unicodedata.category(chr(c)).startswith(kind)]
+    starts = [c for p, c in zip([-2, *own], own) if p != c - 1]
+    ends = [c for c, n in zip(own, [*own[1:], -2]) if n != c + 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
 class Generations(dict):
     """Results of a function by its argument. ``bound`` keeps the size: when the dictionary is full it
     becomes the elder generation, so what is frequent survives, and long arguments are not kept.
@@ -124,6 +138,12 @@ class BpeModel:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.space = re.compile(f"[{SPACES}]+")
         self.stable = re.compile(f"[^\\x00-{STABLE}]")
+        # The same pattern over characters whose classes are stable; four controls are space to Python alone.
+        letters, numbers = stable_class("L"), stable_class("N")
+        plain = pattern.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}").replace(r"[^\s\p{L}\p{N}]", f"[^\\s{letters}{numbers}]")
+        self.plain = re.compile(plain.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]"))
+        self.odd = re.compile(f"[^\\x00-\\x1b\\x20-{chr(ord(STABLE) - 1)}]")
+        self.tokens = Generations(self.encode_token)
         self.chunks = Generations(self.encode_chunk)
         self.words = Generations(self.encode_packed)
 
@@ -216,6 +236,9 @@ class BpeModel:
         ids = self.encode_word(word)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def encode_token(self, token: str) -> bytes:
+        return self.encode_packed(token.encode())
+
     def encode_chunk(self, chunk: str) -> bytes:
         """Packed ids of text without white space."""
         return b"".join([self.words[word] for word in self.pretokens(chunk)])
@@ -228,12 +251,23 @@ class BpeModel:
         for special, part in self.parts(text):
             if special:
                 out.append(struct.pack("<I", self.special[part]))
+            elif self.odd.search(part):
+                self._looked_up(self.chunks, self.split(part), out)
             else:
-                out += map(self.chunks.__getitem__, self.split(part))
-        self.chunks.bound()
-        self.words.bound()
+                plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                words = self.plain.findall if len(part) < 4 * BLOCK else lambda x: (m[0] for m in self.plain.finditer(x))
+                self._looked_up(self.tokens, words(plain.lower()), out)
         return b"".join(out)
 
+    def _looked_up(self, cache: Generations, keys, out: list[bytes]) -> None:
+        """Adds what a cache has for each key, block by block where there are many."""
+        keys = iter(keys)
+        while block := list(islice(keys, BLOCK)):
+            out.append(b"".join(map(cache.__getitem__, block)))
+            self.tokens.bound()
+            self.chunks.bound()
+            self.words.bound()
+
     def parts(self, text: str | None) -> Iterator[tuple[bool, str]]:
         """Special tokens, marked as such, and the text between them."""
         text = text or ""
@@ -254,7 +288,7 @@ def model(path: str) -> BpeModel:
     return BpeModel(path)
 
 
-def _map(docs: DataFrame, column: str, out: str, kind: pa.DataType, ddl: str, keep, each: Callable[[object], object]) -> DataFrame:
+def _map(docs: DataFrame, column: str, out: str, kind: pa.DataType, ddl: str, keep, each: Callable[[object], object], size_of=len) -> DataFrame:
     """``keep`` of ``docs`` and one column computed from ``column`` row by row, in batches of bounded bytes."""
     kept = [name for name in (docs.columns if keep is None else keep) if name != out]
     packed = docs.select(F.struct(F.lit(0).alias("."), *[docs[name] for name in kept]).alias("row"), docs[column].alias("given"))
@@ -264,7 +298,7 @@ def _map(docs: DataFrame, column: str, out: str, kind: pa.DataType, ddl: str, ke
             start, size, found = 0, 0, []
             for i in range(batch.num_rows):
                 found.append(each(batch.column(1)[i].as_py()))
-                size += len(found[-1])
+                size += size_of(found[-1])
                 if size > BATCH_BYTES or i + 1 == batch.num_rows:
                     made = pa.array(found, kind)
                     found = []
@@ -282,6 +316,21 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", kee
     return _map(docs, text, ids, pa.binary(), "binary", keep, lambda x: model(path).encode(x))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns in ``keep``, with packed ids and the text they decode to in ``ids`` and ``decoded``,
+    made in one pass."""
+
+    def both(value: str | None) -> dict:
+        own = model(path)
+        packed = own.encode(value)
+        return {"ids": packed, "decoded": own.decode(packed)}
+
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+    own = [name for name in (docs.columns if keep is None else keep) if name not in ("ids", "decoded", "_both")]
+    made = _map(docs, text, "_both", kind, "struct<ids:binary,decoded:string>", own, both, lambda x: len(x["ids"]) + len(x["decoded"]))
+    return made.select(*own, "_both.*")
+
+
 def decode(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """``docs``, or its columns in ``keep``, with the text of packed ids in ``text``."""
     return _map(docs, ids, text, pa.string(), "string", keep, lambda x: model(path).decode(x))

@@ -9,7 +9,12 @@ its size is fixed by the two parameters. Scoring gathers matrix rows for the n-g
 Defined results: a text that is null or has no letter is ``und`` with score 0. Rows without a label or
 a text teach nothing. A language is learned however rare it is; with more than ``max_languages`` the
 fit is refused. If nothing could be learned every text is ``und``. Ties go to the language first in
-alphabetical order. Long texts are scored in blocks, so memory does not grow with a text.
+alphabetical order. Very long texts are counted in blocks that carry their last kept characters over, so
+memory does not grow with a text and no n-gram is lost or counted twice. Repeated rows count each for
+itself; columns with clashing names are kept inside ``row``; an empty table gives an empty table.
+
+Whether a text is in a language at all is another question than which one fits best: ``typical`` compares
+its mean log-probability per n-gram with what texts of the language have by the model itself.
 """
 
 from __future__ import annotations
@@ -47,22 +52,28 @@ def _letters() -> np.ndarray:
 def cells(text: str, features: int) -> Iterator[np.ndarray]:
     """Hash cells of all n-grams, block after block; nothing if the text has no letter."""
     shift = np.uint32(32 - (features - 1).bit_length())
+    before = np.zeros(0, dtype=np.uint32)  # the last kept characters, which later n-grams begin with
+    inside = False  # whether the block before ended in a letter
     for start in range(0, len(text), BLOCK):
-        # A block carries the first characters of the next one, so no n-gram is lost at its end.
-        part = text[start : start + BLOCK + MAX_ORDER - 1].lower().encode("utf-32-le", "surrogatepass")
-        points = np.frombuffer(part, dtype="<u4")
+        points = np.frombuffer(text[start : start + BLOCK].lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
         letter = _letters()[points]
-        if not letter.any():
-            continue
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # one space after each word
-        points = np.where(letter, points, np.uint32(32))[keep]
+        keep[0] |= inside
+        inside = bool(letter[-1])
+        new = np.where(letter, points, np.uint32(32))[keep]
+        points = np.concatenate([before, new])
+        old = len(before)
         value, found = np.zeros(len(points), dtype=np.uint32), []
         for order in range(min(MAX_ORDER, len(points))):
             value = (value[: len(points) - order] + points[order:]) * _MULTIPLIERS[order]
             value ^= value >> np.uint32(15)
-            found.append((value * _MULTIPLIERS[0]) >> shift)
-        yield np.concatenate(found)
+            # An n-gram that ends before the block was counted with the block before.
+            found.append((value[max(old - order, 0) :] * _MULTIPLIERS[0]) >> shift)
+        if len(points):
+            before = points[-(MAX_ORDER - 1) :]
+        if found:
+            yield np.concatenate(found)
 
 
 def counted(text: str | None, features: int) -> np.ndarray | None:
@@ -71,7 +82,7 @@ def counted(text: str | None, features: int) -> np.ndarray | None:
     for block in cells(text or "", features):
         counts = np.bincount(block, minlength=features)
         total = counts if total is None else total + counts
-    return total
+    return total if total is not None and total.any() else None
 
 
 def count_cells(docs: DataFrame, label: str, text: str, model: Model) -> DataFrame:
@@ -120,27 +131,53 @@ def fit(docs: DataFrame, label: str = "lang", text: str = "text", model: Model =
         return langs, np.log(matrix) - np.log(matrix.sum(axis=0)), np.log(prior / max(prior.sum(), 1))
 
 
-def classify(text: str | None, langs: list[str], matrix: np.ndarray, prior: np.ndarray) -> tuple[str, float]:
+@dataclass(frozen=True)
+class Margin:
+    """How far below its language's mean a text's log-probability per n-gram may lie: ``nats``, and ``deviations``
+    standard deviations of a mean over as many n-grams as the text has, of which ``MAX_ORDER`` count as one."""
+
+    nats: float = 1.5
+    deviations: float = 4.0
+
+
+def expectations(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of an n-gram's log-probability in each language, by the model."""
+    p = np.exp(matrix)
+    mean = (p * matrix).sum(axis=0)
+    return mean, (p * (matrix - mean) ** 2).sum(axis=0)
+
+
+def classify(text: str | None, langs: list[str], matrix: np.ndarray, prior: np.ndarray, expected) -> tuple[str, float, float | None, float | None]:
+    """Language, its posterior probability, nats per n-gram below the language's mean, standard deviation of such a mean."""
     counts = counted(text, len(matrix)) if langs else None
     if counts is None:
-        return "und", 0.0
-    own = np.flatnonzero(counts)
-    total = prior + counts[own] @ matrix[own]
+        return "und", 0.0, None, None
+    own, n = np.flatnonzero(counts), int(counts.sum())
+    logs = counts[own] @ matrix[own]
+    total = prior + logs
     best = int(np.argmax(total))
-    return langs[best], float(1.0 / np.exp(total - total[best]).sum())
+    mean, variance = expected
+    short = max(float(mean[best] - logs[best] / n), 0.0)
+    return langs[best], float(1.0 / np.exp(total - total[best]).sum()), short, float(np.sqrt(variance[best] * MAX_ORDER / n))
+
+
+def typical(margin: Margin = Margin()) -> Column:
+    """Whether a row of ``predict`` is like the texts of its language."""
+    return F.coalesce(F.col("shortfall") <= margin.nats + margin.deviations * F.col("deviation"), F.lit(False))
 
 
 def predict(docs: DataFrame, learned, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``docs``, or those in ``keep``, as one column ``row``, with lang_pred and score."""
+    """The columns of ``docs``, or those in ``keep``, as one column ``row``, with lang_pred, score, shortfall, deviation."""
     shared = docs.sparkSession.sparkContext.broadcast(learned)
 
     def score(batches):
         langs, matrix, prior = shared.value
+        expected = expectations(matrix)
         for batch in batches:
             texts = batch.column(0).field(text) if carried else batch.column(1)
-            found = [classify(x.as_py(), langs, matrix, prior) for x in texts]
-            out = [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
-            yield pa.record_batch(out, names=["row", "lang_pred", "score"])
+            found = [classify(x.as_py(), langs, matrix, prior, expected) for x in texts]
+            out = [batch.column(0), pa.array([f[0] for f in found], pa.string()), *(pa.array([f[i] for f in found], pa.float64()) for i in (1, 2, 3))]
+            yield pa.record_batch(out, names=schema.names)
             batch = texts = out = None  # else they stay while the next batch is read
             pa.default_memory_pool().release_unused()
 
@@ -148,7 +185,7 @@ def predict(docs: DataFrame, learned, text: str = "text", keep: list[str] | None
     carried = text in kept  # then the text is read from the row and not sent twice
     row = F.struct(*[docs[name] for name in kept]).alias("row")
     packed = docs.select(row) if carried else docs.select(row, docs[text].alias("text"))
-    schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), *(T.StructField(name, T.DoubleType()) for name in ("score", "shortfall", "deviation"))])
     return packed.mapInArrow(score, schema)
 
 

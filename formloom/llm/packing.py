@@ -8,13 +8,14 @@ windows are open, and at its end, the emptiest are cut up to fill the fullest, w
 last one is cut into sequences whose lengths are powers of two, as those need no padding. Nothing is shuffled, so no group of documents can be hot.
 
 Defined results: every document has at least its end token. A null text counts as empty. Rows that
-repeat an id are packed each for itself. An empty table gives no pieces. Sequence ids are unique but
+repeat an id are packed each for itself. A very long text fills whole windows and leaves one rest. An empty
+table gives no pieces; other columns, whatever their names, are not read. Sequence ids are unique but
 not gapless: the partition's number and a counter inside it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from formloom.llm import bpe
+
 WINDOW = 4096
 END_ID = 2
 BATCH_BYTES = 8_000_000
@@ -116,8 +119,16 @@ def cut_off(pieces: list[Piece], size: int) -> tuple[list[Piece], list[Piece]]:
 
 def pack(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", window: int = WINDOW, end_id: int | None = END_ID) -> DataFrame:
     """Pieces (id, start, length, piece_ids, doc_tokens, sequence_id, offset) of packed ids."""
+    return _pack(encoded.select(F.col(id).alias("id"), F.col(ids).alias("given")), id, lambda packed: packed or b"", window, end_id)
+
+
+def pack_texts(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int | None = END_ID) -> DataFrame:
+    """The same pieces of texts, encoded and packed by one Python process per task."""
+    return _pack(docs.select(F.col(id).alias("id"), F.col(text).alias("given")), id, lambda value: bpe.model(path).encode(value), window, end_id)
+
+
+def _pack(given: DataFrame, id: str, encode: Callable[[object], bytes], window: int, end_id: int | None) -> DataFrame:
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    given = encoded.select(F.col(id).alias("id"), F.col(ids).alias("ids"))
     kind = given.schema["id"].dataType
     schema = T.StructType(
         [T.StructField("id", kind), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -139,11 +150,11 @@ def pack(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", window: int =
             nonlocal id_type
             for batch in batches:
                 id_type = batch.column(0).type
-                for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    yield from packer.add(doc, (packed.as_py() or b"") + end)
+                for doc, value in zip(batch.column(0), batch.column(1)):
+                    yield from packer.add(doc.as_py(), encode(value.as_py()) + end)
                     if packer.counts.sum() > MOST_OPEN:
                         yield from packer.merge()
-                batch = packed = None  # else they stay while the next batch is read
+                batch = doc = value = None  # else they stay while the next batch is read
                 pa.default_memory_pool().release_unused()
             yield from packer.close()
 

@@ -139,9 +139,8 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
 @register("op1_forced_boundary_bpe")
 def op1_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = tokenizer_path()
-    encoded = bpe.encode(table(spark, folder, "documents"), path, keep=["doc_id"])
-    decoded = bpe.decode(encoded, path)
-    return decoded.select(
+    coded = bpe.round_trip(table(spark, folder, "documents"), path, keep=["doc_id"])
+    return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -151,8 +150,7 @@ def op1_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("op3_sum_of_squares_packing")
 def op3_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, folder, "documents"), tokenizer_path(), keep=["doc_id"])
-    pieces = packing.pack(encoded)
+    pieces = packing.pack_texts(table(spark, folder, "documents"), tokenizer_path())
     return pieces.select(
         "doc_id", "start", "length", F.crc32("piece_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

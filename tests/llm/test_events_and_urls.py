@@ -11,7 +11,7 @@ from formloom.llm import bpe, chat_format, exact_dedup, queries, url_reputation
 from formloom.session import local_table
 from tests.llm.messy import documents
 from tests.llm.test_groups import SPACE, brute_force
-from tests.llm.test_texts import PATH, check_pieces
+from tests.llm.test_texts import PATH, PlainBayes, check_pieces
 
 SF = "/root/testdata/sf0.001"
 
@@ -135,21 +135,39 @@ def test_reputation_shrinks_and_blocks(spark):
     assert rows["new.spam.com"]["bad_rate"] > rows["rare.fine.com"]["bad_rate"] > rows["good.fine.com"]["bad_rate"]
 
 
-def test_pipeline_equals_brute_force(spark):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """With copies between the thresholds of op5 and of the stage, foreign texts and letter junk planted."""
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in given.collect()]
+    base = max((r for r in rows if r[1]), key=lambda r: len(set(r[1].split())))
+    words = base[1].split()
+    appended, cut_off = " ".join([*words, *(w[::-1] + "x" for w in words[: len(words) // 6])]), " ".join(words[: len(words) * 17 // 20])
+    planted = [appended, cut_off, "asdkj qwpoeiru zxmcnv qpwoeiru tyghbn vmcnxz laskdj qpwoei", "Это предложение написано по-русски", "?? 12", None]
+    rows += [(900_000 + i, text, None, "planted", len(text or "")) for i, text in enumerate(planted)]
+    spark.createDataFrame(rows, given.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    plain = PlainBayes((r[2], r[1]) for r in rows)
+    docs = {r[0]: r[1] for r in rows if plain.judge(r[1])[2]}
+    assert not set(range(900_002, 900_006)) & set(docs) and len(docs) == len(rows) - 4
     groups = {}
     for i, text in docs.items():
         groups.setdefault(SPACE.sub("", text), []).append((-len(text), i))
     kept = {min(g)[1]: docs[min(g)[1]] for g in groups.values()}
-    _, component = brute_force(kept)
-    kept = {i: t for i, t in kept.items() if component[i] == i}
+    _, loose = brute_force(kept, 5, 80)
+    _, strict = brute_force(kept)
+    assert {i for i in kept if i >= 900_000 and strict[i] == i and loose[i] != i}, "a copy that only the stage's setting finds"
+    kept = {i: t for i, t in kept.items() if loose[i] == i}
     model = bpe.model(PATH)
-    pieces = corpus_pipeline.run(spark, SF).collect()
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids_of = {i: [*memoryview(model.encode(t)).cast("I"), 2] for i, t in kept.items()}
     assert {p["doc_id"] for p in pieces} == set(kept)
     assert check_pieces(pieces, ids_of) == 0
 
 
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").filter("false").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_on_awkward_rows(spark):
     docs = documents(spark)
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -159,6 +177,7 @@ def test_pipeline_stages_on_awkward_rows(spark):
         assert stage(spark, documents(spark, []), "").count() == 0
     clear = corpus_pipeline.identify_language(spark, docs, "")
     assert {r["doc_id"] for r in clear.collect()} == {None, 1, 2, 6, 7, 8, 9, 10, 11, 12}
+    assert corpus_pipeline.pack_tokens(spark, docs, "").select("doc_id").distinct().count() == len({r["doc_id"] for r in docs.collect()})
     assert corpus_pipeline.drop_near_copies(spark, docs, "").filter("doc_id IN (2, 7, 10, 12)").count() == 0
 
 

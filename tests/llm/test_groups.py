@@ -69,20 +69,20 @@ def test_chunks_are_the_whole_text_and_follow_content(spark):
     assert len(set(rows[0]["c"]) & set(rows[1]["c"])) > len(rows[0]["c"]) // 2
 
 
-def shingles(text):
+def shingles(text, length=3):
     words = WORD.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    size = min(3, len(words))
+    size = min(length, len(words))
     return set(zip(*(words[i:] for i in range(size)))) if size else set()
 
 
-def brute_force(texts):
-    sets = {i: shingles(t) for i, t in texts.items()}
+def brute_force(texts, length=3, percent=90):
+    sets = {i: shingles(t, length) for i, t in texts.items()}
     ids = sorted(i for i in sets if sets[i])
     links = []
     for x, a in enumerate(ids):
         for b in ids[x + 1 :]:
             both = len(sets[a] & sets[b])
-            if 100 * both >= 90 * (len(sets[a]) + len(sets[b]) - both):
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 links.append((a, b))
     return sets, union_find(links, sets)
 
