@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formloom.operators import omop, vocabulary
+from formloom.operators import cdm, omop, vocabulary
 from formloom.plans.answers import decided_sql, stored_decisions
 from formloom.plans.registry import Source, query
+from formloom.session import cut
 from formloom.plans.sqltext import sql_fact_id, sql_uuid
 
 FACTS_SQL = f"""{decided_sql()},
@@ -161,27 +164,85 @@ def i5_resolve_id_collisions(src: Source) -> DataFrame:
     return omop.resolve_id_collisions(rows, "base", "o_orderkey")
 
 
+def produced(src: Source) -> dict[str, DataFrame]:
+    """Every table the projection fills, as it comes from the facts and before it is conformed."""
+    facts = event_facts(src)
+    persons = omop.assign_person_ids(facts, known_persons(src))
+    own = omop.identify_facts(facts, persons)
+    nlp, parents = omop.to_note_nlp(own)
+    return {
+        "person": omop.to_person(persons),
+        "observation": omop.to_observation(own),
+        "measurement": omop.to_measurement(own),
+        "condition_occurrence": omop.to_condition_occurrence(own),
+        "note": omop.to_note(own).unionByName(parents),
+        "note_nlp": nlp,
+    }
+
+
 @query(
     "i6_cdm_catalog",
     "b_answers",
-    sql=f"""WITH {FACTS_SQL} SELECT omop_table AS "table", count(*) AS rows, 0 AS schema_findings FROM idf
-      WHERE omop_table IN ('observation', 'measurement', 'condition_occurrence') GROUP BY 1""",
+    sql=f"""WITH {FACTS_SQL}, n AS (
+        SELECT 'person' AS t, count(*) AS rows FROM persons
+        UNION ALL SELECT omop_table, count(*) FROM idf WHERE omop_table <> 'note' GROUP BY 1
+        UNION ALL SELECT 'note', count(*) FROM idf WHERE omop_table IN ('note', 'note_nlp')),
+      f AS (SELECT * FROM (VALUES ('person', 12), ('observation', 10), ('measurement', 12), ('condition_occurrence', 9), ('note', 5), ('note_nlp', 5)) v(t, missing))
+      SELECT t AS "table", rows, missing AS missing_optional, 0 AS breaches FROM n JOIN f USING (t)""",
 )
 def i6_cdm_catalog(src: Source) -> DataFrame:
-    facts = identified(src)
-    shaped = {
-        "observation": omop.to_observation(facts),
-        "measurement": omop.to_measurement(facts),
-        "condition_occurrence": omop.to_condition_occurrence(facts),
+    fields, out = cdm.filled_fields(), []
+    for name, df in produced(src).items():
+        found = cdm.schema_findings(fields, name, df.schema)
+        missing = sum(kind == "MISSING_OPTIONAL" for kind, _, _ in found)
+        out.append(df.agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("table"), "rows", F.lit(missing).alias("missing_optional"), F.lit(len(found) - missing).alias("breaches")
+        ))
+    return reduce(DataFrame.unionByName, out)
+
+
+def breached(src: Source) -> dict[str, DataFrame]:
+    """The produced tables with people, concepts, notes and dates taken away, and people given twice."""
+    tables = {name: cut(df, f"cdm-{name}") for name, df in produced(src).items()}
+    people = tables["person"].filter("person_id % 7 <> 0")
+    concepts = reduce(
+        DataFrame.unionByName,
+        [tables[t].select(F.col(c).cast("bigint").alias("concept_id")) for t, c in
+         (("observation", "observation_concept_id"), ("measurement", "measurement_concept_id"), ("condition_occurrence", "condition_concept_id"),
+          ("note", "note_type_concept_id"), ("note_nlp", "note_nlp_concept_id"))],
+    ).distinct()
+    kept = concepts.filter("concept_id % 3 <> 0 OR concept_id = 0").unionByName(src.spark.range(1).select(F.col("id").alias("concept_id"))).distinct()
+    return tables | {
+        "person": people.unionByName(people.filter("person_id % 11 = 0")),
+        "concept": kept,
+        "note": tables["note"].filter("note_id % 5 <> 0"),
+        "observation": tables["observation"].withColumn("observation_date", F.when(F.col("observation_id") % 13 != 0, F.col("observation_date"))),
     }
-    out = None
-    for name, df in shaped.items():
-        rows = omop.conform(df, name)
-        part = rows.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("table"), "rows", F.lit(len(omop.schema_findings(name, rows.schema))).alias("schema_findings")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+
+
+@query(
+    "i8_cdm_constraints",
+    "b_answers",
+    sql=f"""WITH {FACTS_SQL},
+    p AS (SELECT person_id FROM persons WHERE person_id % 7 <> 0),
+    notes AS (SELECT omop_fact_id AS note_id, person_id, target_concept_id AS c FROM idf WHERE omop_table = 'note'
+      UNION ALL SELECT {sql_fact_id(sql_uuid('note-nlp-parent', 'fact_id'))}, person_id, 0 FROM idf WHERE omop_table = 'note_nlp'),
+    n AS (SELECT * FROM notes WHERE note_id % 5 <> 0),
+    uses AS (
+      SELECT omop_table AS t, 'person_id' AS c, person_id AS v, person_id IN (SELECT person_id FROM p) AS ok FROM idf WHERE omop_table IN ('observation', 'measurement', 'condition_occurrence')
+      UNION ALL SELECT 'note', 'person_id', person_id, person_id IN (SELECT person_id FROM p) FROM n
+      UNION ALL SELECT omop_table, CASE omop_table WHEN 'observation' THEN 'observation_concept_id' WHEN 'measurement' THEN 'measurement_concept_id'
+        WHEN 'condition_occurrence' THEN 'condition_concept_id' ELSE 'note_nlp_concept_id' END, target_concept_id, target_concept_id % 3 <> 0
+        FROM idf WHERE omop_table <> 'note'
+      UNION ALL SELECT 'note', 'note_type_concept_id', c, c % 3 <> 0 OR c = 0 FROM n
+      UNION ALL SELECT 'note_nlp', 'note_id', {sql_fact_id(sql_uuid('note-nlp-parent', 'fact_id'))},
+        {sql_fact_id(sql_uuid('note-nlp-parent', 'fact_id'))} % 5 <> 0 FROM idf WHERE omop_table = 'note_nlp')
+    SELECT 'REFERENCE' AS kind, t AS "table", c AS "column", CAST(v AS VARCHAR) AS value, count(*) AS rows FROM uses WHERE NOT ok GROUP BY ALL
+    UNION ALL SELECT 'PRIMARY_KEY', 'person', 'person_id', CAST(person_id AS VARCHAR), 2 FROM p WHERE person_id % 11 = 0
+    UNION ALL SELECT 'NOT_NULL', 'observation', 'observation_date', NULL, count(*) FROM idf WHERE omop_table = 'observation' AND omop_fact_id % 13 = 0 HAVING count(*) > 0""",
+)
+def i8_cdm_constraints(src: Source) -> DataFrame:
+    return cdm.check_constraints(breached(src), cdm.filled_fields())
 
 
 @query(
