@@ -63,12 +63,10 @@ def lineage_nodes(edges: DataFrame) -> DataFrame:
 
 
 def graph_findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(finding, node_id): repeated node ids, edges to missing nodes, nodes that keep a cycle alive.
+    """(finding, node_id): repeated node ids, edges to missing nodes, nodes on a cycle or between two.
 
-    Cycles are found by peeling from both ends: in every round the edges whose source no remaining
-    edge reaches, and those whose target starts none, are dropped. An acyclic graph is gone after
-    half as many rounds as its longest path has edges, however long that is; what stops shrinking
-    lies on a cycle or between two.
+    A node is reported as CYCLE where it reaches a cycle and a cycle reaches it. Both are found by contracting
+    chains, see ``reaches_cycle``, so neither long paths nor long cycles take more than their logarithm in rounds.
     """
     repeated = nodes.groupBy("node_id").count().filter("count > 1").select(
         F.lit("DUPLICATE_NODE").alias("finding"), "node_id"
@@ -76,18 +74,123 @@ def graph_findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     known = nodes.select("node_id").distinct()
     ends = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
     dangling = ends.join(known, "node_id", "left_anti").select(F.lit("DANGLING_EDGE").alias("finding"), "node_id")
-    remaining = cut(edges.select("source", "target").distinct(), "edges")
-    left = remaining.count()
-    while left:
-        reached = remaining.select(F.col("target").alias("source")).distinct()
-        onward = remaining.select(F.col("source").alias("target")).distinct()
-        remaining = cut(remaining.join(reached, "source", "left_semi").join(onward, "target", "left_semi"), "edges")
-        now = remaining.count()
-        if now in (0, left):
+    steps = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct(), "edges")
+    onward = reaches_cycle(steps)
+    # Only what reaches a cycle can lie on one, so the way back is sought among those alone.
+    inner = steps.join(onward.withColumnRenamed("node_id", "a"), "a", "left_semi").join(onward.withColumnRenamed("node_id", "b"), "b", "left_semi")
+    backward = reaches_cycle(cut(inner.select(F.col("b").alias("a"), F.col("a").alias("b")), "edges"))
+    return repeated.unionByName(dangling).unionByName(backward.select(F.lit("CYCLE").alias("finding"), "node_id"))
+
+
+def reaches_cycle(edges: DataFrame) -> DataFrame:
+    """(node_id) of the nodes from which a cycle can be reached along ``edges`` (a, b).
+
+    In every round a node with a single edge out is merged into the first node on its way that has none or
+    several; pointers double, so a chain of n takes about log n joins, and a chain that never ends is a cycle.
+    Edges into nodes without a way out go. What is left has at least two edges out of each node, so the number
+    of rounds follows the layers of branching and not the lengths of paths.
+    """
+    left = cut(edges.select("a", "b").distinct(), "edges")
+    merged = cut(left.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("rep", F.col("v")), "merged")
+    found = None
+    while not left.isEmpty():
+        out = cut(left.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("to")), "out")
+        single = out.filter("n = 1 AND a <> to").select("a", "to")
+        points, endless = _doubled(single)
+        loops = left.filter("a = b").select(F.col("a").alias("v"))
+        hits = loops.unionByName(endless.select(F.col("a").alias("v")))
+        hits = cut((hits if found is None else hits.unionByName(found)).distinct(), "hits")
+        merged = cut(
+            merged.join(points.select(F.col("a").alias("rep"), "to"), "rep", "left").select("v", F.coalesce("to", "rep").alias("rep")), "merged"
+        )
+        moved = left.join(points.select(F.col("a").alias("b"), "to"), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
+        # A node merged into another has no edges of its own any more.
+        moved = cut(moved.join(points.select("a"), "a", "left_anti").distinct(), "moved")
+        # One step back from what is known to reach a cycle; those nodes are done with.
+        before = moved.join(hits.withColumnRenamed("v", "b"), "b", "left_semi").select(F.col("a").alias("v"))
+        found = cut(hits.unionByName(before).distinct(), "found")
+        open_edges = moved.join(found.withColumnRenamed("v", "a"), "a", "left_anti")
+        sources = open_edges.select(F.col("a").alias("b")).unionByName(found.withColumnRenamed("v", "b")).distinct()
+        left = cut(open_edges.join(sources, "b", "left_semi"), "edges")
+    if found is None:
+        return merged.select(F.col("v").alias("node_id")).limit(0)
+    return merged.join(found.withColumnRenamed("v", "rep"), "rep", "left_semi").select(F.col("v").alias("node_id"))
+
+
+def _doubled(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, to) of single steps followed to the first node without one, and (a) of those that never end."""
+    points = cut(single, "points")
+    most = points.count()
+    step = 1
+    while True:
+        inside = points.join(points.select(F.col("a").alias("to")), "to", "left_semi")
+        if step > most or inside.isEmpty():
             break
-        left = now
-    cyclic = remaining.select(F.lit("CYCLE").alias("finding"), F.col("source").alias("node_id")).distinct()
-    return repeated.unionByName(dangling).unionByName(cyclic)
+        onward = points.select(F.col("a").alias("to"), F.col("to").alias("next"))
+        points = cut(points.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to")), "points")
+        step *= 2
+    endless = cut(inside.select("a"), "endless")
+    return points.join(endless, "a", "left_anti"), endless
+
+
+HUB = 1_000
+
+
+def compact_trace(edges: DataFrame, starts: DataFrame, direction: str = "upstream", hub: int = HUB) -> DataFrame:
+    """(start, node_id, depth, hub): what each start reaches without passing a hub, and the same once for each hub.
+
+    A hub is a node that more than ``hub`` nodes lie right behind, such as the mapping release all answers of a
+    batch were evaluated against. A start's own rows stop at the hubs it meets (``hub`` is true on such a row and on
+    a hub's own); what lies behind a hub is there once, with the hub as ``start``, however many starts meet it.
+    Rows are then bounded by starts and edges and not by their product; ``expand_trace`` gives the pairs.
+    """
+    here, there = ("target", "source") if direction == "upstream" else ("source", "target")
+    step = cut(edges.select(F.col(here).alias("node_id"), F.col(there).alias("_next")).distinct(), "steps")
+    hubs = cut(step.groupBy("node_id").count().filter(F.col("count") > hub).select("node_id"), "hubs")
+    first = starts.select("node_id").unionByName(hubs).distinct()
+    seen = cut(first.select(F.col("node_id").alias("start"), "node_id", F.lit(0).alias("depth")), "seen")
+    frontier = seen
+    # A hub goes on only where it is the start.
+    for depth in itertools.count(1):
+        own = frontier.join(hubs, "node_id", "left_anti")
+        if depth == 1:
+            own = frontier
+        fresh = own.join(step, "node_id").select("start", F.col("_next").alias("node_id")).distinct()
+        fresh = fresh.join(seen.select("start", "node_id"), ["start", "node_id"], "left_anti")
+        frontier = cut(fresh.withColumn("depth", F.lit(depth)), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    # Hubs that no start meets, directly or through other hubs, are left out.
+    met = starts.select("node_id").join(hubs, "node_id", "left_semi").unionByName(
+        seen.join(starts.select(F.col("node_id").alias("start")), "start", "left_semi").join(hubs, "node_id", "left_semi").select("node_id")
+    )
+    met = cut(met.distinct(), "met")
+    while True:
+        behind = seen.join(met.withColumnRenamed("node_id", "start"), "start", "left_semi").join(hubs, "node_id", "left_semi").select("node_id")
+        more = cut(behind.unionByName(met).distinct(), "met")
+        if more.count() == met.count():
+            break
+        met = more
+    wanted = starts.select("node_id").unionByName(met).distinct().withColumnRenamed("node_id", "start")
+    marked = hubs.withColumn("hub", F.lit(True))
+    return seen.join(wanted, "start", "left_semi").join(marked, "node_id", "left").select(
+        "start", "node_id", "depth", F.coalesce("hub", F.lit(False)).alias("hub")
+    )
+
+
+def expand_trace(compact: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node_id, depth) of ``compact_trace`` with the hubs followed: every pair, at its shortest distance."""
+    compact = cut(compact, "compact")
+    seen = cut(compact.join(starts.select(F.col("node_id").alias("start")).distinct(), "start", "left_semi"), "expanded")
+    hubs = compact.select(F.col("start").alias("_hub"), "node_id", F.col("depth").alias("_more"), "hub")
+    while True:
+        through = seen.filter("hub AND start <> node_id").select("start", F.col("node_id").alias("_hub"), "depth").join(hubs, "_hub")
+        both = seen.unionByName(through.select("start", "node_id", (F.col("depth") + F.col("_more")).alias("depth"), "hub"))
+        after = cut(both.groupBy("start", "node_id").agg(F.min("depth").alias("depth"), F.max("hub").alias("hub")), "expanded")
+        if after.exceptAll(seen.select(*after.columns)).isEmpty():
+            return after.select("start", "node_id", "depth")
+        seen = after
 
 
 def trace(edges: DataFrame, starts: DataFrame, direction: str = "upstream") -> DataFrame:

@@ -10,6 +10,7 @@ from formloom.plans.answers import stored_decisions
 from formloom.plans.omop import FACTS_SQL
 from formloom.plans.registry import Source, query
 from formloom.plans.sqltext import sql_fact_id
+from formloom.session import cut
 
 EDGES_SQL = f"""{FACTS_SQL}, edges AS (
     SELECT 'raw:raw/events/' || response_id AS source, 'canonical:' || event_id AS target, 'canonicalized-as' AS relation FROM decided
@@ -94,3 +95,40 @@ def m4_trace(src: Source) -> DataFrame:
 def m4_trace_downstream(src: Source) -> DataFrame:
     starts = src.table("orders").select(F.concat(F.lit("canonical:"), F.col("o_orderkey").cast("string")).alias("node_id"))
     return lineage.trace(src.view("b_edges"), starts, "downstream")
+
+
+@query(
+    "m4_trace_hub",
+    "b_answers",
+    sql=f"""WITH {EDGES_SQL}, q AS (SELECT DISTINCT 'quality:' || event_id || ':' || decision AS start FROM decided)
+    SELECT start, start AS node_id, 0 AS depth, false AS hub FROM q UNION ALL SELECT start, 'mapping:mapping_r1', 1, true FROM q
+    UNION ALL SELECT 'mapping:mapping_r1', 'mapping:mapping_r1', 0, true
+    UNION ALL SELECT DISTINCT 'mapping:mapping_r1', 'canonical:' || event_id, 1, false FROM decided
+    UNION ALL SELECT DISTINCT 'mapping:mapping_r1', 'raw:raw/events/' || response_id, 2, false FROM decided""",
+)
+def m4_trace_hub(src: Source) -> DataFrame:
+    """All decided answers to their evidence, through the mapping release they share."""
+    edges, _ = event_lineage(src)
+    edges = cut(edges, "lineage")
+    starts = edges.filter("relation = 'quality-evaluated'").select(F.col("target").alias("node_id"))
+    return lineage.compact_trace(edges, starts, hub=100)
+
+
+@query(
+    "m3_cycles",
+    sql="""WITH c AS (SELECT c_custkey AS k, c_custkey // 40 AS g, c_custkey % 40 AS i FROM customer),
+    n AS (SELECT g, min(i) AS lo, max(i) AS hi, count(*) AS n FROM c GROUP BY g)
+    SELECT 'CYCLE' AS finding, 'c' || k AS node_id FROM c JOIN n USING (g) WHERE g % 3 = 0 AND i >= 5 AND hi > 5 AND i <= hi""",
+)
+def m3_cycles(src: Source) -> DataFrame:
+    """Customers in chains of forty, linked end to end; every third chain has an edge back to its sixth member."""
+    key = F.col("c_custkey")
+    name = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    customers = cut(src.table("customer").select(key.alias("k"), F.floor(key / 40).alias("g")), "customers")
+    ahead = customers.join(customers.select((F.col("k") - 1).alias("k"), F.col("g").alias("g2")), "k").filter("g = g2")
+    onward = ahead.select(name(F.col("k")).alias("source"), name(F.col("k") + 1).alias("target"))
+    ends = customers.groupBy("g").agg(F.max("k").alias("last")).filter("g % 3 = 0 AND last > g * 40 + 5")
+    back = ends.select(name(F.col("last")).alias("source"), name((F.col("g") * 40 + 5).cast("bigint")).alias("target"))
+    edges = onward.unionByName(back)
+    nodes = customers.select(name(F.col("k")).alias("node_id"))
+    return lineage.graph_findings(nodes, edges)

@@ -141,6 +141,48 @@ def test_trace_and_ancestry_have_no_limit(spark):
     assert [r.depth for r in releases.release_ancestry(chain, "r129").collect()] == list(range(130))
 
 
+def test_cycles_at_the_end_of_long_paths(spark, monkeypatch):
+    """A path of 3,000 edges, a cycle of 500 behind another path, two cycles with a way between, branching layers."""
+    edges = [(f"p{i}", f"p{i + 1}") for i in range(3000)]
+    edges += [(f"q{i}", f"q{i + 1}") for i in range(300)] + [("q300", "r0")] + [(f"r{i}", f"r{(i + 1) % 500}") for i in range(500)]
+    edges += [("a", "b"), ("b", "a"), ("b", "m"), ("m", "n"), ("n", "x"), ("x", "x"), ("x", "out"), ("in", "a")]
+    edges += [(f"d{i}{s}", f"d{i + 1}{t}") for i in range(6) for s in "uv" for t in "uv"]
+    nodes = sorted({n for e in edges for n in e})
+    written = []
+    monkeypatch.setattr(lineage, "cut", lambda df, label="cut", keep=lineage.cut: written.append(label) or keep(df, label))
+    found = lineage.graph_findings(local_table(spark, [(n,) for n in nodes], "node_id string"), local_table(spark, edges, "source string, target string"))
+    assert {(r.finding, r.node_id) for r in found.collect()} == {("CYCLE", n) for n in [*(f"r{i}" for i in range(500)), "a", "b", "m", "n", "x"]}
+    assert len(written) < 120
+    acyclic = local_table(spark, edges[:3000], "source string, target string")
+    assert lineage.graph_findings(local_table(spark, [(n,) for n in nodes], "node_id string"), acyclic).isEmpty()
+    assert lineage.graph_findings(local_table(spark, [], "node_id string"), acyclic.limit(0)).isEmpty()
+
+
+def test_compact_traces_expand_to_all_pairs(spark):
+    """Random layers with hubs, also hubs behind hubs, in both directions, against breadth-first search."""
+    rng = random.Random(6)
+    edges = {(f"n{a}", f"n{rng.randrange(60)}") for a in range(60) for _ in range(2)} | {(f"n{i}", "h1") for i in range(30)} | {("h1", f"n{i}") for i in range(20, 50)}
+    edges |= {("h1", "h2")} | {("h2", f"m{i}") for i in range(20)} | {(f"m{i}", "h2") for i in range(20)}
+    table = local_table(spark, sorted(edges), "source string, target string")
+    starts = ["n1", "n7", "m3", "h1", "alone"]
+    for direction in ("upstream", "downstream"):
+        onward = {}
+        for a, b in edges:
+            a, b = (a, b) if direction == "downstream" else (b, a)
+            onward.setdefault(a, set()).add(b)
+        want = set()
+        for start in starts:
+            depth, level, seen = 0, {start}, set()
+            while level:
+                want |= {(start, n, depth) for n in level}
+                seen |= level
+                level, depth = {n for m in level for n in onward.get(m, ())} - seen, depth + 1
+        first = local_table(spark, [(s,) for s in starts], "node_id string")
+        compact = lineage.compact_trace(table, first, direction, hub=12)
+        assert {tuple(r) for r in lineage.expand_trace(compact, first).collect()} == want
+        assert compact.count() < len(want)
+
+
 def test_redaction_reaches_every_map(spark):
     df = spark.sql("SELECT map('patient_name', named_struct('a', 1), 'site', named_struct('a', 2)) AS m, map('x', map('patient_name', 'p', 'k', 'v')) AS n")
     row = privacy.redact(df).first()
