@@ -128,10 +128,14 @@ def release_ancestry(releases: DataFrame, release_id: str) -> DataFrame:
 
 
 def release_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Members of two releases with ``change`` ADDED, REMOVED or KEPT."""
-    sides = old.select(*MEMBER, F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(
-        new.select(*MEMBER, F.lit(0).alias("o"), F.lit(1).alias("n"))
+    """Members of two releases with ``change`` ADDED, REMOVED or KEPT, known by clinical event and table.
+
+    The integer id is the new release's where it has the member; members may share one without being lost.
+    """
+    key = ["clinical_event_id", "omop_table"]
+    sides = old.select(*key, F.col("omop_fact_id").alias("o"), F.lit(None).cast("bigint").alias("n"), F.lit(True).alias("was"), F.lit(False).alias("is")).unionByName(
+        new.select(*key, F.lit(None).cast("bigint").alias("o"), F.col("omop_fact_id").alias("n"), F.lit(False).alias("was"), F.lit(True).alias("is"))
     )
-    merged = sides.groupBy(*MEMBER).agg(F.max("o").alias("o"), F.max("n").alias("n"))
-    change = F.when(F.col("o") == 0, "ADDED").when(F.col("n") == 0, "REMOVED").otherwise("KEPT")
-    return merged.select(*MEMBER, change.alias("change"))
+    merged = sides.groupBy(*key).agg(F.min("o").alias("o"), F.min("n").alias("n"), F.max("was").alias("was"), F.max("is").alias("is"))
+    change = F.when(~F.col("was"), "ADDED").when(~F.col("is"), "REMOVED").otherwise("KEPT")
+    return merged.select(*key, F.coalesce("n", "o").alias("omop_fact_id"), change.alias("change"))

@@ -12,10 +12,10 @@ from formloom.functions.identity import (
     integer_fact_id,
     pseudonymize,
 )
-from formloom.operators import checksums
+from formloom.operators import checksums, merkle
 from formloom.plans.registry import Source, query
 from formloom.plans.sqltext import sql_bag, sql_fact_id, sql_uuid
-from formloom.session import broadcast_if_small, local_table
+from formloom.session import broadcast_if_small, cut, local_table
 
 # Keys of the four demonstration sites; a deployment reads them from its own key table.
 SITE_KEYS = {f"site-{s}": (f"demonstration-key-of-site-{s}-" + "0123456789" * n).encode() for s, n in zip("abcd", (1, 2, 4, 6))}
@@ -97,6 +97,68 @@ def c5_dataset_checksum(src: Source) -> DataFrame:
     return checksums.dataset_checksum(members, "name", "digest")
 
 
+_LEAF_SQL = f"""SELECT substr(sha256(name), 1, 4) AS prefix, {sql_bag("sha256(name || chr(0) || digest)")} AS digest, count(*) AS members"""
+
+
+def _tree_sql(members: str, label: str) -> str:
+    """Levels of the tree over a table of members, as common table expressions t4 to t0 with a label."""
+    parts = [f"{label}4 AS ({_LEAF_SQL} FROM {members} GROUP BY 1)"]
+    for d in (3, 2, 1, 0):
+        parts.append(f"""{label}{d} AS (SELECT substr(prefix, 1, {d}) AS prefix, sha256(string_agg(prefix || '=' || digest, ';' ORDER BY prefix)) AS digest,
+            CAST(sum(members) AS BIGINT) AS members FROM {label}{d + 1} GROUP BY 1)""")
+    return ", ".join(parts)
+
+
+EVENT_MEMBERS = "SELECT 'object/' || lpad(CAST(event_id AS VARCHAR), 12, '0') AS name, sha256(props) AS digest FROM events"
+
+
+def event_members(src: Source) -> DataFrame:
+    padded = F.lpad(F.col("event_id").cast("string"), 12, "0")
+    return src.table("events").select(F.concat(F.lit("object/"), padded).alias("name"), F.sha2("props", 256).alias("digest"))
+
+
+def changed_members(src: Source) -> DataFrame:
+    """The same members after some were taken away and some written again."""
+    number = F.substring("name", 8, 12).cast("bigint")
+    again = F.when(number % 997 == 0, F.sha2(F.lit("written again"), 256)).otherwise(F.col("digest"))
+    return event_members(src).filter(number % 1009 != 5).withColumn("digest", again)
+
+
+@query(
+    "c5_tree_checksum",
+    sql=f"WITH m AS ({EVENT_MEMBERS}), {_tree_sql('m', 't')} SELECT digest AS checksum, members FROM t0",
+)
+def c5_tree_checksum(src: Source) -> DataFrame:
+    return merkle.root(merkle.build(event_members(src), "name", "digest"))
+
+
+@query(
+    "c5_tree_refresh",
+    sql=f"""WITH m0 AS ({EVENT_MEMBERS}), m AS (SELECT name, CASE WHEN CAST(substr(name, 8, 12) AS BIGINT) % 997 = 0 THEN sha256('written again') ELSE digest END AS digest
+      FROM m0 WHERE CAST(substr(name, 8, 12) AS BIGINT) % 1009 <> 5), {_tree_sql('m', 't')}
+    SELECT 0 AS depth, prefix, digest, members FROM t0 UNION ALL SELECT 1, prefix, digest, members FROM t1 UNION ALL SELECT 2, prefix, digest, members FROM t2
+    UNION ALL SELECT 3, prefix, digest, members FROM t3 UNION ALL SELECT 4, prefix, digest, members FROM t4""",
+)
+def c5_tree_refresh(src: Source) -> DataFrame:
+    """The tree brought up to date from the names that changed equals the one built anew."""
+    number = F.substring("name", 8, 12).cast("bigint")
+    touched = event_members(src).filter((number % 997 == 0) | (number % 1009 == 5)).select("name")
+    tree = merkle.build(event_members(src), "name", "digest")
+    return merkle.refresh(tree, changed_members(src), touched, "name", "digest")
+
+
+@query(
+    "j6_differing_members",
+    sql=f"""WITH m AS ({EVENT_MEMBERS}) SELECT name, digest AS first_digest, CASE WHEN CAST(substr(name, 8, 12) AS BIGINT) % 1009 <> 5 THEN sha256('written again') END AS second_digest
+      FROM m WHERE CAST(substr(name, 8, 12) AS BIGINT) % 1009 = 5 OR (CAST(substr(name, 8, 12) AS BIGINT) % 997 = 0 AND digest <> sha256('written again'))""",
+)
+def j6_differing_members(src: Source) -> DataFrame:
+    """What differs between two runs, found by going down both trees."""
+    first, second = event_members(src), changed_members(src)
+    leaves = merkle.differences(merkle.build(first, "name", "digest"), merkle.build(second, "name", "digest"))
+    return merkle.differing_members(leaves, first, second, "name", "digest")
+
+
 ROW_SQL = "sha256('v' || o_orderkey || chr(31) || 'v' || o_custkey || chr(31) || 'v' || o_orderstatus)"
 LINE_SQL = "sha256('v' || l_orderkey || chr(31) || 'v' || l_partkey || chr(31) || CASE WHEN l_returnflag = 'R' THEN 'n' ELSE 'v' || l_returnflag END)"
 STAGES_SQL = f"""stages AS (
@@ -120,7 +182,7 @@ def stages(src: Source) -> DataFrame:
     SELECT 'combined', NULL, sha256(string_agg(stage || '=' || checksum, ';' ORDER BY stage)) FROM stages""",
 )
 def c6_stage_checksum(src: Source) -> DataFrame:
-    each = stages(src)
+    each = cut(stages(src), "stage-checksums")  # hashed once, read twice
     total = checksums.combined_checksum(each).select(
         F.lit("combined").alias("stage"), F.lit(None).cast("bigint").alias("rows"), F.col("combined").alias("checksum")
     )

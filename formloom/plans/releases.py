@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formloom.operators import releases
+from formloom.operators import catalog, membership, omop, quality, releases
+from formloom.plans.answers import REPLAY_ENTRIES, decided_sql, eav_canonical, entries_sql, event_entries, stored_decisions
 from formloom.plans.registry import Source, query
+from formloom.session import cut
 
 
 def line_facts(src: Source, flags: list[str]) -> DataFrame:
@@ -196,4 +198,124 @@ def j8_release_chain(src: Source) -> DataFrame:
     FROM (SELECT * FROM o UNION SELECT * FROM n) k LEFT JOIN o USING (omop_table, omop_fact_id) LEFT JOIN n USING (omop_table, omop_fact_id)""",
 )
 def j9_release_diff(src: Source) -> DataFrame:
-    return releases.release_diff(line_facts(src, ["A", "N"]), line_facts(src, ["N", "R"]))
+    return releases.release_diff(line_facts(src, ["A", "N"]), line_facts(src, ["N", "R"])).drop("clinical_event_id")
+
+
+@query(
+    "j9_diff_shared_ids",
+    sql=f"""WITH o AS (SELECT DISTINCT clinical_event_id, omop_table FROM {FACT_SQL.format(flags="'A','N'")}),
+    n AS (SELECT DISTINCT clinical_event_id, omop_table FROM {FACT_SQL.format(flags="'N','R'")})
+    SELECT clinical_event_id, omop_table, CASE WHEN o.x IS NULL THEN 'ADDED' WHEN n.x IS NULL THEN 'REMOVED' ELSE 'KEPT' END AS change
+    FROM (SELECT * FROM o UNION SELECT * FROM n) k LEFT JOIN (SELECT *, 1 AS x FROM o) o USING (clinical_event_id, omop_table)
+    LEFT JOIN (SELECT *, 1 AS x FROM n) n USING (clinical_event_id, omop_table)""",
+)
+def j9_diff_shared_ids(src: Source) -> DataFrame:
+    """All lines of an order share one integer id here, and each change is seen."""
+    shared = F.call_function("div", F.col("omop_fact_id"), F.lit(10))
+    old, new = (line_facts(src, flags).withColumn("omop_fact_id", shared) for flags in (["A", "N"], ["N", "R"]))
+    return releases.release_diff(old, new).drop("omop_fact_id")
+
+
+def yearly_history(src: Source) -> membership.History:
+    """A release for each year of shipping: it adds the year's lines and removes the returned lines of the year before."""
+    lines = src.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.min(F.year("l_shipdate")).alias("y"), F.min("l_returnflag").alias("flag")
+    )
+    member = [
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("clinical_event_id"),
+        F.lit("observation").alias("omop_table"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("omop_fact_id"),
+    ]
+    name = lambda year: F.concat(F.lit("r"), year.cast("string"))
+    added = lines.select(name(F.col("y")).alias("release_id"), *member, F.lit(membership.ADD).alias("change"))
+    gone = lines.filter("flag = 'R'").select(name(F.col("y") + 1).alias("release_id"), *member, F.lit(membership.REMOVE).alias("change"))
+    years = cut(lines.select("y").distinct(), "years")
+    known = years.select(name(F.col("y")).alias("release_id"), name(F.col("y") - 1).alias("parent_release_id"))
+    deltas = cut(added.unionByName(gone), "deltas")
+    history = membership.History(known, deltas, deltas.drop("change").limit(0))
+    # Snapshots of every third release, one after the other as they would have been published.
+    newest = years.agg(F.max("y")).first()[0]
+    for year in range(newest - 6, newest):
+        if membership.snapshot_due(history, f"r{year}", 3):
+            history = membership.with_snapshot(history, f"r{year}")
+    return history
+
+
+@query(
+    "j1_versioned_members",
+    sql="""WITH l AS (SELECT l_orderkey, l_linenumber, min(extract(year FROM l_shipdate)) AS y, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2)
+    SELECT l_orderkey || '-' || l_linenumber AS clinical_event_id, 'observation' AS omop_table, l_orderkey * 10 + l_linenumber AS omop_fact_id
+    FROM l WHERE flag <> 'R' OR y = (SELECT max(y) FROM l)""",
+)
+def j1_versioned_members(src: Source) -> DataFrame:
+    history = yearly_history(src)
+    newest = history.releases.agg(F.max("release_id")).first()[0]
+    return membership.members_of(history, newest)
+
+
+CHILD_SQL = f"""first_pass AS (WITH {decided_sql()} SELECT * FROM decided),
+    second_pass AS (WITH {decided_sql(entries_sql(REPLAY_ENTRIES))} SELECT * FROM decided),
+    again AS (SELECT s.* FROM second_pass s JOIN first_pass f USING (event_id) WHERE f.decision = 'QUARANTINE'),
+    was AS (SELECT DISTINCT clinical_event_id, target_domain FROM first_pass WHERE decision = 'PUBLISH' AND clinical_event_id IS NOT NULL),
+    added AS (SELECT DISTINCT clinical_event_id, target_domain FROM again WHERE decision = 'PUBLISH' AND clinical_event_id IS NOT NULL
+      AND (clinical_event_id, target_domain) NOT IN (SELECT clinical_event_id, target_domain FROM was))"""
+
+
+def replayed(src: Source) -> tuple[membership.Child, DataFrame, DataFrame]:
+    """The child of the first release of the event answers, that release's members and its metrics."""
+    rows = eav_canonical(src)
+    first = stored_decisions(src)
+    members = cut(omop.project_facts(first).select("clinical_event_id", "omop_table", F.lit(0).cast("bigint").alias("omop_fact_id")), "members")
+    metrics = cut(catalog.coverage_from_facts(first, ["establishment_id", "item_path"]), "metrics")
+    records = quality.quarantine_records(first, F.col("authored_at"))
+    parent = first.agg(
+        F.lit("r1").alias("release_id"), F.count_if(F.col("decision") == "PUBLISH").alias("published_count"),
+        F.count_if(F.col("decision") == "QUARANTINE").alias("quarantined_count"),
+    )
+    child = membership.replay(parent, members, metrics, ["establishment_id", "item_path"], rows, records, event_entries(src, REPLAY_ENTRIES), F.lit("mapping_r2"))
+    return child, members, metrics
+
+
+@query(
+    "h5_child_members",
+    "b_answers",
+    sql=f"""WITH {CHILD_SQL}, m AS (SELECT *, true AS inherited FROM was UNION ALL SELECT *, false FROM added)
+    SELECT clinical_event_id, CASE target_domain WHEN 'CONDITION' THEN 'condition_occurrence' WHEN 'MEASUREMENT' THEN 'measurement'
+      WHEN 'OBSERVATION' THEN 'observation' WHEN 'NOTE' THEN 'note' WHEN 'NOTE_NLP' THEN 'note_nlp' END AS omop_table, inherited FROM m""",
+)
+def h5_child_members(src: Source) -> DataFrame:
+    child, members, _ = replayed(src)
+    ids = child.release.select("release_id", "parent_release_id").first()
+    both = src.spark.createDataFrame([(ids[0], ids[1]), (ids[1], None)], "release_id string, parent_release_id string")
+    deltas = members.select(F.lit(ids[1]).alias("release_id"), "*", F.lit("ADD").alias("change")).unionByName(
+        child.delta.select(F.lit(ids[0]).alias("release_id"), *members.columns, "change")
+    )
+    history = membership.History(both, deltas, deltas.drop("change").limit(0))
+    now = membership.members_of(history, ids[0]).drop("omop_fact_id")
+    return now.join(members.select("clinical_event_id", "omop_table").withColumn("inherited", F.lit(True)), ["clinical_event_id", "omop_table"], "left").select(
+        "clinical_event_id", "omop_table", F.coalesce("inherited", F.lit(False)).alias("inherited")
+    )
+
+
+@query(
+    "h5_child_release",
+    "b_answers",
+    sql=f"""WITH {CHILD_SQL}
+    SELECT 'r1' AS parent_release_id, (SELECT count(*) FROM first_pass WHERE decision = 'PUBLISH') + (SELECT count(*) FROM added) AS published_count,
+      (SELECT count(*) FROM again WHERE decision = 'QUARANTINE') AS quarantined_count""",
+)
+def h5_child_release(src: Source) -> DataFrame:
+    return replayed(src)[0].release.select("parent_release_id", "published_count", "quarantined_count")
+
+
+@query(
+    "h5_child_metrics",
+    "b_answers",
+    sql=f"""WITH {CHILD_SQL}, site AS (SELECT establishment_id, count(*) AS n FROM again WHERE decision = 'PUBLISH' GROUP BY 1)
+    SELECT f.establishment_id, item_path,
+      count(*) FILTER (state NOT IN ('NOT_DISPLAYED_BY_FORM_LOGIC', 'VOIDED', 'SUPERSEDED', 'DELETED')) AS eligible_count,
+      count(*) FILTER (state NOT IN ('NOT_DISPLAYED_BY_FORM_LOGIC', 'VOIDED', 'SUPERSEDED', 'DELETED', 'NOT_RECORDED', 'NOT_APPLICABLE')) + coalesce(any_value(n), 0) AS recorded_count,
+      count(*) FILTER (decision = 'PUBLISH') AS usable_count
+    FROM first_pass f LEFT JOIN site USING (establishment_id) GROUP BY ALL""",
+)
+def h5_child_metrics(src: Source) -> DataFrame:
+    return replayed(src)[0].metrics.select("establishment_id", "item_path", "eligible_count", "recorded_count", "usable_count")
