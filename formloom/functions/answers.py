@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from formloom.functions import exact
 from formloom.functions.text import fold, strip
 
 SCALAR = "struct<t:string,s:string,num:decimal(38,9)>"
 NUMBER = "decimal(38,9)"
+# Texts with more decimals than that, or with an exponent.
+_LONG = r"\.[0-9]{10}|[eE]"
 
 # State names, lexicons and lifecycle names exchanged with other systems.
 STATES = (
@@ -88,6 +91,16 @@ def number_scalar(number: Column) -> Column:
     return F.when(value.isNotNull(), scalar(F.lit("num"), value.cast("string"), value))
 
 
+def exact_scalar(value: Column) -> Column:
+    """A number of ``exact`` as a scalar. Up to nine decimals its text has all nine; with more, as many as it needs,
+    and the number column is rounded. Null where the number column cannot hold its size.
+    """
+    text = exact.plain(value)
+    rounded = text.try_cast(NUMBER)
+    shown = F.when(text.rlike(_LONG), text).otherwise(rounded.cast("string"))
+    return F.when(rounded.isNotNull(), scalar(F.lit("num"), shown, rounded))
+
+
 def plain_number(number: Column) -> Column:
     """Decimal as text without trailing zeros: 12.500000000 becomes 12.5."""
     text = number.cast("string")
@@ -109,6 +122,8 @@ def coerce(raw_type: Column, raw_text: Column, data_type: Column) -> Column:
     is_bool, is_num, is_str = (raw_type == tag for tag in ("bool", "num", "str"))
     lowered = F.lower(raw_text)
     number = parse_number(raw_text)
+    # Only what the number column would round takes the longer way.
+    precise = F.when(raw_text.rlike(_LONG), exact_scalar(exact.number(raw_text))).otherwise(number_scalar(number))
     null = F.lit(None).cast(SCALAR)
 
     boolean = F.when(
@@ -116,10 +131,11 @@ def coerce(raw_type: Column, raw_text: Column, data_type: Column) -> Column:
         scalar(F.lit("bool"), lowered, F.when(lowered == "true", 1).otherwise(0)),
     )
     integral = (is_str & strip(raw_text).rlike(r"^[+-]?[0-9]+$")) | (
-        is_num & (number == F.floor(number))
+        is_num & (number == F.floor(number)) & ~raw_text.rlike(r"\.[0-9]*[1-9]|[eE]-")
     )
-    integer = F.when(integral & number.isNotNull(), number_scalar(number))
-    decimal = F.when((is_num | is_str) & number.isNotNull(), number_scalar(number))
+    # Where 38 digits do not hold a text's decimals it is rejected rather than rounded.
+    integer = F.when(integral & number.isNotNull(), precise)
+    decimal = F.when((is_num | is_str) & number.isNotNull(), precise)
     text = F.when(is_str, text_scalar(raw_text))
     compact = F.when(raw_text.rlike(r"^[0-9]{8}$"), F.try_to_date(raw_text, "yyyyMMdd"))
     dashed = F.when(
@@ -151,7 +167,10 @@ def condition_holds(actual: Column, operator: Column, expected: Column) -> Colum
     has = actual.isNotNull()
     numeric = actual["t"].isin("num", "bool") & expected["t"].isin("num", "bool")
     same_tag = actual["t"] == expected["t"]
-    equal = F.when(numeric, actual["num"] == expected["num"]).otherwise(
+    # Texts of numbers are exact where they have more decimals than the number column.
+    longer = actual["s"].rlike(_LONG) | expected["s"].rlike(_LONG)
+    alike = F.when(longer, exact.plain(exact.number(actual["s"])).eqNullSafe(exact.plain(exact.number(expected["s"])))).otherwise(F.lit(True))
+    equal = F.when(numeric, (actual["num"] == expected["num"]) & alike).otherwise(
         same_tag & (actual["s"] == expected["s"])
     )
     left = F.when(actual["t"] != "bool", F.coalesce(actual["num"], parse_number(actual["s"])))

@@ -17,8 +17,8 @@ ENTRY_SCHEMA = f"""
     target_domain string, target_concept_id bigint, target_concept_code string,
     target_concept_name string, target_vocabulary_id string, standard_concept boolean,
     value_map map<string,{SCALAR}>, state_map map<string,string>,
-    unit_source string, unit_target string, unit_multiplier decimal(17,9),
-    unit_offset decimal(17,9), missing_codes array<string>, negative_codes array<string>
+    unit_source string, unit_target string, unit_multiplier decimal(38,18),
+    unit_offset decimal(38,18), missing_codes array<string>, negative_codes array<string>
 """
 SCOPE = ["item_path", "establishment_id", "source_fingerprint", "compatibility_fingerprint"]
 LEVELS = ("SITE_OVERRIDE", "SOURCE_FINGERPRINT", "COMPATIBILITY_FINGERPRINT")

@@ -869,6 +869,20 @@ def g3_convert_unit(src: Source) -> DataFrame:
     return rows.select("response_id", converted["num"].cast("double").alias("converted"))
 
 
+@query(
+    "g3_small_multiplier",
+    sql="""SELECT l_orderkey, l_linenumber, CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(0.0000000001 AS DECIMAL(12,10)) + CAST(0.000000000001 AS DECIMAL(14,12))
+      AS DECIMAL(38,12)) AS VARCHAR) AS converted FROM lineitem""",
+)
+def g3_small_multiplier(src: Source) -> DataFrame:
+    """Prices by a multiplier and an offset beyond nine decimals; the text of the scalar is exact."""
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    value = F.struct(F.lit("num").alias("t"), price.cast("string").alias("s"), price.cast(NUM).alias("num"))
+    converted = standardize.convert_unit(value, F.lit("0.0000000001"), F.lit("0.000000000001"))
+    exactly = converted["s"].cast("decimal(38,12)").cast("string")
+    return src.table("lineitem").select("l_orderkey", "l_linenumber", exactly.alias("converted"))
+
+
 @query(
     "g4_map_state",
     "b_answers",

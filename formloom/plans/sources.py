@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formloom.operators import omop, privacy, releases
@@ -212,6 +212,47 @@ def a2_fhir_questionnaire_errors(src: Source) -> DataFrame:
     return errors.select("object_key", "error")
 
 
+def asking_questionnaires(src: Source) -> DataFrame:
+    """One form per part in which a link id repeats, siblings ask ahead, and some ask about what is not known yet."""
+    key = F.col("p_partkey").cast("string")
+
+    def item(link: str, question: str | None = None, below: Column | None = None, operator: str = "=") -> Column:
+        when = f',"enableWhen":[{{"question":"{question}","operator":"{operator}","answerInteger":7}}]' if question else ""
+        start = F.lit(f'{{"linkId":"{link}","type":"{"group" if below is not None else "integer"}"{when}')
+        return F.concat(start, F.lit(',"item":['), below, F.lit("]}")) if below is not None else F.concat(start, F.lit("}"))
+
+    def joined(*parts: Column) -> Column:
+        return F.concat_ws(",", *parts)
+
+    early = F.when(F.col("p_partkey") % 5 == 0, item("T", "S")).when(F.col("p_partkey") % 7 == 0, item("T", "Q", None, "~"))
+    first = item("G1", None, joined(item("Q"), item("R", "Q"), early))
+    second = item("G2", "G1", joined(item("Q"), item("S", "Q")))
+    body = joined(item("V", "W"), first, second, item("U", "Q"), item("W", "Q"))
+    return src.table("part").select(
+        F.concat(F.lit("asking/"), key).alias("object_key"),
+        F.concat(F.lit('{"resourceType":"Questionnaire","id":"q'), key, F.lit('","item":['), body, F.lit("]}")).alias("content"),
+    )
+
+
+@query(
+    "a2_conditions_in_order",
+    sql="""SELECT 'asking/' || p_partkey AS object_key, path, asks FROM part, (VALUES ('V', 'W'), ('G1', NULL), ('G1/Q', NULL), ('G1/R', 'G1/Q'), ('G2', 'G1'),
+      ('G2/Q', NULL), ('G2/S', 'G2/Q'), ('U', 'G2/Q'), ('W', 'G2/Q')) v(path, asks) WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0""",
+)
+def a2_conditions_in_order(src: Source) -> DataFrame:
+    _, items, _ = fhir.read_questionnaires(asking_questionnaires(src), whole=True)
+    return items.select("object_key", "path", F.try_element_at("conditions", F.lit(1))["source_item_path"].alias("asks"))
+
+
+@query(
+    "a2_condition_errors",
+    sql="""SELECT 'asking/' || p_partkey AS object_key, 'G1/T' AS path, CASE WHEN p_partkey % 5 = 0 THEN 'INVALID_FHIR_CONDITION' ELSE 'UNSUPPORTED_FHIR_CONDITION' END AS error
+      FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 7 = 0""",
+)
+def a2_condition_errors(src: Source) -> DataFrame:
+    return fhir.read_questionnaires(asking_questionnaires(src), whole=True)[2].select("object_key", "path", "error")
+
+
 RESPONSE_ITEMS = [
     ("STATUS", None, "coding", False, None),
     ("TOTAL", None, "decimal", False, ("STATUS", "ne", ("str", "P", None))),

@@ -6,7 +6,7 @@ exploded level by level. What a document does wrong becomes an error row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formloom.functions.answers import SCALAR, answer_state, scalar
@@ -91,8 +91,11 @@ def _starting(entries: Column, prefix: str) -> Column:
     return F.map_filter(entries, lambda k, _: k.startswith(prefix))
 
 
-def read_questionnaires(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(forms, items, errors)`` of documents with columns ``object_key, content`` (JSON text)."""
+def read_questionnaires(documents: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(forms, items, errors)`` of documents with columns ``object_key, content`` (JSON text).
+
+    An item in error is left out; with ``whole`` its document is, so no children are orphaned.
+    """
     depth = levels_of(documents, json_levels(F.col("content"), "item"))
     fields = (
         "linkId:string,text:string,type:string,required:boolean,repeats:boolean,extension:string,"
@@ -131,6 +134,7 @@ def read_questionnaires(documents: DataFrame) -> tuple[DataFrame, DataFrame, Dat
             F.coalesce("it.text", "it.linkId").alias("label"),
             _lookup(ITEM_TYPES, F.col("it.type")).alias("data_type"),
             F.col("at")[F.size("at") - 1].alias("item_order"),
+            F.col("at").alias("_at"),
             F.lit(True).alias("order_semantic"),
             F.coalesce("it.required", F.lit(False)).alias("required"),
             F.coalesce("it.repeats", F.lit(False)).alias("repeats"),
@@ -151,7 +155,7 @@ def read_questionnaires(documents: DataFrame) -> tuple[DataFrame, DataFrame, Dat
         F.when(F.col("item_id").isNull(), "INVALID_FHIR_ITEM")
         .when(~F.col("_extension").isin("[]", "{}", ""), "UNSUPPORTED_FHIR_EXTENSION")
         .when(F.col("data_type").isNull(), "UNSUPPORTED_FHIR_ITEM_TYPE")
-        .when(F.col("_bad_condition"), "INVALID_FHIR_CONDITION")
+        .when(F.col("_bad_condition").isNotNull(), F.col("_bad_condition"))
         .when(F.exists("options", lambda o: o["code"].isNull()), "UNSUPPORTED_FHIR_OPTION")
     )
     items = items.withColumn("error", error)
@@ -161,7 +165,10 @@ def read_questionnaires(documents: DataFrame) -> tuple[DataFrame, DataFrame, Dat
         F.lit(None).cast("string").alias("path"),
     )
     errors = problems.unionByName(items.filter("error IS NOT NULL").select("object_key", "error", "path"))
-    clean = items.filter("error IS NULL").drop("error", "_when", "_options", "_extension", "_bad_condition")
+    clean = items.filter("error IS NULL").drop("error", "_when", "_options", "_extension", "_bad_condition", "_at")
+    if whole:
+        refused = errors.select("object_key").distinct()
+        forms, clean = (df.join(refused, "object_key", "left_anti") for df in (forms, clean))
     return forms, clean, errors
 
 
@@ -179,30 +186,48 @@ def _option(entries: Column) -> Column:
 
 
 def _with_conditions(rows: DataFrame) -> DataFrame:
-    """Resolves each condition's question to a path of the same form."""
-    keys = ["object_key", "path"]
+    """Resolves each condition's question to a path of the same form, as far as a walk through the form has come.
+
+    The items of a level are known once their parent is visited, so an item may ask about its siblings, its
+    ancestors' siblings and all that lies below earlier items; of a repeated link id the latest counts. As indices
+    order items as a walk meets them, that is a running value: questions and registrations of one link id in order.
+    """
+    keys = ["object_key", "_at"]
     whens = rows.select(*keys, F.posexplode("_when").alias("n", "w")).withColumn(
         "m", F.from_json("w", "map<string,variant>")
     )
     answers = F.map_values(_starting(F.col("m"), "answer"))
     asked = whens.select(
-        *keys,
-        "n",
+        "object_key",
         F.try_variant_get(F.try_element_at("m", F.lit("question")), "$", "string").alias("question"),
+        F.col("_at").alias("time"),
+        F.lit(False).alias("known"),
+        "n",
+        F.lit(None).cast("string").alias("path"),
         _lookup(
             OPERATORS,
             F.coalesce(F.try_variant_get(F.try_element_at("m", F.lit("operator")), "$", "string"), F.lit("=")),
         ).alias("operator"),
         F.when(F.size(answers) == 1, _value_of(answers[0])).alias("expected"),
     )
-    named = rows.select("object_key", F.col("item_id").alias("question"), F.col("path").alias("source_item_path"))
-    first = named.groupBy("object_key", "question").agg(F.min("source_item_path").alias("source_item_path"))
-    found = asked.join(first, ["object_key", "question"], "left")
-    bad = F.col("source_item_path").isNull() | F.col("operator").isNull() | F.col("expected").isNull()
-    # An item's own conditions: as many as one item of one document declares.
+    last = F.size("_at")
+    known = rows.select(
+        "object_key", F.col("item_id").alias("question"), F.slice("_at", F.lit(1), last - 1).alias("time"), F.lit(True).alias("known"),
+        F.col("_at")[last - 1].alias("n"), "path", F.lit(None).cast("string").alias("operator"), F.lit(None).cast(SCALAR).alias("expected"),
+    )
+    # A question at the time of a registration comes before it: an item's children are not known to itself.
+    walk = Window.partitionBy("object_key", "question").orderBy("time", "known", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = asked.unionByName(known).withColumn("source_item_path", F.last("path", ignorenulls=True).over(walk))
+    found = every.filter(~F.col("known")).withColumnRenamed("time", "_at")
+    bad = (
+        F.when(F.col("source_item_path").isNull(), "INVALID_FHIR_CONDITION")
+        .when(F.col("operator").isNull(), "UNSUPPORTED_FHIR_CONDITION")
+        .when(F.col("expected").isNull(), "INVALID_FHIR_CONDITION")
+    )
+    # An item's own conditions: as many as one item of one document declares; the first in error is told.
     grouped = found.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("n", "source_item_path", "operator", "expected"))).alias("_c"),
-        F.max(bad).alias("_bad_condition"),
+        F.min_by(bad, F.when(bad.isNotNull(), F.col("n"))).alias("_bad_condition"),
     )
     conditions = F.transform(
         "_c", lambda c: F.struct(c["source_item_path"].alias("source_item_path"), c["operator"].alias("operator"), c["expected"].alias("expected"))
@@ -211,7 +236,6 @@ def _with_conditions(rows: DataFrame) -> DataFrame:
     return (
         rows.join(grouped, keys, "left")
         .withColumn("conditions", F.coalesce(conditions.cast(f"array<{CONDITION}>"), empty))
-        .withColumn("_bad_condition", F.coalesce("_bad_condition", F.lit(False)))
         .drop("_c")
     )
 
