@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from formloom.session import cut
+
 from formloom.functions.ratios import ratio4
 
 COUNTS = ("recorded_count", "usable_count", "positive_count")
@@ -148,3 +151,56 @@ def page(df: DataFrame, order: list[Column | str], cursor: str | None = None, li
     rows = df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
     following = F.when(F.col("total") > offset + limit, F.lit(encode_cursor(offset + limit)))
     return rows.withColumn("next_cursor", following)
+
+
+@dataclass(frozen=True)
+class Pages:
+    """A table stored in order, and a small index of its ranges: number, first key, rows before, rows."""
+
+    table: DataFrame
+    index: DataFrame
+    order: tuple[tuple[str, bool], ...]
+
+
+def paged(df: DataFrame, order: list[tuple[str, bool]]) -> Pages:
+    """``df`` stored in the order of (column, ascending) pairs, which must be total and without nulls.
+
+    Written once; its index has a row per range partition. Totals and jumps come from the index.
+    """
+    sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
+    stored = cut(df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()), "pages")
+    ranged = stored.withColumn("_range", F.shiftright("_at", 33))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("rows"), F.min_by(F.struct(*[c for c, _ in order]), "_at").alias("first"))
+    # As many rows as range partitions.
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return Pages(stored, cut(sizes.withColumn("before", before), "pages-index"), tuple(order))
+
+
+def _from_key(order: tuple[tuple[str, bool], ...], key: tuple, strict: bool) -> Column:
+    """Rows at or behind a key; each term is a plain comparison, so it reaches the scan."""
+    out, same = F.lit(False), F.lit(True)
+    for (name, up), value in zip(order, key):
+        out = out | (same & ((F.col(name) > F.lit(value)) if up else (F.col(name) < F.lit(value))))
+        same = same & (F.col(name) == F.lit(value))
+    out = out if strict else out | same
+    (name, up), value = order[0], key[0]
+    return out & ((F.col(name) >= F.lit(value)) if up else (F.col(name) <= F.lit(value)))
+
+
+def page_at(pages: Pages, offset: int, limit: int = 50) -> DataFrame:
+    """The page that starts at ``offset``: read from the range that holds it, found in the index."""
+    found = pages.index.filter(F.col("before") <= offset).orderBy(F.desc("before"), F.desc("_range")).limit(1).collect()
+    start = found[0] if found else None
+    rows = pages.table.filter(_from_key(pages.order, tuple(start["first"]), strict=False)) if start else pages.table
+    return _page(pages, rows, offset - (start["before"] if start else 0), limit)
+
+
+def page_after(pages: Pages, key: tuple, limit: int = 50) -> DataFrame:
+    """The page behind the row with this key, which is what the last row of a page gives."""
+    return _page(pages, pages.table.filter(_from_key(pages.order, key, strict=True)), 0, limit)
+
+
+def _page(pages: Pages, rows: DataFrame, skip: int, limit: int) -> DataFrame:
+    sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in pages.order]
+    total = pages.index.agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
+    return rows.drop("_at").orderBy(*sort).offset(skip).limit(limit).withColumn("total", total)

@@ -77,6 +77,7 @@ def resolve_lifecycle(canonical: DataFrame, fail_on_error: bool = False) -> Data
 
     A link with an error is not followed. With ``fail_on_error`` the first error raises instead.
     """
+    canonical = cut(canonical, "lifecycle-input")  # read by the links, the duplicates and the result
     links = cut(classify_links(canonical), "classified")
     good = links.filter("reason IS NULL")
     followed = good.groupBy("event_id").agg(F.max_by("target", "pos").alias("target"))

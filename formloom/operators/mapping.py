@@ -191,10 +191,12 @@ def release_identity(releases: DataFrame, rows: DataFrame, row_hash: Column) ->
 def select_release(forms: DataFrame, releases: DataFrame, entries: DataFrame) -> DataFrame:
     """Latest approved release that covers a form's source or compatibility fingerprint.
 
-    A form that names ``requested_release_id`` only accepts that release. Coverage is reduced to
-    the best release per fingerprint before it meets the forms.
+    A form that names ``requested_release_id`` only accepts that release. Where ``releases`` says which are
+    ``verified`` (see ``verify_release_checksum``), others are never chosen, also when they are asked for.
+    Coverage is reduced to the best release per fingerprint before it meets the forms.
     """
-    approved = entries.join(releases.select("release_id", "approved_at"), "release_id")
+    sound = releases.filter("verified") if "verified" in releases.columns else releases
+    approved = entries.join(sound.select("release_id", "approved_at"), "release_id")
     keys = {"source_fingerprint": "_by_source", "compatibility_fingerprint": "_by_compat"}
     out = forms
     best = F.struct("approved_at", "release_id")

@@ -1189,6 +1189,19 @@ def f5_release_identity(src: Source) -> DataFrame:
     )
 
 
+def asking_forms(src: Source) -> DataFrame:
+    """One form per order; finished orders name the release they want."""
+    kind = F.col("o_custkey") % 7
+    family = F.when(kind == 0, "ECONOMY").when(kind == 1, "PROMO").when(kind == 2, "STANDARD").otherwise("none")
+    brand = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string"))
+    return src.table("orders").select(
+        F.col("o_orderkey").alias("form_id"),
+        F.concat(F.lit("sf-"), family).alias("source_fingerprint"),
+        F.concat(F.lit("cf-"), (F.col("o_custkey") % 60).cast("string")).alias("compatibility_fingerprint"),
+        F.when(F.col("o_orderstatus") == "F", brand).alias("requested_release_id"),
+    )
+
+
 @query(
     "f6_select_release",
     sql=f"""WITH {PART_ENTRY_SQL},
@@ -1206,20 +1219,39 @@ def f5_release_identity(src: Source) -> DataFrame:
     FROM f LEFT JOIN s ON s.sf = f.sf LEFT JOIN c ON c.cf = f.cf""",
 )
 def f6_select_release(src: Source) -> DataFrame:
-    kind = F.col("o_custkey") % 7
-    family = F.when(kind == 0, "ECONOMY").when(kind == 1, "PROMO").when(kind == 2, "STANDARD").otherwise("none")
-    brand = F.concat(F.lit("Brand#"), (F.col("o_custkey") % 25 + 1).cast("string"))
-    forms_df = src.table("orders").select(
-        F.col("o_orderkey").alias("form_id"),
-        F.concat(F.lit("sf-"), family).alias("source_fingerprint"),
-        F.concat(F.lit("cf-"), (F.col("o_custkey") % 60).cast("string")).alias("compatibility_fingerprint"),
-        F.when(F.col("o_orderstatus") == "F", brand).alias("requested_release_id"),
-    )
-    return mapping.select_release(forms_df, part_releases(src), part_entries(src)).select(
+    return mapping.select_release(asking_forms(src), part_releases(src), part_entries(src)).select(
         "form_id", "selected_release_id"
     )
 
 
+@query(
+    "f6_select_verified",
+    sql=f"""WITH {PART_ENTRY_SQL},
+    ok AS (SELECT * FROM r WHERE length(release_id) % 2 = 0),
+    f AS (SELECT o_orderkey AS form_id, 'sf-' || CASE o_custkey % 7 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'PROMO'
+            WHEN 2 THEN 'STANDARD' ELSE 'none' END AS sf, 'cf-' || (o_custkey % 60) AS cf,
+          CASE WHEN o_orderstatus = 'F' THEN 'Brand#' || (o_custkey % 25 + 1) END AS asked FROM orders),
+    s AS (SELECT e.source_fingerprint AS sf, max(ok.approved_at) AS t, max_by(release_id, (ok.approved_at, release_id)) AS id
+          FROM e JOIN ok USING (release_id) WHERE e.source_fingerprint IS NOT NULL GROUP BY 1),
+    c AS (SELECT e.compatibility_fingerprint AS cf, max(ok.approved_at) AS t, max_by(release_id, (ok.approved_at, release_id)) AS id
+          FROM e JOIN ok USING (release_id) WHERE e.compatibility_fingerprint IS NOT NULL GROUP BY 1)
+    SELECT f.form_id, CASE WHEN asked IS NOT NULL THEN CASE WHEN EXISTS (SELECT 1 FROM e JOIN ok USING (release_id) WHERE e.release_id = asked
+        AND (e.source_fingerprint = f.sf OR e.compatibility_fingerprint = f.cf)) THEN asked END
+      WHEN s.id IS NULL THEN c.id WHEN c.id IS NULL THEN s.id
+      WHEN (s.t, s.id) > (c.t, c.id) THEN s.id ELSE c.id END AS selected_release_id
+    FROM f LEFT JOIN s ON s.sf = f.sf LEFT JOIN c ON c.cf = f.cf""",
+)
+def f6_select_verified(src: Source) -> DataFrame:
+    """Releases whose stored checksum is not that of their content are refused."""
+    releases, entries = checked_releases(src), part_entries(src)
+    own = mapping.release_checksum(releases, entries, part_row_hash()).select("release_id", "computed_checksum")
+    kept = F.when(F.length("release_id") % 2 == 0, F.col("computed_checksum")).otherwise(F.lit("tampered"))
+    stored = releases.join(own.select("release_id", kept.alias("payload_checksum_sha256")), "release_id")
+    verified = mapping.verify_release_checksum(stored, entries, part_row_hash())
+    sound = part_releases(src).join(verified.select("release_id", "verified"), "release_id")
+    return mapping.select_release(asking_forms(src), sound, entries).select("form_id", "selected_release_id")
+
+
 @query(
     "f7_draft_queue",
     "b_forms",

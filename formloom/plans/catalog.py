@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from formloom.operators import catalog, privacy
 from formloom.plans.answers import decided_sql, event_decisions
 from formloom.plans.registry import Source, query
+from formloom.session import cut
 from formloom.plans.sqltext import sql_bag, sql_ratio
 
 KEY = ["concept_key", "establishment_id", "period_start"]
@@ -153,6 +154,22 @@ def k9_page(src: Source) -> DataFrame:
     )
 
 
+@query(
+    "k9_late_page",
+    sql="""WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS i, count(*) OVER () AS total FROM orders)
+    SELECT 'jump' AS page, o_orderkey, o_totalprice, total FROM o WHERE i >= total // 10 * 9 AND i < total // 10 * 9 + 25
+    UNION ALL SELECT 'next', o_orderkey, o_totalprice, total FROM o WHERE i >= total // 10 * 9 + 25 AND i < total // 10 * 9 + 50""",
+)
+def k9_late_page(src: Source) -> DataFrame:
+    """A page nine tenths down the table, and the one behind its last row."""
+    pages = catalog.paged(src.table("orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", False), ("o_orderkey", True)])
+    total = pages.index.agg(F.sum("rows")).first()[0]
+    page = cut(catalog.page_at(pages, total // 10 * 9, 25), "page")
+    last = page.orderBy(F.asc("o_totalprice"), F.desc("o_orderkey")).first()
+    behind = catalog.page_after(pages, (last["o_totalprice"], last["o_orderkey"]), 25)
+    return page.select(F.lit("jump").alias("page"), "*").unionByName(behind.select(F.lit("next").alias("page"), "*"))
+
+
 # --- L -------------------------------------------------------------------------------------
 
 SUPPRESSED_SQL = """sup AS (SELECT concept_key, establishment_id, period_start,

@@ -213,6 +213,27 @@ def d6_bind_form_version(src: Source) -> DataFrame:
     return forms.bind_form_version(responses, registered, FORM).select("response_id", "binding", "registration_id")
 
 
+@query(
+    "d6_bind_all_groups",
+    "b_forms",
+    sql="""WITH g AS (SELECT form_id, version, path AS registration_id FROM b_forms WHERE parent_path IS NULL AND (length(path) + length(version || form_id)) % 5 = 0),
+    k AS (SELECT form_id, version, count(*) AS n, min(registration_id) AS registration_id FROM g GROUP BY 1, 2),
+    r AS (SELECT o_orderkey AS response_id, 'form-Brand#' || (o_custkey % 30) AS form_id, CAST(o_orderkey % 3 AS VARCHAR) AS version FROM orders)
+    SELECT response_id, CASE WHEN k.n IS NULL THEN 'UNKNOWN_FORM_VERSION' WHEN k.n > 1 THEN 'AMBIGUOUS_FORM_VERSION' ELSE 'BOUND' END AS binding,
+      CASE WHEN k.n = 1 THEN registration_id END AS registration_id FROM r LEFT JOIN k USING (form_id, version)""",
+)
+def d6_bind_all_groups(src: Source) -> DataFrame:
+    """Registrations derived from keys over the groups of all forms; which forms lack one follows from the keys."""
+    key = (F.length("path") + F.length(F.concat("version", "form_id"))) % 5
+    registered = src.view("b_forms").filter(F.col("parent_path").isNull() & (key == 0)).select(*FORM, F.col("path").alias("registration_id"))
+    responses = src.table("orders").select(
+        F.col("o_orderkey").alias("response_id"),
+        F.concat(F.lit("form-Brand#"), (F.col("o_custkey") % 30).cast("string")).alias("form_id"),
+        (F.col("o_orderkey") % 3).cast("string").alias("version"),
+    )
+    return forms.bind_form_version(responses, registered, FORM).select("response_id", "binding", "registration_id")
+
+
 @query(
     "d7_search_forms",
     "b_forms",

@@ -343,6 +343,18 @@ def i10_vocabulary_snapshot(src: Source) -> DataFrame:
     )
 
 
+@query(
+    "i10_snapshot_checksum",
+    sql="""WITH m AS (SELECT DISTINCT 'CONCEPT-' || p_brand AS name, sha256(p_brand) AS digest FROM part)
+    SELECT 'r1' AS release_id, sha256(unhex(string_agg(hex(encode(name)) || '00' || digest, '' ORDER BY name))) AS source_checksum FROM m""",
+)
+def i10_snapshot_checksum(src: Source) -> DataFrame:
+    members = part_concepts(src).select(
+        F.concat(F.lit("CONCEPT-"), "concept_class_id").alias("name"), F.sha2("concept_class_id", 256).alias("digest")
+    ).distinct()
+    return vocabulary.snapshot(part_concepts(src), members, "r1", "v1").select("release_id", "source_checksum")
+
+
 @query(
     "i11_load_vocabulary",
     sql="""SELECT p_brand AS release_id, CASE WHEN count(*) < 75 THEN 'APPEND' WHEN count(*) < 85 THEN 'REPLAY' ELSE 'REBOUND' END AS action

@@ -49,6 +49,29 @@ def q3_outcome_counters_hourly(src: Source) -> DataFrame:
     return ingest.drain_to_table(counters.outcome_counters(outcome_stream(src), "1 hour"), "counters", "complete")
 
 
+# The watermark after all events: a day before the latest. Windows that end by then are closed.
+MARK_SQL = "(SELECT max(ts) - INTERVAL '1 day' FROM events)"
+
+
+@query(
+    "q3_closed_windows",
+    sql=f"""WITH {OUTCOME_SQL}, c AS (SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) AS window_start, stage, outcome, failure_code, count(*) AS events FROM o GROUP BY ALL)
+    SELECT * FROM c WHERE window_start + INTERVAL '1 hour' <= {MARK_SQL}""",
+)
+def q3_closed_windows(src: Source) -> DataFrame:
+    """Each window once, when it is closed; its state goes then."""
+    return ingest.drain_to_table(counters.outcome_counters(outcome_stream(src), "1 hour"), "closed")
+
+
+@query(
+    "q5_closed_latency",
+    sql=f"""WITH {OUTCOME_SQL}, c AS (SELECT CAST(time_bucket(INTERVAL '1 day', ts) AS TIMESTAMP) AS window_start, stage, quantile_disc(value, 0.95) AS p95, count(*) AS samples FROM o GROUP BY 1, 2)
+    SELECT * FROM c WHERE window_start + INTERVAL '1 day' <= {MARK_SQL}""",
+)
+def q5_closed_latency(src: Source) -> DataFrame:
+    return ingest.drain_to_table(counters.latency_p95(outcome_stream(src), "1 day", "stage", "value"), "closed-latency")
+
+
 RATES_SQL = f"""{OUTCOME_SQL}, s AS (SELECT ts, is_error, unnest(range(0, 6)) AS k FROM o),
     r AS (SELECT CAST(time_bucket(INTERVAL '1 hour', ts) AS TIMESTAMP) - to_hours(k) AS w, count(*) FILTER (is_error) AS errors, count(*) AS total FROM s GROUP BY 1),
     rate AS (SELECT w + INTERVAL '6 hours' AS ended, errors, total, errors / greatest(CAST(total AS DOUBLE), 1.0) AS ratio FROM r)"""
@@ -72,6 +95,18 @@ def q4_error_rate_alert(src: Source) -> DataFrame:
     return counters.sustained_alerts(rates, 0.25, "1 hour", "3 hours", 3)
 
 
+@query(
+    "q4_alert_stream",
+    sql=f"""WITH {RATES_SQL}, b AS (SELECT ended, ratio, unnest(range(0, 3)) AS k FROM rate WHERE ratio > 0.25 AND ended <= {MARK_SQL})
+    SELECT ended + to_hours(k) AS fired_at, count(*) AS breaches, max(ratio) AS worst FROM b WHERE ended + to_hours(k) <= {MARK_SQL}
+    GROUP BY 1 HAVING count(*) >= 3""",
+)
+def q4_alert_stream(src: Source) -> DataFrame:
+    """Alerts over the stream itself, in append mode."""
+    alerts = counters.alert_stream(outcome_stream(src), "6 hours", "1 hour", "3 hours", 3, 0.25)
+    return ingest.drain_to_table(alerts, "alerts")
+
+
 @query(
     "q5_latency_p95",
     sql=f"""WITH {OUTCOME_SQL} SELECT CAST(time_bucket(INTERVAL '1 day', ts) AS TIMESTAMP) AS window_start, stage, quantile_disc(value, 0.95) AS p95, count(*) AS samples FROM o GROUP BY 1, 2""",

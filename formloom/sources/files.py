@@ -61,16 +61,15 @@ def _date(value: Column) -> Column:
 def read_vocabulary(spark: SparkSession, directory: str, name: str) -> tuple[DataFrame, DataFrame]:
     """``(rows, errors)`` of one tab-separated vocabulary file.
 
-    The header must match exactly (a byte order mark is allowed). Rows with a missing required
+    The header of every part file must match exactly (a byte order mark is allowed). Rows with a missing required
     value, a malformed integer or date, or too many fields become errors naming the column.
     """
     columns = VOCABULARY_FILES[name]
     path = f"{directory.rstrip('/')}/{name}"
     reader = spark.read.option("sep", "\t").option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-    header = reader.option("header", "false").csv(path).limit(1).first()
-    found = tuple((value or "").lstrip("﻿") for value in header) if header else ()
-    if found != columns:
-        raise ValueError(f"{name}: header {found} instead of {columns}")
+    wrong = wrong_headers(reader, path, columns)
+    if wrong:
+        raise ValueError(f"{name}: header {wrong[0]['found']} of {wrong[0]['file']} instead of {columns}")
     schema = ", ".join(f"`{c}` string" for c in columns) + ", _corrupt string"
     raw = (
         reader.option("header", "true")
@@ -83,6 +82,23 @@ def read_vocabulary(spark: SparkSession, directory: str, name: str) -> tuple[Dat
     return type_vocabulary(raw, name)
 
 
+def wrong_headers(reader, path: str, columns: tuple[str, ...]) -> list:
+    """Up to five (file, found) whose first line is not the header; a snapshot may come in several part files.
+
+    The first line is the first row of the split that starts a file; splits are read in order by one task each.
+    """
+    names = [f"c{i}" for i in range(len(columns) + 1)]
+    rows = reader.option("header", "false").schema(", ".join(f"{n} string" for n in names)).csv(path)
+    starts = rows.select(
+        F.array(*names).alias("found"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+    ).filter("start = 0")
+    firsts = starts.groupBy("file").agg(F.min_by("found", "at").alias("found"))
+    clean = F.transform("found", lambda v: F.regexp_replace(F.coalesce(v, F.lit("")), "^\ufeff", ""))
+    want = F.array(*[F.lit(c) for c in columns], F.lit(""))
+    return firsts.select("file", clean.alias("found")).filter(F.col("found") != want).orderBy("file").limit(5).collect()
+
+
 def type_vocabulary(raw: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """``(rows, errors)`` of string rows of a vocabulary file."""
     columns = VOCABULARY_FILES[name]

@@ -1,4 +1,9 @@
-"""Operational counters over event time; each works on a batch and on a watermarked stream."""
+"""Operational counters over event time; each works on a batch and on a watermarked stream.
+
+In append mode a window is given out once, after the watermark has passed it, and its state goes: counters and the
+mergeable percentile sketches then take space for the open windows only, however long the stream runs. Events
+later than the watermark allows are counted by the query's progress (``numRowsDroppedByWatermark``).
+"""
 
 from __future__ import annotations
 
@@ -45,6 +50,24 @@ def sustained_alerts(
     )
 
 
+def alert_stream(
+    events: DataFrame, width: str, slide: str, sustain: str, slides: int, threshold: float, floor: float = 1.0
+) -> DataFrame:
+    """``sustained_alerts`` as two chained windows of one stream, for append mode.
+
+    ``events``: ``ts`` with a watermark, ``is_error``. The rate of a sliding window is known when the watermark
+    has passed it; it then counts in the windows of ``sustain`` that hold its end. An alert is given once, when no
+    event can change it any more, and both windows' state goes with the watermark.
+    """
+    rates = error_rates(events, width, slide, floor).filter(F.col("ratio") > threshold)
+    return (
+        rates.groupBy(F.window("w", sustain, slide).alias("s"))
+        .agg(F.count(F.lit(1)).alias("breaches"), F.max("ratio").alias("worst"))
+        .filter(F.col("breaches") >= slides)
+        .select(F.col("s.end").alias("fired_at"), "breaches", "worst")
+    )
+
+
 def latency_p95(samples: DataFrame, width: str, key: str, value: str, accuracy: int = 10_000) -> DataFrame:
     """95th percentile per window and key, from a mergeable sketch."""
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over what is there and stop; appended rows go to ``path``.
+def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> list[dict]:
+    """Run a stream over what is there and stop; appended rows go to ``path``. Returns the progress of its batches.
 
     In complete mode the whole result replaces the table after each micro-batch.
     """
@@ -26,7 +27,19 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
         writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
     else:
         writer = writer.format("parquet").option("path", path)
-    writer.start().awaitTermination()
+    query = writer.start()
+    query.awaitTermination()
+    return [dict(p) if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+
+
+def late_rows(progress: list[dict]) -> int:
+    """Rows that came after the watermark had passed their window."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for batch in progress for op in batch.get("stateOperators", []))
+
+
+def state_rows(progress: list[dict]) -> list[int]:
+    """Rows held in state after each batch."""
+    return [sum(op.get("numRowsTotal", 0) for op in batch.get("stateOperators", [])) for batch in progress]
 
 
 def drain_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
