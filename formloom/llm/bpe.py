@@ -23,11 +23,13 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,7 @@ BLOCK = 50_000
 BATCH_BYTES = 16_000_000
 SHORT = 24
 NONE, CUT = 1 << 28, 1 << 29
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 # A letter word followed by one of these is two pre-tokens in any pattern of words and punctuation.
 PLAIN_ENDS = (".", ",", ";", ":", "!", "?")
 END = "</w>"
@@ -237,7 +240,27 @@ class BpeModel:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_token(self, token: str) -> bytes:
-        return self.encode_packed(token.encode())
+        """Packed ids of a pre-token; written out for short ones without certain cuts, which are nearly all."""
+        word, first = token.encode(), self.first
+        if len(word) > SHORT:
+            return self.encode_packed(word)
+        ids = list(map(self.inner.__getitem__, word))
+        ids[-1] = self.last[word[-1]]
+        ranks = [first[a][b] for a, b in pairwise(word)]
+        if ranks:
+            ranks[-1] = first[word[-2]][256 + word[-1]]
+            if CUT in ranks:
+                return self.encode_packed(word)
+            pairs, merged = self.ranks, self.merged
+            while ranks and (best := min(ranks)) != NONE:
+                i = ranks.index(best)
+                ids[i] = new = merged[best]
+                del ids[i + 1], ranks[i]
+                if i:
+                    ranks[i - 1] = pairs[ids[i - 1]].get(new, NONE)
+                if i < len(ranks):
+                    ranks[i] = pairs[new].get(ids[i + 1], NONE)
+        return array("I", ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_chunk(self, chunk: str) -> bytes:
         """Packed ids of text without white space."""

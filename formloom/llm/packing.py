@@ -44,12 +44,16 @@ class Packer:
 
     def level_for(self, size: int) -> int:
         """Level whose choice makes the sum of squared counts smallest; the fullest among equals."""
-        counts, levels = self.counts, self.window - size + 1
-        change = 2 * counts[size : size + levels] + 1
-        change[-1] = 0  # a full window is not counted
-        change[1:] -= 2 * counts[1:levels] - 1
-        change[1:][counts[1:levels] == 0] = np.iinfo(np.int64).max
-        return levels - 1 - int(np.argmin(change[::-1]))
+        room = self.window - size
+        filled = np.flatnonzero(self.counts[1 : room + 1]) + 1
+        # A window of a level moves to the level it then fills; a full one is not counted any more.
+        after = 2 * self.counts[filled + size] + 1
+        after[filled == room] = 0
+        change = after - 2 * self.counts[filled] + 1
+        fresh = 2 * int(self.counts[size]) + 1 if room else 0
+        if len(filled) and change.min() <= fresh:
+            return int(filled[np.flatnonzero(change == change.min())[-1]])
+        return 0
 
     def add(self, row, ids: bytes) -> Iterator[list[Piece]]:
         """Place a document; yields the windows that are full by it."""
