@@ -168,7 +168,7 @@ def condition_holds(actual: Column, operator: Column, expected: Column) -> Colum
     numeric = actual["t"].isin("num", "bool") & expected["t"].isin("num", "bool")
     same_tag = actual["t"] == expected["t"]
     # Texts of numbers are exact where they have more decimals than the number column.
-    longer = actual["s"].rlike(_LONG) | expected["s"].rlike(_LONG)
+    longer = (actual["t"] == "num") & (expected["t"] == "num") & (actual["s"].rlike(_LONG) | expected["s"].rlike(_LONG))
     alike = F.when(longer, exact.plain(exact.number(actual["s"])).eqNullSafe(exact.plain(exact.number(expected["s"])))).otherwise(F.lit(True))
     equal = F.when(numeric, (actual["num"] == expected["num"]) & alike).otherwise(
         same_tag & (actual["s"] == expected["s"])

@@ -28,10 +28,11 @@ COMPATIBLE = {
     "application/json": ("application/fhir+json", "application/json"),
     "application/xml": ("application/xml", "text/xml"),
 }
+# The bytes files of these types begin with.
 SIGNATURES = {
-    "255044462D": "application/pdf",
-    "89504E470D0A1A0A": "image/png",
-    "FFD8FF": "image/jpeg",
+    b"%PDF-": "application/pdf",
+    b"\x89PNG\r\n\x1a\n": "image/png",
+    b"\xff\xd8\xff": "image/jpeg",
 }
 MAXIMUM_ENTRIES = 100
 MAXIMUM_ENTRY_BYTES = 50 * 1024 * 1024
@@ -45,7 +46,7 @@ def sniff_media_type(content: Column) -> Column:
     """Struct ``(media_type, error)`` of binary content, from its signature or well-formedness."""
     signed = F.coalesce(
         *[
-            F.when(F.substring(content, 1, len(magic) // 2) == F.unhex(F.lit(magic)), F.lit(kind))
+            F.when(F.substring(content, 1, len(magic)) == F.lit(bytearray(magic)), F.lit(kind))
             for magic, kind in SIGNATURES.items()
         ]
     )

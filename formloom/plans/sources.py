@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formloom.operators import omop, privacy, releases
+from formloom.operators import catalog, lineage, omop, privacy, releases
 from formloom.plans.answers import decided_sql, eav_canonical, stored_decisions
 from formloom.plans.catalog import BUNDLE_SQL, site_bundle
 from formloom.plans.omop import FACTS_SQL, identified, part_concepts
@@ -81,6 +82,37 @@ def b2_write_stage_artifacts(src: Source) -> DataFrame:
     return out
 
 
+@query(
+    "b2_all_stages",
+    "b_answers",
+    sql=f"""WITH {FACTS_SQL} SELECT 'canonical' AS stage, count(*) AS rows FROM canon UNION ALL SELECT 'quality', count(*) FROM decided
+      UNION ALL SELECT 'omop', count(*) FROM facts UNION ALL SELECT 'manifest', count(DISTINCT establishment_id) FROM decided
+      UNION ALL SELECT 'lineage', 3 * (SELECT count(*) FROM decided) + 2 * (SELECT count(*) FROM facts)
+      UNION ALL SELECT 'catalog', count(DISTINCT (establishment_id, item_path)) FROM decided""",
+)
+def b2_all_stages(src: Source) -> DataFrame:
+    """All six stages of a batch, written and read again."""
+    decisions = stored_decisions(src)
+    facts = omop.project_facts(decisions)
+    rows = decisions.withColumn("object_key", F.col("evidence")[0]["object_key"]).withColumn("mapping_release_id", F.lit("mapping_r1"))
+    stages = {
+        "manifest": decisions.groupBy("establishment_id").agg(
+            F.count(F.lit(1)).alias("record_count"), F.min("authored_at").alias("source_period_start"), F.max("authored_at").alias("source_period_end")
+        ),
+        "canonical": decisions.select("event_id", "establishment_id", "item_path", "state", "value", "evidence"),
+        "quality": decisions.select("event_id", "decision", "failures"),
+        "omop": facts,
+        "lineage": lineage.lineage_edges(rows, facts, F.lit("batch-1")),
+        "catalog": catalog.coverage(catalog.coverage_from_facts(decisions, ["establishment_id", "item_path"])),
+    }
+    root = fresh_path(src.spark, "stages")
+    store.write_stage_artifacts(stages, root, "batch-1")
+    parts = [
+        src.spark.read.parquet(f"{root}/batch_id=batch-1/{stage}").agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("rows")) for stage in store.STAGES
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "b3_write_omop",
     "b_answers",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from formloom.operators import omop
 from formloom.session import broadcast_if_small
@@ -33,10 +35,19 @@ def write_canonical(df: DataFrame, root: str, rows_per_file: int = ROWS_PER_FILE
 
 def read_canonical(
     spark: SparkSession, root: str, site: str | None = None, period: str | None = None,
-    batch: str | None = None, fingerprint: str | None = None,
+    batch: str | None = None, fingerprint: str | None = None, schema: T.StructType | None = None,
 ) -> DataFrame:
-    """The canonical store; each argument prunes partitions."""
-    df = spark.read.parquet(root)
+    """The canonical store; each argument prunes partitions.
+
+    With a ``schema`` nothing is inferred from files, and a store nobody has written to yet is empty.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    try:
+        df = reader.parquet(root)
+    except AnalysisException as error:
+        if schema is None or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df = spark.createDataFrame([], schema)
     for name, value in zip(PARTITIONS, (site, period, batch, fingerprint)):
         if value is not None:
             df = df.filter(F.col(name) == value)

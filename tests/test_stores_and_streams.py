@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from formloom.operators import catalog, membership, merkle
 from formloom.session import local_table
-from formloom.sources import files
+from formloom.sources import files, store
 from formloom.streaming import counters, ingest
 
 
@@ -138,3 +138,10 @@ def test_late_rows_are_counted(spark, tmp_path):
     closed = counters.latency_p95(stream.select("ts", "stage", F.col("is_error").cast("int").alias("v")), "1 hour", "stage", "v")
     assert ingest.late_rows(ingest.drain(closed, f"{tmp_path}/out", f"{tmp_path}/state")) == 1
     assert [r.samples for r in spark.read.parquet(f"{tmp_path}/out").orderBy("window_start").collect()] == [1, 1]
+
+
+def test_an_empty_store_reads_with_a_schema(spark, tmp_path):
+    schema = local_table(spark, [], "event_id string, establishment_id string, batch_id string").schema
+    assert store.read_canonical(spark, f"{tmp_path}/nothing", site="a", schema=schema).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        store.read_canonical(spark, f"{tmp_path}/nothing")
