@@ -81,15 +81,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/formloom/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def cut(df: DataFrame, label: str = "cut", codec: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, with the session's Parquet codec or ``codec``.
 
     Used where a result must be computed once (partition-dependent numbering, loop state). The
     table outlives lost executors, is columnar and keeps the plan of the caller short.
     """
     path = fresh_path(df.sparkSession, label)
-    # Written once and read a few times: a third smaller on texts than the default.
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write if codec is None else df.write.option("compression", codec)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
