@@ -39,7 +39,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: the one with the smallest id, a null id being the last."""
-    rows = cut(docs.withColumn(_ROW, F.monotonically_increasing_id()), "near-rows")
+    # Whole texts: a third smaller than with the default codec.
+    rows = cut(docs.withColumn(_ROW, F.monotonically_increasing_id()), "near-rows", codec="zstd")
     classes = ngram_join.row_classes(rows.select(F.col(_ROW).alias("id"), "text"), NEAR)
     own = rows.select(F.col(_ROW).alias("id"), F.col("doc_id").cast("long").alias("doc"))
     placed = cut(classes.join(own, "id").select("id", "doc", "component_id"), "near-placed")
