@@ -11,18 +11,20 @@ prefixes.
 3. Index keys that only one group has are dropped; what is left tells, for each place in a prefix, how
    many shingles before it could be shared at all, and that bounds the overlap of a pair of groups
    (positional filter) inside the join.
-   Pairs that come out are filtered by parity bitmaps (exact: two sets differ in at least as many
-   shingles as their bitmaps in bits) before any text moves.
+   Pairs are filtered by parity bitmaps (exact: two sets differ in at least as many shingles as their
+   bitmaps in bits) before any text moves, and by folded ones inside the last join.
 4. First each key's groups are only paired with the group that has most shared keys, and members of a
    group with its smallest. Pairs are verified on the words of the texts; links make components.
 5. Then, for keys and groups that still hold several components, all pairs of different components
-   that pass the filter are verified. Pairs inside a component cannot change the result and are never
-   formed, so a large group of near copies costs a row per member, not per pair.
+   that pass the positional and the bitmap filter are verified. Pairs inside a component cannot change
+   the result and are never formed, so a large group of near copies costs a row per member, not per pair.
 
 Defined results: words are split at ASCII white space after lower-casing A-Z. With fewer words than a
 shingle has, the whole sequence is the only shingle; without words the set is empty and links with
 nothing. Rows are linked, not ids: every row is a document of its own, also where ids repeat or are null,
 and a component is named by its smallest id that is not null. Memory holds one text's words at a time.
+An empty table gives an empty table; other columns, whatever their names, are not read. Equal sets are told
+by 128 bits of their hashed shingles; all other links are verified on the words.
 """
 
 from __future__ import annotations
@@ -209,12 +211,32 @@ def plausible(pairs: DataFrame, sketches: DataFrame, setting: Setting) -> DataFr
     """Those of ``pairs`` (a, b) that the parity bitmaps in ``sketches`` (rep, n, bits) do not rule out."""
     left = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     right = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    differing = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    # Twice the overlap is at most the sizes less the difference.
-    enough = (100 + setting.percent) * (F.col("na") + F.col("nb") - differing) >= 2 * setting.percent * (F.col("na") + F.col("nb"))
+    enough = _alike(setting, ("na", "ba"), ("nb", "bb"))
     return pairs.join(right, "b").join(left, "a").filter(enough).select("a", "b")
 
 
+def _alike(setting: Setting, left: tuple[str, str], right: tuple[str, str]):
+    """Whether two sets of these sizes and parity bitmaps can overlap enough: twice the overlap is at most the
+    sizes less the bits that differ."""
+    (na, ba), (nb, bb) = left, right
+    differing = F.aggregate(F.zip_with(ba, bb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = F.col(na) + F.col(nb)
+    return (100 + setting.percent) * (both - differing) >= 2 * setting.percent * both
+
+
+# Longs of the bitmaps that travel with index rows.
+FOLDED_WORDS = 8
+
+
+def _folded(bits: str):
+    """A parity bitmap folded to a few longs; parities of parities are parities, so the bound still holds."""
+    parts = [F.slice(bits, 1 + start, FOLDED_WORDS) for start in range(0, BITMAP_WORDS, FOLDED_WORDS)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = F.zip_with(out, part, lambda x, y: x.bitwiseXOR(y))
+    return out
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, setting: Setting) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts are similar enough.
 
@@ -251,6 +273,15 @@ def similarity_classes(
     )
 
 
+def _placed(members: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, rep, c): the component of every class of a group, and one class of each group and component."""
+    placed = cut(
+        members.join(component.withColumnRenamed("v", "rep"), "rep", "left").select("g", "rep", F.coalesce("component", "rep").alias("c")),
+        "placed",
+    )
+    return placed, placed.groupBy("g", "c").agg(F.min("rep").alias("some"))
+
+
 def row_classes(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """(id, n_shingles, class_id, component_id) for rows (id, text) whose ids are not null and do not repeat."""
     levels = docs.sparkSession.sparkContext.broadcast(popularity(docs.select("text"), setting))
@@ -297,11 +328,7 @@ def row_classes(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     component = components(first)
 
     # 5: what still lies in different components.
-    placed = cut(
-        members.join(component.withColumnRenamed("v", "rep"), "rep", "left").select("g", "rep", F.coalesce("component", "rep").alias("c")),
-        "placed",
-    )
-    parts = placed.groupBy("g", "c").agg(F.min("rep").alias("some"))
+    placed, parts = _placed(members, component)
     split = parts.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g")
     inside = parts.join(split, "g").select("g", "c")
     inside = inside.alias("x").join(inside.alias("y"), F.expr("x.g = y.g AND x.c < y.c")).select(
@@ -313,16 +340,19 @@ def row_classes(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     reach = F.col("before") + F.col("n") - F.col("pos")
     other = F.greatest(F.col("least"), F.ceil(F.col("n") * setting.percent / 100))
     needed = setting.percent * (F.col("n") + other)
-    open_rows = cut(
-        with_parts.join(mixed.select("h", "least"), "h").filter((100 + setting.percent) * reach >= needed).drop("least", "weight"), "open"
-    )
+    open_rows = with_parts.join(mixed.select("h", "least"), "h").filter((100 + setting.percent) * reach >= needed).drop("least", "weight")
+    # Where a group has one class in a component, that class's bitmap rules pairs out before they are made.
+    alone = placed.groupBy("g", "c").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("k")).filter("k = 1")
+    bits = alone.join(sketches.select("rep", "bits"), "rep").select("g", "c", _folded("bits").alias("bits"))
+    open_rows = cut(open_rows.join(bits, ["g", "c"], "left"), "open")
     x, y = open_rows.alias("x"), open_rows.alias("y")
     across = x.join(
         y,
         (F.col("x.h") == F.col("y.h"))
         & (F.col("x.g") < F.col("y.g"))
         & (F.col("x.c") != F.col("y.c"))
-        & _possible(setting, ("x.n", "x.pos", "x.before"), ("y.n", "y.pos", "y.before")),
+        & _possible(setting, ("x.n", "x.pos", "x.before"), ("y.n", "y.pos", "y.before"))
+        & F.coalesce(_alike(setting, ("x.n", "x.bits"), ("y.n", "y.bits")), F.lit(True)),
     ).select(F.col("x.g").alias("ga"), F.col("x.c").alias("ca"), F.col("y.g").alias("gb"), F.col("y.c").alias("cb"))
     open_pairs = across.unionByName(inside).distinct()
     rest = (
