@@ -39,6 +39,10 @@ def chunks(normal: Column) -> Column:
     return F.regexp_extract_all(normal, F.lit(CHUNK), F.lit(0))
 
 
+# Parts over which the rows of one group of equal texts are dealt.
+PARTS = 32
+
+
 def ambiguous_hashes(docs: DataFrame, text: str, hash_of: Callable[[Column], Column]) -> list[int]:
     """Hashes that name more than one chunk text, from all chunks of all documents.
 
@@ -73,16 +77,20 @@ def exact_groups(
             F.length(F.coalesce("text", F.lit(""))).alias("points"),
             _recipe(F.col("normal"), ambiguous, hash_of).alias("recipe"),
             F.sha2(F.col("normal"), 256).alias("text_sha256"),
+            F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).alias("part"),
         ),
         "recipes",
     )
     best = F.min(F.struct(-F.col("points"), F.col("id").isNull(), F.col("id").alias("id")))
     winners = recipes.groupBy("recipe").agg(best["id"].alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return recipes.join(winners, "recipe").select(
+    # Rows alone in their group need no partner; the winner of a larger group meets its rows in several parts.
+    shared = winners.filter("group_size > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    return recipes.join(shared, ["recipe", "part"], "left").select(
         F.col("id").alias(id),
-        "keep_id",
-        "group_size",
-        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        keep.alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.col("id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
         F.size("recipe.ids").alias("n_chunks"),
     )
