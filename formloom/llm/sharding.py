@@ -10,7 +10,9 @@ Positions inside a shard are counted per (shard, bucket), where the bucket comes
 row, and added up over a table of fixed size, so no shard is ever gathered.
 
 Defined results: a null text is as large as an empty one and stays with the empty ones. Repeated rows
-are rows of their own and get slots of their own. An empty table gives an empty table.
+are rows of their own and get slots of their own; so are rows without an id. An empty table gives an empty
+table. Only a text's length and checksums are kept, however long it is; other columns, whatever their names,
+are not read.
 """
 
 from __future__ import annotations
@@ -62,7 +64,8 @@ def assign_shards(docs: DataFrame, plan: Plan = Plan(), text: str = "text", id:
         F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"),
         text_group(F.col(text)).alias("grp"),
     )
-    rows = cut(rows, "shard-rows")  # narrow: the texts are read once
+    # Narrow: the texts are read once. Rows without an id are spread by their number.
+    rows = cut(rows.withColumn("row", F.when(F.col("id").isNull(), F.monotonically_increasing_id())), "shard-rows")
     groups = rows.groupBy("grp").agg(F.sum("size").alias("size"))
     groups = groups.withColumn("block", F.pmod(F.col("grp"), F.lit(plan.blocks)).cast("int"))
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -84,7 +87,7 @@ def assign_shards(docs: DataFrame, plan: Plan = Plan(), text: str = "text", id:
         .join(F.broadcast(shared), "block", "left")
         .select(
             "id", "size", "text_crc32", F.coalesce("own", "shared").alias("shard"),
-            F.pmod(F.xxhash64("id", "text_crc32"), F.lit(plan.buckets)).cast("int").alias("bucket"),
+            F.pmod(F.xxhash64("id", "text_crc32", "row"), F.lit(plan.buckets)).cast("int").alias("bucket"),
         )
     )
     counted = placed_rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))

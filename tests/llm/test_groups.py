@@ -293,3 +293,27 @@ def test_longest_first_schedule():
     for item, size in ((0, 7), (1, 6), (2, 5), (3, 4), (4, 3)):
         loads[placed[item]] = loads.get(placed[item], 0) + size
     assert sorted(loads.values()) == [11, 14]
+
+
+def test_loads_equal_a_schedule_made_by_hand(spark):
+    """Every group an item of its own, so the loads must be those of longest-processing-time scheduling."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    table = local_table(spark, docs, "doc_id bigint, text string")
+    for shards in (3, 24):
+        plan = sharding.Plan(shards=shards, large_groups=10**12)
+        sizes = {}
+        for _, text in docs:
+            sizes[text or ""] = sizes.get(text or "", 0) + len((text or "").encode()) + 8
+        loads = [0] * shards
+        for size in sorted(sizes.values(), reverse=True):
+            loads[loads.index(min(loads))] += size
+        found = {}
+        for r in sharding.assign_shards(table, plan).collect():
+            found[r["shard"]] = found.get(r["shard"], 0) + r["size"]
+        assert sorted(found.values()) == sorted(x for x in loads if x)
+
+
+def test_rows_without_an_id_are_spread_and_numbered(spark):
+    docs = local_table(spark, [(None, "same") for _ in range(500)] + [(1, "same")], "doc_id bigint, text string")
+    rows = sharding.assign_shards(docs).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(501)) and len({r["shard"] for r in rows}) == 1
