@@ -11,7 +11,8 @@ reading removes one. The segments carry the loss mask: only assistant texts have
 
 Defined results: events are ordered by (seq, kind, text); null texts are empty, a null role is the
 empty role. A null conversation id is a conversation of its own. Repeated rows are repeated messages.
-A conversation is one output row, so its size bounds the memory of a task.
+A conversation, with very long texts too, is one output row, so its size bounds the memory of a task. An
+empty table gives an empty table; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,16 +36,28 @@ def unescape(text: Column) -> Column:
 
 
 def log_of_rows(rows: DataFrame) -> DataFrame:
-    """The event log of finished rows (conv_id, turn, role, text): two streamed deltas for each.
+    """An event log that ends in finished rows (conv_id, turn, role, text), as an interface might have made them.
 
-    Rows are messages in the order of (turn, role, text).
+    Rows are messages in the order of (turn, role, text). An answer was streamed wrongly and a next message was
+    begun below it; then it was regenerated, which voids both, and streamed in two deltas. Any other message was
+    begun wrongly, edited to its first half and went on with its second.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = rows.select("conv_id", F.row_number().over(order).cast("long").alias("msg"), "role", F.coalesce("text", F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
-    deltas = F.array(F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text")))
-    return numbered.select("conv_id", "msg", "role", F.posexplode(deltas).alias("i", "text")).select(
-        "conv_id", (F.col("msg") * 2 + F.col("i")).alias("seq"), "msg", F.lit("delta").alias("kind"), "role", "text"
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+
+    def event(kind: str, text: Column, below: int = 0) -> Column:
+        return F.struct(F.lit(below).alias("below"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    answer = F.array(
+        event("delta", second), event("delta", first), event("delta", second, 1), event("regenerate", F.lit("")), event("delta", first), event("delta", second)
+    )
+    other = F.array(event("delta", second), event("edit", first), event("delta", second))
+    events = F.when(F.col("role") == "assistant", answer).otherwise(other)
+    return numbered.select("conv_id", "msg", "role", F.posexplode(events).alias("i", "e")).select(
+        "conv_id", (F.col("msg") * 8 + F.col("i")).alias("seq"), (F.col("msg") + F.col("e.below")).alias("msg"),
+        F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from formloom.llm import bpe, chat_format, exact_dedup, queries, url_reputation
 from formloom.session import local_table
-from tests.llm.messy import documents
+from tests.llm.messy import LONG, documents
 from tests.llm.test_groups import SPACE, brute_force
 from tests.llm.test_texts import PATH, PlainBayes, check_pieces
 
@@ -66,6 +66,21 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
         assert [(t["role"], t["text"]) for t in r["turns"]] == [(role, text) for _, role, text in want[r["conv_id"]]]
 
 
+def test_log_of_rows_has_every_kind_of_event(spark):
+    rows = [(1, 0, "user", "abc"), (1, 1, "assistant", "defg"), (2, 0, "assistant", "x"), (2, 1, None, LONG)]
+    table = local_table(spark, [(*r, "x", "y") for r in rows], "conv_id bigint, turn bigint, role string, text string, msg string, seq string")
+    log = chat_format.log_of_rows(table)
+    events = {}
+    for r in log.collect():
+        events.setdefault(r["conv_id"], []).append((r["seq"], r["msg"], r["kind"], r["role"], r["text"]))
+    assert {k for e in events.values() for _, _, k, _, _ in e} == {"delta", "edit", "regenerate"}
+    for conv, own in events.items():
+        assert [t for _, _, t in fold_by_hand(own)] == [t for c, _, _, t in rows if c == conv]
+    folded = sorted((r["conv_id"], r["msg"], r["role"], r["text"]) for r in chat_format.fold(log).collect())
+    assert folded == [(1, 1, "user", "abc"), (1, 2, "assistant", "defg"), (2, 1, "assistant", "x"), (2, 2, "", LONG)]
+    assert chat_format.format_conversations(chat_format.log_of_rows(table.limit(0))).count() == 0
+
+
 def test_rows_with_nulls_ties_and_repeats(spark):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (1, 1, "assistant", "é🙂" * 50), (None, 0, "user", "x")]
     log = chat_format.log_of_rows(local_table(spark, rows, "conv_id bigint, turn bigint, role string, text string"))
