@@ -65,21 +65,57 @@ def lineage_nodes(edges: DataFrame) -> DataFrame:
 def graph_findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(finding, node_id): repeated node ids, edges to missing nodes, nodes on a cycle or between two.
 
-    A node is reported as CYCLE where it reaches a cycle and a cycle reaches it. Both are found by contracting
-    chains, see ``reaches_cycle``, so neither long paths nor long cycles take more than their logarithm in rounds.
+    A node is reported as CYCLE where it reaches a cycle and a cycle reaches it. What has no edge in or none out
+    cannot, and is taken off first; in what is left both are found by contracting chains, see ``reaches_cycle``, so
+    neither long paths nor long cycles take more than their logarithm in rounds.
     """
-    repeated = nodes.groupBy("node_id").count().filter("count > 1").select(
-        F.lit("DUPLICATE_NODE").alias("finding"), "node_id"
-    )
-    known = nodes.select("node_id").distinct()
-    ends = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
-    dangling = ends.join(known, "node_id", "left_anti").select(F.lit("DANGLING_EDGE").alias("finding"), "node_id")
-    steps = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct(), "edges")
+    steps = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")), "edges")
+    marks = _marks(steps).unionByName(nodes.select("node_id", F.lit(1).alias("listed"), F.lit(False).alias("out"), F.lit(False).alias("into")))
+    marks = marks.groupBy("node_id").agg(F.sum("listed").alias("listed"), F.max("out").alias("out"), F.max("into").alias("into"))
+    # A null end never matches a node, not even a null one.
+    missing = (F.col("out") | F.col("into")) & ((F.col("listed") == 0) | F.col("node_id").isNull())
+    found = F.array_compact(F.array(F.when(F.col("listed") > 1, F.lit("DUPLICATE_NODE")), F.when(missing, F.lit("DANGLING_EDGE"))))
+    marks = marks.select("node_id", (F.col("out") & F.col("into")).alias("inner"), found.alias("found"))
+    marks = cut(marks.filter(F.col("inner") | (F.size("found") > 0)), "marks")
+    steps = _core(steps, marks.filter("inner").select("node_id"))
     onward = reaches_cycle(steps)
     # Only what reaches a cycle can lie on one, so the way back is sought among those alone.
-    inner = steps.join(onward.withColumnRenamed("node_id", "a"), "a", "left_semi").join(onward.withColumnRenamed("node_id", "b"), "b", "left_semi")
+    inner = _kept(steps, onward)
     backward = reaches_cycle(cut(inner.select(F.col("b").alias("a"), F.col("a").alias("b")), "edges"))
-    return repeated.unionByName(dangling).unionByName(backward.select(F.lit("CYCLE").alias("finding"), "node_id"))
+    return marks.select(F.explode("found").alias("finding"), "node_id").unionByName(backward.select(F.lit("CYCLE").alias("finding"), "node_id"))
+
+
+def _marks(steps: DataFrame) -> DataFrame:
+    """Both ends of every edge (a, b), with the side they are on."""
+    ends = F.array(
+        F.struct(F.col("a").alias("node_id"), F.lit(0).alias("listed"), F.lit(True).alias("out"), F.lit(False).alias("into")),
+        F.struct(F.col("b").alias("node_id"), F.lit(0).alias("listed"), F.lit(False).alias("out"), F.lit(True).alias("into")),
+    )
+    return steps.select(F.explode(ends).alias("e")).select("e.*")
+
+
+def _kept(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges (a, b) between ``nodes`` (node_id). Never broadcast: in a loop that would add up at the driver."""
+    for end in ("a", "b"):
+        steps = steps.join(nodes.withColumnRenamed("node_id", end).hint("merge"), end, "left_semi")
+    return steps.select("a", "b")
+
+
+def _core(steps: DataFrame, inner: DataFrame) -> DataFrame:
+    """The edges (a, b) without those of nodes that have no edge in or none out, again while half of them go.
+
+    Layers then go one by one at a cost that halves each time; long chains are left to ``reaches_cycle``.
+    """
+    left = cut(_kept(steps, inner), "core")
+    before = left.count()
+    while before:
+        sides = _marks(left).groupBy("node_id").agg(F.max("out").alias("out"), F.max("into").alias("into"))
+        left = cut(_kept(left, sides.filter("out AND into").select("node_id")), "core")
+        after = left.count()
+        if 2 * after > before:
+            break
+        before = after
+    return left
 
 
 def reaches_cycle(edges: DataFrame) -> DataFrame:
@@ -88,7 +124,8 @@ def reaches_cycle(edges: DataFrame) -> DataFrame:
     In every round a node with a single edge out is merged into the first node on its way that has none or
     several; pointers double, so a chain of n takes about log n joins, and a chain that never ends is a cycle.
     Edges into nodes without a way out go. What is left has at least two edges out of each node, so the number
-    of rounds follows the layers of branching and not the lengths of paths.
+    of rounds follows the layers of branching and not the lengths of paths. No join broadcasts: over the rounds
+    that would send the graph to the driver many times.
     """
     left = cut(edges.select("a", "b").distinct(), "edges")
     merged = cut(left.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("rep", F.col("v")), "merged")
@@ -101,20 +138,20 @@ def reaches_cycle(edges: DataFrame) -> DataFrame:
         hits = loops.unionByName(endless.select(F.col("a").alias("v")))
         hits = cut((hits if found is None else hits.unionByName(found)).distinct(), "hits")
         merged = cut(
-            merged.join(points.select(F.col("a").alias("rep"), "to"), "rep", "left").select("v", F.coalesce("to", "rep").alias("rep")), "merged"
+            merged.join(points.select(F.col("a").alias("rep"), "to").hint("merge"), "rep", "left").select("v", F.coalesce("to", "rep").alias("rep")), "merged"
         )
-        moved = left.join(points.select(F.col("a").alias("b"), "to"), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
+        moved = left.join(points.select(F.col("a").alias("b"), "to").hint("merge"), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
         # A node merged into another has no edges of its own any more.
-        moved = cut(moved.join(points.select("a"), "a", "left_anti").distinct(), "moved")
+        moved = cut(moved.join(points.select("a").hint("merge"), "a", "left_anti").distinct(), "moved")
         # One step back from what is known to reach a cycle; those nodes are done with.
-        before = moved.join(hits.withColumnRenamed("v", "b"), "b", "left_semi").select(F.col("a").alias("v"))
+        before = moved.join(hits.withColumnRenamed("v", "b").hint("merge"), "b", "left_semi").select(F.col("a").alias("v"))
         found = cut(hits.unionByName(before).distinct(), "found")
-        open_edges = moved.join(found.withColumnRenamed("v", "a"), "a", "left_anti")
+        open_edges = moved.join(found.withColumnRenamed("v", "a").hint("merge"), "a", "left_anti")
         sources = open_edges.select(F.col("a").alias("b")).unionByName(found.withColumnRenamed("v", "b")).distinct()
-        left = cut(open_edges.join(sources, "b", "left_semi"), "edges")
+        left = cut(open_edges.join(sources.hint("merge"), "b", "left_semi"), "edges")
     if found is None:
         return merged.select(F.col("v").alias("node_id")).limit(0)
-    return merged.join(found.withColumnRenamed("v", "rep"), "rep", "left_semi").select(F.col("v").alias("node_id"))
+    return merged.join(found.withColumnRenamed("v", "rep").hint("merge"), "rep", "left_semi").select(F.col("v").alias("node_id"))
 
 
 def _doubled(single: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,14 +160,14 @@ def _doubled(single: DataFrame) -> tuple[DataFrame, DataFrame]:
     most = points.count()
     step = 1
     while True:
-        inside = points.join(points.select(F.col("a").alias("to")), "to", "left_semi")
+        inside = points.join(points.select(F.col("a").alias("to")).hint("merge"), "to", "left_semi")
         if step > most or inside.isEmpty():
             break
         onward = points.select(F.col("a").alias("to"), F.col("to").alias("next"))
-        points = cut(points.join(onward, "to", "left").select("a", F.coalesce("next", "to").alias("to")), "points")
+        points = cut(points.join(onward.hint("merge"), "to", "left").select("a", F.coalesce("next", "to").alias("to")), "points")
         step *= 2
     endless = cut(inside.select("a"), "endless")
-    return points.join(endless, "a", "left_anti"), endless
+    return points.join(endless.hint("merge"), "a", "left_anti"), endless
 
 
 HUB = 1_000
