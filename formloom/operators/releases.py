@@ -110,7 +110,8 @@ def release_ancestry(releases: DataFrame, release_id: str) -> DataFrame:
 
     By pointer doubling: after k rounds all ancestors within ``2 ** k`` steps are known, so a chain of
     n releases takes about log n rounds, each one join. Rounds end when no release has an ancestor as
-    far away as the next step; a cycle of parents ends there too, as no ancestor is counted twice.
+    far away as the next step; a cycle of parents ends there too, as no ancestor is counted twice. No join
+    broadcasts: over the rounds that would send the history to the driver many times.
     """
     known = releases.filter("parent_release_id IS NOT NULL").select("release_id", "parent_release_id")
     step = cut(known.select("release_id", F.col("parent_release_id").alias("up")).distinct(), "ancestors")
@@ -118,11 +119,11 @@ def release_ancestry(releases: DataFrame, release_id: str) -> DataFrame:
     found = cut(existing.filter(F.col("release_id") == release_id).select("release_id", F.lit(0).alias("depth")), "lineage")
     most, length = existing.count(), 1
     while length <= most and not step.isEmpty():
-        further = found.join(step, "release_id").select(F.col("up").alias("release_id"), (F.col("depth") + length).alias("depth"))
-        both = found.unionByName(further.join(existing, "release_id", "left_semi"))
+        further = found.join(step.hint("merge"), "release_id").select(F.col("up").alias("release_id"), (F.col("depth") + length).alias("depth"))
+        both = found.unionByName(further.join(existing.hint("merge"), "release_id", "left_semi"))
         found = cut(both.groupBy("release_id").agg(F.min("depth").alias("depth")), "lineage")
         onward = step.select(F.col("release_id").alias("up"), F.col("up").alias("next"))
-        step = cut(step.join(onward, "up").select("release_id", F.col("next").alias("up")), "ancestors")
+        step = cut(step.join(onward.hint("merge"), "up").select("release_id", F.col("next").alias("up")), "ancestors")
         length *= 2
     return found.orderBy("depth")
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from formloom.operators import lineage
+from formloom.operators import lineage, releases
 from formloom.session import cut, local_table
 
 def plan_of(df) -> str:
@@ -28,7 +28,7 @@ def test_layers_go_before_chains_are_contracted(spark, monkeypatch):
     assert max(seen) == 2
 
 
-@pytest.mark.parametrize("module", [lineage])
+@pytest.mark.parametrize("module", [lineage, releases])
 def test_loops_broadcast_nothing(spark, monkeypatch, module):
     plans = []
 
@@ -43,4 +43,8 @@ def test_loops_broadcast_nothing(spark, monkeypatch, module):
         nodes = local_table(spark, [(f"n{i}",) for i in range(13)], "node_id string")
         found = lineage.graph_findings(nodes, edges).collect()
         assert sorted(r["node_id"] for r in found) == sorted(f"n{i}" for i in range(4, 13))
+    else:
+        rows = local_table(spark, pairs, "release_id string, parent_release_id string")
+        found = releases.release_ancestry(rows, "n0").collect()
+        assert [(r["release_id"], r["depth"]) for r in found] == [(f"n{i}", i) for i in range(12)]
     assert plans and not any("Broadcast" in plan for plan in plans)
