@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,12 +201,49 @@ def expected_keys(
 def densify(
     responses: DataFrame, answers: DataFrame, items: DataFrame, form: list[str]
 ) -> DataFrame:
-    """Expected answers with what was answered; ``present`` tells the difference."""
-    keys = expected_keys(responses, answers, items, form)
-    given = answers.drop(*form).withColumn("present", F.lit(True))
-    match = [*RESPONSE_KEY, "item_path", "group_instance"]
-    joined = null_safe_join(keys, _rename_unit(given), match, "left")
-    out = joined.withColumn("present", F.coalesce("present", F.lit(False)))
+    """Expected answers (see ``expected_keys``) with what was answered; ``present`` tells the difference.
+
+    Answers are shuffled once, by response, and gathered by instance; what is missing in an instance is added to
+    its list, so neither the expected rows nor the instances are shuffled or joined. A response is one document:
+    its rows have to fit one task.
+    """
+    leaf = items.filter(F.col("data_type") != "group").withColumnRenamed("path", "item_path")
+    small = is_small(leaf)
+    known = F.broadcast if small else lambda df: df
+    named = leaf.filter("repeated_root IS NOT NULL").groupBy(*form, "item_path").agg(F.collect_set("repeated_root").alias("_roots"))
+    paths = leaf.groupBy(*form).agg(F.collect_set(F.struct(F.col("repeated_root").alias("root"), "item_path")).alias("_paths"))
+    key = F.struct(*RESPONSE_KEY).alias("_key")
+    given = _rename_unit(answers).join(known(named), [*form, "item_path"], "left")
+    rest = [c for c in given.columns if c not in {*RESPONSE_KEY, *form, "item_path", "group_instance", "_roots"}]
+    given = given.select(key, "group_instance", "_roots", F.struct("item_path", *rest, F.lit(True).alias("present")).alias("_answer"))
+    kinds = {f.name: f.dataType for f in given.schema["_answer"].dataType}
+    # Every response has the place outside its groups, answered or not.
+    place = responses.select(key, *[F.lit(None).cast(given.schema[c].dataType).alias(c) for c in given.columns[1:]])
+    gathered = given.unionByName(place).repartition("_key").groupBy("_key", "group_instance").agg(
+        F.collect_list("_answer").alias("_given"), F.array_distinct(F.flatten(F.collect_list("_roots"))).alias("_roots")
+    )
+    head = [c for c in responses.columns if c not in RESPONSE_KEY]
+    # Struct keys meet even where a part is null; instances only belong to responses without one.
+    rows = responses.select(key, *head).join(gathered, "_key").join(known(paths), form)
+    whole = F.col(f"_key.{RESPONSE_KEY[0]}").isNotNull() & F.col(f"_key.{RESPONSE_KEY[1]}").isNotNull()
+    outside = F.col("group_instance").isNull()
+    rows = rows.filter(outside | whole)
+
+    def fits(root: Column) -> Column:
+        return F.when(outside, root.isNull()).otherwise(root.isNotNull() & F.array_contains("_roots", root))
+
+    wanted = F.transform(F.filter("_paths", lambda p: fits(p["root"])), lambda p: p["item_path"])
+    made = F.transform(
+        F.array_except(wanted, F.col("_given.item_path")),
+        lambda path: F.struct(
+            path.alias("item_path"), *[F.lit(None).cast(kinds[c]).alias(c) for c in rest], F.lit(False).alias("present")
+        ),
+    )
+    rows = rows.withColumn("_e", F.explode(F.concat("_given", made))).select("_key.*", *head, "group_instance", "_roots", "_e.*")
+    # Answers the form does not expect where they were given have no row.
+    out = rows.join(known(leaf), [*form, "item_path"]).filter(fits(F.col("repeated_root")))
+    order = [*form, *RESPONSE_KEY, *[c for c in head if c not in form], *[c for c in leaf.columns if c not in form], "group_instance", *rest, "present"]
+    out = out.select(*order)
     # An answer brings its own unit, even a null one; a filled-in row takes the unit of the item.
     if "_answer_unit" in out.columns:
         out = out.withColumn(
@@ -240,9 +279,18 @@ def with_context(rows: DataFrame, context: DataFrame) -> DataFrame:
 
 def visible(path: Column) -> Column:
     """The answer at ``path`` seen from a row with context; the first in document order wins."""
-    own, outer = F.try_element_at("own", path), F.try_element_at("outer", path)
-    pick_own = own.isNotNull() & (outer.isNull() | (own["pos"] <= outer["pos"]))
-    return F.when(pick_own, own["answer"]).otherwise(outer["answer"])
+
+    def pick(both: Column) -> Column:
+        own, outer = both["own"], both["outer"]
+        pick_own = own.isNotNull() & (outer.isNull() | (own["pos"] <= outer["pos"]))
+        return F.when(pick_own, own["answer"]).otherwise(outer["answer"])
+
+    return _once(F.struct(F.try_element_at("own", path).alias("own"), F.try_element_at("outer", path).alias("outer")), pick)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def condition_sources(items: DataFrame, form: list[str]) -> DataFrame:
@@ -256,21 +304,37 @@ def display_state(
 ) -> DataFrame:
     """Adds ``enabled``: the item's display conditions hold for what is visible to it.
 
-    An item sees the answers of its own group instance and those outside any group. Both are
-    looked up by response and instance, so the joins add no rows, and the conditions are folded in
-    place. ``answers`` carries ``pos`` and the typed ``answer``.
+    An item sees the answers of its own group instance and those outside any group. Rows and the answers that
+    conditions name are shuffled once, by response, and gathered by instance, where both are looked up. ``answers``
+    carries ``pos`` and the typed ``answer``. A response is one document: its rows have to fit one task.
     """
     if behavior not in {"all", "any"}:
         raise ValueError(f"unsupported condition behavior {behavior}")
-    context = answer_context(answers, condition_sources(items, form), form)
-    seen = with_context(dense, context)
-    fold = F.forall if behavior == "all" else F.exists
-    holds = fold(
-        "conditions",
-        lambda c: condition_holds(visible(c["source_item_path"]), c["operator"], c["expected"]),
+    key = F.struct(*RESPONSE_KEY).alias("_key")
+    rest = [c for c in dense.columns if c not in {*RESPONSE_KEY, "group_instance"}]
+    named = answers.join(broadcast_if_small(condition_sources(items, form)), [*form, "item_path"], "left_semi")
+    named = named.filter("pos IS NOT NULL").select(key, "group_instance", F.struct("item_path", "pos", "answer").alias("_entry"))
+    rows = dense.select(key, "group_instance", F.struct(*rest).alias("_row"))
+    both = rows.withColumn("_entry", F.lit(None).cast(named.schema["_entry"].dataType)).unionByName(
+        named.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType))
+    )
+    gathered = both.repartition("_key").groupBy("_key", "group_instance").agg(
+        F.collect_list("_row").alias("_rows"), _first_seen(F.collect_list("_entry")).alias("own")
     )
-    enabled = F.when(F.size("conditions") > 0, holds).otherwise(F.lit(True))
-    return seen.withColumn("enabled", F.coalesce(enabled, F.lit(True))).drop("own", "outer")
+    outside = F.first(F.when(F.col("group_instance").isNull(), F.col("own")), ignorenulls=True).over(Window.partitionBy("_key"))
+    # Without a whole key a row sees its own instance only.
+    whole = F.col(f"_key.{RESPONSE_KEY[0]}").isNotNull() & F.col(f"_key.{RESPONSE_KEY[1]}").isNotNull()
+    seen = gathered.withColumn("outer", F.when(whole, outside)).withColumn("_row", F.explode("_rows"))
+    names = [c if c == "group_instance" else f"_row.{c}" for c in dense.columns if c not in RESPONSE_KEY]
+    return seen.select("_key.*", *names, "own", "outer").withColumn("enabled", _enabled(behavior)).drop("own", "outer")
+
+
+def _first_seen(entries: Column) -> Column:
+    """Map from path to the first ``(pos, answer)`` of a list of (item_path, pos, answer)."""
+    ordered = F.array_sort(entries)
+    first = F.transform(ordered, lambda e, i: F.when((i == 0) | (F.get(ordered, i - 1)["item_path"] != e["item_path"]), e))
+    pairs = F.transform(F.array_compact(first), lambda e: F.struct(e["item_path"], F.struct(e["pos"], e["answer"]).alias("seen")))
+    return F.map_from_entries(pairs)
 
 
 def display_conflicts(dense: DataFrame, declared: str = "declared_enabled") -> DataFrame:
@@ -403,7 +467,10 @@ def _with_neighbours(rows: DataFrame) -> DataFrame:
 def _enabled(behavior: str) -> Column:
     """Whether the display conditions of a row hold for what it sees."""
     fold = F.forall if behavior == "all" else F.exists
-    holds = fold("conditions", lambda c: condition_holds(visible(c["source_item_path"]), c["operator"], c["expected"]))
+    holds = fold(
+        "conditions",
+        lambda c: _once(visible(c["source_item_path"]), lambda seen: condition_holds(seen, c["operator"], c["expected"])),
+    )
     return F.coalesce(F.when(F.size("conditions") > 0, holds), F.lit(True))
 
 

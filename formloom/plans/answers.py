@@ -331,10 +331,41 @@ def order_responses(src: Source) -> DataFrame:
     )
 
 
+def _site_answers(src: Source) -> DataFrame:
+    """``b_order_answers`` of known orders with their site and form, joined by line and order before the answers
+    are spread out, so that no answer is shuffled here."""
+    site = order_responses(src).select("establishment_id", "response_id", *FORM)
+    key = F.col("o_orderkey").cast("string").alias("response_id")
+    heads = src.table("orders").select(key, "o_orderstatus", "o_orderpriority", "o_totalprice").join(site, "response_id")
+    lines = src.table("lineitem").select(
+        F.col("l_orderkey").cast("string").alias("response_id"), "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"
+    )
+    # By order alone, so that lines are grouped and joined where they are.
+    lines = lines.repartition("response_id").groupBy("response_id", "l_linenumber").agg(
+        F.min("l_quantity").alias("qty"), F.min("l_extendedprice").alias("price"), F.min("l_discount").alias("disc"), F.min("l_returnflag").alias("flag")
+    ).join(site, "response_id")
+
+    def money(column: str) -> Column:
+        return F.col(column).cast("decimal(18,2)").cast("string")
+
+    def spread(rows: DataFrame, instance: Column, values: dict[str, Column], skipped: Column) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(path).alias("item_path"), value.alias("raw_value")) for path, value in values.items()])
+        out = rows.select(*site.columns, instance.cast("string").alias("group_instance"), skipped.alias("_skipped"), F.explode(each).alias("e"))
+        kept = F.col("_skipped").isNull() | (F.col("e.item_path") != F.col("_skipped"))
+        return out.filter(kept).select(*site.columns, "group_instance", "e.*")
+
+    inside = {"LINE/QTY": money("qty"), "LINE/PRICE": money("price"), "LINE/DISC": money("disc"), "LINE/FLAG": F.col("flag")}
+    outside = {"STATUS": F.col("o_orderstatus"), "PRIORITY": F.col("o_orderpriority"), "TOTAL": money("o_totalprice")}
+    # NOT (item = 'DISC' AND disc = 0) is unknown, and drops the row, where the discount is null.
+    instance = F.concat(F.lit("LINE:"), F.col("l_linenumber").cast("string"))
+    of_lines = spread(lines, instance, inside, F.when(F.coalesce(F.col("disc") == 0, F.lit(True)), "LINE/DISC"))
+    of_heads = spread(heads, F.lit(None), outside, F.when(F.coalesce(F.col("o_orderstatus") == "P", F.lit(True)), "TOTAL"))
+    return of_lines.unionByName(of_heads)
+
+
 def order_answers(src: Source) -> DataFrame:
     """Answers of known orders, with type tags and a document position."""
-    site = order_responses(src).select("establishment_id", "response_id", *FORM)
-    answers = src.view("b_order_answers").join(site, "response_id")
+    answers = _site_answers(src)
     text = F.col("item_path").isin("STATUS", "PRIORITY", "LINE/FLAG")
     rank = F.when(F.col("group_instance").isNull(), 0).otherwise(
         F.substring_index("group_instance", ":", -1).cast("bigint") * 10
@@ -403,8 +434,11 @@ def e3_densify_answers(src: Source) -> DataFrame:
 def order_shown(src: Source) -> DataFrame:
     kinds = order_items(src).select(*FORM, F.col("path").alias("item_path"), "data_type")
     typed = canonical.type_answers(order_answers(src).join(kinds, [*FORM, "item_path"], "left")).drop("data_type")
-    typed = cut(typed, "typed-answers")
-    dense = canonical.densify(order_responses(src), typed, order_items(src), FORM)
+    typed = cut(typed.drop("raw_type", "raw_value", "unit", "type_error"), "typed-answers")
+    # What was answered is only looked up by the conditions; the rows that are told apart need not carry it.
+    given = typed.select(*canonical.RESPONSE_KEY, *FORM, "item_path", "group_instance")
+    responses = order_responses(src).select(*canonical.RESPONSE_KEY, *FORM)
+    dense = canonical.densify(responses, given, order_items(src).drop("unit"), FORM)
     return canonical.display_state(dense, typed, order_items(src), FORM)
 
 

@@ -2,9 +2,13 @@
 
 import pytest
 
-from formloom.operators import lineage, releases
+from formloom.operators import canonical, lineage, releases
+from formloom.plans import answers
 from formloom.session import cut, local_table
 
+FORM = ["form_id", "form_version"]
+
+
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -48,3 +52,67 @@ def test_loops_broadcast_nothing(spark, monkeypatch, module):
         found = releases.release_ancestry(rows, "n0").collect()
         assert [(r["release_id"], r["depth"]) for r in found] == [(f"n{i}", i) for i in range(12)]
     assert plans and not any("Broadcast" in plan for plan in plans)
+
+
+ITEMS = [
+    ("f", "1", "A", "string", None, "EUR", []),
+    ("f", "1", "B", "string", None, None, [("A", "eq", ("str", "x", None))]),
+    ("f", "1", "G", "group", "G", None, []),
+    ("f", "1", "G/P", "string", "G", "kg", [("A", "eq", ("str", "x", None))]),
+    ("f", "1", "G/Q", "string", "G", None, [("G/P", "eq", ("str", "p", None))]),
+]
+RESPONSE = "establishment_id string, response_id string, form_id string, form_version string"
+ANSWER = RESPONSE + ", item_path string, group_instance string, raw_type string, raw_value string, unit string, pos bigint, data_type string"
+
+
+def dense_case(spark):
+    def given(site, response, path, instance, value, pos):
+        return (site, response, "f", "1", path, instance, "str", value, "g", pos, "string")
+
+    items = local_table(spark, ITEMS, answers.ITEM_SCHEMA)
+    responses = local_table(spark, [("s", "r1", "f", "1"), ("s", "r1", "f", "1"), ("s", None, "f", "1"), ("s", "r3", "none", "1")], RESPONSE)
+    rows = [
+        given("s", "r1", "A", None, "x", 1), given("s", "r1", "G/P", "G:1", "p", 2), given("s", "r1", "G/Q", "G:2", "q", 3),
+        given("s", "r1", "G/Q", "G:2", "again", 4), given("s", "r1", "A", "G:9", "off", 5), given("s", "r1", "G/P", None, "off", 6),
+        given("s", None, "A", None, "x", 7), given("s", None, "G/P", "G:1", "p", 8), given("s", "r4", "A", None, "x", 9),
+    ]
+    return responses, local_table(spark, rows, ANSWER), items
+
+
+def test_densify_shuffles_answers_once(spark):
+    responses, given, items = dense_case(spark)
+    dense = canonical.densify(responses, given.drop("data_type"), items, FORM)
+    on_key = [line for line in plan_of(dense).splitlines() if "Exchange hashpartitioning" in line and "_key" in line]
+    assert len(on_key) <= 2  # answers, and responses if they are not broadcast
+    rows = sorted((r["response_id"] or "", r["item_path"], r["group_instance"] or "", r["present"], r["raw_value"] or "", r["unit"] or "") for r in dense.collect())
+    one = [
+        ("r1", "A", "", True, "x", "g"), ("r1", "B", "", False, "", ""),
+        ("r1", "G/P", "G:1", True, "p", "g"), ("r1", "G/Q", "G:1", False, "", ""),
+        ("r1", "G/P", "G:2", False, "", "kg"), ("r1", "G/Q", "G:2", True, "q", "g"), ("r1", "G/Q", "G:2", True, "again", "g"),
+    ]
+    assert rows == sorted([*one, *one, ("", "A", "", True, "x", "g"), ("", "B", "", False, "", "")])
+
+
+def test_display_state_shuffles_rows_once(spark):
+    responses, given, items = dense_case(spark)
+    typed = cut(canonical.type_answers(given).drop("data_type"), "typed")
+    dense = cut(canonical.densify(responses, typed, items, FORM), "dense")
+    shown = canonical.display_state(dense, typed, items, FORM)
+    moved = [line for line in plan_of(shown).splitlines() if "Exchange hashpartitioning" in line and ("_key" in line or "response_id" in line)]
+    assert len(moved) == 1
+    rows = {(r["response_id"], r["item_path"], r["group_instance"]): r["enabled"] for r in shown.collect()}
+    # Without a whole key nothing is seen across instances, only what lies in the same one.
+    assert rows == {
+        ("r1", "A", None): True, ("r1", "B", None): True, ("r1", "G/P", "G:1"): True, ("r1", "G/Q", "G:1"): True,
+        ("r1", "G/P", "G:2"): True, ("r1", "G/Q", "G:2"): False, (None, "A", None): True, (None, "B", None): True,
+    }
+    assert shown.count() == dense.count()
+
+
+def test_order_answers_are_spread_after_the_joins(small):
+    made = answers._site_answers(small)
+    site = answers.order_responses(small).select("establishment_id", "response_id", *FORM)
+    plain = small.view("b_order_answers").join(site, "response_id").select(*made.columns)
+    assert made.exceptAll(plain).isEmpty() and plain.exceptAll(made).isEmpty()
+    # In the plan of the lines, which comes first, nothing is exchanged above the spreading.
+    assert plan_of(made).index("Generate explode") < plan_of(made).index("Exchange")
