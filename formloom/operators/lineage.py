@@ -239,7 +239,10 @@ def trace(edges: DataFrame, starts: DataFrame, direction: str = "upstream") -> D
     ``upstream`` walks against the edges, to the evidence; ``downstream`` along them.
     """
     here, there = ("target", "source") if direction == "upstream" else ("source", "target")
-    step = cut(edges.select(F.col(here).alias("node_id"), F.col(there).alias("_next")).distinct(), "steps")
+    every = cut(edges.select(F.col(here).alias("node_id"), F.col(there).alias("_next")).distinct(), "steps")
+    # A walk only comes by starts and by what an edge leads to; other edges need not be joined in every round.
+    passed = starts.select("node_id").unionByName(every.select(F.col("_next").alias("node_id"))).distinct()
+    step = cut(every.join(passed, "node_id", "left_semi"), "steps")
     seen = cut(starts.select(F.col("node_id").alias("start"), "node_id", F.lit(0).alias("depth")), "seen")
     frontier = seen
     for depth in itertools.count(1):

@@ -54,6 +54,23 @@ def test_loops_broadcast_nothing(spark, monkeypatch, module):
     assert plans and not any("Broadcast" in plan for plan in plans)
 
 
+def test_trace_leaves_out_edges_nobody_comes_by(spark, monkeypatch):
+    kept = []
+
+    def watched(df, label="cut", codec=None):
+        done = cut(df, label, codec)
+        if label == "steps":
+            kept.append(done.count())
+        return done
+
+    monkeypatch.setattr(lineage, "cut", watched)
+    edges = local_table(spark, [*[(f"raw{i}", "c") for i in range(50)], ("c", "m"), ("m", "o")], "source string, target string")
+    starts = local_table(spark, [("c",), ("raw7",)], "node_id string")
+    rows = sorted(tuple(r) for r in lineage.trace(edges, starts, "downstream").collect())
+    assert rows == [("c", "c", 0), ("c", "m", 1), ("c", "o", 2), ("raw7", "c", 1), ("raw7", "m", 2), ("raw7", "o", 3), ("raw7", "raw7", 0)]
+    assert kept[-1] == 3
+
+
 ITEMS = [
     ("f", "1", "A", "string", None, "EUR", []),
     ("f", "1", "B", "string", None, None, [("A", "eq", ("str", "x", None))]),
