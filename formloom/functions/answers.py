@@ -95,10 +95,13 @@ def exact_scalar(value: Column) -> Column:
     """A number of ``exact`` as a scalar. Up to nine decimals its text has all nine; with more, as many as it needs,
     and the number column is rounded. Null where the number column cannot hold its size.
     """
-    text = exact.plain(value)
-    rounded = text.try_cast(NUMBER)
-    shown = F.when(text.rlike(_LONG), text).otherwise(rounded.cast("string"))
-    return F.when(rounded.isNotNull(), scalar(F.lit("num"), shown, rounded))
+
+
+    def made(n: Column) -> Column:
+        shown = F.when(n["text"].rlike(_LONG), n["text"]).otherwise(n["rounded"].cast("string"))
+        return F.when(n["rounded"].isNotNull(), scalar(F.lit("num"), shown, n["rounded"]))
+
+    return exact.let(exact.plain(value), lambda text: exact.let(F.struct(text.alias("text"), text.try_cast(NUMBER).alias("rounded")), made))
 
 
 def plain_number(number: Column) -> Column:

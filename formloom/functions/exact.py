@@ -23,22 +23,25 @@ def _power(n: Column) -> Column:
     return F.when(n.between(0, MOST_SCALE), F.concat(F.lit("1"), F.repeat(F.lit("0"), n)).try_cast(WHOLE))
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """``use`` of a value that is computed once, however often it is named."""
     return F.transform(F.array(value), use)[0]
 
 
 def number(text: Column) -> Column:
     """The number a text holds, in plain or exponent notation; null where it holds none or too many digits."""
-    t = strip(text)
-    parts = F.when(
-        t.rlike(_NUMBER),
-        F.struct(
-            F.regexp_extract(t, _NUMBER, 1).alias("sign"), F.regexp_extract(t, _NUMBER, 2).alias("whole"), F.regexp_extract(t, _NUMBER, 3).alias("part"),
-            F.coalesce(F.regexp_extract(t, _NUMBER, 4).try_cast("int"), F.lit(0)).alias("exponent"),
-        ),
-    )
-    return _let(parts, lambda p: _let(_read(p), _scaled))
+    return let(strip(text), lambda t: let(_parts(t), lambda p: let(_read(p), _scaled)))
+
+
+def _parts(t: Column) -> Column:
+    """Sign, digits before and after the point, and exponent; null where the text is no number."""
+
+    def named(c: Column) -> Column:
+        exponent = F.when(c[3] == "", 0).otherwise(c[3].try_cast("int"))
+        return F.when(c.isNotNull(), F.struct(c[0].alias("sign"), c[1].alias("whole"), c[2].alias("part"), exponent.alias("exponent")))
+
+    # One pass cuts all four; none of them can hold the separator.
+    return let(F.when(t.rlike(_NUMBER) & (t != ""), F.split(F.regexp_replace(t, _NUMBER, "$1,$2,$3,$4"), ",")), named)
 
 
 def _read(p: Column) -> Column:
@@ -59,7 +62,7 @@ def _scaled(r: Column) -> Column:
 
 
 def multiply(a: Column, b: Column) -> Column:
-    return _let(F.struct(a.alias("a"), b.alias("b")), lambda p: _made(F.try_multiply(p["a"]["u"], p["b"]["u"]).try_cast(WHOLE), p["a"]["scale"] + p["b"]["scale"]))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: _made(F.try_multiply(p["a"]["u"], p["b"]["u"]).try_cast(WHOLE), p["a"]["scale"] + p["b"]["scale"]))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -73,7 +76,7 @@ def add(a: Column, b: Column) -> Column:
         both = p["a"].isNotNull() & p["b"].isNotNull()
         return _made(F.when(both, F.try_add(raised(p["a"]), raised(p["b"])).try_cast(WHOLE)), scale)
 
-    return _let(F.struct(a.alias("a"), b.alias("b")), total)
+    return let(F.struct(a.alias("a"), b.alias("b")), total)
 
 
 def _made(u: Column, scale: Column) -> Column:
@@ -86,14 +89,17 @@ def plain(value: Column) -> Column:
     def text(v: Column) -> Column:
         # The absolute value of a decimal keeps 34 digits only, its text all of them.
         digits = F.ltrim(v["u"].cast("string"), F.lit("-"))
-        padded = F.lpad(digits, F.greatest(F.length(digits), v["scale"] + 1), "0")
-        whole = padded.substr(F.lit(1), F.length(padded) - v["scale"])
-        fraction = F.when(v["scale"] > 0, padded.substr(F.length(padded) - v["scale"] + 1, v["scale"])).otherwise("")
-        # Zero has no sign.
-        signed = F.concat(F.when(v["u"] < 0, "-").otherwise(""), whole, F.lit("."), fraction)
-        return F.when(v.isNotNull(), F.regexp_replace(signed, r"\.?0*$", ""))
+        padded = let(digits, lambda d: F.lpad(d, F.greatest(F.length(d), v["scale"] + 1), "0"))
+
+        def pointed(p: Column) -> Column:
+            whole = p.substr(F.lit(1), F.length(p) - v["scale"])
+            fraction = F.when(v["scale"] > 0, p.substr(F.length(p) - v["scale"] + 1, v["scale"])).otherwise("")
+            # Zero has no sign.
+            return F.concat(F.when(v["u"] < 0, "-").otherwise(""), whole, F.lit("."), fraction)
+
+        return F.when(v.isNotNull(), F.regexp_replace(let(padded, pointed), r"\.?0*$", ""))
 
     def trimmed(v: Column) -> Column:
         return F.when(v["scale"] > 0, text(v)).otherwise(v["u"].cast("string"))
 
-    return _let(value, trimmed)
+    return let(value, trimmed)

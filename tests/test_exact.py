@@ -112,3 +112,13 @@ def test_conditions_see_what_a_walk_has_met(spark):
     whole_forms, whole_items, _ = fhir.read_questionnaires(docs, whole=True)
     bad = {k for k, _ in failed}
     assert {r.object_key for r in whole_forms.collect()} == {f"k{n}" for n in range(40)} - bad and not {r.object_key for r in whole_items.collect()} & bad
+
+
+def test_a_conversion_reads_its_numbers_once(spark):
+    table = local_table(spark, [("num", "12.5", Decimal("12.5"))], f"t string, s string, num {answers.NUMBER}")
+    value = F.struct("t", "s", "num")
+    found = table.select(convert_unit(value, F.lit("0.0000000001"), F.lit("0.000000000001"))["s"].alias("s"))
+    assert found.first()["s"] == "0.000000001251"
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # The value by its text or its number, the multiplier and the offset.
+    assert plan.count(exact._NUMBER) <= 2 * 4
