@@ -24,8 +24,19 @@ from formloom.session import cut
 
 SPACE = r"[\x20\x09-\x0D]"
 MIN_CHARS, MAX_CHARS = 128, 1024
-# Every eighth code point of the Latin blocks may take part in a cut.
-_CUT_CLASS = "".join(f"\\u{point:04X}" for point in range(0x23, 0x250, 8))
+
+
+
+def _cut_class() -> str:
+    """Every eighth code point of the Latin blocks may take part in a cut.
+
+    Those of one byte are looked up in a table, the others one by one, so their range is tested first.
+    """
+    low, high = ("".join(f"\\u{point:04X}" for point in range(first, end, 8)) for first, end in ((0x23, 0x100), (0x103, 0x250)))
+    return f"{low}[\\u0100-\\u024F&&[{high}]]"
+
+
+_CUT_CLASS = _cut_class()
 CHUNK = f"(?s).{{{MIN_CHARS - 2},{MAX_CHARS - 2}}}?[{_CUT_CLASS}]{{2}}|.{{1,{MAX_CHARS}}}"
 
 

@@ -317,3 +317,12 @@ def test_rows_without_an_id_are_spread_and_numbered(spark):
     docs = local_table(spark, [(None, "same") for _ in range(500)] + [(1, "same")], "doc_id bigint, text string")
     rows = sharding.assign_shards(docs).collect()
     assert sorted(r["slot"] for r in rows) == list(range(501)) and len({r["shard"] for r in rows}) == 1
+
+
+def test_a_character_is_judged_by_few_comparisons(spark):
+    points = spark.range(0x20, 0x400).select(F.col("id").alias("p"), F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    cuts = {r["p"] for r in points.filter(F.col("c").rlike(f"[{exact_dedup._CUT_CLASS}]")).collect()}
+    assert cuts == set(range(0x23, 0x250, 8))
+    # Beyond one byte the pattern compares point by point, so most characters must be ruled out by one range before.
+    before = exact_dedup._CUT_CLASS.split("&&")[0].split("\\u")[1:]
+    assert "[" in exact_dedup._CUT_CLASS and all(int(p[:4], 16) <= 0x100 or p == "024F" for p in before)
