@@ -25,6 +25,11 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """The table with its rows dealt evenly: a file read in one or two pieces may hold what grows into many documents."""
+        tasks = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return self.table(name).repartition(tasks)
+
     def view(self, name: str) -> DataFrame:
         from formloom.plans.bridge import SPARK_VIEWS, VIEWS
 

@@ -207,7 +207,7 @@ def questionnaires(src: Source) -> DataFrame:
         (F.col("p_size") % 2 == 0).cast("string"), F.lit(',"item":['), F.array_join(texts, ","), F.lit(","), brand, F.lit("]}]}"),
     )
     content = F.when(key % 37 == 0, F.lit("[1, 2")).when(key % 41 == 0, F.lit('{"resourceType":"Patient"}')).otherwise(body)
-    return src.table("part").select(F.concat(F.lit("part/"), key.cast("string")).alias("object_key"), content.alias("content"))
+    return src.spread("part").select(F.concat(F.lit("part/"), key.cast("string")).alias("object_key"), content.alias("content"))
 
 
 READABLE_SQL = "p_partkey % 37 <> 0 AND p_partkey % 41 <> 0"
@@ -260,7 +260,7 @@ def asking_questionnaires(src: Source) -> DataFrame:
     first = item("G1", None, joined(item("Q"), item("R", "Q"), early))
     second = item("G2", "G1", joined(item("Q"), item("S", "Q")))
     body = joined(item("V", "W"), first, second, item("U", "Q"), item("W", "Q"))
-    return src.table("part").select(
+    return src.spread("part").select(
         F.concat(F.lit("asking/"), key).alias("object_key"),
         F.concat(F.lit('{"resourceType":"Questionnaire","id":"q'), key, F.lit('","item":['), body, F.lit("]}")).alias("content"),
     )
@@ -490,7 +490,7 @@ def json_definitions(src: Source) -> DataFrame:
         '{"item_id":"KIND","path":"G/KIND","label":"Kind","data_type":"coding","order":1,"value_options":[{"code":"'), F.col("p_type"), F.lit('","display":"k"}],'
         '"display_conditions":[{"source_item_path":"G/SIZE","operator":"gte","expected":'), size, F.lit("}]}]}]}}"),
     )
-    return src.table("part").select(F.concat(F.lit("part/"), key).alias("object_key"), body.alias("content"))
+    return src.spread("part").select(F.concat(F.lit("part/"), key).alias("object_key"), body.alias("content"))
 
 
 def xml_definitions(src: Source) -> DataFrame:
@@ -501,7 +501,7 @@ def xml_definitions(src: Source) -> DataFrame:
         (F.col("p_size") % 2 == 0).cast("string"), F.lit('"><item id="SIZE" data-type="integer" unit="cm"/><item id="KIND" data-type="coding"><option code="'),
         F.col("p_type"), F.lit('"/><condition source-path="G/SIZE" operator="gte" expected-json="'), size, F.lit('"/></item></item></form-definition>'),
     )
-    return src.table("part").select(F.concat(F.lit("part/"), key).alias("object_key"), body.alias("content"))
+    return src.spread("part").select(F.concat(F.lit("part/"), key).alias("object_key"), body.alias("content"))
 
 
 def _definition_rows(items: DataFrame) -> DataFrame:
