@@ -165,10 +165,13 @@ def read_questionnaires(documents: DataFrame, whole: bool = False) -> tuple[Data
         F.lit(None).cast("string").alias("path"),
     )
     errors = problems.unionByName(items.filter("error IS NOT NULL").select("object_key", "error", "path"))
-    clean = items.filter("error IS NULL").drop("error", "_when", "_options", "_extension", "_bad_condition", "_at")
     if whole:
-        refused = errors.select("object_key").distinct()
-        forms, clean = (df.join(refused, "object_key", "left_anti") for df in (forms, clean))
+        forms = forms.join(errors.select("object_key").distinct(), "object_key", "left_anti")
+        # Items tell of each other in one pass; joined with their own errors, they would all be read twice.
+        wrong = F.max(F.col("error").isNotNull()).over(Window.partitionBy("object_key"))
+        items = items.withColumn("_refused", wrong & F.col("object_key").isNotNull()).filter("NOT _refused").drop("_refused")
+        items = items.join(problems.select("object_key").distinct(), "object_key", "left_anti")
+    clean = items.filter("error IS NULL").drop("error", "_when", "_options", "_extension", "_bad_condition", "_at")
     return forms, clean, errors
 
 

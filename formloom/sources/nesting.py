@@ -5,9 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formloom.functions.exact import let
+
+
+# Levels that are read off a document by taking its innermost pairs away.
+_PEELED = 6
+
 
 def _deepest(marks: Column) -> Column:
-    """Greatest number of open ``s`` among opening marks ``s`` and ``a`` that ``]`` closes."""
+    """Greatest number of open ``s`` among opening marks ``s`` and ``a`` that ``]`` closes.
+
+    Taking away all innermost pairs of ``s`` takes one level off. What is not gone after some levels (deeper, arrays
+    in arrays in arrays, or marks that do not pair) is walked mark by mark.
+    """
+
+    def bare(rest: Column) -> Column:
+        return F.replace(F.replace(rest, F.lit("a]"), F.lit("")), F.lit("a]"), F.lit(""))
+
+    def peeled(rest: Column, level: int) -> Column:
+        if level > _PEELED:
+            return F.lit(None).cast("int")
+        below = lambda r: F.when(~F.contains(r, F.lit("a]")), peeled(F.replace(r, F.lit("s]"), F.lit("")), level + 1))
+        return let(bare(rest), lambda r: F.when(r == "", F.lit(level)).otherwise(below(r)))
+
+    return let(marks, lambda m: F.coalesce(peeled(m, 0), _walked(m)))
+
+
+def _walked(marks: Column) -> Column:
+    """The same, mark by mark."""
     state = F.struct(F.lit("").alias("open"), F.lit(0).alias("most"))
 
     def step(s: Column, mark: Column) -> Column:

@@ -1,10 +1,12 @@
 """Work that must not grow faster than its input: what loops are given, what is broadcast, what is shuffled."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from formloom.operators import canonical, lineage, releases
-from formloom.plans import answers
+from formloom.plans import answers, sources
 from formloom.session import cut, local_table
+from formloom.sources import fhir, nesting
 
 FORM = ["form_id", "form_version"]
 
@@ -133,3 +135,42 @@ def test_order_answers_are_spread_after_the_joins(small):
     assert made.exceptAll(plain).isEmpty() and plain.exceptAll(made).isEmpty()
     # In the plan of the lines, which comes first, nothing is exchanged above the spreading.
     assert plan_of(made).index("Generate explode") < plan_of(made).index("Exchange")
+
+
+def test_documents_are_made_by_many_tasks(spark, small):
+    made = (sources.questionnaires, sources.asking_questionnaires, sources.json_definitions, sources.xml_definitions)
+    assert small.table("part").rdd.getNumPartitions() == 1
+    for documents in made:
+        sizes = [n for n in documents(small).rdd.glom().map(len).collect() if n]
+        assert len(sizes) > 1 and sum(sizes) == small.table("part").count()
+
+
+def test_questions_are_resolved_once_where_whole_documents_are_refused(spark):
+    def asked(link, question):
+        return f'{{"linkId":"{link}","type":"string","enableWhen":[{{"question":"{question}","operator":"=","answerString":"x"}}]}}'
+
+    def form(*items):
+        return '{"resourceType":"Questionnaire","id":"q","item":[{"linkId":"A","type":"string"},' + ",".join(items) + "]}"
+
+    rows = [("good", form(asked("B", "A"))), ("bad", form(asked("B", "NONE"))), (None, form('{"linkId":"B","type":"odd"}')), ("mixed", form(asked("B", "A"))), ("mixed", "{}")]
+    forms, items, errors = fhir.read_questionnaires(local_table(spark, rows, "object_key string, content string"), whole=True)
+    # Without a key a document cannot be refused as a whole; with a key, what shares it goes too.
+    assert sorted(((r["object_key"] or "", r["path"]) for r in items.collect())) == [("", "A"), ("good", "A"), ("good", "B")]
+    assert sorted(r["object_key"] or "" for r in forms.collect()) == ["", "good"]
+    assert errors.count() == 3
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lastvalue") + plan.count("last(path") <= 2
+
+
+def test_levels_are_those_of_a_walk(spark):
+    marks = ["", "s]", "ss]]", "sas]]]", "aaaas]]]]]", "aaaa]]]]", "ss]s]]]s", "]]s", "sss", "s" * 9 + "]" * 9, "as]]sas]s]]]", "a]sa]sas]]]]"]
+    rows = local_table(spark, [(m,) for m in marks], "m string").select("m", nesting._deepest(F.col("m")).alias("n"))
+
+    def walked(text):
+        stack, most = [], 0
+        for mark in text:
+            stack = stack[:-1] if mark == "]" else [*stack, mark]
+            most = max(most, stack.count("s"))
+        return most
+
+    assert {r["m"]: r["n"] for r in rows.collect()} == {m: walked(m) for m in marks}
