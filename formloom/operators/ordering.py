@@ -121,13 +121,16 @@ def block_ordinal(
     shifted by the counts of earlier blocks, so a group is never numbered by one task.
     """
     blocked = df.withColumn("_block", F.floor(F.col(position) / F.lit(block)).cast("bigint"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(position)
+    numbered = blocked.withColumn("_rank", F.row_number().over(inside) - 1)
+    if blocked.filter("_block <> 0 OR _block IS NULL").isEmpty():
+        # No group goes beyond its first block, so nothing has to be shifted.
+        return numbered.withColumn(name, F.col("_rank").cast("bigint")).drop("_block", "_rank")
     counts = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
     starts = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(position)
-    numbered = blocked.withColumn("_rank", F.row_number().over(inside) - 1)
     return (
         null_safe_join(numbered, starts, [*keys, "_block"], "inner")
         .withColumn(name, F.col("_start") + F.col("_rank"))

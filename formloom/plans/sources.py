@@ -328,7 +328,7 @@ def order_documents(src: Source) -> DataFrame:
         F.lit('"}]},{"linkId":"ROLE","answer":[{"valueCoding":{"code":"buyer"}}]}]},{"linkId":"PARTY","item":['), second,
         F.lit('{"linkId":"ROLE","answer":[{"valueCoding":{"code":"seller"}}]}]}'), bad, F.lit("]}"),
     )
-    return src.table("orders").select(
+    return src.spread("orders").select(
         F.lit("site-a").alias("establishment_id"),
         F.col("o_custkey").cast("string").alias("patient_pseudonym"),
         F.concat(F.lit("raw/"), key).alias("object_key"),

@@ -289,9 +289,14 @@ def read_responses(
                 "at": F.concat("up", F.array("i")),
             }
         ).drop("path")
-        # Written once: read for this level's answers and for the next level.
-        placed = cut(canonical.group_instances(placed, [*keep[:2], "parent_pointer", "item_path"], position="i"), "level")
+        # Only what repeats is numbered; the others belong to their parent's instance.
+        numbered = canonical.group_instances(placed.filter("repeats"), [*keep[:2], "parent_pointer", "item_path"], position="i")
+        single = placed.filter(~F.col("repeats")).withColumn("group_instance", F.col("parent_instance"))
+        placed = single.unionByName(numbered.drop("occurrence"))
         last = step + 1 == depth
+        if not last:
+            # Written once: read for this level's answers and for the next level.
+            placed = cut(placed, "level")
         nested = F.lit(False) if last else F.coalesce(F.size("it.item"), F.lit(0)) > 0
         replies = F.coalesce(F.col("it.answer"), F.array().cast("array<string>"))
         shown = F.when(F.size(replies) > 0, replies).otherwise(F.array(F.lit(None).cast("string")))
@@ -306,9 +311,11 @@ def read_responses(
                 F.col("group_instance").alias("parent_instance"), F.col("at").alias("up"), F.posexplode("it.item").alias("i", "it"),
             )
     values = F.map_values(_starting(F.from_json("reply", "map<string,variant>"), "value"))
-    rows = found.withColumn("_values", values)
     answered = F.col("given") > 0
-    answer = F.when(F.size("_values") == 1, _value_of(F.col("_values")[0]))
+    # Each in a step of its own, as both are used more than once.
+    rows = found.withColumn("_values", F.when(answered, values))
+    rows = rows.withColumn("_answer", F.when(F.size("_values") == 1, _value_of(F.col("_values")[0])))
+    answer = F.col("_answer")
     suffixed = canonical.answer_suffix(F.col("group_instance"), F.col("n"), F.col("given"))
     rows = rows.select(
         *keep,
@@ -317,7 +324,7 @@ def read_responses(
         answered.alias("present"),
         F.when(answered, F.concat("pointer", F.lit("/answer/"), F.col("n").cast("string"))).otherwise(F.col("pointer")).alias("json_pointer"),
         F.concat("at", F.array("n")).alias("pos"),
-        F.when(answered, answer).alias("answer"),
+        answer.alias("answer"),
         F.when(F.col("item_path").isNull(), "INVALID_FHIR_RESPONSE")
         .when(answered & (F.size("_values") != 1), "INVALID_FHIR_ANSWER")
         .when(answered & answer.isNull(), "UNSUPPORTED_FHIR_ANSWER")
@@ -347,8 +354,10 @@ def canonicalize(responses: DataFrame, answers: DataFrame, items: DataFrame, for
         items.filter("data_type <> 'group'").select(*form, F.col("path").alias("item_path"), "unit", "conditions")
     )
     given = answers.join(leaf, [*form, "item_path"])
-    every = responses.select(*canonical.RESPONSE_KEY, *form).join(leaf, form)
-    absent = every.join(answers.select(*canonical.RESPONSE_KEY, "item_path").distinct(), [*canonical.RESPONSE_KEY, "item_path"], "left_anti")
+    # Both sides are shuffled with a row per response: items are added after they have met.
+    named = answers.groupBy(*canonical.RESPONSE_KEY).agg(F.collect_set("item_path").alias("_named"))
+    every = responses.select(*canonical.RESPONSE_KEY, *form).join(named, canonical.RESPONSE_KEY, "left").join(leaf, form)
+    absent = every.filter(~F.coalesce(F.array_contains("_named", F.col("item_path")), F.lit(False))).drop("_named")
     absent = absent.withColumns(
         {
             "group_instance": F.lit(None).cast("string"),

@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from formloom.operators import canonical, lineage, releases
-from formloom.plans import answers, sources
+from formloom.operators import canonical, lineage, ordering, releases
+from formloom.plans import answers, omop, sources
 from formloom.session import cut, local_table
-from formloom.sources import fhir, nesting
+from formloom.sources import fhir, nesting, structured
 
 FORM = ["form_id", "form_version"]
 
@@ -174,3 +174,64 @@ def test_levels_are_those_of_a_walk(spark):
         return most
 
     assert {r["m"]: r["n"] for r in rows.collect()} == {m: walked(m) for m in marks}
+
+
+def test_only_repeating_items_are_numbered(spark, monkeypatch):
+    seen = []
+
+    def watched(rows, *given, **named):
+        seen.extend(r["item_path"] for r in rows.collect())
+        return whole(rows, *given, **named)
+
+    whole = canonical.group_instances
+    monkeypatch.setattr(canonical, "group_instances", watched)
+    group = '{"linkId":"G","item":[{"linkId":"A","answer":[{"valueString":"x"}]},{"linkId":"A"}]}'
+    body = f'{{"resourceType":"QuestionnaireResponse","id":"r","item":[{group},{{"linkId":"B","answer":[{{"valueInteger":3}}]}},{group}]}}'
+    documents = local_table(
+        spark, [("s", "p", "k", "f", "1", body)], "establishment_id string, patient_pseudonym string, object_key string, form_id string, form_version string, content string"
+    )
+    items = local_table(spark, [("f", "1", "G", True), ("f", "1", "G/A", False), ("f", "1", "B", False)], "form_id string, form_version string, path string, repeats boolean")
+    rows = fhir.read_responses(documents, items, FORM)[1].collect()
+    found = sorted((r["item_path"], r["group_instance"] or "", r["answer"]["s"] if r["answer"] else "", r["json_pointer"]) for r in rows)
+    assert found == [
+        ("B", "", "3", "/item/1/answer/0"),
+        ("G/A", "G:0", "", "/item/0/item/1"), ("G/A", "G:0", "x", "/item/0/item/0/answer/0"),
+        ("G/A", "G:1", "", "/item/2/item/1"), ("G/A", "G:1", "x", "/item/2/item/0/answer/0"),
+    ]
+    assert seen == ["G", "G"]
+
+
+def test_blocks_are_only_joined_where_a_group_has_several(spark, monkeypatch):
+    joins = []
+
+    def watched(*given):
+        joins.append(given)
+        return whole(*given)
+
+    whole = ordering.null_safe_join
+    monkeypatch.setattr(ordering, "null_safe_join", watched)
+    rows = local_table(spark, [(k, n * 2) for k in ("a", None) for n in range(5)], "k string, n int")
+    for block, times in ((64, 0), (4, 1)):
+        found = ordering.block_ordinal(rows, ["k"], "n", "idx", block=block).collect()
+        assert sorted((r["k"] or "", r["n"], r["idx"]) for r in found) == sorted((k, n * 2, n) for k in ("a", "") for n in range(5))
+        assert len(joins) == times
+
+
+def test_xml_responses_are_parsed_once(spark):
+    text = '<form-response schema-version="structured/1.0" response-id="r" authored-at="2020-01-01T00:00:00Z"><answer item-path="A"><value>1</value></answer></form-response>'
+    documents = cut(local_table(spark, [("s", "k", text), ("s", "l", "<x")], "establishment_id string, object_key string, content string"))
+    responses, given, errors = structured.read_xml_responses(documents, ["establishment_id"])
+    assert not any("xml" in plan_of(df).lower().replace("xml-responses", "").replace("application/xml", "") for df in (responses, given, errors))
+    assert [(r["response_id"], r["raw_value"]) for r in given.collect()] == [("r", "1")]
+    assert [(r["object_key"], r["error"]) for r in errors.collect()] == [("l", "INVALID_STRUCTURED_XML")]
+    assert responses.count() == 1
+
+
+def test_cdm_tables_are_read_from_identified_facts(small):
+    tables = omop.produced(small)
+    assert not any("Join" in plan_of(df) for df in tables.values())
+    assert tables["measurement"].count() > 0
+
+
+def test_answers_are_dealt_before_they_are_judged(small):
+    assert "REPARTITION_BY_NUM" in plan_of(answers.event_decisions(small))
