@@ -833,7 +833,8 @@ def decided_sql(entries: str | None = None) -> str:
 
 
 def event_decisions(src: Source, rows: list[dict] | None = None) -> DataFrame:
-    return quality.judge(eav_canonical(src), event_entries(src, rows))
+    # Judging is most of the work on an answer, and the events may be a file of few pieces.
+    return quality.judge(event_canonical(src.dealt(src.view("b_answers"))), event_entries(src, rows))
 
 
 def stored_decisions(src: Source) -> DataFrame:

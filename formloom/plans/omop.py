@@ -167,8 +167,9 @@ def i5_resolve_id_collisions(src: Source) -> DataFrame:
 def produced(src: Source) -> dict[str, DataFrame]:
     """Every table the projection fills, as it comes from the facts and before it is conformed."""
     facts = event_facts(src)
-    persons = omop.assign_person_ids(facts, known_persons(src))
-    own = omop.identify_facts(facts, persons)
+    # Written once: every table is read from them, and the ids take several joins over all facts.
+    persons = cut(omop.assign_person_ids(facts, known_persons(src)), "persons")
+    own = cut(omop.identify_facts(facts, persons), "identified")
     nlp, parents = omop.to_note_nlp(own)
     return {
         "person": omop.to_person(persons),

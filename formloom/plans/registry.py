@@ -27,8 +27,12 @@ class Source:
 
     def spread(self, name: str) -> DataFrame:
         """The table with its rows dealt evenly: a file read in one or two pieces may hold what grows into many documents."""
+        return self.dealt(self.table(name))
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """The rows dealt evenly over the tasks of a shuffle."""
         tasks = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return self.table(name).repartition(tasks)
+        return rows.repartition(tasks)
 
     def view(self, name: str) -> DataFrame:
         from formloom.plans.bridge import SPARK_VIEWS, VIEWS
