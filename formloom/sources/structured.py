@@ -150,7 +150,8 @@ def read_xml_responses(documents: DataFrame, keep: list[str]) -> tuple[DataFrame
     blank = F.exists("answers", lambda a: F.trim(F.coalesce(a["_item-path"], F.lit(""))) == "")
     odd = F.exists("answers", lambda a: a["_enabled"].isNotNull() & ~a["_enabled"].isin("true", "false"))
     wrong = F.when(blank | odd, "INVALID_STRUCTURED_XML").when(F.col("source_sequence").isNull(), "INVALID_STRUCTURED_RESPONSE")
-    checked = rows.withColumn("error", F.coalesce(F.col("_shape"), wrong, _contract(rows)))
+    # Written once: heads, answers and errors are read from it, and parsing is most of the work.
+    checked = cut(rows.withColumn("error", F.coalesce(F.col("_shape"), wrong, _contract(rows))), "xml-responses")
     good = checked.filter("error IS NULL")
     heads = [*keep, "response_id"]
     exploded = good.select(*heads, F.posexplode("answers").alias("pos", "a"))
