@@ -377,9 +377,10 @@ def canonical_stream(
     its response. Display states are only compared where a response has no other error. A value that does not fit its declared type becomes an INVALID row. Answers whose
     response is not there are left out.
 
-    Responses and answers are each shuffled once, by response, and sorted once inside: repetition, instances,
-    context and rejection are windows over leading parts of that order, and what was expected but not answered
-    is added to the first row of its instance. A response is one document: its rows have to fit one task.
+    Responses and answers are each shuffled once, by response, and gathered by instance; repetition, context and
+    rejection are told from those lists, and what was expected but not answered is added to them, so no answer is
+    sorted or copied by a window but for declared display states. A response is one document: its rows have to
+    fit one task.
     """
     if behavior not in {"all", "any"}:
         raise ValueError(f"unsupported condition behavior {behavior}")
@@ -390,21 +391,15 @@ def canonical_stream(
     rows = responses.select(*RESPONSE_KEY, *form, head).join(
         answers.drop(*form).withColumn("present", F.lit(True)), RESPONSE_KEY, "left"
     )
-    rows = type_answers(rows.join(leaf, [*form, "item_path"], "left"))
-    same = Window.partitionBy(*RESPONSE_KEY, "group_instance", "item_path").orderBy("pos")
-    rows = rows.withColumn("_again", F.lead(F.lit(True)).over(same).isNotNull()).withColumn("_nth", F.row_number().over(same))
-    rows = rows.filter("_nth = 1")
-    rows = _with_neighbours(rows)
-    whole = Window.partitionBy(*RESPONSE_KEY)
-    reason = F.when(F.col("present"), F.coalesce(_shape_reason(), F.when(F.col("_again"), F.lit("DUPLICATE_ANSWER"))))
-    rows = rows.withColumn("reason", reason).withColumn("rejected", F.max(F.col("reason").isNotNull()).over(whole))
+    rows = type_answers(rows.join(leaf.drop("conditions", "_item_unit"), [*form, "item_path"], "left"))
+    rows = _with_context(_gathered(rows, form, carried))
+    rows = _fill_in(rows, expected, form, [*carried, "answer", "type_error", "reason"])
+    rows = rows.join(leaf, [*form, "item_path"], "left").withColumn("enabled", _enabled(behavior))
     if "declared_enabled" in carried:
         declared = F.col("declared_enabled")
-        conflict = F.col("present") & ~F.col("rejected") & declared.isNotNull() & (declared != _enabled(behavior))
+        conflict = F.col("present") & ~F.col("rejected") & declared.isNotNull() & (declared != F.col("enabled"))
         rows = rows.withColumn("reason", F.coalesce("reason", F.when(conflict, F.lit("CONDITIONAL_LOGIC_CONFLICT"))))
-        rows = rows.withColumn("rejected", F.max(F.col("reason").isNotNull()).over(whole))
-    kept = [*carried, "present", "answer", "type_error", "reason"]
-    rows = _fill_in(rows, expected, form, kept).join(leaf, [*form, "item_path"], "left").withColumn("enabled", _enabled(behavior))
+        rows = rows.withColumn("rejected", F.max(F.col("reason").isNotNull()).over(Window.partitionBy(*RESPONSE_KEY)))
     # An answer brings its own unit, even a null one; a filled-in row takes the unit of the item.
     own_unit = F.col("unit") if "unit" in carried else F.lit(None).cast("string")
     rows = rows.withColumn("unit", F.when(F.col("present"), own_unit).otherwise(F.col("_item_unit")))
@@ -445,22 +440,56 @@ def _shape_reason() -> Column:
     )
 
 
-def _with_neighbours(rows: DataFrame) -> DataFrame:
-    """Adds what a row sees of its instance and of its response, and whether it is the first of either."""
-    instance = Window.partitionBy(*RESPONSE_KEY, "group_instance")
+def _gathered(rows: DataFrame, form: list[str], carried: list[str]) -> DataFrame:
+    """One row per response and instance, with the first answer to each path there and why it cannot stand."""
+    grouped = F.col("group_instance").isNotNull() & (F.col("group_instance") != "")
+    answer = F.struct(
+        "item_path", *carried, "answer", "type_error", _shape_reason().alias("reason"),
+        F.coalesce("_named", F.lit(False)).alias("_named"), F.when(grouped, F.col("repeated_root")).alias("_root"),
+    )
+    gathered = rows.groupBy(*RESPONSE_KEY, "group_instance").agg(
+        F.first(F.struct(*form, "head")).alias("_of"), F.collect_list(F.when(F.col("present"), answer)).alias("_given")
+    )
+    repeated = F.size(F.array_distinct("_given.item_path")) < F.size("_given")
+    given = F.when(repeated, _first_given(F.col("_given"))).otherwise(F.col("_given"))
+    return gathered.select(*RESPONSE_KEY, "group_instance", "_of.*", given.alias("_given"))
+
+
+def _first_given(given: Column) -> Column:
+    """The first answer to each path of a list, with a reason if there is another one."""
+    places = F.transform(given, lambda e, i: F.struct(e["item_path"].alias("path"), e["pos"].alias("pos"), i.alias("i")))
+
+    def firsts(ordered: Column) -> Column:
+        def marked(place: Column, i: Column) -> Column:
+            first = (i == 0) | ~F.get(ordered, i - 1)["path"].eqNullSafe(place["path"])
+            again = (i + 1 < F.size(ordered)) & F.get(ordered, i + 1)["path"].eqNullSafe(place["path"])
+            return F.when(first, F.struct(place["i"].alias("i"), again.alias("again")))
+
+        def answer(place: Column) -> Column:
+            reason = F.when(place["again"], F.lit("DUPLICATE_ANSWER"))
+            return F.get(given, place["i"]).withField("reason", F.coalesce(F.get(given, place["i"])["reason"], reason))
+
+        return F.transform(F.array_compact(F.transform(ordered, marked)), answer)
+
+    return _once(F.array_sort(places), firsts)
+
+
+def _with_context(instances: DataFrame) -> DataFrame:
+    """Adds what an instance shows and what it sees of its response, and whether it is the first there."""
     whole = Window.partitionBy(*RESPONSE_KEY)
     outside = F.col("group_instance").isNull()
-    named = F.coalesce(F.col("_named"), F.lit(False)) & F.col("present")
-    entry = F.struct("item_path", F.struct("pos", "answer").alias("seen"))
-    grouped = ~outside & (F.col("group_instance") != "")
-    return (
-        rows.withColumn("_new", F.row_number().over(instance.orderBy("item_path")) == 1)
-        .withColumn("own", F.map_from_entries(F.collect_list(F.when(named, entry)).over(instance)))
-        .withColumn("_roots", F.collect_set(F.when(grouped, F.col("repeated_root"))).over(instance))
-        .withColumn("_given", F.collect_list("item_path").over(instance))
-        .withColumn("_first", F.row_number().over(whole.orderBy("group_instance", "item_path")) == 1)
-        .withColumn("outer", F.map_from_entries(F.collect_list(F.when(named & outside, entry)).over(whole)))
-        .withColumn("_given_outside", F.collect_list(F.when(outside, F.col("item_path"))).over(whole))
+    named = F.filter("_given", lambda e: e["_named"])
+    pairs = F.transform(named, lambda e: F.struct(e["item_path"].alias("path"), F.struct(e["pos"].alias("pos"), e["answer"].alias("answer")).alias("seen")))
+    rows = instances.withColumn("own", F.map_from_entries(pairs)).withColumn("_bad", F.exists("_given", lambda e: e["reason"].isNotNull()))
+    nothing = F.create_map().cast(rows.schema["own"].dataType)
+    # The place outside groups comes first where it is there.
+    lead = F.when(~F.max(outside).over(whole), F.min("group_instance").over(whole))
+    return rows.select(
+        "*",
+        F.coalesce(F.first(F.when(outside, F.col("own")), ignorenulls=True).over(whole), nothing).alias("outer"),
+        F.first(F.when(outside, F.col("_given.item_path")), ignorenulls=True).over(whole).alias("_given_outside"),
+        F.col("group_instance").eqNullSafe(lead).alias("_first"),
+        F.max("_bad").over(whole).alias("rejected"),
     )
 
 
@@ -474,31 +503,31 @@ def _enabled(behavior: str) -> Column:
     return F.coalesce(F.when(F.size("conditions") > 0, holds), F.lit(True))
 
 
-def _fill_in(rows: DataFrame, expected: DataFrame, form: list[str], kept: list[str]) -> DataFrame:
+def _fill_in(instances: DataFrame, expected: DataFrame, form: list[str], kept: list[str]) -> DataFrame:
     """Rows of answers, and of the items nobody answered in an instance that is there."""
-    kind = "array<struct<item_path:string,group_instance:string,added:boolean>>"
-
-    def added(paths: Column, answered: str, when: Column, instance: Column) -> Column:
-        missing = F.array_except(F.coalesce(paths, F.array().cast("array<string>")), F.col(answered))
-        made = F.transform(missing, lambda path: F.struct(path.alias("item_path"), instance.alias("group_instance"), F.lit(True).alias("added")))
-        return F.when(when, made.cast(kind)).otherwise(F.array().cast(kind))
-
-    outside = F.try_element_at("_expected", F.lit(""))
-    inside = F.flatten(F.transform("_roots", lambda root: F.coalesce(F.try_element_at("_expected", root), F.array().cast("array<string>"))))
-    own = F.array(F.struct("item_path", "group_instance", F.lit(False).alias("added"))).cast(kind)
-    every = F.concat(
-        F.when(F.col("present"), own).otherwise(F.array().cast(kind)),
-        added(outside, "_given_outside", F.col("_first"), F.lit(None).cast("string")),
-        added(inside, "_given", F.col("_new"), F.col("group_instance")),
-    )
-    nothing = F.create_map().cast(rows.schema["own"].dataType)
-    # What is added outside all groups to a row of a group does not see that group.
-    seen = F.when(F.col("group_instance").eqNullSafe(F.col("e.group_instance")), F.col("own")).otherwise(nothing)
-    spread = rows.join(expected, form, "left").withColumn("e", F.explode(every))
-    values = [F.when(~F.col("e.added"), F.col(c)).alias(c) for c in kept if c != "present"]
-    return spread.select(
-        *RESPONSE_KEY, *form, "head", F.col("e.item_path").alias("item_path"), F.col("e.group_instance").alias("group_instance"),
-        *values, (~F.col("e.added")).alias("present"), seen.alias("own"), "outer", "rejected",
+    none = F.array().cast("array<string>")
+
+    def entry(path: Column, given: Column, placed: bool) -> Column:
+        """``placed`` tells whether the row belongs to the instance and not outside all groups."""
+        return F.struct(path.alias("item_path"), given.alias("given"), F.lit(placed).alias("placed"))
+
+    nobody = F.lit(None).cast(instances.schema["_given"].dataType.elementType)
+
+    def missing(paths: Column, answered: Column, placed: bool) -> Column:
+        return F.transform(F.array_except(F.coalesce(paths, none), F.coalesce(answered, none)), lambda path: entry(path, nobody, placed))
+
+    roots = F.array_distinct(F.array_compact(F.col("_given")["_root"]))
+    inside = F.flatten(F.transform(roots, lambda root: F.coalesce(F.try_element_at("_expected", root), none)))
+    answers = F.transform("_given", lambda e: entry(e["item_path"], e, True))
+    outside = F.when(F.col("_first"), F.try_element_at("_expected", F.lit("")))
+    every = F.concat(answers, missing(inside, F.col("_given")["item_path"], True), missing(outside, F.col("_given_outside"), False))
+    nothing = F.create_map().cast(instances.schema["own"].dataType)
+    # What is added outside all groups to a group does not see that group.
+    placed = F.col("e.placed") | F.col("group_instance").isNull()
+    return instances.join(expected, form, "left").withColumn("e", F.explode(every)).select(
+        *RESPONSE_KEY, *form, "head", F.col("e.item_path").alias("item_path"),
+        F.when(F.col("e.placed"), F.col("group_instance")).alias("group_instance"), *[F.col("e.given")[c].alias(c) for c in kept],
+        F.col("e.given").isNotNull().alias("present"), F.when(placed, F.col("own")).otherwise(nothing).alias("own"), "outer", "rejected",
     )
 
 

@@ -235,3 +235,11 @@ def test_cdm_tables_are_read_from_identified_facts(small):
 
 def test_answers_are_dealt_before_they_are_judged(small):
     assert "REPARTITION_BY_NUM" in plan_of(answers.event_decisions(small))
+
+
+def test_structured_answers_are_gathered_before_windows(spark, small):
+    """Windows run over instances, and once over answers where display states are declared."""
+    rows = answers.order_responses(small), answers.order_answers(small), answers.order_items(small), answers.FORM
+    assert plan_of(canonical.canonicalize_structured(*rows)).split("== Initial Plan ==")[0].count("Window [") == 1
+    declared = rows[0], answers.faulty_answers(small), *rows[2:]
+    assert plan_of(canonical.canonicalize_structured(*declared)).split("== Initial Plan ==")[0].count("Window [") == 2
