@@ -88,7 +88,6 @@ def replay(parent: DataFrame, parent_members: DataFrame, parent_metrics: DataFra
     and leaves eligible counts alone.
     """
     again, after = quality.replay_quarantine(canonical, records, entries)
-    again = cut(again, "replayed")
     facts = omop.project_facts(again).select(*KEY, integer_fact_id("fact_id").alias("omop_fact_id"))
     change = cut(delta(parent_members, facts), "delta")
     published = again.filter("decision = 'PUBLISH'")

@@ -1038,8 +1038,9 @@ REPLAY_ENTRIES = [row for row in EVENT_ENTRIES if row["mapping_id"] != "m-buy-d2
     FROM first_pass f JOIN second_pass s USING (event_id) WHERE f.decision = 'QUARANTINE'""",
 )
 def h5_replay_quarantine(src: Source) -> DataFrame:
-    rows = eav_canonical(src)
-    records = quality.quarantine_records(quality.judge(rows, event_entries(src)), F.col("authored_at"))
+    # Dealt, as the events may be a file of few pieces and are judged a second time.
+    rows = event_canonical(src.dealt(src.view("b_answers")))
+    records = quality.quarantine_records(stored_decisions(src), F.col("authored_at"))
     again, after = quality.replay_quarantine(rows, records, event_entries(src, REPLAY_ENTRIES))
     return after.join(again.select("event_id", F.col("decision").alias("replayed_decision")), "event_id").select(
         "event_id", "status", "replayed_decision"

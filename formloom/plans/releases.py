@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formloom.operators import catalog, membership, omop, quality, releases
-from formloom.plans.answers import REPLAY_ENTRIES, decided_sql, eav_canonical, entries_sql, event_entries, stored_decisions
+from formloom.plans.answers import REPLAY_ENTRIES, decided_sql, entries_sql, event_canonical, event_entries, stored_decisions
 from formloom.plans.registry import Source, query
 from formloom.session import cut
 
@@ -262,7 +262,8 @@ CHILD_SQL = f"""first_pass AS (WITH {decided_sql()} SELECT * FROM decided),
 
 def replayed(src: Source) -> tuple[membership.Child, DataFrame, DataFrame]:
     """The child of the first release of the event answers, that release's members and its metrics."""
-    rows = eav_canonical(src)
+    # Dealt, as the events may be a file of few pieces and are judged a second time.
+    rows = event_canonical(src.dealt(src.view("b_answers")))
     first = stored_decisions(src)
     members = cut(omop.project_facts(first).select("clinical_event_id", "omop_table", F.lit(0).cast("bigint").alias("omop_fact_id")), "members")
     metrics = cut(catalog.coverage_from_facts(first, ["establishment_id", "item_path"]), "metrics")

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from formloom.operators import canonical, lineage, ordering, releases
+from formloom.operators import canonical, lineage, membership, ordering, quality, releases
 from formloom.plans import answers, omop, sources
+from formloom.plans import releases as release_plans
 from formloom.session import cut, local_table
 from formloom.sources import fhir, nesting, structured
 
@@ -243,3 +244,25 @@ def test_structured_answers_are_gathered_before_windows(spark, small):
     assert plan_of(canonical.canonicalize_structured(*rows)).split("== Initial Plan ==")[0].count("Window [") == 1
     declared = rows[0], answers.faulty_answers(small), *rows[2:]
     assert plan_of(canonical.canonicalize_structured(*declared)).split("== Initial Plan ==")[0].count("Window [") == 2
+
+
+def test_replayed_answers_are_judged_once_and_dealt(spark, small, monkeypatch):
+    records = cut(quality.quarantine_records(answers.stored_decisions(small), F.col("authored_at")), "records")
+    _, after = quality.replay_quarantine(answers.eav_canonical(small), records, answers.event_entries(small, answers.REPLAY_ENTRIES))
+    assert "events.parquet" not in plan_of(after)
+    given = []
+    monkeypatch.setattr(membership, "replay", lambda *args: given.append(args[4]))
+    release_plans.replayed(small)
+    assert "RoundRobinPartitioning" in plan_of(given[0])
+
+
+def test_compact_traces_are_told_apart_by_hubs(spark):
+    """Behind the walk no row is shuffled again, neither by its start nor by the starts themselves."""
+    edges = [(f"a{i}", "h") for i in range(20)] + [("h", f"q{i}") for i in range(20)] + [(f"b{i}", "unmet") for i in range(20)] + [(None, "q0")]
+    table = local_table(spark, edges, "source string, target string")
+    starts = local_table(spark, [*[(f"q{i}",) for i in range(20)], (None,)], "node_id string")
+    found = lineage.compact_trace(table, starts, hub=10)
+    assert "Exchange hashpartitioning" not in plan_of(found)
+    rows = [("q0", None, 1, False)] + [(f"q{i}", f"q{i}", 0, False) for i in range(20)] + [(f"q{i}", "h", 1, True) for i in range(20)]
+    rows += [("h", "h", 0, True)] + [("h", f"a{i}", 1, False) for i in range(20)]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, rows))
