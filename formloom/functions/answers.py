@@ -14,8 +14,12 @@ from formloom.functions.text import fold, strip
 
 SCALAR = "struct<t:string,s:string,num:decimal(38,9)>"
 NUMBER = "decimal(38,9)"
-# Texts with more decimals than that, or with an exponent.
-_LONG = r"\.[0-9]{10}|[eE]"
+
+
+def _long(text: Column) -> Column:
+    """Whether a text has more decimals than that, or an exponent; the pattern is only tried where it could fit."""
+    return ((F.length(text) > 10) & text.rlike(r"\.[0-9]{10}")) | text.contains("e") | text.contains("E")
+
 
 # State names, lexicons and lifecycle names exchanged with other systems.
 STATES = (
@@ -62,17 +66,16 @@ def answer_state(
 
     Only a null or an exactly empty text is "not recorded": blanks are an answer.
     """
-    word = fold(raw_text)
+    words = {w: state for state, those in (("NOT_APPLICABLE", not_applicable), ("UNKNOWN", unknown), ("EXPLICITLY_ABSENT", negative)) for w in those}
+    known = F.create_map(*[F.lit(x) for pair in words.items() for x in pair]).cast("map<string,string>")
     return (
         F.when(lifecycle == "DELETED", F.lit("DELETED"))
         .when(lifecycle == "VOIDED", F.lit("VOIDED"))
         .when(lifecycle == "DRAFT", F.lit("NOT_RECORDED"))
         .when(~enabled, F.lit("NOT_DISPLAYED_BY_FORM_LOGIC"))
         .when(~present | raw_text.isNull() | (raw_text == ""), F.lit("NOT_RECORDED"))
-        .when(word.isin(*negative), F.lit("EXPLICITLY_ABSENT"))
-        .when(word.isin(*unknown), F.lit("UNKNOWN"))
-        .when(word.isin(*not_applicable), F.lit("NOT_APPLICABLE"))
-        .otherwise(F.lit("PRESENT"))
+        # One look at the folded text tells all words apart.
+        .otherwise(F.coalesce(F.try_element_at(known, fold(raw_text)), F.lit("PRESENT")))
     )
 
 
@@ -98,7 +101,7 @@ def exact_scalar(value: Column) -> Column:
 
 
     def made(n: Column) -> Column:
-        shown = F.when(n["text"].rlike(_LONG), n["text"]).otherwise(n["rounded"].cast("string"))
+        shown = F.when(_long(n["text"]), n["text"]).otherwise(n["rounded"].cast("string"))
         return F.when(n["rounded"].isNotNull(), scalar(F.lit("num"), shown, n["rounded"]))
 
     return exact.let(exact.plain(value), lambda text: exact.let(F.struct(text.alias("text"), text.try_cast(NUMBER).alias("rounded")), made))
@@ -112,21 +115,22 @@ def plain_number(number: Column) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """Finite decimal from text, else null."""
-    return strip(text).try_cast(NUMBER)
+    """Finite decimal from text, else null. Only a text that is none as it stands is stripped first."""
+    return F.coalesce(text.try_cast(NUMBER), strip(text).try_cast(NUMBER))
 
 
-def coerce(raw_type: Column, raw_text: Column, data_type: Column) -> Column:
+def coerce(raw_type: Column, raw_text: Column, data_type: Column, number: Column | None = None) -> Column:
     """Typed scalar of a raw JSON value, null where it does not fit the declared type.
 
     ``raw_type`` is ``str``, ``num`` or ``bool``. Callers tell a rejected value from a missing one
-    by comparing the result with ``raw_text``.
+    by comparing the result with ``raw_text``. ``number`` is the ``parse_number`` of the text where the
+    caller has it in a column, so that it is read once; it is only looked at for numeric types.
     """
     is_bool, is_num, is_str = (raw_type == tag for tag in ("bool", "num", "str"))
     lowered = F.lower(raw_text)
-    number = parse_number(raw_text)
+    number = parse_number(raw_text) if number is None else number
     # Only what the number column would round takes the longer way.
-    precise = F.when(raw_text.rlike(_LONG), exact_scalar(exact.number(raw_text))).otherwise(number_scalar(number))
+    precise = F.when(_long(raw_text), exact_scalar(exact.number(raw_text))).otherwise(number_scalar(number))
     null = F.lit(None).cast(SCALAR)
 
     boolean = F.when(
@@ -171,7 +175,7 @@ def condition_holds(actual: Column, operator: Column, expected: Column) -> Colum
     numeric = actual["t"].isin("num", "bool") & expected["t"].isin("num", "bool")
     same_tag = actual["t"] == expected["t"]
     # Texts of numbers are exact where they have more decimals than the number column.
-    longer = (actual["t"] == "num") & (expected["t"] == "num") & (actual["s"].rlike(_LONG) | expected["s"].rlike(_LONG))
+    longer = (actual["t"] == "num") & (expected["t"] == "num") & (_long(actual["s"]) | _long(expected["s"]))
     alike = F.when(longer, exact.plain(exact.number(actual["s"])).eqNullSafe(exact.plain(exact.number(expected["s"])))).otherwise(F.lit(True))
     equal = F.when(numeric, (actual["num"] == expected["num"]) & alike).otherwise(
         same_tag & (actual["s"] == expected["s"])

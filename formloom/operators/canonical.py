@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from formloom.functions.answers import SCALAR, answer_state, coerce, condition_holds, text_scalar
+from formloom.functions.answers import SCALAR, answer_state, coerce, condition_holds, parse_number, text_scalar
 from formloom.functions.identity import deterministic_uuid
 from formloom.operators.ordering import block_ordinal, null_safe_join
 from formloom.session import broadcast_if_small, is_small
@@ -137,6 +137,8 @@ def answer_suffix(instance: Column, index: Column, answers: Column) -> Column:
 
 
 RESPONSE_KEY = ["establishment_id", "response_id"]
+# Rows are sorted by the response first: few sites share one, so its first characters tell most rows apart.
+_SORT_KEY = ["response_id", "establishment_id"]
 
 
 def answer_shape_errors(answers: DataFrame, items: DataFrame, form: list[str]) -> DataFrame:
@@ -280,12 +282,14 @@ def with_context(rows: DataFrame, context: DataFrame) -> DataFrame:
 def visible(path: Column) -> Column:
     """The answer at ``path`` seen from a row with context; the first in document order wins."""
 
-    def pick(both: Column) -> Column:
-        own, outer = both["own"], both["outer"]
-        pick_own = own.isNotNull() & (outer.isNull() | (own["pos"] <= outer["pos"]))
-        return F.when(pick_own, own["answer"]).otherwise(outer["answer"])
+    both = F.struct(F.try_element_at("own", path).alias("own"), F.try_element_at("outer", path).alias("outer"))
+    return _once(both, lambda b: _earlier(b["own"], b["outer"]))
 
-    return _once(F.struct(F.try_element_at("own", path).alias("own"), F.try_element_at("outer", path).alias("outer")), pick)
+
+def _earlier(own: Column, outer: Column) -> Column:
+    """The answer of the first of two (pos, answer) in document order, where there are any."""
+    pick_own = own.isNotNull() & (outer.isNull() | (own["pos"] <= outer["pos"]))
+    return F.when(pick_own, own["answer"]).otherwise(outer["answer"])
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -326,7 +330,7 @@ def display_state(
     whole = F.col(f"_key.{RESPONSE_KEY[0]}").isNotNull() & F.col(f"_key.{RESPONSE_KEY[1]}").isNotNull()
     seen = gathered.withColumn("outer", F.when(whole, outside)).withColumn("_row", F.explode("_rows"))
     names = [c if c == "group_instance" else f"_row.{c}" for c in dense.columns if c not in RESPONSE_KEY]
-    return seen.select("_key.*", *names, "own", "outer").withColumn("enabled", _enabled(behavior)).drop("own", "outer")
+    return _with_enabled(seen.select("_key.*", *names, "own", "outer"), behavior)
 
 
 def _first_seen(entries: Column) -> Column:
@@ -346,13 +350,16 @@ def display_conflicts(dense: DataFrame, declared: str = "declared_enabled") -> D
 
 def type_answers(dense: DataFrame) -> DataFrame:
     """Adds ``answer`` (typed) and ``type_error`` from the raw value and the declared type."""
-    typed = dense.withColumn(
-        "answer", coerce(F.col("raw_type"), F.col("raw_value"), F.col("data_type"))
-    )
-    return typed.withColumn(
-        "type_error",
-        F.when(F.col("raw_value").isNotNull() & F.col("answer").isNull(), "INVALID_DATA_TYPE"),
+    # Read once into a column of its own; an expression that names it several times would read it as often.
+    number = F.when(F.col("data_type").isin("integer", "decimal") & F.col("raw_type").isin("num", "str"), parse_number(F.col("raw_value")))
+    typed = dense.withColumn("_number", number).withColumn(
+        "answer", coerce(F.col("raw_type"), F.col("raw_value"), F.col("data_type"), F.col("_number"))
     )
+    return typed.drop("_number").withColumn("type_error", _type_error())
+
+
+def _type_error() -> Column:
+    return F.when(F.col("raw_value").isNotNull() & F.col("answer").isNull(), "INVALID_DATA_TYPE")
 
 
 # Answers of these are left out for their status, whatever their value.
@@ -377,33 +384,44 @@ def canonical_stream(
     its response. Display states are only compared where a response has no other error. A value that does not fit its declared type becomes an INVALID row. Answers whose
     response is not there are left out.
 
-    Responses and answers are each shuffled once, by response, and gathered by instance; repetition, context and
-    rejection are told from those lists, and what was expected but not answered is added to them, so no answer is
-    sorted or copied by a window but for declared display states. A response is one document: its rows have to
-    fit one task.
+    Responses and answers are each shuffled once, by response, sorted once and gathered by instance; repetition,
+    context and rejection, that for declared display states too, are told from those lists, and what was expected
+    but not answered is added to them, so no answer is copied by a window. A response is one document: its rows
+    have to fit one task.
     """
     if behavior not in {"all", "any"}:
         raise ValueError(f"unsupported condition behavior {behavior}")
     leaf, expected = _catalogue(items, form)
     mine = {*RESPONSE_KEY, *form, "item_path", "group_instance"}
     carried = [c for c in answers.columns if c not in mine]
-    head = F.struct(*[c for c in responses.columns if c not in {*RESPONSE_KEY, *form}]).alias("head")
-    rows = responses.select(*RESPONSE_KEY, *form, head).join(
+    declared = "declared_enabled" in carried
+    # Columns of their own, so that those nobody asks for are not carried.
+    head = {f"_head_{c}": c for c in responses.columns if c not in {*RESPONSE_KEY, *form}}
+    rows = responses.select(*RESPONSE_KEY, *form, *[F.col(c).alias(name) for name, c in head.items()]).join(
         answers.drop(*form).withColumn("present", F.lit(True)), RESPONSE_KEY, "left"
     )
-    rows = type_answers(rows.join(leaf.drop("conditions", "_item_unit"), [*form, "item_path"], "left"))
-    rows = _with_context(_gathered(rows, form, carried))
-    rows = _fill_in(rows, expected, form, [*carried, "answer", "type_error", "reason"])
-    rows = rows.join(leaf, [*form, "item_path"], "left").withColumn("enabled", _enabled(behavior))
-    if "declared_enabled" in carried:
-        declared = F.col("declared_enabled")
-        conflict = F.col("present") & ~F.col("rejected") & declared.isNotNull() & (declared != F.col("enabled"))
+    rows = rows.join(leaf.drop("_item_unit"), [*form, "item_path"], "left")
+    told = F.col("declared_enabled").isNotNull() if declared else F.lit(False)
+    # Sorted while the rows are narrow; typing does not undo it, so lists are built group by group in one go.
+    rows = rows.withColumn("conditions", F.when(told, F.col("conditions"))).sortWithinPartitions(*_SORT_KEY, "group_instance")
+    rows = type_answers(rows)
+    rows = _with_context(_gathered(rows, [*form, *head], carried))
+    if declared:
+        clash = F.exists("_asked", lambda e: e["declared_enabled"] != _enabled(behavior, e["conditions"]))
+        rows = rows.withColumn("_clash", ~F.col("_faulty") & F.coalesce(clash, F.lit(False)))
+        rows = rows.withColumn("rejected", F.col("_faulty") | F.max("_clash").over(Window.partitionBy(*_SORT_KEY)))
+    else:
+        rows = rows.withColumn("rejected", F.col("_faulty"))
+    rows = _fill_in(rows, expected, form, [*head], [*carried, "answer", "reason", "present"])
+    rows = _with_enabled(rows.join(leaf, [*form, "item_path"], "left"), behavior)
+    rows = rows.withColumn("type_error", F.when(F.col("present"), _type_error()))
+    if declared:
+        conflict = F.col("present") & ~F.col("_faulty") & (F.col("declared_enabled") != F.col("enabled"))
         rows = rows.withColumn("reason", F.coalesce("reason", F.when(conflict, F.lit("CONDITIONAL_LOGIC_CONFLICT"))))
-        rows = rows.withColumn("rejected", F.max(F.col("reason").isNotNull()).over(Window.partitionBy(*RESPONSE_KEY)))
     # An answer brings its own unit, even a null one; a filled-in row takes the unit of the item.
     own_unit = F.col("unit") if "unit" in carried else F.lit(None).cast("string")
     rows = rows.withColumn("unit", F.when(F.col("present"), own_unit).otherwise(F.col("_item_unit")))
-    rows = rows.select("*", "head.*").drop("head", "own", "outer", "_item_unit", "_named", "_known")
+    rows = rows.select("*", *[F.col(name).alias(c) for name, c in head.items()]).drop(*head, "_faulty", "_item_unit", "_named", "_known")
     state = F.when(
         F.col("type_error").isNotNull() & F.col("enabled") & ~F.col("lifecycle_status").isin(*SILENT_STATUSES),
         F.lit("INVALID"),
@@ -440,19 +458,39 @@ def _shape_reason() -> Column:
     )
 
 
-def _gathered(rows: DataFrame, form: list[str], carried: list[str]) -> DataFrame:
-    """One row per response and instance, with the first answer to each path there and why it cannot stand."""
+def _gathered(rows: DataFrame, head: list[str], carried: list[str]) -> DataFrame:
+    """One row per response and instance, with the first answer to each path there and why it cannot stand, a map
+    of those that conditions name, the least and greatest root, and the declared display states with their conditions."""
     grouped = F.col("group_instance").isNotNull() & (F.col("group_instance") != "")
-    answer = F.struct(
-        "item_path", *carried, "answer", "type_error", _shape_reason().alias("reason"),
-        F.coalesce("_named", F.lit(False)).alias("_named"), F.when(grouped, F.col("repeated_root")).alias("_root"),
+    named = F.coalesce(F.col("_named"), F.lit(False))
+    given = F.struct(
+        "item_path", *carried, "answer", _shape_reason().alias("reason"), named.alias("_named"),
+        F.when(grouped, F.col("repeated_root")).alias("_root"), F.lit(True).alias("present"), F.lit(True).alias("_placed"),
+    )
+    made = {
+        "_given": F.when(F.col("present"), given),
+        "_entries": F.when(F.col("present") & named, F.struct("item_path", F.struct("pos", "answer").alias("seen"))),
+        "_bad": F.coalesce(F.col("present") & _shape_reason().isNotNull(), F.lit(False)),
+        "_root": F.when(F.col("present") & grouped, F.col("repeated_root")),
+    }
+    lists = ["_given", "_entries"]
+    if "declared_enabled" in carried:
+        told = F.col("present") & F.col("declared_enabled").isNotNull()
+        made["_asked"] = F.when(told, F.struct("declared_enabled", "conditions"))
+        lists.append("_asked")
+    rows = rows.select(*RESPONSE_KEY, "group_instance", *head, *[c.alias(n) for n, c in made.items()])
+    gathered = rows.groupBy(*_SORT_KEY, "group_instance").agg(
+        *[F.first(c).alias(c) for c in head], *[F.collect_list(c).alias(c) for c in lists], F.max("_bad").alias("_bad"),
+        F.min("_root").alias("_root"), F.max("_root").alias("_last_root"),
     )
-    gathered = rows.groupBy(*RESPONSE_KEY, "group_instance").agg(
-        F.first(F.struct(*form, "head")).alias("_of"), F.collect_list(F.when(F.col("present"), answer)).alias("_given")
+    gathered = gathered.withColumn("_repeated", F.size(F.array_distinct("_given.item_path")) < F.size("_given"))
+    gathered = gathered.withColumn("_given", F.when(F.col("_repeated"), _first_given(F.col("_given"))).otherwise(F.col("_given")))
+    firsts = F.transform(F.filter("_given", lambda e: e["_named"]), lambda e: F.struct(e["item_path"], F.struct(e["pos"], e["answer"])))
+    entries = F.when(F.col("_repeated"), firsts.cast(gathered.schema["_entries"].dataType)).otherwise(F.col("_entries"))
+    return gathered.select(
+        *RESPONSE_KEY, "group_instance", *head, *[c for c in lists if c != "_entries"], "_root", "_last_root",
+        F.map_from_entries(entries).alias("own"), (F.col("_bad") | F.col("_repeated")).alias("_bad"),
     )
-    repeated = F.size(F.array_distinct("_given.item_path")) < F.size("_given")
-    given = F.when(repeated, _first_given(F.col("_given"))).otherwise(F.col("_given"))
-    return gathered.select(*RESPONSE_KEY, "group_instance", "_of.*", given.alias("_given"))
 
 
 def _first_given(given: Column) -> Column:
@@ -475,59 +513,92 @@ def _first_given(given: Column) -> Column:
 
 
 def _with_context(instances: DataFrame) -> DataFrame:
-    """Adds what an instance shows and what it sees of its response, and whether it is the first there."""
-    whole = Window.partitionBy(*RESPONSE_KEY)
+    """Adds what an instance shows and what it sees of its response, and whether it is the first there and has an answer that cannot stand."""
+    whole = Window.partitionBy(*_SORT_KEY)
     outside = F.col("group_instance").isNull()
-    named = F.filter("_given", lambda e: e["_named"])
-    pairs = F.transform(named, lambda e: F.struct(e["item_path"].alias("path"), F.struct(e["pos"].alias("pos"), e["answer"].alias("answer")).alias("seen")))
-    rows = instances.withColumn("own", F.map_from_entries(pairs)).withColumn("_bad", F.exists("_given", lambda e: e["reason"].isNotNull()))
-    nothing = F.create_map().cast(rows.schema["own"].dataType)
+    nothing = F.create_map().cast(instances.schema["own"].dataType)
     # The place outside groups comes first where it is there.
     lead = F.when(~F.max(outside).over(whole), F.min("group_instance").over(whole))
-    return rows.select(
+    return instances.select(
         "*",
         F.coalesce(F.first(F.when(outside, F.col("own")), ignorenulls=True).over(whole), nothing).alias("outer"),
         F.first(F.when(outside, F.col("_given.item_path")), ignorenulls=True).over(whole).alias("_given_outside"),
         F.col("group_instance").eqNullSafe(lead).alias("_first"),
-        F.max("_bad").over(whole).alias("rejected"),
+        F.max("_bad").over(whole).alias("_faulty"),
     )
 
 
-def _enabled(behavior: str) -> Column:
+# So many conditions of an item are told by compiled expressions, any others by walking the list.
+_COMPILED = 2
+
+
+def _with_enabled(rows: DataFrame, behavior: str) -> DataFrame:
+    """Adds ``enabled`` (see ``_enabled``) in place of ``own`` and ``outer``."""
+    asked = [F.get("conditions", F.lit(i)) for i in range(_COMPILED)]
+    met = {}
+    for i, c in enumerate(asked):
+        met |= {f"_own{i}": F.try_element_at("own", c["source_item_path"]), f"_outer{i}": F.try_element_at("outer", c["source_item_path"])}
+    n = F.coalesce(F.size("conditions"), F.lit(0))
+    # Only what the compiled part has not seen is carried further.
+    kept = {name: F.when(n > _COMPILED, F.col(name)) for name in ("own", "outer")}
+    columns = [c for c in rows.columns if c not in kept]
+    rows = rows.withColumns(met).select(
+        *columns, *[c.alias(name) for name, c in kept.items()],
+        *[_earlier(F.col(f"_own{i}"), F.col(f"_outer{i}")).alias(f"_seen{i}") for i in range(_COMPILED)],
+    )
+    holds = [condition_holds(F.col(f"_seen{i}"), c["operator"], c["expected"]) for i, c in enumerate(asked)]
+    holds.append(_enabled(behavior, F.slice("conditions", _COMPILED + 1, F.greatest(n - _COMPILED, F.lit(0)))))
+    enabled = n <= 0
+    if behavior == "all":
+        every = holds[0]
+        for i, test in enumerate(holds[1:], 1):
+            every = every & ((n <= i) | test)
+        enabled = enabled | every
+    else:
+        for i, test in enumerate(holds):
+            enabled = enabled | ((n > i) & test)
+    return rows.select(*columns, enabled.alias("enabled"))
+
+
+def _enabled(behavior: str, conditions: Column | None = None) -> Column:
     """Whether the display conditions of a row hold for what it sees."""
+    conditions = F.col("conditions") if conditions is None else conditions
     fold = F.forall if behavior == "all" else F.exists
     holds = fold(
-        "conditions",
+        conditions,
         lambda c: _once(visible(c["source_item_path"]), lambda seen: condition_holds(seen, c["operator"], c["expected"])),
     )
-    return F.coalesce(F.when(F.size("conditions") > 0, holds), F.lit(True))
+    return F.coalesce(F.when(F.size(conditions) > 0, holds), F.lit(True))
 
 
-def _fill_in(instances: DataFrame, expected: DataFrame, form: list[str], kept: list[str]) -> DataFrame:
+def _fill_in(instances: DataFrame, expected: DataFrame, form: list[str], head: list[str], kept: list[str]) -> DataFrame:
     """Rows of answers, and of the items nobody answered in an instance that is there."""
     none = F.array().cast("array<string>")
+    kinds = {f.name: f.dataType for f in instances.schema["_given"].dataType.elementType}
 
-    def entry(path: Column, given: Column, placed: bool) -> Column:
-        """``placed`` tells whether the row belongs to the instance and not outside all groups."""
-        return F.struct(path.alias("item_path"), given.alias("given"), F.lit(placed).alias("placed"))
+    def missing(paths: Column, answered: Column, placed: bool) -> Column:
+        """``placed`` tells whether the rows belong to the instance and not outside all groups."""
+        known = {"present": F.lit(False), "_placed": F.lit(placed)}
 
-    nobody = F.lit(None).cast(instances.schema["_given"].dataType.elementType)
+        def row(path: Column) -> Column:
+            return F.struct(*[(path if c == "item_path" else known.get(c, F.lit(None))).cast(kind).alias(c) for c, kind in kinds.items()])
 
-    def missing(paths: Column, answered: Column, placed: bool) -> Column:
-        return F.transform(F.array_except(F.coalesce(paths, none), F.coalesce(answered, none)), lambda path: entry(path, nobody, placed))
+        return F.transform(F.array_except(F.coalesce(paths, none), F.coalesce(answered, none)), row)
 
     roots = F.array_distinct(F.array_compact(F.col("_given")["_root"]))
-    inside = F.flatten(F.transform(roots, lambda root: F.coalesce(F.try_element_at("_expected", root), none)))
-    answers = F.transform("_given", lambda e: entry(e["item_path"], e, True))
+    several = F.flatten(F.transform(roots, lambda root: F.coalesce(F.try_element_at("_expected", root), none)))
+    # Almost always an instance has one root, which needs no walk through its answers.
+    single = F.try_element_at("_expected", F.col("_root"))
+    inside = F.when(F.col("_root").isNull(), none).when(F.col("_root") == F.col("_last_root"), single).otherwise(several)
     outside = F.when(F.col("_first"), F.try_element_at("_expected", F.lit("")))
-    every = F.concat(answers, missing(inside, F.col("_given")["item_path"], True), missing(outside, F.col("_given_outside"), False))
+    added = F.concat(missing(inside, F.col("_given")["item_path"], True), missing(outside, F.col("_given_outside"), False))
+    every = F.when(F.size("_added") == 0, F.col("_given")).otherwise(F.concat("_given", "_added"))
     nothing = F.create_map().cast(instances.schema["own"].dataType)
     # What is added outside all groups to a group does not see that group.
-    placed = F.col("e.placed") | F.col("group_instance").isNull()
-    return instances.join(expected, form, "left").withColumn("e", F.explode(every)).select(
-        *RESPONSE_KEY, *form, "head", F.col("e.item_path").alias("item_path"),
-        F.when(F.col("e.placed"), F.col("group_instance")).alias("group_instance"), *[F.col("e.given")[c].alias(c) for c in kept],
-        F.col("e.given").isNotNull().alias("present"), F.when(placed, F.col("own")).otherwise(nothing).alias("own"), "outer", "rejected",
+    placed = F.col("e._placed") | F.col("group_instance").isNull()
+    return instances.join(expected, form, "left").withColumn("_added", added).withColumn("e", F.explode(every)).select(
+        *RESPONSE_KEY, *form, *head, "e.item_path", F.when(F.col("e._placed"), F.col("group_instance")).alias("group_instance"),
+        *[f"e.{c}" for c in kept], F.when(placed, F.col("own")).otherwise(nothing).alias("own"), "outer", "_faulty", "rejected",
     )
 
 

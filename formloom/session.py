@@ -23,6 +23,8 @@ RUNTIME_CONF = {
     # Hash instead of sort where every shuffled partition of the build side is this small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Rows that are sorted by their group already are gathered in one pass, not hashed, spilled and merged.
+    "spark.sql.execution.replaceHashWithSortAgg": "true",
     # The JVM never compiles methods of more than 8000 bytes; above that, separately generated
     # projections are several times faster than one fused stage.
     "spark.sql.codegen.hugeMethodLimit": "8000",

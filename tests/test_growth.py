@@ -266,3 +266,59 @@ def test_compact_traces_are_told_apart_by_hubs(spark):
     rows = [("q0", None, 1, False)] + [(f"q{i}", f"q{i}", 0, False) for i in range(20)] + [(f"q{i}", "h", 1, True) for i in range(20)]
     rows += [("h", "h", 0, True)] + [("h", f"a{i}", 1, False) for i in range(20)]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, rows))
+
+
+def test_declared_states_are_compared_by_instance(small):
+    """No window runs over the single answers, and lists are built from sorted rows without hashing them."""
+    rows = answers.order_responses(small), answers.faulty_answers(small), answers.order_items(small), answers.FORM
+    plan = plan_of(canonical.canonicalize_structured(*rows)).split("== Initial Plan ==")[0]
+    assert plan.index("Generate explode") < plan.index("Window [")
+    gathering = [line for line in plan.splitlines() if "collect_list(_given" in line]
+    assert len(gathering) == 1 and "SortAggregate" in gathering[0]
+
+
+@pytest.mark.parametrize("behavior", ["all", "any"])
+def test_conditions_of_any_number_hold(spark, behavior):
+    """The first conditions are compiled and the others walked; both see the earlier of own and outer answers."""
+    def number(n):
+        return ("num", str(n), n)
+
+    many = [("A", "eq", ("str", "x", None)), ("G/P", "gte", number(2)), ("G/P", "lt", number(5)), ("A", "exists", ("bool", "true", 1))]
+    items = [("f", "1", "A", "string", None, None, []), ("f", "1", "G", "group", "G", None, []), ("f", "1", "G/P", "decimal", "G", None, [])]
+    items += [("f", "1", f"G/Q{n}", "string", "G", None, many[:n]) for n in range(5)]
+    made = local_table(spark, items, answers.ITEM_SCHEMA)
+    cases = [(f"r{a}{p}", a, p) for a in ("x", "y", None) for p in (1, 3, 7, None)]
+    responses = local_table(spark, [("s", r, "f", "1", "SIGNED") for r, *_ in cases], RESPONSE + ", lifecycle_status string")
+    given = [("s", r, "f", "1", "A", None, "str", a, None, 1) for r, a, _ in cases if a]
+    given += [("s", r, "f", "1", "G/P", "G:1", "num", str(p), None, 2) for r, _, p in cases if p]
+    given += [("s", r, "f", "1", "G/Q0", "G:1", "str", "q", None, 3) for r, *_ in cases]
+    given = local_table(spark, given, ANSWER.replace(", data_type string", ""))
+    found = canonical.canonicalize_structured(responses, given, made, FORM, behavior).filter("item_path LIKE 'G/Q%'").collect()
+    fold = all if behavior == "all" else any
+
+    def shown(a, p, n):
+        return n == 0 or fold([a == "x", p is not None and p >= 2, p is not None and p < 5, a is not None][:n])
+
+    assert {(r["response_id"], r["item_path"]): r["enabled"] for r in found} == {(r, f"G/Q{n}"): shown(a, p, n) for r, a, p in cases for n in range(5)}
+
+
+def test_declared_state_of_a_doubled_answer_and_of_several_roots(spark):
+    items = [("f", "1", "A", "string", None, None, []), ("f", "1", "G", "group", "G", None, []), ("f", "1", "G/P", "string", "G", None, [("A", "eq", ("str", "x", None))])]
+    items += [("f", "1", "H", "group", "H", None, []), ("f", "1", "H/P", "string", "H", "kg", []), ("f", "1", "H/Q", "string", "H", None, [])]
+    made = local_table(spark, items, answers.ITEM_SCHEMA)
+    responses = local_table(spark, [("s", r, "f", "1", "SIGNED") for r in ("ok", "clash", "double", "none")], RESPONSE + ", lifecycle_status string")
+    rows = [("ok", "A", None, "x", 1, True), ("ok", "G/P", "I:1", "p", 2, True), ("ok", "H/Q", "I:1", "q", 3, None)]
+    rows += [("clash", "A", None, "y", 1, None), ("clash", "G/P", "I:1", "p", 2, True), ("clash", "G/P", "I:2", "p", 3, False)]
+    rows += [("double", "A", None, "y", 1, None), ("double", "A", None, "x", 0, None), ("double", "G/P", "I:1", "p", 2, True)]
+    given = local_table(
+        spark, [("s", r, "f", "1", path, instance, "str", v, None, pos, d) for r, path, instance, v, pos, d in rows],
+        ANSWER.replace("data_type string", "declared_enabled boolean"),
+    )
+    stream = cut(canonical.canonical_stream(responses, given, made, FORM), "stream")
+    wrong = {(r["response_id"], r["item_path"], r["group_instance"], r["reason"]) for r in canonical.canonical_errors(stream).collect()}
+    assert wrong == {("clash", "G/P", "I:1", "CONDITIONAL_LOGIC_CONFLICT"), ("double", "A", None, "DUPLICATE_ANSWER")}
+    kept = {(r["response_id"], r["item_path"], r["group_instance"], r["state"], r["unit"]) for r in stream.filter("NOT rejected").collect()}
+    assert kept == {
+        ("ok", "A", None, "PRESENT", None), ("ok", "G/P", "I:1", "PRESENT", None), ("ok", "H/Q", "I:1", "PRESENT", None),
+        ("ok", "H/P", "I:1", "NOT_RECORDED", "kg"), ("none", "A", None, "NOT_RECORDED", None),
+    }
