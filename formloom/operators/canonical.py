@@ -205,43 +205,55 @@ def densify(
 ) -> DataFrame:
     """Expected answers (see ``expected_keys``) with what was answered; ``present`` tells the difference.
 
-    Answers are shuffled once, by response, and gathered by instance; what is missing in an instance is added to
-    its list, so neither the expected rows nor the instances are shuffled or joined. A response is one document:
-    its rows have to fit one task.
+    Answers are shuffled and sorted once, by response, with a row per response, and gathered by instance; what is
+    missing in an instance is added to its list, so neither the expected rows nor the instances are shuffled or
+    joined. A response is one document: its rows have to fit one task.
     """
     leaf = items.filter(F.col("data_type") != "group").withColumnRenamed("path", "item_path")
     small = is_small(leaf)
     known = F.broadcast if small else lambda df: df
-    named = leaf.filter("repeated_root IS NOT NULL").groupBy(*form, "item_path").agg(F.collect_set("repeated_root").alias("_roots"))
-    paths = leaf.groupBy(*form).agg(F.collect_set(F.struct(F.col("repeated_root").alias("root"), "item_path")).alias("_paths"))
-    key = F.struct(*RESPONSE_KEY).alias("_key")
+    grouped = leaf.filter("repeated_root IS NOT NULL")
+    named = grouped.groupBy(*form, "item_path").agg(F.collect_set("repeated_root").alias("_roots"))
+    by_root = grouped.groupBy(*form, "repeated_root").agg(F.collect_set("item_path").alias("paths"))
+    by_root = by_root.groupBy(*form).agg(F.map_from_entries(F.collect_list(F.struct("repeated_root", "paths"))).alias("_of_root"))
+    single = leaf.groupBy(*form).agg(F.collect_set(F.when(F.col("repeated_root").isNull(), F.col("item_path"))).alias("_single"))
+    paths = single.join(by_root, form, "left")
     given = _rename_unit(answers).join(known(named), [*form, "item_path"], "left")
     rest = [c for c in given.columns if c not in {*RESPONSE_KEY, *form, "item_path", "group_instance", "_roots"}]
-    given = given.select(key, "group_instance", "_roots", F.struct("item_path", *rest, F.lit(True).alias("present")).alias("_answer"))
+    given = given.select(*RESPONSE_KEY, "group_instance", "_roots", F.struct("item_path", *rest, F.lit(True).alias("present")).alias("_answer"))
     kinds = {f.name: f.dataType for f in given.schema["_answer"].dataType}
+    head = [c for c in responses.columns if c not in RESPONSE_KEY]
     # Every response has the place outside its groups, answered or not.
-    place = responses.select(key, *[F.lit(None).cast(given.schema[c].dataType).alias(c) for c in given.columns[1:]])
-    gathered = given.unionByName(place).repartition("_key").groupBy("_key", "group_instance").agg(
-        F.collect_list("_answer").alias("_given"), F.array_distinct(F.flatten(F.collect_list("_roots"))).alias("_roots")
+    place = responses.select(
+        *RESPONSE_KEY, *[F.lit(None).cast(given.schema[c].dataType).alias(c) for c in given.columns[2:]], F.struct(*head).alias("_head")
+    )
+    both = given.withColumn("_head", F.lit(None).cast(place.schema["_head"].dataType)).unionByName(place)
+    gathered = both.repartition(*RESPONSE_KEY).sortWithinPartitions(*_SORT_KEY, "group_instance").groupBy(*_SORT_KEY, "group_instance").agg(
+        F.collect_list("_answer").alias("_given"), F.array_distinct(F.flatten(F.collect_list("_roots"))).alias("_roots"),
+        F.collect_list("_head").alias("_heads"),
     )
-    head = [c for c in responses.columns if c not in RESPONSE_KEY]
-    # Struct keys meet even where a part is null; instances only belong to responses without one.
-    rows = responses.select(key, *head).join(gathered, "_key").join(known(paths), form)
-    whole = F.col(f"_key.{RESPONSE_KEY[0]}").isNotNull() & F.col(f"_key.{RESPONSE_KEY[1]}").isNotNull()
     outside = F.col("group_instance").isNull()
-    rows = rows.filter(outside | whole)
+    heads = F.first(F.when(outside, F.col("_heads")), ignorenulls=True).over(Window.partitionBy(*_SORT_KEY))
+    # Grouping keeps keys with a null part together; instances only belong to responses without one.
+    whole = F.col(RESPONSE_KEY[0]).isNotNull() & F.col(RESPONSE_KEY[1]).isNotNull()
+    rows = gathered.withColumn("_heads", heads).filter(outside | whole).withColumn("_head", F.explode("_heads"))
+    rows = rows.select(*RESPONSE_KEY, "_head.*", "group_instance", "_roots", "_given").join(known(paths), form)
 
     def fits(root: Column) -> Column:
         return F.when(outside, root.isNull()).otherwise(root.isNotNull() & F.array_contains("_roots", root))
 
-    wanted = F.transform(F.filter("_paths", lambda p: fits(p["root"])), lambda p: p["item_path"])
+    none = F.array().cast("array<string>")
+    one = F.coalesce(F.try_element_at("_of_root", F.get("_roots", F.lit(0))), none)
+    several = F.flatten(F.transform("_roots", lambda root: F.coalesce(F.try_element_at("_of_root", root), none)))
+    wanted = F.when(outside, F.col("_single")).when(F.size("_roots") < 2, one).otherwise(several)
     made = F.transform(
         F.array_except(wanted, F.col("_given.item_path")),
         lambda path: F.struct(
             path.alias("item_path"), *[F.lit(None).cast(kinds[c]).alias(c) for c in rest], F.lit(False).alias("present")
         ),
     )
-    rows = rows.withColumn("_e", F.explode(F.concat("_given", made))).select("_key.*", *head, "group_instance", "_roots", "_e.*")
+    every = F.when(F.size("_made") == 0, F.col("_given")).otherwise(F.concat("_given", "_made"))
+    rows = rows.withColumn("_made", made).withColumn("_e", F.explode(every)).select(*RESPONSE_KEY, *head, "group_instance", "_roots", "_e.*")
     # Answers the form does not expect where they were given have no row.
     out = rows.join(known(leaf), [*form, "item_path"]).filter(fits(F.col("repeated_root")))
     order = [*form, *RESPONSE_KEY, *[c for c in head if c not in form], *[c for c in leaf.columns if c not in form], "group_instance", *rest, "present"]
@@ -309,36 +321,38 @@ def display_state(
     """Adds ``enabled``: the item's display conditions hold for what is visible to it.
 
     An item sees the answers of its own group instance and those outside any group. Rows and the answers that
-    conditions name are shuffled once, by response, and gathered by instance, where both are looked up. ``answers``
+    conditions name are shuffled and sorted once, by response, and gathered by instance, where both are looked up. ``answers``
     carries ``pos`` and the typed ``answer``. A response is one document: its rows have to fit one task.
     """
     if behavior not in {"all", "any"}:
         raise ValueError(f"unsupported condition behavior {behavior}")
-    key = F.struct(*RESPONSE_KEY).alias("_key")
     rest = [c for c in dense.columns if c not in {*RESPONSE_KEY, "group_instance"}]
-    named = answers.join(broadcast_if_small(condition_sources(items, form)), [*form, "item_path"], "left_semi")
-    named = named.filter("pos IS NOT NULL").select(key, "group_instance", F.struct("item_path", "pos", "answer").alias("_entry"))
-    rows = dense.select(key, "group_instance", F.struct(*rest).alias("_row"))
+    named = answers.join(broadcast_if_small(condition_sources(items, form)), [*form, "item_path"], "left_semi").filter("pos IS NOT NULL")
+    entry = F.struct("item_path", F.struct("pos", "answer").alias("seen"))
+    named = named.select(*RESPONSE_KEY, "group_instance", entry.alias("_entry"))
+    rows = dense.select(*RESPONSE_KEY, "group_instance", F.struct(*rest).alias("_row"))
     both = rows.withColumn("_entry", F.lit(None).cast(named.schema["_entry"].dataType)).unionByName(
         named.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType))
     )
-    gathered = both.repartition("_key").groupBy("_key", "group_instance").agg(
-        F.collect_list("_row").alias("_rows"), _first_seen(F.collect_list("_entry")).alias("own")
+    # Sorted first, so that lists are built group by group in one go.
+    gathered = both.repartition(*RESPONSE_KEY).sortWithinPartitions(*_SORT_KEY, "group_instance").groupBy(*_SORT_KEY, "group_instance").agg(
+        F.collect_list("_row").alias("_rows"), F.collect_list("_entry").alias("_entries")
     )
-    outside = F.first(F.when(F.col("group_instance").isNull(), F.col("own")), ignorenulls=True).over(Window.partitionBy("_key"))
+    gathered = gathered.withColumn("own", _first_seen(F.col("_entries"))).drop("_entries")
+    outside = F.first(F.when(F.col("group_instance").isNull(), F.col("own")), ignorenulls=True).over(Window.partitionBy(*_SORT_KEY))
     # Without a whole key a row sees its own instance only.
-    whole = F.col(f"_key.{RESPONSE_KEY[0]}").isNotNull() & F.col(f"_key.{RESPONSE_KEY[1]}").isNotNull()
+    whole = F.col(RESPONSE_KEY[0]).isNotNull() & F.col(RESPONSE_KEY[1]).isNotNull()
     seen = gathered.withColumn("outer", F.when(whole, outside)).withColumn("_row", F.explode("_rows"))
     names = [c if c == "group_instance" else f"_row.{c}" for c in dense.columns if c not in RESPONSE_KEY]
-    return _with_enabled(seen.select("_key.*", *names, "own", "outer"), behavior)
+    return _with_enabled(seen.select(*RESPONSE_KEY, *names, "own", "outer"), behavior)
 
 
 def _first_seen(entries: Column) -> Column:
-    """Map from path to the first ``(pos, answer)`` of a list of (item_path, pos, answer)."""
+    """Map from path to the first ``(pos, answer)`` of a list of (item_path, (pos, answer)); sorted only if a path comes again."""
     ordered = F.array_sort(entries)
     first = F.transform(ordered, lambda e, i: F.when((i == 0) | (F.get(ordered, i - 1)["item_path"] != e["item_path"]), e))
-    pairs = F.transform(F.array_compact(first), lambda e: F.struct(e["item_path"], F.struct(e["pos"], e["answer"]).alias("seen")))
-    return F.map_from_entries(pairs)
+    again = F.size(F.array_distinct(entries["item_path"])) < F.size(entries)
+    return F.map_from_entries(F.when(again, F.array_compact(first)).otherwise(entries))
 
 
 def display_conflicts(dense: DataFrame, declared: str = "declared_enabled") -> DataFrame:

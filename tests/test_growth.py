@@ -322,3 +322,24 @@ def test_declared_state_of_a_doubled_answer_and_of_several_roots(spark):
         ("ok", "A", None, "PRESENT", None), ("ok", "G/P", "I:1", "PRESENT", None), ("ok", "H/Q", "I:1", "PRESENT", None),
         ("ok", "H/P", "I:1", "NOT_RECORDED", "kg"), ("none", "A", None, "NOT_RECORDED", None),
     }
+
+
+def gathered_by(plan, column):
+    return [line for line in plan.splitlines() if "Aggregate(" in line and f"collect_list({column}" in line]
+
+
+def test_expected_answers_are_gathered_in_one_pass(spark):
+    """Lists are built from sorted rows, and responses come with the answers instead of being joined."""
+    items = [*ITEMS, ("f", "1", "H", "group", "H", None, []), ("f", "1", "H/P", "string", "H", None, []), ("f", "1", "H/Q", "string", "H", None, [])]
+    made = local_table(spark, items, answers.ITEM_SCHEMA)
+    responses = local_table(spark, [("s", "r1", "f", "1"), ("s", "r2", "f", "1")], RESPONSE)
+    rows = [("r1", "G/P", "I:1"), ("r1", "H/Q", "I:1"), ("r1", "H/P", "I:2")]
+    given = local_table(spark, [("s", r, "f", "1", path, instance, "str", "v", None, 1) for r, path, instance in rows], ANSWER.replace(", data_type string", ""))
+    dense = canonical.densify(responses, given, made, FORM)
+    lines = gathered_by(plan_of(dense), "_answer")
+    assert len(lines) == 1 and "SortAggregate" in lines[0]
+    assert not any("Join" in line and "response_id" in line for line in plan_of(dense).splitlines())
+    found = sorted((r["response_id"], r["group_instance"] or "", r["item_path"], r["present"]) for r in dense.collect())
+    outside = [(r, "", path, False) for r in ("r1", "r2") for path in ("A", "B")]
+    first = [("r1", "I:1", "G/P", True), ("r1", "I:1", "G/Q", False), ("r1", "I:1", "H/P", False), ("r1", "I:1", "H/Q", True)]
+    assert found == sorted([*outside, *first, ("r1", "I:2", "H/P", True), ("r1", "I:2", "H/Q", False)])
