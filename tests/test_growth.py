@@ -343,3 +343,18 @@ def test_expected_answers_are_gathered_in_one_pass(spark):
     outside = [(r, "", path, False) for r in ("r1", "r2") for path in ("A", "B")]
     first = [("r1", "I:1", "G/P", True), ("r1", "I:1", "G/Q", False), ("r1", "I:1", "H/P", False), ("r1", "I:1", "H/Q", True)]
     assert found == sorted([*outside, *first, ("r1", "I:2", "H/P", True), ("r1", "I:2", "H/Q", False)])
+
+
+def test_display_conflicts_come_from_one_pass(spark):
+    """Rows and named answers are gathered from sorted rows; of an answer given again the earliest is seen."""
+    responses = local_table(spark, [("s", "r1", "f", "1"), ("s", "r2", "f", "1")], RESPONSE)
+    rows = [("r1", "A", None, "y", 5), ("r1", "A", None, "x", 1), ("r1", "G/P", "G:1", "p", 2), ("r2", "A", None, "x", 5), ("r2", "A", None, "y", 1)]
+    given = local_table(spark, [("s", r, "f", "1", path, instance, "str", v, None, pos, "string") for r, path, instance, v, pos in rows], ANSWER)
+    items = local_table(spark, ITEMS, answers.ITEM_SCHEMA)
+    typed = cut(canonical.type_answers(given).drop("data_type"), "typed")
+    dense = cut(canonical.densify(responses, typed, items, FORM), "dense")
+    shown = canonical.display_state(dense, typed, items, FORM)
+    lines = gathered_by(plan_of(shown), "_row")
+    assert len(lines) == 1 and "SortAggregate" in lines[0]
+    wrong = canonical.display_conflicts(shown.withColumn("declared_enabled", F.lit(True)))
+    assert [(r["response_id"], r["item_path"], r["group_instance"]) for r in wrong.collect()] == [("r2", "B", None)]
